@@ -49,8 +49,8 @@ def load_level(value: str | Column, low: float, high: float) -> Column:
 
 
 def site_label(name: str | Column, site_id: str | Column) -> Column:
-    """``"name (ID n)"``."""
-    return F.format_string("%s (ID %d)", _c(name), _c(site_id).cast("long"))
+    """``"name (ID n)"``; NULL when the name is unknown."""
+    return F.concat(_c(name), F.lit(" (ID "), _c(site_id).cast("long").cast("string"), F.lit(")"))
 
 
 def clip0(x: str | Column) -> Column:

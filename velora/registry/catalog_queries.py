@@ -56,3 +56,180 @@ register(
         ["site_mean", "site_std", "site_min", "site_max"],
     ),
 )(lambda spark, sf: finalize(st.site_stats(_counts(spark, sf), with_n=True)))
+
+# --- raw landing, site dimension (P3, P4, P6, K12, K6) ----------------------
+
+from velora.operators.histref import historical_reference  # noqa: E402
+from velora.operators.history import last_values  # noqa: E402
+from velora.plans import forecast as fc  # noqa: E402
+from velora.plans import serving as sv  # noqa: E402
+from velora.plans.sites import forecast_geo, site_dimension  # noqa: E402
+
+
+def _raw(spark, sf):
+    return tb.raw_clean(tb.counts_raw(_counts(spark, sf)))
+
+
+def _sites(spark, sf):
+    return site_dimension(_raw(spark, sf))
+
+
+def _forecast(spark, sf):
+    c = _counts(spark, sf)
+    feats = build_features(c, tb.weather(c))
+    return fc.recursive_forecast_linear(feats, c, tb.weather_forecast(c))
+
+
+def _geo(spark, sf):
+    return forecast_geo(_forecast(spark, sf), _sites(spark, sf))
+
+
+def _start(spark, sf):
+    """The forecast start (max count hour) as a scalar parameter."""
+    return _counts(spark, sf).agg(F.max("ts")).first()[0]
+
+
+CHAIN = S.with_(*S.forecast_chain())
+
+register("raw_clean", CHAIN + "SELECT * FROM raw")(lambda spark, sf: _raw(spark, sf))
+
+register("sites_dimension", S.round_all(CHAIN + "SELECT * FROM sites", ["latitude", "longitude"]))(
+    lambda spark, sf: finalize(_sites(spark, sf))
+)
+
+register(
+    "history_last24",
+    CHAIN + "SELECT site_id, list_transform(history, lambda x: round(x, 6) + 0.0) AS history FROM hist",
+)(
+    lambda spark, sf: (
+        lambda c: last_values(
+            fc.history_window(build_features(c, tb.weather(c)), fc.forecast_start(c), 30), "site_id", "ts", "hourly_count", 24
+        ).select("site_id", F.transform("history", lambda x: F.round(x, 6) + F.lit(0.0)).alias("history"))
+    )(_counts(spark, sf))
+)
+
+HF_DOUBLES = ["apparent_temperature", "dow_sin", "dow_cos", "month_sin", "month_cos", "hour_sin", "hour_cos", "season_sin", "season_cos"]
+
+register("future_features", S.round_all(CHAIN + "SELECT * FROM hf", HF_DOUBLES))(
+    lambda spark, sf: finalize(
+        (lambda c: fc.future_features(fc.forecast_start(c), tb.weather_forecast(c), 48))(_counts(spark, sf))
+    )
+)
+
+register("forecast_recursive", S.round_all(CHAIN + "SELECT * FROM fc", ["hourly_count"]))(
+    lambda spark, sf: finalize(_forecast(spark, sf))
+)
+
+register(
+    "forecast_window",
+    S.with_(S.COUNTS)
+    + "SELECT max(ts) + INTERVAL 1 HOUR AS window_start, max(ts) + to_hours(48) AS window_end FROM counts",
+)(lambda spark, sf: fc.forecast_window(_counts(spark, sf), 48))
+
+GEO_DOUBLES = ["hourly_count", "latitude", "longitude"]
+
+register("forecast_geo", S.round_all(CHAIN + "SELECT * FROM geo", GEO_DOUBLES))(lambda spark, sf: finalize(_geo(spark, sf)))
+
+_AT = "(SELECT max(ts) FROM counts) + to_hours(5)"
+
+register(
+    "predict_at_hour",
+    S.round_all(
+        CHAIN + f"SELECT site_id, site_name, latitude, longitude, hourly_count FROM geo WHERE ts = {_AT}", GEO_DOUBLES
+    ),
+)(lambda spark, sf: finalize(sv.predict_at(_geo(spark, sf), _start(spark, sf) + _td(5))))
+
+
+def _td(h):
+    import datetime as _dt
+
+    return _dt.timedelta(hours=h)
+
+
+for _busy in (True, False):
+    _order = "hourly_count DESC" if _busy else "hourly_count ASC"
+    register(
+        "top15_busiest" if _busy else "top15_quietest",
+        S.round_all(
+            CHAIN
+            + "SELECT site_name || ' (ID ' || CAST(site_id AS VARCHAR) || ')' AS station, site_id, hourly_count "
+            + f"FROM geo WHERE ts = {_AT} ORDER BY {_order}, site_id LIMIT 15",
+            ["hourly_count"],
+        ),
+    )(lambda spark, sf, _b=_busy: finalize(sv.top_sites(_geo(spark, sf), _start(spark, sf) + _td(5), 15, _b)))
+
+register(
+    "forecast_range",
+    S.round_all(
+        CHAIN
+        + "SELECT ts, site_id, site_name, latitude, longitude, hourly_count FROM geo "
+        + "WHERE ts BETWEEN (SELECT max(ts) FROM counts) + to_hours(10) AND (SELECT max(ts) FROM counts) + to_hours(20)",
+        GEO_DOUBLES,
+    ),
+)(lambda spark, sf: finalize(sv.forecast_range(_geo(spark, sf), _start(spark, sf) + _td(10), _start(spark, sf) + _td(20))))
+
+_SITE = 100056790
+
+register(
+    "site_series",
+    S.round_all(CHAIN + f"SELECT ts, hourly_count FROM geo WHERE site_id = {_SITE}", ["hourly_count"]),
+)(lambda spark, sf: finalize(sv.site_series(_geo(spark, sf), _SITE)))
+
+register(
+    "trends",
+    S.round_all(
+        CHAIN
+        + f"""SELECT ts, CAST(hourly_count AS DOUBLE) AS hourly_count, 'history' AS series FROM features
+  WHERE site_id = {_SITE} AND ts BETWEEN (SELECT max(ts) FROM counts) - to_hours(72) AND (SELECT max(ts) FROM counts) + to_hours(24)
+UNION ALL
+SELECT ts, hourly_count, 'forecast' FROM fc
+  WHERE site_id = {_SITE} AND ts BETWEEN (SELECT max(ts) FROM counts) - to_hours(72) AND (SELECT max(ts) FROM counts) + to_hours(24)""",
+        ["hourly_count"],
+    ),
+)(
+    lambda spark, sf: (
+        lambda c, s: finalize(
+            sv.trends(build_features(c, tb.weather(c)), _forecast(spark, sf), _SITE, s - _td(72), s + _td(24))
+        )
+    )(_counts(spark, sf), _start(spark, sf))
+)
+
+register(
+    "default_site",
+    CHAIN + f"SELECT arg_min(site_id, (-hourly_count, site_id)) AS site_id FROM geo WHERE ts = {_AT}",
+)(lambda spark, sf: sv.default_site(_geo(spark, sf), _start(spark, sf) + _td(5)))
+
+register(
+    "site_options",
+    CHAIN + "SELECT site_id, min(site_name) AS site_name, min(site_name) || ' (ID ' || CAST(site_id AS VARCHAR) || ')' AS site_label FROM geo GROUP BY site_id",
+)(lambda spark, sf: sv.site_options(_geo(spark, sf)))
+
+register(
+    "load_levels",
+    S.round_all(
+        CHAIN
+        + "SELECT *, CASE WHEN hourly_count < 2 THEN 'calm' WHEN hourly_count < 4 THEN 'moderate' ELSE 'busy' END AS load_level FROM geo",
+        GEO_DOUBLES,
+    ),
+)(lambda spark, sf: finalize(sv.with_load_level(_geo(spark, sf), 2.0, 4.0)))
+
+# --- A16 historical reference, J11 comparison ---------------------------------
+
+register(
+    "historical_reference",
+    S.round_all(S.with_(S.COUNTS_WIDE, S.hist_ref()) + "SELECT * FROM href", ["reference"]),
+)(lambda spark, sf: finalize(historical_reference(tb.counts_wide(spark, sf), tb.counts_wide(spark, sf))))
+
+register(
+    "forecast_vs_reference",
+    S.round_all(
+        S.with_(*S.forecast_chain(), S.hist_ref("counts", "fc"))
+        + """SELECT f.site_id, f.ts, f.hourly_count, h.label, h.reference, f.hourly_count - h.reference AS delta
+FROM fc f LEFT JOIN href h ON f.site_id = h.site_id AND f.ts = h.ts""",
+        ["hourly_count", "reference", "delta"],
+    ),
+)(
+    lambda spark, sf: (
+        lambda c, f: finalize(sv.compare_with_reference(f, historical_reference(c, f.select("site_id", "ts"))))
+    )(_counts(spark, sf), _forecast(spark, sf))
+)

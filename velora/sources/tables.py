@@ -75,7 +75,8 @@ def counts_raw(counts_df: DataFrame) -> DataFrame:
     * ``site_id`` is NULL at 05:00 on the 2nd of each month,
     * ``hourly_count`` is ``'n/a'`` at 06:00 on the 3rd,
     * every row at 03:00 on the 1st of a month lands twice (second copy later),
-    * coordinates are ``"lat,lon"`` text, blank for sites with ``site_id % 10 = 8``.
+    * coordinates are ``"lat,lon"`` text; NULL for sites with ``site_id % 10 = 8``
+      (so the site dimension misses them) and blank for ``site_id % 10 = 7``.
     ``ingest_seq`` records landing order (first copy 0, repeat 1).
     """
     t = F.col("ts")
@@ -88,7 +89,8 @@ def counts_raw(counts_df: DataFrame) -> DataFrame:
         .otherwise(F.col("hourly_count").cast("string"))
         .alias("hourly_count"),
         F.concat(F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.lit("+01:00")).alias("ts"),
-        F.when(F.col("site_id") % 10 == 8, F.lit(""))
+        F.when(F.col("site_id") % 10 == 8, F.lit(None).cast("string"))
+        .when(F.col("site_id") % 10 == 7, F.lit(""))
         .otherwise(
             F.concat(
                 F.lit("48.8"), (F.col("site_id") % 10).cast("string"), F.lit(",2.3"), (F.col("site_id") % 7).cast("string")
@@ -102,7 +104,7 @@ def counts_raw(counts_df: DataFrame) -> DataFrame:
     return base.unionByName(dup).drop("__repeat")
 
 
-def weather(counts_df: DataFrame) -> DataFrame:
+def weather(counts_df: DataFrame, extra_hours: int = 0, only_after_last: bool = False) -> DataFrame:
     """Hourly weather on the hour grid spanned by ``counts_df``.
 
     With h the hour number from the first count hour: rain ``(7h % 10) - 6``,
@@ -115,9 +117,13 @@ def weather(counts_df: DataFrame) -> DataFrame:
     the number of events, so it is a safe broadcast side.
     """
     bounds = counts_df.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    end = F.col("t1") + F.make_dt_interval(F.lit(0), F.lit(extra_hours)) if extra_hours else F.col("t1")
     grid = bounds.select(
-        F.posexplode(F.sequence(F.col("t0"), F.col("t1"), F.expr("INTERVAL 1 HOUR"))).alias("h", "time")
+        "t1", F.posexplode(F.sequence(F.col("t0"), end, F.expr("INTERVAL 1 HOUR"))).alias("h", "time")
     ).filter(F.col("h") % 37 != 0)
+    if only_after_last:
+        grid = grid.filter(F.col("time") > F.col("t1"))
+    grid = grid.drop("t1")
     h = F.col("h").cast("long")
     w = grid.select(
         "time",
@@ -130,7 +136,29 @@ def weather(counts_df: DataFrame) -> DataFrame:
         F.lit(0).alias("ingest_seq"),
         "h",
     )
+    if only_after_last:
+        return w.drop("h")
     repeat = w.filter(F.col("h") == 1).withColumns(
         {"apparent_temperature": F.col("apparent_temperature") + F.lit(1.0), "ingest_seq": F.lit(1)}
     )
     return w.unionByName(repeat).drop("h")
+
+
+def weather_forecast(counts_df: DataFrame, horizon_hours: int = 168) -> DataFrame:
+    """Forecast weather: the same hourly formulas for the hours after the last count hour (I3 horizon)."""
+    return weather(counts_df, extra_hours=horizon_hours, only_after_last=True)
+
+
+def raw_clean(raw_text: DataFrame) -> DataFrame:
+    """Landed text -> the typed, deduplicated raw table.
+
+    Coerce types (bad values NULL, zone suffix dropped), drop rows with a NULL
+    site or stamp, keep the first landed row per (site_id, ts).
+    """
+    from velora.operators.dedupe import dedupe_raw
+    from velora.operators.quality import coerce_counts
+
+    typed = coerce_counts(raw_text)
+    return dedupe_raw(typed, ["site_id", "ts"], ["ingest_seq"]).select(
+        "site_id", "site_name", "hourly_count", "ts", "coordinates"
+    )
