@@ -233,3 +233,163 @@ FROM fc f LEFT JOIN href h ON f.site_id = h.site_id AND f.ts = h.ts""",
         lambda c, f: finalize(sv.compare_with_reference(f, historical_reference(c, f.select("site_id", "ts"))))
     )(_counts(spark, sf), _forecast(spark, sf))
 )
+
+# --- A8-A15 statistics ----------------------------------------------------------
+
+from velora.operators import analytics as an  # noqa: E402
+
+FEAT = S.with_(S.COUNTS, S.features())
+
+register("mean_by_hour", S.round_all(FEAT + "SELECT CAST(hour(ts) AS INTEGER) AS hour, avg(hourly_count) AS mean_count, count(*) AS n FROM features GROUP BY 1", ["mean_count"]))(
+    lambda spark, sf: finalize(an.mean_by_hour(_features(spark, sf)))
+)
+
+
+def _dims_sql(dims: dict[str, str]) -> str:
+    parts = [
+        f"SELECT '{name}' AS dimension, CAST({expr} AS VARCHAR) AS value, avg(hourly_count) AS mean_count, count(*) AS n FROM features GROUP BY 2"
+        for name, expr in dims.items()
+    ]
+    return FEAT + "\nUNION ALL\n".join(parts)
+
+
+register(
+    "mean_by_weather",
+    S.round_all(_dims_sql({"is_rainy": "is_rainy", "is_snowy": "is_snowy", "is_windy": "is_windy"}), ["mean_count"]),
+)(lambda spark, sf: finalize(an.mean_by_weather(_features(spark, sf))))
+
+_WIDE_FEAT = S.with_(S.COUNTS_WIDE, S.features("counts_wide"))
+
+
+def _dims_sql_wide(dims):
+    parts = [
+        f"SELECT '{name}' AS dimension, CAST({expr} AS VARCHAR) AS value, avg(hourly_count) AS mean_count, count(*) AS n FROM features GROUP BY 2"
+        for name, expr in dims.items()
+    ]
+    return _WIDE_FEAT + "\nUNION ALL\n".join(parts)
+
+
+def _wide_features(spark, sf):
+    c = tb.counts_wide(spark, sf)
+    return build_features(c, tb.weather(c))
+
+
+register(
+    "mean_by_calendar",
+    S.round_all(
+        _dims_sql_wide(
+            {"season": S.season_sql("ts"), "month": "month(ts)", "is_holiday": "is_holiday", "is_rush_hour": "is_rush_hour"}
+        ),
+        ["mean_count"],
+    ),
+)(lambda spark, sf: finalize(an.mean_by_calendar(_wide_features(spark, sf))))
+
+register(
+    "temperature_bins",
+    S.round_all(
+        FEAT + "SELECT CAST(floor(apparent_temperature / 1.0) * 1.0 AS DOUBLE) AS temp_bin, count(*) AS n, avg(hourly_count) AS mean_count "
+        "FROM features WHERE apparent_temperature IS NOT NULL GROUP BY 1",
+        ["temp_bin", "mean_count"],
+    ),
+)(lambda spark, sf: finalize(an.temperature_bins(_features(spark, sf))))
+
+
+def _corr_sql() -> str:
+    cols = an.CORR_COLUMNS
+    num = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    var = ", ".join(f"count(DISTINCT {c}) > 1 AS v_{c}" for c in cols)
+    parts = []
+    for a in cols:
+        for b in cols:
+            r = "1.0" if a == b else f"corr({a}, {b})"
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {r} AS r FROM num HAVING (SELECT v_{a} AND v_{b} FROM var)")
+    body = "\nUNION ALL\n".join(parts)
+    return (
+        FEAT[:-1]
+        + f""",
+num AS (SELECT {num} FROM features WHERE hourly_count IS NOT NULL AND apparent_temperature IS NOT NULL),
+var AS (SELECT {var} FROM num)
+SELECT col_a, col_b, CASE WHEN isnan(r) OR r IS NULL THEN 0.0 ELSE r END AS r FROM (
+{body}
+)"""
+    )
+
+
+register("correlation_matrix", S.round_all(_corr_sql(), ["r"]))(
+    lambda spark, sf: finalize(an.correlation_matrix(_features(spark, sf)))
+)
+
+
+def _pearson_sql():
+    parts = []
+    for v in ("is_rainy", "is_snowy", "apparent_temperature", "is_windy"):
+        y, x = "CAST(hourly_count AS DOUBLE)", f"CAST({v} AS DOUBLE)"
+        both = f"hourly_count IS NOT NULL AND {v} IS NOT NULL"
+        parts.append(
+            f"SELECT '{v}' AS variable, corr(CASE WHEN {both} THEN {y} END, CASE WHEN {both} THEN {x} END) AS r, "
+            f"count(CASE WHEN {both} THEN 1 END) AS n FROM features"
+        )
+    return (
+        FEAT
+        + "SELECT variable, r, n, CASE WHEN abs(r) < 1 THEN r * sqrt((n - 2) / (1.0 - r * r)) END AS t FROM (\n"
+        + "\nUNION ALL\n".join(parts)
+        + "\n) WHERE n > 1"
+    )
+
+
+register("pearson_tests", S.round_all(_pearson_sql(), ["r", "t"]))(lambda spark, sf: finalize(an.pearson_tests(_features(spark, sf))))
+register("pearson_pvalues")(lambda spark, sf: finalize(an.pearson_with_p(_features(spark, sf))))
+
+
+def _ttest_sql():
+    parts = []
+    for f in ("is_night", "is_holiday", "is_rush_hour"):
+        y = "CAST(hourly_count AS DOUBLE)"
+        g0 = f"CASE WHEN hourly_count IS NOT NULL AND {f} IS NOT NULL AND NOT {f} THEN {y} END"
+        g1 = f"CASE WHEN hourly_count IS NOT NULL AND {f} IS NOT NULL AND {f} THEN {y} END"
+        parts.append(
+            f"SELECT '{f}' AS flag, count({g0}) AS n0, count({g1}) AS n1, avg({g0}) AS mean0, avg({g1}) AS mean1, "
+            f"var_samp({g0}) AS v0, var_samp({g1}) AS v1 FROM features"
+        )
+    return (
+        FEAT
+        + """SELECT flag, n0, n1, mean0, mean1,
+  CASE WHEN se > 0 THEN (mean0 - mean1) / se END AS t, n0 + n1 - 2 AS df FROM (
+  SELECT *, sqrt(((n0 - 1) * coalesce(v0, 0.0) + (n1 - 1) * coalesce(v1, 0.0)) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) AS se FROM (
+"""
+        + "\nUNION ALL\n".join(parts)
+        + "\n) WHERE n0 > 0 AND n1 > 0)"
+    )
+
+
+register("ttests", S.round_all(_ttest_sql(), ["mean0", "mean1", "t"]))(
+    lambda spark, sf: finalize(an.two_sample_tests(_features(spark, sf)))
+)
+register("ttest_pvalues")(lambda spark, sf: finalize(an.two_sample_with_p(_features(spark, sf))))
+
+
+def _chi2_sql():
+    parts = []
+    for a, b in (("is_night", "is_holiday"), ("is_night", "is_rush_hour")):
+        cells = []
+        for va in (0, 1):
+            for vb in (0, 1):
+                ca = a if va else f"NOT {a}"
+                cb = b if vb else f"NOT {b}"
+                cells.append(f"count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL AND {ca} AND {cb} THEN 1 END) AS o{va}{vb}")
+        parts.append(f"SELECT '{a}' AS var_a, '{b}' AS var_b, {', '.join(cells)} FROM features")
+    e = {}
+    for i in (0, 1):
+        for j in (0, 1):
+            e[(i, j)] = f"((o{i}0 + o{i}1) * (o0{j} + o1{j}) / CAST(o00 + o01 + o10 + o11 AS DOUBLE))"
+    chi = " + ".join(f"pow(greatest(abs(o{i}{j} - {e[(i, j)]}) - 0.5, 0.0), 2) / {e[(i, j)]}" for (i, j) in e)
+    return (
+        FEAT
+        + f"SELECT var_a, var_b, o00, o01, o10, o11, {chi} AS chi2, 1 AS df FROM (\n"
+        + "\nUNION ALL\n".join(parts)
+        + "\n) WHERE o00 + o01 > 0 AND o10 + o11 > 0 AND o00 + o10 > 0 AND o01 + o11 > 0"
+    )
+
+
+register("chi_square", S.round_all(_chi2_sql(), ["chi2"]))(lambda spark, sf: finalize(an.chi_square_tests(_features(spark, sf))))
+register("chi_square_pvalues")(lambda spark, sf: finalize(an.chi_square_with_p(_features(spark, sf))))
