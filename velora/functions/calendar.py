@@ -66,29 +66,41 @@ def day_name_fr(ts: str | Column) -> Column:
     return F.element_at(names, F.weekday(_c(ts)) + F.lit(1))
 
 
-def season(ts: str | Column) -> Column:
-    """Season name from month/day (boundaries are midnights, so exact)."""
+def season_number(ts: str | Column) -> Column:
+    """0 winter, 1 spring, 2 summer, 3 autumn, from month/day (midnight boundaries, exact)."""
     t = _c(ts)
     md = F.month(t) * 100 + F.dayofmonth(t)
-    (sp, sm, sd), (su, um, ud), (au, am, ad), (wi, wm, wd) = SEASON_STARTS
+    (_, sm, sd), (_, um, ud), (_, am, ad), (_, wm, wd) = SEASON_STARTS
     return (
-        F.when((md >= sm * 100 + sd) & (md < um * 100 + ud), F.lit(sp))
-        .when((md >= um * 100 + ud) & (md < am * 100 + ad), F.lit(su))
-        .when((md >= am * 100 + ad) & (md < wm * 100 + wd), F.lit(au))
-        .otherwise(F.lit(wi))
+        F.when(md < sm * 100 + sd, F.lit(0))
+        .when(md < um * 100 + ud, F.lit(1))
+        .when(md < am * 100 + ad, F.lit(2))
+        .when(md < wm * 100 + wd, F.lit(3))
+        .otherwise(F.lit(0))
     )
 
 
+_SEASON_BY_NUMBER = sorted(SEASON_INDEX, key=SEASON_INDEX.get)  # winter, spring, summer, autumn
+
+
+def season(ts: str | Column) -> Column:
+    """Season name."""
+    return F.element_at(F.array(*[F.lit(n) for n in _SEASON_BY_NUMBER]), season_number(ts) + 1)
+
+
 def is_night(ts: str | Column, season_col: str | Column | None = None) -> Column:
-    """Night flag by season; an unknown season gives false."""
+    """Night flag by season (``h >= start or h < end``); an unknown season gives false.
+
+    The bounds are looked up by season number from two small literal arrays,
+    which keeps the expression compact (one CASE for the season, not four).
+    """
     t = _c(ts)
-    s = F.lower(_c(season_col)) if season_col is not None else season(t)
+    idx = season_number(t) if season_col is None else season_index(season_col, unknown_as_zero=False).cast("int")
+    starts = F.array(*[F.lit(NIGHT_BOUNDS[n][0]) for n in _SEASON_BY_NUMBER])
+    ends = F.array(*[F.lit(NIGHT_BOUNDS[n][1]) for n in _SEASON_BY_NUMBER])
     h = F.hour(t) + F.minute(t) / F.lit(60.0)
-    expr = None
-    for name, (start, end) in NIGHT_BOUNDS.items():
-        cond = (h >= F.lit(start)) | (h < F.lit(end))
-        expr = F.when(s == F.lit(name), cond) if expr is None else expr.when(s == F.lit(name), cond)
-    return expr.otherwise(F.lit(False))
+    night = (h >= F.element_at(starts, idx + 1)) | (h < F.element_at(ends, idx + 1))
+    return F.coalesce(night, F.lit(False))
 
 
 def is_rush_hour(ts: str | Column) -> Column:
@@ -157,11 +169,10 @@ def cyclic(x: str | Column, period: float) -> tuple[Column, Column]:
 def add_cyclic_features(df: DataFrame, ts_col: str = "ts", season_col: str | None = None) -> DataFrame:
     """weekday/7, month/12, hour/24 and season/4 encodings from the stamp."""
     t = F.col(ts_col)
-    s = F.col(season_col) if season_col else season(t)
     dow_s, dow_c = cyclic(weekday0(t), 7)
     mon_s, mon_c = cyclic(F.month(t), 12)
     hr_s, hr_c = cyclic(F.hour(t), 24)
-    se_s, se_c = cyclic(season_index(s), 4)
+    se_s, se_c = cyclic(season_index(season_col) if season_col else season_number(t), 4)
     return df.withColumns(
         {
             "dow_sin": dow_s,

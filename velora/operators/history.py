@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 def last_values(df: DataFrame, key: str = "site_id", ts: str = "ts", value: str = "hourly_count", n: int = 24) -> DataFrame:
     """(key, history array<double> of length n, oldest first)."""
     w = Window.partitionBy(key, F.to_date(F.col(ts))).orderBy(F.col(ts).desc())
-    cut = df.select(key, ts, F.col(value).cast("double").alias("__v")).withColumn("__rk", F.row_number().over(w)).filter(
+    day = F.to_date(F.col(ts))
+    cut = df.select(key, ts, F.col(value).cast("double").alias("__v")).repartition(F.col(key), day).withColumn(
+        "__rk", F.row_number().over(w)
+    ).filter(
         F.col("__rk") <= n
     )
     per_site = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("__v").alias("v")))).alias("__s"))

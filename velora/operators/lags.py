@@ -55,9 +55,11 @@ def row_lags(
     w_off = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(key, "__bucket", F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__offset"))
 
-    # 2. global row number.
+    # 2. global row number. The explicit repartition on *both* keys matters:
+    # an input already hash-partitioned by `key` alone would otherwise satisfy
+    # the window's clustering and put a whole key back into one task.
     w_local = Window.partitionBy(key, "__bucket").orderBy(*order)
-    numbered = with_bucket.join(offsets, [key, "__bucket"]).withColumn(
+    numbered = with_bucket.join(offsets, [key, "__bucket"]).repartition(key, "__bucket").withColumn(
         "__rn", F.col("__offset") + F.row_number().over(w_local) - F.lit(1)
     )
 
@@ -70,7 +72,7 @@ def row_lags(
     ).otherwise(F.array(F.struct(chunk.alias("c"), F.lit(False).alias("h"))))
     spread = numbered.drop("__bucket", "__offset").withColumn("__copy", F.explode(copies)).select(
         "*", F.col("__copy.c").alias("__chunk"), F.col("__copy.h").alias("__halo")
-    ).drop("__copy")
+    ).drop("__copy").repartition(key, "__chunk")
 
     # 4. lags inside each chunk.
     w = Window.partitionBy(key, "__chunk").orderBy("__rn")

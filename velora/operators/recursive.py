@@ -98,8 +98,7 @@ def linear_fold(
 def model_steps(
     sites: DataFrame,
     hours: DataFrame,
-    model,
-    feature_cols: Sequence[str],
+    score,
     history_col: str = "history",
     n: int = 24,
     checkpoint_every: int = 8,
@@ -119,7 +118,6 @@ def model_steps(
     from pyspark.ml.feature import VectorAssembler
 
     hour_rows = hours.orderBy("ts").collect()  # the horizon: bounded by its hour count
-    assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
     keep = [c for c in sites.columns if c != history_col]
     hist = F.col(history_col)
     state = sites.select(
@@ -136,7 +134,7 @@ def model_steps(
                 "rolling_mean_24": F.aggregate(hist, F.lit(0.0), lambda a, v: a + v) / F.size(hist),
             }
         )
-        scored = model.transform(assembler.transform(step))
+        scored = score(step)
         fallback = F.col(fallback_col) if fallback_col and fallback_col in sites.columns else F.lit(0.0)
         pred = F.greatest(F.coalesce(F.col("prediction").cast("double"), fallback, F.lit(0.0)), F.lit(0.0))
         state = scored.withColumn("__p", pred).select(

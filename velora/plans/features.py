@@ -55,7 +55,7 @@ def prepare_weather(weather_raw: DataFrame) -> DataFrame:
 def calendar_flags(df: DataFrame, ts_col: str = "ts") -> DataFrame:
     """C1-C3 + J9 flags on an hour column."""
     t = F.col(ts_col)
-    return df.withColumns({"is_holiday": holiday_flag(t), "is_rush_hour": is_rush_hour(t), "is_night": is_night(t, season(t))})
+    return df.withColumns({"is_holiday": holiday_flag(t), "is_rush_hour": is_rush_hour(t), "is_night": is_night(t)})
 
 
 def build_features(

@@ -393,3 +393,134 @@ def _chi2_sql():
 
 register("chi_square", S.round_all(_chi2_sql(), ["chi2"]))(lambda spark, sf: finalize(an.chi_square_tests(_features(spark, sf))))
 register("chi_square_pvalues")(lambda spark, sf: finalize(an.chi_square_with_p(_features(spark, sf))))
+
+# --- M1-M4, A17, W9, M8(b) ------------------------------------------------------
+
+from velora.operators.quality import infer_feature_columns  # noqa: E402
+from velora.operators.recursive import FIXED_SCORER, model_steps  # noqa: E402
+from velora.operators.stats import regression_metrics  # noqa: E402
+from velora.plans import training as trn  # noqa: E402
+
+_SPLIT_SQL = """split AS (
+  SELECT f.*, row_number() OVER (ORDER BY ts DESC, site_id DESC) <= floor(count(*) OVER () * 0.1) AS is_test FROM features f
+)"""
+
+register("chrono_split", FEAT[:-1] + ",\n" + _SPLIT_SQL + "\nSELECT site_id, ts, is_test FROM split")(
+    lambda spark, sf: trn.chrono_split(_features(spark, sf), 0.1).select("site_id", "ts", "is_test")
+)
+
+_TE_SQL = f"""te AS (
+  SELECT s.site_id,
+         CASE WHEN s.n = 1 THEN p.prior
+              ELSE p.prior * (1 - 1 / (1 + exp(-(s.n - {trn.TE_MIN_SAMPLES}) / {trn.TE_SMOOTHING})))
+                   + s.m * (1 / (1 + exp(-(s.n - {trn.TE_MIN_SAMPLES}) / {trn.TE_SMOOTHING}))) END AS te_value,
+         p.prior
+  FROM (SELECT site_id, count(hourly_count) AS n, avg(hourly_count) AS m FROM split WHERE NOT is_test GROUP BY site_id) s,
+       (SELECT avg(hourly_count) AS prior FROM split WHERE NOT is_test) p
+)"""
+
+register("target_encoding", S.round_all(FEAT[:-1] + ",\n" + _SPLIT_SQL + ",\n" + _TE_SQL + "\nSELECT * FROM te", ["te_value", "prior"]))(
+    lambda spark, sf: finalize(trn.fit_target_encoding(trn.chrono_split(_features(spark, sf), 0.1).filter(~F.col("is_test"))))
+)
+
+_NUMERIC = [c for c in FEATURE_COLUMNS if c not in ("site_id", "hourly_count", "ts")]
+
+
+def _scaler_sql():
+    parts = [
+        f"SELECT '{c}' AS \"column\", avg(CAST({c} AS DOUBLE)) AS mean, stddev_pop(CAST({c} AS DOUBLE)) AS std FROM split WHERE NOT is_test"
+        for c in _NUMERIC
+    ]
+    return FEAT[:-1] + ",\n" + _SPLIT_SQL + "\n" + "\nUNION ALL\n".join(parts)
+
+
+register("scaler_stats", S.round_all(_scaler_sql(), ["mean", "std"]))(
+    lambda spark, sf: finalize(trn.fit_scaler(trn.chrono_split(_features(spark, sf), 0.1).filter(~F.col("is_test")), _NUMERIC))
+)
+
+# Candidate fixed scorers evaluated on the test split: the run log (M11) is derived from data.
+CANDIDATES = [
+    ("cand-1", 0.1, {"lag_1": 0.5, "lag_24": 0.3, "rolling_mean_24": 0.2, "is_rush_hour": 1.0, "hour_cos": -0.5}),
+    ("cand-2", 0.0, {"lag_1": 1.0}),
+    ("cand-3", 0.0, {"rolling_mean_24": 1.0}),
+    ("cand-4", 0.5, {"lag_24": 0.6, "site_mean": 0.4}),
+]
+
+
+def _pred_sql(intercept, coefs):
+    s = f"{float(intercept)}"
+    for c, w in coefs.items():
+        s = f"({s} + {float(w)} * CAST({c} AS DOUBLE))"
+    return f"greatest({s}, 0.0)"
+
+
+def _metrics_sql(pred):
+    return f"""SELECT avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse,
+       CASE WHEN var_pop(y) > 0 THEN 1.0 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)) END AS r2, count(*) AS n_rows
+FROM (SELECT {pred} AS p, CAST(hourly_count AS DOUBLE) AS y FROM split WHERE is_test)"""
+
+
+register(
+    "fixed_model_metrics",
+    S.round_all(FEAT[:-1] + ",\n" + _SPLIT_SQL + "\n" + _metrics_sql(_pred_sql(FIXED_SCORER.intercept, FIXED_SCORER.coefs)), ["mae", "rmse", "r2"]),
+)(
+    lambda spark, sf: finalize(
+        regression_metrics(
+            trn.linear_prediction(trn.chrono_split(_features(spark, sf), 0.1).filter("is_test"), FIXED_SCORER.intercept, FIXED_SCORER.coefs),
+            "hourly_count",
+            "prediction",
+        )
+    )
+)
+
+
+def _runs(spark, sf):
+    split = trn.chrono_split(_features(spark, sf), 0.1).filter("is_test")
+    t1 = _start(spark, sf)
+    out = None
+    for k, (rid, b, coefs) in enumerate(CANDIDATES, 1):
+        m = regression_metrics(trn.linear_prediction(split, b, coefs), "hourly_count", "prediction")
+        rec = trn.run_record(m, "production", rid, t1 + _td(k), f"fixed:{rid}")
+        out = rec if out is None else out.unionByName(rec)
+    return out
+
+
+def _runs_sql():
+    parts = []
+    for k, (rid, b, coefs) in enumerate(CANDIDATES, 1):
+        parts.append(
+            f"SELECT 'production' AS name, '{rid}' AS run_id, (SELECT max(ts) FROM counts) + to_hours({k}) AS started_at, "
+            f"'fixed:{rid}' AS model_uri, mae, rmse, r2 FROM ({_metrics_sql(_pred_sql(b, coefs))})"
+        )
+    return "runs AS (\n" + "\nUNION ALL\n".join(parts) + "\n)"
+
+
+_RUNS = FEAT[:-1] + ",\n" + _SPLIT_SQL + ",\n" + _runs_sql() + "\n"
+
+register("model_runs", S.round_all(_RUNS + "SELECT * FROM runs", ["mae", "rmse", "r2"]))(
+    lambda spark, sf: finalize(_runs(spark, sf).drop("metrics"))
+)
+register(
+    "latest_run",
+    S.round_all(_RUNS + "SELECT * FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 1", ["mae", "rmse", "r2"]),
+)(lambda spark, sf: finalize(trn.latest_run(_runs(spark, sf)).drop("metrics")))
+register(
+    "best_run",
+    S.round_all(_RUNS + "SELECT * FROM runs ORDER BY rmse ASC NULLS LAST, run_id LIMIT 1", ["mae", "rmse", "r2"]),
+)(lambda spark, sf: finalize(trn.best_run(_runs(spark, sf)).drop("metrics")))
+
+register("train_linear_metrics")(lambda spark, sf: finalize(trn.train_model(_features(spark, sf), kind="linear")[1]))
+
+
+def _forecast_model_steps(spark, sf):
+    c = _counts(spark, sf)
+    feats = build_features(c, tb.weather(c))
+    score, _, cols, enc = trn.fit_forecaster(feats, kind="linear")
+    start = fc.forecast_start(c)
+    hist = last_values(fc.history_window(feats, start, 30), "site_id", "ts", "hourly_count", 24)
+    sites = trn.apply_target_encoding(hist.join(st.site_stats(c), "site_id", "left"), enc, "site_id", "site_te").checkpoint()
+    hours = fc.future_features(start, tb.weather_forecast(c), 48).checkpoint()
+    return finalize(model_steps(sites, hours, score, checkpoint_every=8))
+
+
+register("forecast_model_steps")(_forecast_model_steps)
