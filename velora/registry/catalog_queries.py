@@ -524,3 +524,171 @@ def _forecast_model_steps(spark, sf):
 
 
 register("forecast_model_steps")(_forecast_model_steps)
+
+# --- sources, sinks, checks, increments (S5, S7, S9, A3-A7, A18, K1, K5, K11, Q2, P10, P14, J7, I1, I3, C4) ---
+
+from velora.functions.calendar import day_name_fr, iso_dow, season, weekday0  # noqa: E402
+from velora.operators.quality import duplicate_keys, map_ready, positive_preview  # noqa: E402
+from velora.plans.sites import located_forecast  # noqa: E402
+from velora.sinks.tables import new_rows, purge_recent, upsert  # noqa: E402
+from velora.sources import files as fl  # noqa: E402
+from velora.streaming import incremental as inc  # noqa: E402
+
+register("latest_rows", S.with_(S.COUNTS) + "SELECT * FROM counts ORDER BY ts DESC, site_id, hourly_count LIMIT 20")(
+    lambda spark, sf: fl.latest_rows(_counts(spark, sf), 20)
+)
+register("site_rows", S.with_(S.COUNTS) + f"SELECT site_id, ts, hourly_count FROM counts WHERE site_id = {_SITE}")(
+    lambda spark, sf: fl.site_rows(_counts(spark, sf), _SITE, ["hourly_count"])
+)
+register(
+    "counts_date_range",
+    S.with_(S.COUNTS_WIDE) + "SELECT strftime(min(ts), '%Y/%m/%d') AS first_day, strftime(max(ts), '%Y/%m/%d') AS last_day FROM counts_wide",
+)(lambda spark, sf: fl.date_range(tb.counts_wide(spark, sf), "ts"))
+register("time_range", S.with_(S.COUNTS) + "SELECT min(ts) AS min_ts, max(ts) AS max_ts FROM counts")(
+    lambda spark, sf: st.time_range(_counts(spark, sf))
+)
+register(
+    "months_spanned",
+    S.with_(S.COUNTS_WIDE)
+    + "SELECT CAST((year(max(ts)) - year(min(ts))) * 12 + (month(max(ts)) - month(min(ts))) + 1 AS INTEGER) AS n_months FROM counts_wide",
+)(lambda spark, sf: st.months_spanned(tb.counts_wide(spark, sf)))
+register(
+    "table_shapes",
+    CHAIN
+    + "SELECT 'raw' AS table_name, count(*) AS n_rows, 5 AS n_cols FROM raw UNION ALL SELECT 'features', count(*), 25 FROM features",
+)(lambda spark, sf: st.table_shape(_raw(spark, sf), "raw").unionByName(st.table_shape(_features(spark, sf), "features")))
+register("distinct_sites", S.with_(S.COUNTS) + "SELECT count(DISTINCT site_id) AS n_sites FROM counts")(
+    lambda spark, sf: st.distinct_sites(_counts(spark, sf))
+)
+register(
+    "purge_recent",
+    S.with_(S.COUNTS) + "SELECT * FROM counts WHERE ts < (SELECT max(ts) FROM counts) - to_days(7)",
+)(lambda spark, sf: purge_recent(_counts(spark, sf), _start(spark, sf), 7))
+
+
+def _typed_raw(spark, sf):
+    from velora.operators.quality import coerce_counts
+
+    return coerce_counts(tb.counts_raw(_counts(spark, sf)))
+
+
+_TYPED = S.with_(*S.forecast_chain())[:-1]
+
+register(
+    "duplicate_keys",
+    _TYPED + "\nSELECT site_id, ts, count(*) AS n FROM raw_typed GROUP BY site_id, ts HAVING count(*) > 1",
+)(lambda spark, sf: duplicate_keys(_typed_raw(spark, sf)))
+
+register(
+    "append_new_rows",
+    _TYPED
+    + """
+SELECT site_id, site_name, hourly_count, ts, coordinates, ingest_seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY site_id, ts ORDER BY ingest_seq) AS rk
+  FROM raw_typed WHERE site_id IS NOT NULL AND ts IS NOT NULL
+) n WHERE rk = 1 AND NOT EXISTS (SELECT 1 FROM counts c WHERE day(c.ts) <= 15 AND c.site_id = n.site_id AND c.ts = n.ts)""",
+)(lambda spark, sf: new_rows(_counts(spark, sf).filter(F.dayofmonth("ts") <= 15), _typed_raw(spark, sf)))
+
+register(
+    "forecast_upsert",
+    S.round_all(
+        CHAIN
+        + """SELECT site_id, ts, hourly_count FROM (SELECT site_id, ts - to_hours(24) AS ts, hourly_count + 1.0 AS hourly_count FROM fc) o
+WHERE NOT EXISTS (SELECT 1 FROM fc n WHERE n.site_id = o.site_id AND n.ts = o.ts)
+UNION ALL SELECT site_id, ts, hourly_count FROM fc""",
+        ["hourly_count"],
+    ),
+)(
+    lambda spark, sf: (
+        lambda f: finalize(
+            upsert(
+                f.select("site_id", (F.col("ts") - F.expr("INTERVAL 24 HOURS")).alias("ts"), (F.col("hourly_count") + 1.0).alias("hourly_count")),
+                f,
+                ["site_id", "ts"],
+            )
+        )
+    )(_forecast(spark, sf))
+)
+
+register(
+    "positive_preview",
+    CHAIN + "SELECT * FROM raw WHERE hourly_count > 0 ORDER BY ts DESC, site_id LIMIT 20",
+)(lambda spark, sf: positive_preview(_raw(spark, sf), 20))
+
+register(
+    "map_ready",
+    S.round_all(
+        CHAIN + "SELECT site_id, site_name, latitude, longitude, hourly_count FROM geo WHERE site_name IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND hourly_count IS NOT NULL",
+        GEO_DOUBLES,
+    ),
+)(lambda spark, sf: finalize(map_ready(_geo(spark, sf))))
+
+register(
+    "located_forecast",
+    S.round_all(
+        CHAIN + "SELECT f.site_id, f.ts, f.hourly_count, s.site_name, s.latitude, s.longitude FROM fc f JOIN sites s ON f.site_id = s.site_id WHERE s.latitude IS NOT NULL AND s.longitude IS NOT NULL",
+        GEO_DOUBLES,
+    ),
+)(lambda spark, sf: finalize(located_forecast(_forecast(spark, sf), _sites(spark, sf))))
+
+register(
+    "future_features_filled",
+    S.round_all(
+        CHAIN + "SELECT * REPLACE (coalesce(apparent_temperature, (SELECT avg(apparent_temperature) FROM hf)) AS apparent_temperature) FROM hf",
+        HF_DOUBLES,
+    ),
+)(
+    lambda spark, sf: finalize(
+        (lambda c: fc.future_features(fc.forecast_start(c), tb.weather_forecast(c), 48, fill_temperature=True))(_counts(spark, sf))
+    )
+)
+
+register(
+    "count_gap",
+    S.with_(S.COUNTS)
+    + "SELECT CAST(CAST(max(ts) AS DATE) + 1 AS DATE) AS start_day, CAST(CAST(max(ts) AS DATE) + 2 AS DATE) AS end_day FROM counts",
+)(lambda spark, sf: inc.count_gap(_counts(spark, sf), (_start(spark, sf) + _td(72)).date()))
+
+register(
+    "count_gap_days",
+    S.with_(S.COUNTS)
+    + "SELECT CAST(unnest(generate_series(CAST(max(ts) AS DATE) + 1, CAST(max(ts) AS DATE) + 2, INTERVAL 1 DAY)) AS DATE) AS day FROM counts",
+)(lambda spark, sf: inc.landed_days(inc.count_gap(_counts(spark, sf), (_start(spark, sf) + _td(72)).date())))
+
+register(
+    "weather_horizon",
+    S.round_all(
+        S.with_(S.COUNTS, S.weather_forecast())
+        + "SELECT time, rain, snowfall, wind_speed_10m, apparent_temperature FROM wfc WHERE time <= (SELECT max(ts) FROM counts) + to_hours(168)",
+        ["rain", "snowfall", "wind_speed_10m", "apparent_temperature"],
+    ),
+)(
+    lambda spark, sf: finalize(
+        inc.weather_horizon(_counts(spark, sf), tb.weather_forecast(_counts(spark, sf)).withColumn("ingest_seq", F.lit(0)), 168).drop("ingest_seq")
+    )
+)
+
+register(
+    "calendar_parts",
+    S.with_(S.COUNTS_WIDE)
+    + f"""SELECT DISTINCT ts, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(isodow(ts) AS INTEGER) AS iso_dow,
+  ['Lundi','Mardi','Mercredi','Jeudi','Vendredi','Samedi','Dimanche'][isodow(ts)] AS day_name,
+  CAST(month(ts) AS INTEGER) AS month, CAST(hour(ts) AS INTEGER) AS hour, {S.season_sql('ts')} AS season,
+  {S.holiday_sql('ts')} AS is_holiday, {S.rush_sql('ts')} AS is_rush_hour, {S.night_sql('ts')} AS is_night
+FROM counts_wide""",
+)(
+    lambda spark, sf: tb.counts_wide(spark, sf)
+    .select("ts")
+    .distinct()
+    .select(
+        "ts",
+        weekday0("ts").alias("weekday"),
+        iso_dow("ts").alias("iso_dow"),
+        day_name_fr("ts").alias("day_name"),
+        F.month("ts").alias("month"),
+        F.hour("ts").alias("hour"),
+        season("ts").alias("season"),
+        *[c for c in [F.col("ts")] if False],
+    )
+    .transform(lambda d: d.join(__import__("velora.plans.features", fromlist=["calendar_flags"]).calendar_flags(d.select("ts")), "ts"))
+)
