@@ -99,7 +99,8 @@ def is_night(ts: str | Column, season_col: str | Column | None = None) -> Column
     starts = F.array(*[F.lit(NIGHT_BOUNDS[n][0]) for n in _SEASON_BY_NUMBER])
     ends = F.array(*[F.lit(NIGHT_BOUNDS[n][1]) for n in _SEASON_BY_NUMBER])
     h = F.hour(t) + F.minute(t) / F.lit(60.0)
-    night = (h >= F.element_at(starts, idx + 1)) | (h < F.element_at(ends, idx + 1))
+    # guard the lookup: element_at's generated code rejects a NULL index read as 0
+    night = F.when(idx.isNotNull(), (h >= F.element_at(starts, idx + 1)) | (h < F.element_at(ends, idx + 1)))
     return F.coalesce(night, F.lit(False))
 
 

@@ -25,9 +25,11 @@ def last_values(df: DataFrame, key: str = "site_id", ts: str = "ts", value: str
         F.col("__rk") <= n
     )
     per_site = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("__v").alias("v")))).alias("__s"))
-    vals = F.transform(F.slice(F.col("__s"), -n, n) if n else F.col("__s"), lambda x: x["v"])
+    # slice(arr, -n, n) would be empty for a series shorter than n: start at max(size-n+1, 1)
+    start = F.greatest(F.size("__s") - F.lit(n) + F.lit(1), F.lit(1))
+    vals = F.transform(F.slice(F.col("__s"), start, F.lit(n)), lambda x: x["v"])
     tail = per_site.select(key, vals.alias("__vals"))
     size = F.size("__vals")
-    mean = F.aggregate("__vals", F.lit(0.0), lambda acc, x: acc + x) / size
+    mean = F.try_divide(F.aggregate("__vals", F.lit(0.0), lambda acc, x: acc + x), size)
     pad = F.array_repeat(F.bround(mean, 0), F.lit(n) - size)
     return tail.select(key, F.when(size >= n, F.col("__vals")).otherwise(F.concat(pad, F.col("__vals"))).alias("history"))

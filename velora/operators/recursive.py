@@ -86,7 +86,7 @@ def linear_fold(
                 F.array(pred),
                 lambda p: F.struct(
                     F.slice(F.concat(hist, F.array(p)), 2, n).alias("hist"),
-                    F.concat(acc["out"], F.array(F.struct(h["ts"].alias("ts"), p.alias("pred")))).alias("out"),
+                    F.concat(acc["out"], F.array(F.struct(h["ts"].cast("timestamp_ntz").alias("ts"), p.alias("pred")))).alias("out"),
                 ),
             ),
             1,

@@ -646,14 +646,22 @@ register(
 register(
     "count_gap",
     S.with_(S.COUNTS)
-    + "SELECT CAST(CAST(max(ts) AS DATE) + 1 AS DATE) AS start_day, CAST(CAST(max(ts) AS DATE) + 2 AS DATE) AS end_day FROM counts",
-)(lambda spark, sf: inc.count_gap(_counts(spark, sf), (_start(spark, sf) + _td(72)).date()))
+    + "SELECT CAST(CAST(max(ts) AS DATE) + 1 AS TIMESTAMP) AS start_day, CAST(CAST(max(ts) AS DATE) + 2 AS TIMESTAMP) AS end_day FROM counts",
+)(
+    lambda spark, sf: _days_as_ts(inc.count_gap(_counts(spark, sf), (_start(spark, sf) + _td(72)).date()))
+)
+
+
+def _days_as_ts(df):
+    """Compare days as NTZ midnights (DuckDB hands DATE to pandas as datetime)."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in df.columns])
+
 
 register(
     "count_gap_days",
     S.with_(S.COUNTS)
-    + "SELECT CAST(unnest(generate_series(CAST(max(ts) AS DATE) + 1, CAST(max(ts) AS DATE) + 2, INTERVAL 1 DAY)) AS DATE) AS day FROM counts",
-)(lambda spark, sf: inc.landed_days(inc.count_gap(_counts(spark, sf), (_start(spark, sf) + _td(72)).date())))
+    + "SELECT CAST(unnest(generate_series(CAST(max(ts) AS DATE) + 1, CAST(max(ts) AS DATE) + 2, INTERVAL 1 DAY)) AS TIMESTAMP) AS day FROM counts",
+)(lambda spark, sf: _days_as_ts(inc.landed_days(inc.count_gap(_counts(spark, sf), (_start(spark, sf) + _td(72)).date()))))
 
 register(
     "weather_horizon",
