@@ -66,6 +66,11 @@ def temperature_bins(df: DataFrame, width: float = 1.0) -> DataFrame:
     )
 
 
+def safe_corr(x: F.Column, y: F.Column) -> F.Column:
+    """Pearson r that is NULL (not an ANSI division error) when either side is constant."""
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
 def _numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) for c in cols])
 
@@ -87,7 +92,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] = tuple(CORR_COLUMNS),
     num = _numeric(df, cols).dropna(subset=["hourly_count", "apparent_temperature"])
     keep = varying_columns(num, list(cols))
     pairs = [(a, b) for i, a in enumerate(keep) for b in keep[i + 1 :]]
-    row = num.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    row = num.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
     entries = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]
     entries += [F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]
     entries += [F.struct(F.lit(a).alias("col_a"), F.lit(a).alias("col_b"), F.lit(1.0).alias("r")) for a in keep]
@@ -102,7 +107,7 @@ def pearson_tests(df: DataFrame, variables: Sequence[str] = ("is_rainy", "is_sno
     for v in variables:
         y, x = F.col(TARGET).cast("double"), F.col(v).cast("double")
         both = y.isNotNull() & x.isNotNull()
-        aggs += [F.corr(F.when(both, y), F.when(both, x)).alias(f"r_{v}"), F.count(F.when(both, F.lit(1))).alias(f"n_{v}")]
+        aggs += [safe_corr(F.when(both, y), F.when(both, x)).alias(f"r_{v}"), F.count(F.when(both, F.lit(1))).alias(f"n_{v}")]
         entries.append(F.struct(F.lit(v).alias("variable"), F.col(f"r_{v}").alias("r"), F.col(f"n_{v}").alias("n")))
     long = df.agg(*aggs).select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter(F.col("n") > 1)
     r = F.col("r")
