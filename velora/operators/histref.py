@@ -1,6 +1,7 @@
 """Historical reference for (site, hour) targets, with a 4-step fallback.
 
-For a target hour t the candidate windows all end at t - 1h (inclusive):
+For a target hour t (day d, clock hour h) the candidate windows all end at
+t - 1h (inclusive):
 
 1. the 4 weeks before, same weekday and hour   -> rows at t - 7k days, k = 1..4
 2. the 8 weeks before, same weekday and hour   -> k = 1..8
@@ -10,18 +11,26 @@ For a target hour t the candidate windows all end at t - 1h (inclusive):
 The first window holding a row (with a non-NULL count) wins; its mean is the
 reference and its row count is reported. No window -> no row.
 
-Plan (no range join): raw rows are first aggregated per (site, day) into three
-24-slot arrays (sum, non-NULL count, row count per clock hour) -- a hash
-aggregate with partial combine, 24x fewer rows than hourly data. Each target
-is expanded to the 57 days d-56..d it can touch and equi-joined to that daily
-table on (site, day); the four window sums are slot arithmetic on the arrays.
-Join keys include the day, so a hot site spreads over its days; each target
-touches at most 57 daily rows whatever the data size.
+Plan: no range join and no per-target expansion. Raw rows are aggregated per
+(site, day, hour) (sum, non-NULL count, row count). Each target adds a zero
+"probe" row at its own (site, d, h), and one at (site, d - 56, h). Window sums
+over RANGE frames of day numbers then give every level at the probe rows:
+
+* level 3: partition (site, hour), days [-56, -1];
+* levels 1 and 2: partition (site, hour, weekday), days [-28, -7] and [-56, -7];
+* level 4: day d before h (partition (site, day), hours before the probe), day
+  d - 56 from h on (hours from the probe on), and the whole days d-55..d-1
+  from daily totals (partition site, days [-55, -1]).
+
+Partitions are bounded by the calendar, not by the data: (site, hour) and
+(site, hour, weekday) hold one row per day or week of the span, (site, day)
+at most 24 rows plus probes, and the daily series one row per day. A hot
+site costs no more than a quiet one with the same span.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velora.functions.calendar import floor_hour
@@ -34,41 +43,22 @@ LEVEL_LABELS = (
     "8-week mean (all hours)",
 )
 SPAN_DAYS = 56
+_V = ("s", "c", "r")  # sum of values, non-NULL count, row count
 
 
-def daily_slots(raw: DataFrame, key: str = "site_id", ts: str = "ts", value: str = "hourly_count") -> DataFrame:
-    """(key, day, s, c, r): per site and day, 25-slot prefix arrays over the clock hours.
-
-    Slot k (1-based) holds the total over hours 0..k-2, so slot 1 is 0 and
-    slot 25 is the whole day; hours lo..hi sum to ``slot[hi+2] - slot[lo+1]``.
-    ``s`` sums the values, ``c`` counts non-NULL values, ``r`` counts rows.
-    Built from 72 plain aggregate columns: no lambdas, all in codegen.
-    """
+def hourly_cells(raw: DataFrame, key: str = "site_id", ts: str = "ts", value: str = "hourly_count") -> DataFrame:
+    """(key, day, hour, s, c, r): one row per site and clock hour that has data."""
     t = floor_hour(ts)
-    base = raw.select(key, F.to_date(t).alias("day"), F.hour(t).alias("__h"), F.col(value).cast("double").alias("__v"))
-    aggs = []
-    for i in range(24):
-        at = F.col("__h") == i
-        aggs += [
-            F.coalesce(F.sum(F.when(at, F.col("__v"))), F.lit(0.0)).alias(f"s{i}"),
-            F.count(F.when(at, F.col("__v"))).alias(f"c{i}"),
-            F.count(F.when(at, F.lit(1))).alias(f"r{i}"),
-        ]
-    daily = base.groupBy(key, "day").agg(*aggs)
-
-    def prefix(p: str, zero) -> F.Column:
-        run, out = zero, [zero]
-        for i in range(24):
-            run = run + F.col(f"{p}{i}")
-            out.append(run)
-        return F.array(*out)
-
-    return daily.select(key, "day", prefix("s", F.lit(0.0)).alias("s"), prefix("c", F.lit(0).cast("bigint")).alias("c"), prefix("r", F.lit(0).cast("bigint")).alias("r"))
+    v = F.col(value).cast("double")
+    return (
+        raw.select(key, F.to_date(t).alias("day"), F.hour(t).alias("hour"), v.alias("__v"))
+        .groupBy(key, "day", "hour")
+        .agg(F.coalesce(F.sum("__v"), F.lit(0.0)).alias("s"), F.count("__v").alias("c"), F.count(F.lit(1)).alias("r"))
+    )
 
 
-def _hours_sum(arr: str, lo: F.Column, hi: F.Column) -> F.Column:
-    """Total over clock hours lo..hi (inclusive, 0-based); 0 when hi < lo."""
-    return F.element_at(F.col(arr), hi + 2) - F.element_at(F.col(arr), lo + 1)
+def _sums(w: Window, prefix: str) -> list[F.Column]:
+    return [F.sum(F.col(x)).over(w).alias(f"{prefix}_{x}") for x in _V]
 
 
 def historical_reference(
@@ -76,29 +66,50 @@ def historical_reference(
 ) -> DataFrame:
     """(site_id, ts, level, label, n, reference) for each target with some history."""
     tg = targets.select(key, floor_hour(ts).alias("__t")).distinct()
-    tg = tg.select(key, "__t", F.to_date("__t").alias("__d"), F.hour("__t").alias("__h"))
-    expanded = tg.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPAN_DAYS))).alias("__j")).withColumn(
-        "day", F.date_sub(F.col("__d"), F.col("__j"))
+    tg = tg.select(key, "__t", F.to_date("__t").alias("day"), F.hour("__t").alias("hour"))
+    cells = hourly_cells(raw, key, ts, value).withColumn("__kind", F.lit(0)).withColumn("__t", F.lit(None).cast("timestamp_ntz"))
+    zeros = [F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("r")]
+    probe_now = tg.select(key, "day", "hour", *zeros, F.lit(1).alias("__kind"), "__t")
+    probe_first = tg.select(key, F.date_sub("day", SPAN_DAYS).alias("day"), "hour", *zeros, F.lit(2).alias("__kind"), "__t")
+    u = cells.unionByName(probe_now).unionByName(probe_first).withColumns(
+        {"__dn": F.unix_date("day"), "__wd": F.dayofweek("day")}
     )
-    daily = daily_slots(raw, key, ts, value)
-    joined = expanded.join(daily, [key, "day"], "inner")
-
-    h = F.col("__h")
-    j = F.col("__j")
-    same_wd = (j % 7 == 0) & (j >= 7)
-    contrib = {}
-    for arr in ("s", "c", "r"):
-        zero = F.lit(0.0) if arr == "s" else F.lit(0).cast("bigint")
-        at_h = _hours_sum(arr, h, h)
-        contrib[f"l1_{arr}"] = F.when(same_wd & (j <= 28), at_h).otherwise(zero)
-        contrib[f"l2_{arr}"] = F.when(same_wd, at_h).otherwise(zero)
-        contrib[f"l3_{arr}"] = F.when(j >= 1, at_h).otherwise(zero)
-        contrib[f"l4_{arr}"] = (
-            F.when(j == SPAN_DAYS, _hours_sum(arr, h, F.lit(23)))
-            .when(j >= 1, F.element_at(F.col(arr), 25))
-            .otherwise(_hours_sum(arr, F.lit(0), h - 1))
-        )
-    per_target = joined.groupBy(key, "__t").agg(*[F.sum(c).alias(n) for n, c in contrib.items()])
+
+    w3 = Window.partitionBy(key, "hour").orderBy("__dn").rangeBetween(-SPAN_DAYS, -1)
+    w1 = Window.partitionBy(key, "hour", "__wd").orderBy("__dn").rangeBetween(-28, -7)
+    w2 = Window.partitionBy(key, "hour", "__wd").orderBy("__dn").rangeBetween(-SPAN_DAYS, -7)
+    before = Window.partitionBy(key, "day").orderBy("hour").rangeBetween(Window.unboundedPreceding, -1)
+    from_h = Window.partitionBy(key, "day").orderBy("hour").rangeBetween(0, Window.unboundedFollowing)
+    scored = u.select(
+        key, "__t", "__kind", "day",
+        *_sums(w1, "l1"), *_sums(w2, "l2"), *_sums(w3, "l3"), *_sums(before, "b"), *_sums(from_h, "f"),
+    ).filter(F.col("__kind") > 0)
+    now = scored.filter(F.col("__kind") == 1).drop("__kind", *[f"f_{x}" for x in _V])
+    first = scored.filter(F.col("__kind") == 2).select(key, "__t", *[F.col(f"f_{x}") for x in _V])
+
+    # whole days d-55 .. d-1 from daily totals
+    daily = cells.groupBy(key, "day").agg(*[F.sum(x).alias(x) for x in _V]).withColumn("__probe", F.lit(False))
+    day_probes = tg.select(key, "day").distinct().select(key, "day", *zeros, F.lit(True).alias("__probe"))
+    wm = Window.partitionBy(key).orderBy("__dn").rangeBetween(-(SPAN_DAYS - 1), -1)
+    mid = (
+        daily.unionByName(day_probes)
+        .withColumn("__dn", F.unix_date("day"))
+        .select(key, "day", "__probe", *_sums(wm, "m"))
+        .filter("__probe")
+        .drop("__probe")
+    )
+
+    per_target = now.join(first, [key, "__t"], "left").join(mid, [key, "day"], "left")
+
+    def z(c: str) -> F.Column:
+        return F.coalesce(F.col(c), F.lit(0.0) if c.endswith("_s") else F.lit(0).cast("bigint"))
+
+    vals = {}
+    for x in _V:
+        for lvl in (1, 2, 3):
+            vals[f"l{lvl}_{x}"] = z(f"l{lvl}_{x}")
+        vals[f"l4_{x}"] = z(f"f_{x}") + z(f"m_{x}") + z(f"b_{x}")
+    per_target = per_target.select(key, "__t", *[v.alias(k) for k, v in vals.items()])
 
     levels = []
     for i in range(1, 5):
