@@ -84,15 +84,22 @@ def fit_scaler(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def apply_scaler(df: DataFrame, scaler: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """M2 apply: (x - mean) / std, std 0 or NULL -> 1. The scaler is one row per column."""
-    wide = scaler.groupBy().pivot("column", list(cols)).agg(F.first(F.struct("mean", "std")))
-    out = df.crossJoin(F.broadcast(wide.select(*[F.col(f"`{c}`").alias(f"__sc_{c}") for c in cols])))
+def scaler_params(scaler: DataFrame) -> dict[str, tuple[float, float]]:
+    """The fitted scaler as {column: (mean, std)}: one row per feature column, like
+    the mean/std vectors an MLlib scaler model keeps (bounded by the column count)."""
+    return {r["column"]: (r["mean"], r["std"]) for r in scaler.collect()}
+
+
+def apply_scaler(df: DataFrame, scaler, cols: Sequence[str]) -> DataFrame:
+    """M2 apply: (x - mean) / std, std 0 or NULL -> 1, as literal column expressions (no join)."""
+    params = scaler if isinstance(scaler, dict) else scaler_params(scaler)
+    exprs = {}
     for c in cols:
-        std = F.col(f"__sc_{c}.std")
-        std = F.when(std.isNull() | (std == 0), F.lit(1.0)).otherwise(std)
-        out = out.withColumn(c, (F.col(c).cast("double") - F.col(f"__sc_{c}.mean")) / std)
-    return out.drop(*[f"__sc_{c}" for c in cols])
+        mean, std = params.get(c, (None, None))
+        mean = 0.0 if mean is None else float(mean)
+        std = 1.0 if not std else float(std)
+        exprs[c] = (F.col(c).cast("double") - F.lit(mean)) / F.lit(std)
+    return df.withColumns(exprs)
 
 
 def linear_prediction(df: DataFrame, intercept: float, coefs: Mapping[str, float], out: str = "prediction", clip: bool = True) -> DataFrame:
@@ -127,7 +134,7 @@ def train_on_frame(
 ):
     """M4 on a prepared frame (``is_test`` + encoded columns).
 
-    Returns (PipelineModel, metrics DataFrame, scaler DataFrame or None).
+    Returns (PipelineModel, metrics DataFrame, scaler parameters or None).
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
@@ -137,7 +144,7 @@ def train_on_frame(
     test = framed.filter(F.col("is_test"))
     sc = None
     if scale:
-        sc = fit_scaler(train, cols).checkpoint()  # a fitted artifact: one row per column
+        sc = scaler_params(fit_scaler(train, cols))  # a fitted artifact: one entry per column
         train = apply_scaler(train, sc, cols)
         test = apply_scaler(test, sc, cols)
     assembler = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
@@ -216,7 +223,7 @@ def current_pointer(runs: DataFrame, name: str) -> DataFrame:
     return latest_run(runs.filter(F.col("name") == F.lit(name)))
 
 
-def make_scorer(model, enc: DataFrame, scaler: DataFrame | None, cols: Sequence[str]):
+def make_scorer(model, enc: DataFrame, scaler, cols: Sequence[str]):
     """A frame -> frame-with-``prediction`` function for M8(b): encode, scale, transform."""
 
     def score(df: DataFrame) -> DataFrame:
