@@ -84,8 +84,18 @@ def historical_reference(
         key, "__t", "__kind", "day",
         *_sums(w1, "l1"), *_sums(w2, "l2"), *_sums(w3, "l3"), *_sums(before, "b"), *_sums(from_h, "f"),
     ).filter(F.col("__kind") > 0)
-    now = scored.filter(F.col("__kind") == 1).drop("__kind", *[f"f_{x}" for x in _V])
-    first = scored.filter(F.col("__kind") == 2).select(key, "__t", *[F.col(f"f_{x}") for x in _V])
+    # one row per target: the probe at d carries levels 1-3 and the part of day
+    # d before h, the probe at d-56 the part of that day from h on. Combining
+    # them with a group-by (not a self-join) keeps a single evaluation of the
+    # windows above.
+    is_now = F.col("__kind") == 1
+    now_cols = [f"{p}_{x}" for p in ("l1", "l2", "l3", "b") for x in _V]
+    first_cols = [f"f_{x}" for x in _V]
+    combined = scored.groupBy(key, "__t").agg(
+        F.max(F.when(is_now, F.col("day"))).alias("day"),
+        *[F.sum(F.when(is_now, F.col(c))).alias(c) for c in now_cols],
+        *[F.sum(F.when(~is_now, F.col(c))).alias(c) for c in first_cols],
+    )
 
     # whole days d-55 .. d-1 from daily totals
     daily = cells.groupBy(key, "day").agg(*[F.sum(x).alias(x) for x in _V]).withColumn("__probe", F.lit(False))
@@ -99,7 +109,7 @@ def historical_reference(
         .drop("__probe")
     )
 
-    per_target = now.join(first, [key, "__t"], "left").join(mid, [key, "day"], "left")
+    per_target = combined.join(mid, [key, "day"], "left")
 
     def z(c: str) -> F.Column:
         return F.coalesce(F.col(c), F.lit(0.0) if c.endswith("_s") else F.lit(0).cast("bigint"))

@@ -738,3 +738,12 @@ FROM counts_wide""",
     )
     .transform(lambda d: d.join(__import__("velora.plans.features", fromlist=["calendar_flags"]).calendar_flags(d.select("ts")), "ts"))
 )
+
+
+def _gbt_importances(spark, sf):
+    """M4 + T4: gradient-boosted trees on the feature table, top-10 importances (rows-only)."""
+    model, _, cols = trn.train_model(_features(spark, sf), kind="gbt", rounds=20, max_depth=5)
+    return finalize(trn.feature_importances(spark, model, cols, top_n=10))
+
+
+register("gbt_feature_importances")(_gbt_importances)
