@@ -17,20 +17,25 @@ FEATURE_DOUBLES = [
 ]
 
 
-# Derived base frames are materialised once per session and scale with a
-# reliable checkpoint into the shared checkpoint folder, the way upstream jobs
-# store the raw and feature tables: consumers then read them instead of
-# re-deriving them from ``events`` in every branch of their plan.
+# Derived base frames are materialised once per session and scale as Parquet
+# tables in the shared checkpoint folder, the way upstream jobs store the raw,
+# feature and forecast tables. Consumers read them back with column pruning
+# and filter pushdown instead of re-deriving them from ``events`` in every
+# branch of their plan.
 _MEMO: dict = {}
 
 
 def _materialised(spark, sf, name, build):
-    from velora.session import ensure_checkpoint_dir
+    import hashlib
+
+    from velora.session import shared_scratch_path
 
     key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
     if key not in _MEMO:
-        ensure_checkpoint_dir(spark)
-        _MEMO[key] = build().checkpoint(eager=True)
+        tag = hashlib.sha1(sf.rstrip("/").encode()).hexdigest()[:12]
+        path = shared_scratch_path(spark, f"velora-base/{key[0]}/{tag}/{name}")
+        build().write.mode("overwrite").parquet(path)
+        _MEMO[key] = spark.read.parquet(path)
     return _MEMO[key]
 
 
@@ -742,7 +747,7 @@ FROM counts_wide""",
 
 def _gbt_importances(spark, sf):
     """M4 + T4: gradient-boosted trees on the feature table, top-10 importances (rows-only)."""
-    model, _, cols = trn.train_model(_features(spark, sf), kind="gbt", rounds=20, max_depth=5)
+    model, _, cols = trn.train_model(_features(spark, sf), kind="gbt", rounds=10, max_depth=5)
     return finalize(trn.feature_importances(spark, model, cols, top_n=10))
 
 
