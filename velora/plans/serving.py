@@ -40,11 +40,14 @@ def top_sites(geo: DataFrame, dt, n: int = 15, busiest: bool = True) -> DataFram
 
 
 def forecast_range(geo: DataFrame, start, end) -> DataFrame:
-    """Every forecast row in ``[start, end]`` (floored), ordered by site name then hour."""
+    """Every forecast row in ``[start, end]`` (floored), ordered by site name then hour.
+
+    Unknown names sort last, as an ascending SQL order does in the reference's store.
+    """
     return (
         geo.filter(F.col("ts").between(_hour(start), _hour(end)))
         .select("ts", "site_id", "site_name", "latitude", "longitude", "hourly_count")
-        .orderBy(F.col("site_name"), F.col("ts"), F.col("site_id"))
+        .orderBy(F.col("site_name").asc_nulls_last(), F.col("ts"), F.col("site_id"))
     )
 
 
@@ -81,7 +84,7 @@ def site_options(geo: DataFrame) -> DataFrame:
         geo.groupBy("site_id")
         .agg(F.min("site_name").alias("site_name"))
         .withColumn("site_label", site_label("site_name", "site_id"))
-        .orderBy("site_name", "site_id")
+        .orderBy(F.col("site_name").asc_nulls_last(), "site_id")
     )
 
 
