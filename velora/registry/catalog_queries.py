@@ -58,6 +58,7 @@ def materialise(spark, sf):
     _counts(spark, sf)
     _features(spark, sf)
     _counts_wide(spark, sf)
+    _wide_features(spark, sf)
     _forecast(spark, sf)
 
 
@@ -313,8 +314,13 @@ def _dims_sql_wide(dims):
 
 
 def _wide_features(spark, sf):
-    c = _counts_wide(spark, sf)
-    return build_features(c, tb.weather(c))
+    """The stored feature table over ``counts_wide`` (consumers)."""
+
+    def build():
+        c = _counts_wide(spark, sf)
+        return build_features(c, tb.weather(c))
+
+    return _materialised(spark, sf, "features_wide", build)
 
 
 register(
