@@ -31,6 +31,20 @@ def forecast_start(raw: DataFrame, ts_col: str = "ts") -> DataFrame:
     return raw.agg(F.max(floor_hour(ts_col)).alias("start"))
 
 
+def forecast_start_value(raw: DataFrame, ts_col: str = "ts"):
+    """A4 as a scalar: the latest raw hour (one aggregate value), or None when empty.
+
+    Resolving it up front lets every later time filter be a literal range that
+    reaches the Parquet scan (pushdown, month-partition pruning) instead of a
+    comparison against a joined column, which would scan the whole table.
+    """
+    return raw.agg(F.max(floor_hour(ts_col)).alias("start")).first()["start"]
+
+
+def _start_frame(spark, start) -> DataFrame:
+    return spark.range(1).select(F.lit(start).cast("timestamp_ntz").alias("start"))
+
+
 def forecast_window(raw: DataFrame, horizon: int = 48) -> DataFrame:
     """The bookable window ``start + 1h .. start + horizon h`` (one row; NULLs when empty)."""
     s = forecast_start(raw)
@@ -40,7 +54,7 @@ def forecast_window(raw: DataFrame, horizon: int = 48) -> DataFrame:
     )
 
 
-def future_features(start: DataFrame, weather_fc: DataFrame, horizon: int = 48, fill_temperature: bool = False) -> DataFrame:
+def future_features(start, weather_fc: DataFrame, horizon: int = 48, fill_temperature: bool = False) -> DataFrame:
     """M7 (hour part): hours ``(start, start + horizon]`` with calendar, weather and cyclic features.
 
     Weather rows are floored to the hour, the last landed copy per hour kept,
@@ -48,6 +62,12 @@ def future_features(start: DataFrame, weather_fc: DataFrame, horizon: int = 48,
     rain/snow/wind (J3); temperature stays NULL or, with
     ``fill_temperature``, takes the horizon mean (A18).
     """
+    if not isinstance(start, DataFrame):
+        # literal horizon: the weather scan gets a pushed-down time range
+        lo = F.lit(start).cast("timestamp_ntz")
+        hi = lo + F.make_dt_interval(F.lit(0), F.lit(horizon))
+        weather_fc = weather_fc.filter((F.col("time") > lo - F.expr("INTERVAL 1 HOUR")) & (F.col("time") <= hi + F.expr("INTERVAL 1 HOUR")))
+        start = _start_frame(weather_fc.sparkSession, start)
     hours = hour_grid_after(start, "start", horizon)
     w = weather_fc.withColumn("time", floor_hour("time")).filter(F.col("time").isNotNull())
     if "ingest_seq" not in w.columns:
@@ -72,8 +92,21 @@ def future_features(start: DataFrame, weather_fc: DataFrame, horizon: int = 48,
     return add_cyclic_features(hf, "ts").select("ts", *HOUR_FEATURES)
 
 
-def history_window(features: DataFrame, start: DataFrame, days: int = 30) -> DataFrame:
-    """Feature rows with ``start - days <= ts <= start`` (the forecast's history)."""
+def history_window(features: DataFrame, start, days: int = 30) -> DataFrame:
+    """Feature rows with ``start - days <= ts <= start`` (the forecast's history).
+
+    With a literal ``start`` the range is a pushed-down scan filter; a one-row
+    frame is accepted too (then the filter runs after the scan).
+    """
+    if not isinstance(start, DataFrame):
+        import datetime as dt
+
+        if "month" in features.columns:  # a table stored by month: prune whole partitions
+            s = start if isinstance(start, dt.datetime) else dt.datetime.fromisoformat(str(start))
+            lo_m, hi_m = (s - dt.timedelta(days=days)).strftime("%Y-%m"), s.strftime("%Y-%m")
+            features = features.filter(F.col("month").between(lo_m, hi_m))
+        hi = F.lit(start).cast("timestamp_ntz")
+        return features.filter((F.col("ts") >= hi - F.make_dt_interval(F.lit(days))) & (F.col("ts") <= hi))
     b = start.select(F.col("start"), (F.col("start") - F.make_dt_interval(F.lit(days))).alias("__from"))
     return (
         features.crossJoin(F.broadcast(b))
@@ -97,7 +130,9 @@ def recursive_forecast_linear(
     statistics are left-joined; the hours are one array shared by all sites
     (a one-row broadcast) and the recursion is a per-row fold.
     """
-    start = forecast_start(raw)
+    start = forecast_start_value(raw)
+    if start is None:
+        raise RuntimeError("raw counts are empty; cannot forecast")
     hist_rows = history_window(features, start, history_days)
     hist = last_values(hist_rows, "site_id", "ts", "hourly_count", 24)
     if stats is not None:

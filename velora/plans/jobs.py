@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from velora.operators import quality as q
 from velora.operators.stats import regression_metrics, site_stats
 from velora.plans.features import build_features
-from velora.plans.forecast import forecast_start, recursive_forecast_linear, stamp_forecast
+from velora.plans.forecast import forecast_start_value, recursive_forecast_linear, stamp_forecast
 from velora.operators.recursive import FIXED_SCORER, LinearScorer
 from velora.sinks import tables as sk
 from velora.streaming.incremental import weather_horizon
@@ -65,10 +65,9 @@ def forecast_job(
     feats = spark.read.parquet(features_path)
     wfc = spark.read.parquet(weather_fc_path)
     q.check_aligned(raw, feats)
-    start = forecast_start(raw)
-    window = wfc.crossJoin(F.broadcast(start)).filter(
-        (F.col("time") > F.col("start")) & (F.col("time") <= F.col("start") + F.make_dt_interval(F.lit(0), F.lit(horizon)))
-    )
+    start = forecast_start_value(raw)
+    lo = F.lit(start).cast("timestamp_ntz")
+    window = wfc.filter((F.col("time") > lo) & (F.col("time") <= lo + F.make_dt_interval(F.lit(0), F.lit(horizon))))
     q.require_rows(window, "weather forecast for the horizon")
     q.require_values(window, "apparent_temperature", "weather forecast for the horizon")
     stats = spark.read.parquet(stats_path) if stats_path else site_stats(raw)

@@ -147,7 +147,7 @@ register(
 )(
     lambda spark, sf: (
         lambda c: last_values(
-            fc.history_window(_features(spark, sf), fc.forecast_start(c), 30), "site_id", "ts", "hourly_count", 24
+            fc.history_window(_features(spark, sf), _start(spark, sf), 30), "site_id", "ts", "hourly_count", 24
         ).select("site_id", F.transform("history", lambda x: F.round(x, 6) + F.lit(0.0)).alias("history"))
     )(_counts(spark, sf))
 )
@@ -156,7 +156,7 @@ HF_DOUBLES = ["apparent_temperature", "dow_sin", "dow_cos", "month_sin", "month_
 
 register("future_features", S.round_all(CHAIN + "SELECT * FROM hf", HF_DOUBLES))(
     lambda spark, sf: finalize(
-        (lambda c: fc.future_features(fc.forecast_start(c), tb.weather_forecast(c), 48))(_counts(spark, sf))
+        (lambda c: fc.future_features(_start(spark, sf), tb.weather_forecast(c), 48))(_counts(spark, sf))
     )
 )
 
@@ -565,7 +565,7 @@ def _forecast_model_steps(spark, sf):
     c = _counts(spark, sf)
     feats = _features(spark, sf)
     score, _, cols, enc = trn.fit_forecaster(feats, kind="linear")
-    start = fc.forecast_start(c)
+    start = _start(spark, sf)
     hist = last_values(fc.history_window(feats, start, 30), "site_id", "ts", "hourly_count", 24)
     sites = trn.apply_target_encoding(hist.join(st.site_stats(c), "site_id", "left"), enc, "site_id", "site_te").checkpoint()
     hours = fc.future_features(start, tb.weather_forecast(c), 48).checkpoint()
@@ -688,7 +688,7 @@ register(
     ),
 )(
     lambda spark, sf: finalize(
-        (lambda c: fc.future_features(fc.forecast_start(c), tb.weather_forecast(c), 48, fill_temperature=True))(_counts(spark, sf))
+        (lambda c: fc.future_features(_start(spark, sf), tb.weather_forecast(c), 48, fill_temperature=True))(_counts(spark, sf))
     )
 )
 
