@@ -758,3 +758,41 @@ def _gbt_importances(spark, sf):
 
 
 register("gbt_feature_importances")(_gbt_importances)
+
+
+# --- I7: the file-source stream over landed pages derived from counts_raw -------------
+
+
+def _stream_ingest(spark, sf):
+    """Land ``counts_raw`` as JSON pages (one page per day and block of 1000 site
+    ids, so a page holds at most 24,000 records), stream them with
+    ``availableNow`` into a raw table, and return the stored keys/counts."""
+    import uuid
+
+    from velora.functions.scalar import coord_part
+    from velora.session import shared_scratch_path
+    from velora.streaming.stream import start_count_ingest
+
+    raw = tb.counts_raw(_counts(spark, sf))
+    rec = F.struct(
+        F.col("site_id").alias("id"),
+        F.col("site_name").alias("name"),
+        F.col("hourly_count").alias("sum_counts"),
+        F.col("ts").alias("date"),
+        F.struct(coord_part("coordinates", 1).alias("lat"), coord_part("coordinates", 2).alias("lon")).alias("coordinates"),
+    )
+    block = F.floor(F.col("site_id").try_cast("long") / F.lit(1000))
+    pages = raw.groupBy(F.substring("ts", 1, 10).alias("__day"), block.alias("__block")).agg(
+        F.count(F.lit(1)).alias("total_count"), F.collect_list(rec).alias("results")
+    )
+    run = uuid.uuid4().hex[:12]
+    landing = shared_scratch_path(spark, f"velora-stream/{run}/landing")
+    table = shared_scratch_path(spark, f"velora-stream/{run}/raw")
+    ckpt = shared_scratch_path(spark, f"velora-stream/{run}/checkpoint")
+    pages.select("total_count", "results").write.option("maxRecordsPerFile", 1).json(landing)
+    q = start_count_ingest(spark, landing, table, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(table).select("site_id", "ts", "hourly_count")
+
+
+register("stream_ingest", CHAIN + "SELECT site_id, ts, hourly_count FROM raw")(_stream_ingest)
