@@ -55,7 +55,13 @@ def start_count_ingest(
     from velora.sinks.tables import append_new
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        append_new(batch.sparkSession, table_path, batch.withColumn("ingest_seq", F.lit(batch_id)))
+        # the batch is read several times (time range, anti join, count): keep it
+        # for the duration of this write only
+        kept = batch.withColumn("ingest_seq", F.lit(batch_id)).persist()
+        try:
+            append_new(kept.sparkSession, table_path, kept)
+        finally:
+            kept.unpersist()
 
     w = count_stream(spark, landing, watermark).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
