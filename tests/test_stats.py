@@ -132,3 +132,23 @@ def test_breakdowns(spark):
     cal = {r.dimension for r in an.mean_by_calendar(f).collect()}
     assert cal == {"season", "month", "is_holiday", "is_rush_hour"}
     assert an.temperature_bins(f).agg(F.sum("n")).first()[0] == 200
+
+
+def test_stats_merged_from_buckets_equal_direct(spark):
+    import random
+
+    from velora.operators.lags import bucket_of
+
+    rnd = random.Random(5)
+    base = dt.datetime(2025, 1, 1)
+    rows = [(s, base + dt.timedelta(hours=rnd.randint(0, 24 * 200)), rnd.choice([None, 0, 3, 8, 40])) for s in (1, 2) for _ in range(500)]
+    rows += [(3, base, 7)]  # a one-row site
+    df = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, hourly_count long")
+    direct = {r.site_id: r for r in st.site_stats(df, with_n=True).collect()}
+    merged = {r.site_id: r for r in st.site_stats_from_buckets(st.bucket_moments(df, bucket_of("ts")), with_n=True).collect()}
+    assert set(direct) == set(merged)
+    for k, d in direct.items():
+        m = merged[k]
+        assert d.n == m.n and d.site_min == m.site_min and d.site_max == m.site_max
+        assert math.isclose(d.site_mean, m.site_mean, rel_tol=1e-12)
+        assert (d.site_std is None and m.site_std is None) or math.isclose(d.site_std, m.site_std, rel_tol=1e-9)

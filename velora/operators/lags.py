@@ -25,6 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKET_DAYS = 28
+
+
+def bucket_of(ts: str | F.Column, bucket_days: int = BUCKET_DAYS) -> F.Column:
+    """The coarse time bucket used to number rows: ``bucket_days``-day blocks since 1970."""
+    t = F.col(ts) if isinstance(ts, str) else ts
+    return F.floor(F.unix_date(F.to_date(t)) / F.lit(bucket_days)).cast("long")
+
+
 def row_lags(
     df: DataFrame,
     key: str,
@@ -33,13 +42,16 @@ def row_lags(
     lags: Sequence[int] = (1, 24),
     rolling: int | None = 24,
     chunk_rows: int = 65_536,
-    bucket_days: int = 28,
+    bucket_days: int = BUCKET_DAYS,
     time_col: str | None = None,
+    bucket_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``lag_<k>`` for each k and ``rolling_mean_<n>`` to ``df``.
 
     ``order`` must make rows unique within a key (add tie-breakers if not).
     ``time_col`` (default ``order[0]``) is the stamp used for the coarse bucket.
+    ``bucket_counts`` (key, __bucket, __n) may be passed when the caller has
+    already counted rows per bucket (e.g. with other statistics in one pass).
     """
     order = list(order)
     time_col = time_col or order[0]
@@ -47,11 +59,14 @@ def row_lags(
     if chunk_rows < halo:
         raise ValueError("chunk_rows must be at least the largest lag / rolling width")
 
-    bucket = F.floor(F.unix_date(F.to_date(F.col(time_col))) / F.lit(bucket_days)).cast("long")
-    with_bucket = df.withColumn("__bucket", bucket)
+    with_bucket = df.withColumn("__bucket", bucket_of(time_col, bucket_days))
 
     # 1. offsets per (key, bucket): one row per key and bucket, windowed per key.
-    per_bucket = with_bucket.groupBy(key, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    per_bucket = (
+        bucket_counts.select(key, "__bucket", "__n")
+        if bucket_counts is not None
+        else with_bucket.groupBy(key, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    )
     w_off = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(key, "__bucket", F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__offset"))
 

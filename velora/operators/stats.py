@@ -23,6 +23,39 @@ def site_stats(df: DataFrame, key: str = "site_id", value: str = "hourly_count",
     return df.filter(F.col(value).isNotNull()).groupBy(key).agg(*aggs)
 
 
+def bucket_moments(df: DataFrame, bucket: F.Column, key: str = "site_id", value: str = "hourly_count") -> DataFrame:
+    """Per (key, bucket): row count ``__n``, and count / sum / population variance /
+    min / max of the non-NULL values -- the mergeable partials of ``site_stats``."""
+    v = F.col(value).cast("double")
+    return df.withColumn("__bucket", bucket).groupBy(key, "__bucket").agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.count(v).alias("__c"),
+        F.sum(v).alias("__s"),
+        F.var_pop(v).alias("__vp"),
+        F.min(v).alias("__min"),
+        F.max(v).alias("__max"),
+    )
+
+
+def site_stats_from_buckets(moments: DataFrame, key: str = "site_id", with_n: bool = False) -> DataFrame:
+    """A1/A2 merged from per-bucket partials (the same merge Spark applies to its
+    own partial ``stddev_samp`` buffers): M2 = sum(c_b * var_b) + sum(c_b * (mean_b - mean)^2)."""
+    m = moments.filter(F.col("__c") > 0).withColumn("__mb", F.col("__s") / F.col("__c"))
+    tot = m.groupBy(key).agg(F.sum("__c").alias("__tot_c"), F.sum("__s").alias("__tot_s"))
+    j = m.join(tot, key).withColumn("__mean", F.col("__tot_s") / F.col("__tot_c"))
+    m2 = F.col("__c") * F.col("__vp") + F.col("__c") * F.pow(F.col("__mb") - F.col("__mean"), 2)
+    out = j.groupBy(key).agg(
+        F.first("__tot_c").alias("n"),
+        F.first("__mean").alias("site_mean"),
+        F.sum(m2).alias("__m2"),
+        F.min("__min").alias("site_min"),
+        F.max("__max").alias("site_max"),
+    )
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("__m2") / (F.col("n") - 1)))
+    cols = [key] + (["n"] if with_n else []) + ["site_mean", std.alias("site_std"), "site_min", "site_max"]
+    return out.select(*cols)
+
+
 def site_stats_as_of(df: DataFrame, as_of, ts_col: str = "ts", **kw) -> DataFrame:
     """A2 restricted to history up to ``as_of`` (avoids leaking a later test period)."""
     return site_stats(df.filter(F.col(ts_col) <= F.lit(as_of).cast("timestamp_ntz")), **kw)

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from velora.functions.calendar import add_cyclic_features, holiday_flag, is_night, is_rush_hour, season
 from velora.functions.scalar import rainy, snowy, windy
 from velora.operators.dedupe import last_per_key
-from velora.operators.lags import drop_warmup, row_lags
-from velora.operators.stats import site_stats
+from velora.operators.lags import bucket_of, drop_warmup, row_lags
+from velora.operators.stats import bucket_moments, site_stats_from_buckets
 from velora.functions.calendar import floor_hour
 
 FEATURE_COLUMNS = [
@@ -75,12 +75,23 @@ def build_features(
         .dropna(subset=["site_id", "ts", "hourly_count"])
         .withColumn("ts", floor_hour("ts"))
     )
-    stats = stats if stats is not None else site_stats(base)
+    # One pass over the counts yields small per-(site, 4-week bucket) partials
+    # that serve both the lag offsets and the site statistics. They are
+    # checkpointed (reliably, in the shared folder) so that the two consumers
+    # read one small table instead of each re-aggregating the counts.
+    from velora.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(base.sparkSession)
+    moments = bucket_moments(base, bucket_of("ts")).checkpoint()
+    stats = stats if stats is not None else site_stats_from_buckets(moments)
     weather = prepare_weather(weather_raw)
     # Lags first, on the three narrow columns: the two shuffles of row_lags
     # carry 3 columns, not 14, and the warm-up rows are gone before the joins.
     lagged = drop_warmup(
-        row_lags(base, "site_id", ["ts", "hourly_count"], "hourly_count", lags=(1, 24), rolling=24, chunk_rows=chunk_rows)
+        row_lags(
+            base, "site_id", ["ts", "hourly_count"], "hourly_count", lags=(1, 24), rolling=24, chunk_rows=chunk_rows,
+            bucket_counts=moments,
+        )
     )
     # Weather: one row per hour of the span (bounded by time, not by events) -> broadcast.
     # Stats: one row per site; no hint, AQE sees its real size after the
