@@ -44,6 +44,27 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal built from wall-clock text.
+
+    ``F.lit(datetime)`` would make a zoned TIMESTAMP from the Python process's
+    zone and the cast would read it back in the session's zone; going through
+    text involves no zone at all. A zone on the input is dropped, keeping the
+    clock time (P6).
+    """
+    import datetime as dt
+
+    if isinstance(value, Column):
+        return value.cast("timestamp_ntz")
+    if isinstance(value, dt.datetime):
+        text = value.replace(tzinfo=None).isoformat(sep=" ")
+    elif isinstance(value, dt.date):
+        text = value.isoformat()
+    else:
+        text = str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def floor_hour(ts: str | Column) -> Column:
     """Floor an NTZ stamp to the hour, staying NTZ (no session zone involved)."""
     t = _c(ts)
@@ -124,7 +145,7 @@ def holiday_flag(ts: str | Column, periods: Sequence[tuple[str, str]] = HOLIDAY_
     t = _c(ts)
     cond = F.lit(False)
     for start, end in periods:
-        cond = cond | ((t >= F.lit(start).cast("timestamp_ntz")) & (t < F.lit(end).cast("timestamp_ntz")))
+        cond = cond | ((t >= ntz_lit(start)) & (t < ntz_lit(end)))
     return cond
 
 
@@ -210,8 +231,8 @@ def hour_grid(spark, start, end, col: str = "ts") -> DataFrame:
 
     The grid length is the horizon (hours), not the data size.
     """
-    s = F.lit(start).cast("timestamp_ntz")
-    e = F.lit(end).cast("timestamp_ntz")
+    s = ntz_lit(start)
+    e = ntz_lit(end)
     return spark.range(1).select(
         F.explode(F.sequence(s + F.expr("INTERVAL 1 HOUR"), e, F.expr("INTERVAL 1 HOUR"))).alias(col)
     )

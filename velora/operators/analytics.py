@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velora.functions.calendar import ntz_lit
+
 from velora.functions.calendar import season
 from velora.functions.distributions import chi2_pvalue, t_pvalue
 
@@ -86,9 +88,9 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] = tuple(CORR_COLUMNS),
     from velora.operators.quality import varying_columns
 
     if start is not None:
-        df = df.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+        df = df.filter(F.col("ts") >= ntz_lit(start))
     if end is not None:
-        df = df.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+        df = df.filter(F.col("ts") <= ntz_lit(end))
     num = _numeric(df, cols).dropna(subset=["hourly_count", "apparent_temperature"])
     keep = varying_columns(num, list(cols))
     pairs = [(a, b) for i, a in enumerate(keep) for b in keep[i + 1 :]]

@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velora.functions.calendar import ntz_lit
+
 LAG_FEATURES = ("lag_1", "lag_24", "rolling_mean_24")
 
 
@@ -144,7 +146,7 @@ def model_steps(
         )
         if i % checkpoint_every == 0:
             state = state.checkpoint(eager=True)
-    stamps = F.array(*[F.lit(hr["ts"]) for hr in hour_rows])
+    stamps = F.array(*[ntz_lit(hr["ts"]) for hr in hour_rows])
     return state.select(
         "site_id", F.explode(F.arrays_zip(stamps.alias("ts"), F.col("__preds").alias("pred"))).alias("__z")
     ).select("site_id", F.col("__z.ts").alias("ts"), F.col("__z.pred").alias("pred"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velora.functions.calendar import ntz_lit
+
 
 def site_stats(df: DataFrame, key: str = "site_id", value: str = "hourly_count", with_n: bool = False) -> DataFrame:
     """A1/A2: mean, sample std (NULL for one row), max, min per site; NULL values skipped."""
@@ -58,7 +60,7 @@ def site_stats_from_buckets(moments: DataFrame, key: str = "site_id", with_n: bo
 
 def site_stats_as_of(df: DataFrame, as_of, ts_col: str = "ts", **kw) -> DataFrame:
     """A2 restricted to history up to ``as_of`` (avoids leaking a later test period)."""
-    return site_stats(df.filter(F.col(ts_col) <= F.lit(as_of).cast("timestamp_ntz")), **kw)
+    return site_stats(df.filter(F.col(ts_col) <= ntz_lit(as_of)), **kw)
 
 
 def time_range(df: DataFrame, col: str = "ts") -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velora.functions.calendar import ntz_lit
+
 from velora.functions.calendar import add_cyclic_features, floor_hour, hour_grid_after
 from velora.functions.scalar import rainy, snowy, windy
 from velora.operators.dedupe import last_per_key
@@ -42,7 +44,7 @@ def forecast_start_value(raw: DataFrame, ts_col: str = "ts"):
 
 
 def _start_frame(spark, start) -> DataFrame:
-    return spark.range(1).select(F.lit(start).cast("timestamp_ntz").alias("start"))
+    return spark.range(1).select(ntz_lit(start).alias("start"))
 
 
 def forecast_window(raw: DataFrame, horizon: int = 48) -> DataFrame:
@@ -64,7 +66,7 @@ def future_features(start, weather_fc: DataFrame, horizon: int = 48, fill_temper
     """
     if not isinstance(start, DataFrame):
         # literal horizon: the weather scan gets a pushed-down time range
-        lo = F.lit(start).cast("timestamp_ntz")
+        lo = ntz_lit(start)
         hi = lo + F.make_dt_interval(F.lit(0), F.lit(horizon))
         weather_fc = weather_fc.filter((F.col("time") > lo - F.expr("INTERVAL 1 HOUR")) & (F.col("time") <= hi + F.expr("INTERVAL 1 HOUR")))
         start = _start_frame(weather_fc.sparkSession, start)
@@ -105,7 +107,7 @@ def history_window(features: DataFrame, start, days: int = 30) -> DataFrame:
             s = start if isinstance(start, dt.datetime) else dt.datetime.fromisoformat(str(start))
             lo_m, hi_m = (s - dt.timedelta(days=days)).strftime("%Y-%m"), s.strftime("%Y-%m")
             features = features.filter(F.col("month").between(lo_m, hi_m))
-        hi = F.lit(start).cast("timestamp_ntz")
+        hi = ntz_lit(start)
         return features.filter((F.col("ts") >= hi - F.make_dt_interval(F.lit(days))) & (F.col("ts") <= hi))
     b = start.select(F.col("start"), (F.col("start") - F.make_dt_interval(F.lit(days))).alias("__from"))
     return (
@@ -148,7 +150,7 @@ def recursive_forecast_linear(
 def stamp_forecast(forecast: DataFrame, generated_at, model_uri: str) -> DataFrame:
     """Forecast fact rows: add ``generated_at`` (a parameter, never the clock) and ``model_uri``."""
     return forecast.withColumns(
-        {"generated_at": F.lit(generated_at).cast("timestamp_ntz"), "model_uri": F.lit(model_uri)}
+        {"generated_at": ntz_lit(generated_at), "model_uri": F.lit(model_uri)}
     )
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velora.functions.calendar import ntz_lit
+
 from velora.operators import quality as q
 from velora.operators.stats import regression_metrics, site_stats
 from velora.plans.features import build_features
@@ -66,7 +68,7 @@ def forecast_job(
     wfc = spark.read.parquet(weather_fc_path)
     q.check_aligned(raw, feats)
     start = forecast_start_value(raw)
-    lo = F.lit(start).cast("timestamp_ntz")
+    lo = ntz_lit(start)
     window = wfc.filter((F.col("time") > lo) & (F.col("time") <= lo + F.make_dt_interval(F.lit(0), F.lit(horizon))))
     q.require_rows(window, "weather forecast for the horizon")
     q.require_values(window, "apparent_temperature", "weather forecast for the horizon")

@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from velora.functions.calendar import ntz_lit
+
 from velora.functions.calendar import floor_hour
 from velora.functions.scalar import load_level, site_label
 
 
 def _hour(dt) -> F.Column:
     """Parameter -> floored NTZ hour literal (P7 on a parameter)."""
-    return floor_hour(F.lit(dt).cast("timestamp_ntz"))
+    return floor_hour(ntz_lit(dt))
 
 
 def predict_at(geo: DataFrame, dt) -> DataFrame:

@@ -21,6 +21,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from velora.functions.calendar import ntz_lit
+
 from velora.operators.stats import regression_metrics
 
 # Target-encoding smoothing parameters (the public defaults of the usual encoder).
@@ -197,7 +199,7 @@ def run_record(metrics: DataFrame, name: str, run_id: str, started_at, model_uri
     return metrics.select(
         F.lit(name).alias("name"),
         F.lit(run_id).alias("run_id"),
-        F.lit(started_at).cast("timestamp_ntz").alias("started_at"),
+        ntz_lit(started_at).alias("started_at"),
         F.lit(model_uri).alias("model_uri"),
         F.create_map(F.lit("mae"), F.col("mae"), F.lit("rmse"), F.col("rmse"), F.lit("r2"), F.col("r2")).alias("metrics"),
         F.col("mae"),

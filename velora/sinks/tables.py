@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velora.functions.calendar import ntz_lit
+
 from velora.operators.dedupe import first_per_key
 
 
@@ -56,7 +58,7 @@ def append_new(
         else:
             if "month" in existing.columns:
                 existing = existing.filter(F.col("month").between(lo.strftime("%Y-%m"), hi.strftime("%Y-%m")))
-            existing = existing.filter(F.col(ts).between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")))
+            existing = existing.filter(F.col(ts).between(ntz_lit(lo), ntz_lit(hi)))
     rows = new_rows(existing, new, keys)
     cols = existing.columns if existing is not None else [c for c in rows.columns if c != "ingest_seq"]
     staged = f"{path.rstrip('/')}_staging_{uuid.uuid4().hex}"
@@ -109,7 +111,7 @@ def write_small_json(df: DataFrame, path: str) -> None:
 
 def purge_recent(df: DataFrame, now, days: int = 7, ts: str = "ts") -> DataFrame:
     """Keep rows older than ``now - days``; ``now`` is a parameter, never the clock."""
-    cutoff = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
+    cutoff = ntz_lit(now) - F.make_dt_interval(F.lit(days))
     return df.filter(F.col(ts) < cutoff)
 
 
