@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from velora.operators import stats as st
-from velora.plans.features import FEATURE_COLUMNS, build_features, prepare_weather
+from velora.plans.features import FEATURE_COLUMNS, build_features, calendar_flags, prepare_weather
 from velora.registry import sql_parts as S
 from velora.registry.queries import finalize, register
 from velora.sources import tables as tb
@@ -734,20 +734,20 @@ register(
   {S.holiday_sql('ts')} AS is_holiday, {S.rush_sql('ts')} AS is_rush_hour, {S.night_sql('ts')} AS is_night
 FROM counts_wide""",
 )(
-    lambda spark, sf: _counts_wide(spark, sf)
-    .select("ts")
-    .distinct()
-    .select(
-        "ts",
-        weekday0("ts").alias("weekday"),
-        iso_dow("ts").alias("iso_dow"),
-        day_name_fr("ts").alias("day_name"),
-        F.month("ts").alias("month"),
-        F.hour("ts").alias("hour"),
-        season("ts").alias("season"),
-        *[c for c in [F.col("ts")] if False],
+    lambda spark, sf: calendar_flags(
+        _counts_wide(spark, sf)
+        .select("ts")
+        .distinct()
+        .select(
+            "ts",
+            weekday0("ts").alias("weekday"),
+            iso_dow("ts").alias("iso_dow"),
+            day_name_fr("ts").alias("day_name"),
+            F.month("ts").alias("month"),
+            F.hour("ts").alias("hour"),
+            season("ts").alias("season"),
+        )
     )
-    .transform(lambda d: d.join(__import__("velora.plans.features", fromlist=["calendar_flags"]).calendar_flags(d.select("ts")), "ts"))
 )
 
 
