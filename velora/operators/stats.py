@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velora.operators.one_row import with_one_row
+
 from velora.functions.calendar import ntz_lit
 
 
@@ -113,4 +115,4 @@ def mean_impute(df: DataFrame, col: str) -> DataFrame:
     unpartitioned window over every row.
     """
     m = df.agg(F.avg(col).alias("__mean"))
-    return df.crossJoin(F.broadcast(m)).withColumn(col, F.coalesce(F.col(col), F.col("__mean"))).drop("__mean")
+    return with_one_row(df, m).withColumn(col, F.coalesce(F.col(col), F.col("__mean"))).drop("__mean")

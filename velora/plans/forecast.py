@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velora.operators.one_row import with_one_row
+
 from velora.functions.calendar import ntz_lit
 
 from velora.functions.calendar import add_cyclic_features, floor_hour, hour_grid_after
@@ -77,7 +79,7 @@ def future_features(start, weather_fc: DataFrame, horizon: int = 48, fill_temper
     w = last_per_key(w.select("time", "rain", "snowfall", "wind_speed_10m", "apparent_temperature", "ingest_seq"), ["time"], ["ingest_seq"])
     bounds = start.select(F.col("start"), (F.col("start") + F.make_dt_interval(F.lit(0), F.lit(horizon))).alias("end"))
     # one row of bounds attached to the weather horizon (both tiny, bounded by the horizon)
-    w = w.crossJoin(F.broadcast(bounds)).filter((F.col("time") > F.col("start")) & (F.col("time") <= F.col("end")))
+    w = with_one_row(w, bounds).filter((F.col("time") > F.col("start")) & (F.col("time") <= F.col("end")))
     hf = calendar_flags(hours).join(F.broadcast(w.drop("start", "end")), F.col("ts") == F.col("time"), "left")
     hf = hf.withColumns(
         {
@@ -88,7 +90,7 @@ def future_features(start, weather_fc: DataFrame, horizon: int = 48, fill_temper
     )
     if fill_temperature:
         m = hf.agg(F.avg("apparent_temperature").alias("__m"))
-        hf = hf.crossJoin(F.broadcast(m)).withColumn(
+        hf = with_one_row(hf, m).withColumn(
             "apparent_temperature", F.coalesce("apparent_temperature", "__m")
         ).drop("__m")
     return add_cyclic_features(hf, "ts").select("ts", *HOUR_FEATURES)
@@ -111,7 +113,7 @@ def history_window(features: DataFrame, start, days: int = 30) -> DataFrame:
         return features.filter((F.col("ts") >= hi - F.make_dt_interval(F.lit(days))) & (F.col("ts") <= hi))
     b = start.select(F.col("start"), (F.col("start") - F.make_dt_interval(F.lit(days))).alias("__from"))
     return (
-        features.crossJoin(F.broadcast(b))
+        with_one_row(features, b)
         .filter((F.col("ts") >= F.col("__from")) & (F.col("ts") <= F.col("start")))
         .drop("start", "__from")
     )
@@ -141,7 +143,7 @@ def recursive_forecast_linear(
         hist = hist.join(stats.select("site_id", *SITE_FEATURES), "site_id", "left")
     hf = future_features(start, weather_fc, horizon)
     hours = hf.agg(F.array_sort(F.collect_list(F.struct("ts", *HOUR_FEATURES))).alias("__hours"))
-    folded = linear_fold(hist.crossJoin(F.broadcast(hours)), "__hours", scorer, HOUR_FEATURES)
+    folded = linear_fold(with_one_row(hist, hours), "__hours", scorer, HOUR_FEATURES)
     return folded.select("site_id", F.explode("forecast").alias("__f")).select(
         "site_id", F.col("__f.ts").alias("ts"), F.col("__f.pred").alias("hourly_count")
     )

@@ -21,6 +21,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from velora.operators.one_row import with_one_row
+
 from velora.functions.calendar import ntz_lit
 
 from velora.operators.stats import regression_metrics
@@ -45,7 +47,7 @@ def chrono_split(df: DataFrame, ratio: float = 0.1, ts: str = "ts", tie: str = "
     w = Window.orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, -1)
     total = per_ts.agg(F.sum("__c").alias("__n")).select(F.floor(F.col("__n") * F.lit(ratio)).cast("long").alias("__k"))
     after = per_ts.withColumn("__after", F.coalesce(F.sum("__c").over(w), F.lit(0)))
-    after = after.crossJoin(F.broadcast(total))
+    after = with_one_row(after, total)
     marked = df.join(F.broadcast(after), ts)
     # rows of the cut hour: rank from the end inside the hour (ties by `tie` desc)
     w_in = Window.partitionBy(ts).orderBy(F.col(tie).desc())
@@ -64,16 +66,16 @@ def fit_target_encoding(
     stats = train.groupBy(col).agg(F.count(target).alias("__n"), F.avg(target).alias("__m"))
     lam = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("__n") - F.lit(k)) / F.lit(f)))
     enc = F.when(F.col("__n") == 1, F.col("prior")).otherwise(F.col("prior") * (F.lit(1.0) - lam) + F.col("__m") * lam)
-    return stats.crossJoin(F.broadcast(prior)).select(col, enc.alias("te_value"), "prior")
+    return with_one_row(stats, prior).select(col, enc.alias("te_value"), "prior")
 
 
 def apply_target_encoding(df: DataFrame, enc: DataFrame, col: str = "site_id", out: str | None = None) -> DataFrame:
     """M1 apply: unseen or NULL categories get the prior."""
     out = out or f"{col}_te"
     prior = enc.agg(F.first("prior").alias("__prior"))
+    joined = df.join(enc.select(col, "te_value"), col, "left")
     return (
-        df.join(enc.select(col, "te_value"), col, "left")
-        .crossJoin(F.broadcast(prior))
+        with_one_row(joined, prior)
         .withColumn(out, F.coalesce(F.col("te_value"), F.col("__prior")))
         .drop("te_value", "__prior")
     )

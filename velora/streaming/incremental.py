@@ -13,6 +13,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velora.operators.one_row import with_one_row
+
 from velora.functions.calendar import floor_hour
 from velora.operators.dedupe import last_per_key
 
@@ -35,7 +37,7 @@ def weather_gap(raw: DataFrame, weather: DataFrame) -> DataFrame:
     """Weather days to fetch: ``weather max + 1`` (or the first count day) to the last count day."""
     c = raw.agg(F.min(F.to_date("ts")).alias("__cmin"), F.max(F.to_date("ts")).alias("__cmax"))
     w = weather.agg(F.max(F.to_date("time")).alias("__wmax"))
-    both = c.crossJoin(w)  # two one-row aggregates
+    both = with_one_row(c, w)  # two one-row aggregates
     start = F.coalesce(F.date_add(F.col("__wmax"), 1), F.col("__cmin"))
     ok = F.col("__cmax").isNotNull() & (F.col("__wmax").isNull() | (F.col("__wmax") < F.col("__cmax")))
     return both.filter(ok).select(start.alias("start_day"), F.col("__cmax").alias("end_day"))
@@ -47,7 +49,7 @@ def weather_horizon(raw: DataFrame, weather_fc: DataFrame, horizon_hours: int =
     w = weather_fc.withColumn("time", floor_hour("time")).filter(F.col("time").isNotNull())
     if "ingest_seq" not in w.columns:
         w = w.withColumn("ingest_seq", F.monotonically_increasing_id())
-    w = w.crossJoin(F.broadcast(start)).filter(
+    w = with_one_row(w, start).filter(
         (F.col("time") >= F.col("__s")) & (F.col("time") <= F.col("__s") + F.make_dt_interval(F.lit(0), F.lit(horizon_hours)))
     )
     return last_per_key(w.drop("__s"), ["time"], ["ingest_seq"])
