@@ -128,14 +128,15 @@ def model_steps(
         F.array().cast("array<double>").alias("__preds"),
     )
     for i, hr in enumerate(hour_rows, 1):
-        hour_vals = {k: F.lit(v) for k, v in hr.asDict().items() if k != "ts"}
-        step = state.withColumns(hour_vals).withColumns(
+        step_cols = {k: F.lit(v) for k, v in hr.asDict().items() if k != "ts"}
+        step_cols.update(
             {
                 "lag_1": F.element_at(hist, -1),
                 "lag_24": F.element_at(hist, 1),
                 "rolling_mean_24": F.aggregate(hist, F.lit(0.0), lambda a, v: a + v) / F.size(hist),
             }
         )
+        step = state.withColumns(step_cols)
         scored = score(step)
         fallback = F.col(fallback_col) if fallback_col and fallback_col in sites.columns else F.lit(0.0)
         pred = F.greatest(F.coalesce(F.col("prediction").cast("double"), fallback, F.lit(0.0)), F.lit(0.0))

@@ -228,14 +228,23 @@ def current_pointer(runs: DataFrame, name: str) -> DataFrame:
 
 
 def make_scorer(model, enc: DataFrame, scaler, cols: Sequence[str]):
-    """A frame -> frame-with-``prediction`` function for M8(b): encode, scale, transform."""
+    """A frame -> frame-with-``prediction`` function for M8(b): encode, scale, transform.
+
+    Casting, scaling and NULL filling are one projection, so each horizon step
+    adds few plan nodes.
+    """
+    params = scaler if isinstance(scaler, dict) or scaler is None else scaler_params(scaler)
 
     def score(df: DataFrame) -> DataFrame:
         x = apply_target_encoding(df, enc, "site_id", "site_te") if "site_te" not in df.columns else df
-        x = x.withColumns({c: F.col(c).cast("double") for c in cols})
-        if scaler is not None:
-            x = apply_scaler(x, scaler, cols)
-        return model.transform(x.fillna(0.0, subset=list(cols)))
+        exprs = {}
+        for c in cols:
+            v = F.col(c).cast("double")
+            if params is not None:
+                mean, std = params.get(c, (None, None))
+                v = (v - F.lit(0.0 if mean is None else float(mean))) / F.lit(1.0 if not std else float(std))
+            exprs[c] = F.coalesce(v, F.lit(0.0))
+        return model.transform(x.withColumns(exprs))
 
     return score
 
