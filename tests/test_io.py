@@ -131,3 +131,9 @@ def test_stream_ingest_available_now(spark):
     q = start_count_ingest(spark, landing, table, ckpt)
     q.awaitTermination(120)
     assert spark.read.parquet(table).count() == 3  # only the new key landed
+
+
+def test_empty_landing_folder_gives_empty_frame(spark):
+    d = _dir("empty")
+    df = fl.read_count_pages(spark, d)
+    assert df.count() == 0 and df.columns == ["site_id", "site_name", "hourly_count", "ts", "coordinates"]
