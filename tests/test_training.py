@@ -88,3 +88,21 @@ def test_run_selection(spark):
     assert {r.name: r.run_id for r in trn.latest_run(runs).collect()} == {"p": "b", "q": "c"}
     assert {r.name: r.run_id for r in trn.best_run(runs).collect()} == {"p": "a", "q": "c"}
     assert trn.current_pointer(runs, "zzz").count() == 0
+
+
+def test_pointer_and_evaluate_saved_model(spark):
+    from velora.plans import jobs
+
+    runs = spark.createDataFrame([("p", "a", dt.datetime(2025, 1, 1), 3.0, "uri-a")], "name string, run_id string, started_at timestamp_ntz, rmse double, model_uri string")
+    assert trn.get_pointer(runs, "p").model_uri == "uri-a"
+    with pytest.raises(KeyError):
+        trn.get_pointer(runs, "missing")
+    f = _train_frame(spark)
+    framed, cols = trn.prepare_training_frame(f)
+    framed = framed.checkpoint()
+    model, metrics, sc = trn.train_on_frame(framed, cols, kind="linear")
+    path = os.path.join(tempfile.mkdtemp(prefix="velora-eval-"), "m")
+    trn.save_model(model, path)
+    test = trn.apply_scaler(framed.filter("is_test"), sc, cols).fillna(0.0, subset=cols)
+    again = jobs.evaluate_model(spark, path, test).first()
+    assert math.isclose(again.rmse, metrics.first().rmse, rel_tol=1e-9) and again.n_rows == metrics.first().n_rows

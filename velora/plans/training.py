@@ -260,3 +260,11 @@ def fit_forecaster(features: DataFrame, kind: str = "linear", ratio: float = 0.1
     enc = fit_target_encoding(framed.filter(~F.col("is_test")), "site_id", "hourly_count").checkpoint()
     model, metrics, sc = train_on_frame(framed, cols, kind=kind, **kw)
     return make_scorer(model, enc, sc, cols), metrics, cols, enc
+
+
+def get_pointer(runs: DataFrame, name: str):
+    """K8 read as a value: the current pointer row for ``name``; a missing name raises."""
+    row = current_pointer(runs, name).first()
+    if row is None:
+        raise KeyError(f"no model pointer named {name!r}")
+    return row
