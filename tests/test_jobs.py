@@ -45,3 +45,30 @@ def test_forecast_job_refuses_misaligned_tables(spark):
     later.write.parquet(raw2)
     with pytest.raises(RuntimeError, match="not aligned"):
         jobs.forecast_job(spark, raw2, feat_p, wfc_p, os.path.join(root, "fc"), dt.datetime(2025, 1, 1))
+
+
+def test_forecast_job_with_a_model_score_equals_the_fold(spark):
+    from pyspark.sql import functions as F
+
+    from velora.operators.recursive import FIXED_SCORER
+
+    root = tempfile.mkdtemp(prefix="velora-jobs-")
+    counts = tb.counts(spark, SF001)
+    raw_p, w_p, wfc_p, feat_p = (os.path.join(root, n) for n in ("raw", "weather", "wfc", "features"))
+    counts.write.parquet(raw_p)
+    tb.weather(counts).write.parquet(w_p)
+    jobs.weather_forecast_job(spark, raw_p, tb.weather_forecast(counts), wfc_p)
+    jobs.feature_table_job(spark, raw_p, w_p, feat_p)
+
+    def score(df):  # the fixed linear scorer written as a model transform
+        x = F.lit(FIXED_SCORER.intercept)
+        for f, c in FIXED_SCORER.coefs.items():
+            x = x + F.lit(c) * F.col(f).cast("double")
+        return df.withColumn("prediction", x)
+
+    a = jobs.forecast_job(spark, raw_p, feat_p, wfc_p, os.path.join(root, "fa"), dt.datetime(2025, 1, 1))
+    b = jobs.forecast_job(spark, raw_p, feat_p, wfc_p, os.path.join(root, "fb"), dt.datetime(2025, 1, 1), score=score)
+    fa = {(r.site_id, r.ts): r.hourly_count for r in spark.read.parquet(a).collect()}
+    fb = {(r.site_id, r.ts): r.hourly_count for r in spark.read.parquet(b).collect()}
+    assert fa.keys() == fb.keys() and len(fa) > 0
+    assert all(abs(fa[k] - fb[k]) < 1e-9 for k in fa)

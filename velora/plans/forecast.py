@@ -149,6 +149,31 @@ def recursive_forecast_linear(
     )
 
 
+def recursive_forecast_model(
+    features: DataFrame,
+    raw: DataFrame,
+    weather_fc: DataFrame,
+    score,
+    stats: DataFrame | None = None,
+    horizon: int = 48,
+    history_days: int = 30,
+    checkpoint_every: int = 4,
+) -> DataFrame:
+    """M9 with M8(b): the same inputs as the linear form, scored step by step by
+    ``score`` (a frame -> frame-with-``prediction`` function, e.g. ``make_scorer``)."""
+    from velora.operators.recursive import model_steps
+
+    start = forecast_start_value(raw)
+    if start is None:
+        raise RuntimeError("raw counts are empty; cannot forecast")
+    hist = last_values(history_window(features, start, history_days), "site_id", "ts", "hourly_count", 24)
+    if stats is not None:
+        hist = hist.join(stats.select("site_id", *SITE_FEATURES), "site_id", "left")
+    hours = future_features(start, weather_fc, horizon)
+    out = model_steps(hist, hours, score, checkpoint_every=checkpoint_every)
+    return out.select("site_id", "ts", F.col("pred").alias("hourly_count"))
+
+
 def stamp_forecast(forecast: DataFrame, generated_at, model_uri: str) -> DataFrame:
     """Forecast fact rows: add ``generated_at`` (a parameter, never the clock) and ``model_uri``."""
     return forecast.withColumns(

@@ -15,7 +15,7 @@ from velora.functions.calendar import ntz_lit
 from velora.operators import quality as q
 from velora.operators.stats import regression_metrics, site_stats
 from velora.plans.features import build_features
-from velora.plans.forecast import forecast_start_value, recursive_forecast_linear, stamp_forecast
+from velora.plans.forecast import forecast_start_value, recursive_forecast_linear, recursive_forecast_model, stamp_forecast
 from velora.operators.recursive import FIXED_SCORER, LinearScorer
 from velora.sinks import tables as sk
 from velora.streaming.incremental import weather_horizon
@@ -58,9 +58,12 @@ def forecast_job(
     horizon: int = 48,
     history_days: int = 30,
     stats_path: str | None = None,
+    score=None,
 ) -> str:
     """M9: checks (Q1, Q3, Q4), history, horizon features, recursion, upsert (K5).
 
+    With ``score`` (a fitted model's scoring function) the recursion is M8(b);
+    otherwise the linear ``scorer`` runs as the single-pass fold M8(a).
     Returns the path of the new forecast table version.
     """
     raw = spark.read.parquet(raw_path)
@@ -73,7 +76,10 @@ def forecast_job(
     q.require_rows(window, "weather forecast for the horizon")
     q.require_values(window, "apparent_temperature", "weather forecast for the horizon")
     stats = spark.read.parquet(stats_path) if stats_path else site_stats(raw)
-    fc = recursive_forecast_linear(feats.drop("month"), raw, wfc, stats, scorer, horizon, history_days)
+    if score is not None:
+        fc = recursive_forecast_model(feats.drop("month"), raw, wfc, score, stats, horizon, history_days)
+    else:
+        fc = recursive_forecast_linear(feats.drop("month"), raw, wfc, stats, scorer, horizon, history_days)
     return sk.upsert_to_new_version(spark, forecast_path, stamp_forecast(fc, generated_at, model_uri), ["site_id", "ts"])
 
 
