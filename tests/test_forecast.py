@@ -93,3 +93,25 @@ def test_future_features_horizon_and_weather_defaults(spark):
     filled = future_features(start, w, 3, fill_temperature=True).orderBy("ts").collect()
     assert filled[1].apparent_temperature == 4.0
     assert set(HOUR_FEATURES) <= set(ff[0].asDict())
+
+
+def test_trained_linear_model_fold_equals_step_walk(spark):
+    """A fitted MLlib linear pipeline converted to a fold scorer gives the step-wise forecast."""
+    from tests.conftest import SF001
+    from velora.operators import stats as st
+    from velora.plans import forecast as fc
+    from velora.plans import training as trn
+    from velora.plans.features import build_features
+    from velora.sources import tables as tb
+
+    c = tb.counts(spark, SF001)
+    feats = build_features(c, tb.weather(c)).checkpoint()
+    fit = trn.fit_linear_forecaster(feats)
+    stats = st.site_stats(c)
+    wfc = tb.weather_forecast(c)
+    fold = fc.recursive_forecast_linear(feats, c, wfc, stats, fit["scorer"], 12, 30, encoding=fit["encoding"])
+    walk = fc.recursive_forecast_model(feats, c, wfc, fit["score"], stats, 12, 30)
+    a = {(r.site_id, r.ts): r.hourly_count for r in fold.collect()}
+    b = {(r.site_id, r.ts): r.hourly_count for r in walk.collect()}
+    assert a.keys() == b.keys() and len(a) > 0
+    assert all(abs(a[k] - b[k]) < 1e-6 for k in a)

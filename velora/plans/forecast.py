@@ -127,9 +127,13 @@ def recursive_forecast_linear(
     scorer: LinearScorer = FIXED_SCORER,
     horizon: int = 48,
     history_days: int = 30,
+    encoding: DataFrame | None = None,
 ) -> DataFrame:
     """M9 with M8(a): (site_id, ts, hourly_count) for every site with history, every horizon hour.
 
+    ``encoding`` (the fitted site target encoding) adds ``site_te`` as a site
+    feature, for scorers converted from a trained linear pipeline.
+
     Sites are those with feature rows in the history window (J5); their site
     statistics are left-joined; the hours are one array shared by all sites
     (a one-row broadcast) and the recursion is a per-row fold.
@@ -141,6 +145,10 @@ def recursive_forecast_linear(
     hist = last_values(hist_rows, "site_id", "ts", "hourly_count", 24)
     if stats is not None:
         hist = hist.join(stats.select("site_id", *SITE_FEATURES), "site_id", "left")
+    if encoding is not None:
+        from velora.plans.training import apply_target_encoding
+
+        hist = apply_target_encoding(hist, encoding, "site_id", "site_te")
     hf = future_features(start, weather_fc, horizon)
     hours = hf.agg(F.array_sort(F.collect_list(F.struct("ts", *HOUR_FEATURES))).alias("__hours"))
     folded = linear_fold(with_one_row(hist, hours), "__hours", scorer, HOUR_FEATURES)

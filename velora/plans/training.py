@@ -262,6 +262,27 @@ def fit_forecaster(features: DataFrame, kind: str = "linear", ratio: float = 0.1
     return make_scorer(model, enc, sc, cols), metrics, cols, enc
 
 
+def fit_linear_forecaster(features: DataFrame, ratio: float = 0.1) -> dict:
+    """Fit the linear pipeline and return its parts: ``model``, ``scaler`` (dict),
+    ``encoding`` (site table), ``cols``, ``metrics`` and the fold ``scorer``
+    (exact conversion for M8 a)."""
+    from velora.operators.recursive import scorer_from_linear_model
+
+    framed, cols = prepare_training_frame(features, ratio)
+    framed = framed.checkpoint()
+    enc = fit_target_encoding(framed.filter(~F.col("is_test")), "site_id", "hourly_count").checkpoint()
+    model, metrics, sc = train_on_frame(framed, cols, kind="linear")
+    return {
+        "model": model,
+        "scaler": sc,
+        "encoding": enc,
+        "cols": cols,
+        "metrics": metrics,
+        "scorer": scorer_from_linear_model(model, cols, sc),
+        "score": make_scorer(model, enc, sc, cols),
+    }
+
+
 def get_pointer(runs: DataFrame, name: str):
     """K8 read as a value: the current pointer row for ``name``; a missing name raises."""
     row = current_pointer(runs, name).first()
