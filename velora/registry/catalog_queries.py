@@ -796,3 +796,15 @@ def _stream_ingest(spark, sf):
 
 
 register("stream_ingest", CHAIN + "SELECT site_id, ts, hourly_count FROM raw")(_stream_ingest)
+
+
+def _forecast_trained_linear(spark, sf):
+    """M9 with a trained MLlib linear pipeline converted exactly to the fold (M8 a), rows-only."""
+    c = _counts(spark, sf)
+    feats = _features(spark, sf)
+    fit = trn.fit_linear_forecaster(feats)
+    out = fc.recursive_forecast_linear(feats, c, tb.weather_forecast(c), st.site_stats(c), fit["scorer"], 48, 30, encoding=fit["encoding"])
+    return finalize(out)
+
+
+register("forecast_trained_linear")(_forecast_trained_linear)
