@@ -166,9 +166,13 @@ def recursive_forecast_model(
     horizon: int = 48,
     history_days: int = 30,
     checkpoint_every: int = 4,
+    encoding: DataFrame | None = None,
 ) -> DataFrame:
     """M9 with M8(b): the same inputs as the linear form, scored step by step by
-    ``score`` (a frame -> frame-with-``prediction`` function, e.g. ``make_scorer``)."""
+    ``score`` (a frame -> frame-with-``prediction`` function, e.g. ``make_scorer``).
+
+    ``encoding`` joins the site target encoding once, before the steps, instead
+    of letting the scorer join it at every step."""
     from velora.operators.recursive import model_steps
 
     start = forecast_start_value(raw)
@@ -177,6 +181,10 @@ def recursive_forecast_model(
     hist = last_values(history_window(features, start, history_days), "site_id", "ts", "hourly_count", 24)
     if stats is not None:
         hist = hist.join(stats.select("site_id", *SITE_FEATURES), "site_id", "left")
+    if encoding is not None:
+        from velora.plans.training import apply_target_encoding
+
+        hist = apply_target_encoding(hist, encoding, "site_id", "site_te")
     hours = future_features(start, weather_fc, horizon)
     out = model_steps(hist, hours, score, checkpoint_every=checkpoint_every)
     return out.select("site_id", "ts", F.col("pred").alias("hourly_count"))

@@ -562,14 +562,14 @@ register("train_linear_metrics")(lambda spark, sf: finalize(trn.train_model(_fea
 
 
 def _forecast_model_steps(spark, sf):
+    """M9 with M8(b): the trained linear pipeline applied step by step (rows-only)."""
     c = _counts(spark, sf)
     feats = _features(spark, sf)
-    score, _, cols, enc = trn.fit_forecaster(feats, kind="linear")
-    start = _start(spark, sf)
-    hist = last_values(fc.history_window(feats, start, 30), "site_id", "ts", "hourly_count", 24)
-    sites = trn.apply_target_encoding(hist.join(st.site_stats(c), "site_id", "left"), enc, "site_id", "site_te").checkpoint()
-    hours = fc.future_features(start, tb.weather_forecast(c), 48).checkpoint()
-    return finalize(model_steps(sites, hours, score, checkpoint_every=4))
+    fit = trn.fit_linear_forecaster(feats)
+    out = fc.recursive_forecast_model(
+        feats, c, tb.weather_forecast(c), fit["score"], st.site_stats(c), 48, 30, checkpoint_every=4, encoding=fit["encoding"]
+    )
+    return finalize(out)
 
 
 register("forecast_model_steps")(_forecast_model_steps)
