@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velora.session import shared_scratch_path
@@ -73,3 +73,19 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def bounded_sample(df: DataFrame, label: str, key: str, per_label: int, max_labels: int = 200) -> DataFrame:
+    """At most ``per_label`` rows of each of the ``max_labels`` most frequent labels: those of the smallest key hash.
+
+    Rows are first thinned by their hash to about three times the wanted number
+    per label, so that the ranking never sees a whole label, however frequent.
+    """
+    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    share = F.lit(None).cast("double")
+    for r in counts:
+        share = F.when(F.col(label) == F.lit(r[0]), F.lit(min(1.0, 3.0 * per_label / r[1]))).otherwise(share)
+    h = F.xxhash64(key)
+    thinned = df.withColumn("__h", h).filter(F.pmod("__h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("__h", key))
+    return thinned.withColumn("__n", rank).filter(F.col("__n") <= per_label).drop("__h", "__n")

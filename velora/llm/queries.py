@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from velora.llm import decontaminate, fingerprints, mixing, simhash, token_files
+from velora.llm import chat, decontaminate, fingerprints, language_id, mixing, secret_scan, simhash, token_files, toxicity, warc
 from velora.llm.common import fresh_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,16 +22,32 @@ MIXTURE = mixing.Mixture(
 )
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
     return token_files.read_index(spark, folder)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.build_derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"), MIXTURE)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -45,8 +61,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_files, op5_mixing, op7_fingerprints, op8_decontamination, op9_simhash]
+    found = [
+        op1_language_id, op2_token_files, op3_secret_scan, op4_warc, op5_mixing,
+        op6_toxicity, op7_fingerprints, op8_decontamination, op9_simhash, op10_chat,
+    ]
     return {f.__name__: f for f in found}
 
 
