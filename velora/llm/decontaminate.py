@@ -42,10 +42,15 @@ MATCH_TYPE = (
 )
 
 
+def lowered(text: str) -> str:
+    """A-Z lower-cased; all else, and so every position, stays."""
+    if text.isascii():
+        return text.lower()
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def words_of(text: str | None) -> list[str]:
-    if text is None:
-        return []
-    return WORD.findall(text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    return [] if text is None else WORD.findall(lowered(text))
 
 
 @dataclass
@@ -303,7 +308,7 @@ def remove_spans(
             if not spans:
                 out.append((t, 0))
                 continue
-            places = [m.span() for m in WORD.finditer(t)]
+            places = [m.span() for m in WORD.finditer(lowered(t))]
             kept, at = [], 0
             for a, b in spans:
                 kept.append(t[at : places[a][0]])

@@ -77,7 +77,7 @@ def _buckets(docs: DataFrame) -> tuple[Bucketizer, list[tuple]]:
     n = BUCKETS_PER_PARTITION * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ids = docs.select(F.col("doc_id").cast("double").alias("__id"), "doc_id")
     cuts = ids.agg(F.percentile_approx("__id", [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else None
-    splits = [-math.inf, *sorted(set(cuts or [])), math.inf]
+    splits = [-math.inf, *sorted({0.0, *(cuts or [])}), math.inf]
     bucketizer = Bucketizer(splits=splits, inputCol="__id", outputCol="__bucket", handleInvalid="keep")
     largest = _bucketed(bucketizer, docs.select("doc_id")).groupBy("__bucket").agg(F.max("doc_id").alias("largest"))
     found = sorted(((r[0], r[1]) for r in largest.collect()), reverse=True)  # at most n + 1 rows

@@ -77,9 +77,9 @@ def _fill(nodes: DataFrame, family: list[str], level: str, mixture: Mixture) ->
     before = by.orderBy("ratio", level).rowsBetween(Window.unboundedPreceding, -1)
     n = n.withColumn("full", F.coalesce(F.sum("capacity").over(before), F.lit(0.0)))
     n = n.withColumn("open_w", F.sum("w").over(by) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    # x, were this child the first that is not full; the smallest valid one spends the budget
+    # x, were this child the first that is not full; it is the first for which x is within its ratio, so the largest x
     n = n.withColumn("x", F.when(F.col("open_w") > 1e-12, (F.col("parent_budget") - F.col("full")) / F.col("open_w")))
-    n = n.withColumn("x", F.min(F.when(F.col("x") <= F.col("ratio"), F.col("x"))).over(by))
+    n = n.withColumn("x", F.max(F.when(F.col("x") <= F.col("ratio"), F.col("x"))).over(by))
     spent = F.when(F.col("x").isNull(), F.col("capacity")).otherwise(F.least(F.col("capacity"), F.col("x") * F.col("w")))
     return n.withColumn("budget", F.when(F.col("w") > 0, spent).otherwise(F.lit(0.0))).drop("w", "ratio", "full", "open_w", "x")
 
@@ -217,7 +217,7 @@ p{k} AS (
 x{k} AS (SELECT *, CASE WHEN open_w > 1e-12 THEN left_over / open_w END AS x1 FROM p{k}),
 b{k} AS (
   SELECT {keys}, CASE WHEN w <= 0 THEN 0.0 WHEN x IS NULL THEN capacity ELSE least(capacity, x * w) END AS budget
-  FROM (SELECT *, min(CASE WHEN x1 <= ratio THEN x1 END) OVER ({by}) AS x FROM x{k})
+  FROM (SELECT *, max(CASE WHEN x1 <= ratio THEN x1 END) OVER ({by}) AS x FROM x{k})
 )"""
         )
         above = f"b{k}"
