@@ -37,7 +37,7 @@ def slow_findings(rows):
     for d, t in rows:
         for place, word in enumerate(re.split("[ \t\n\x0b\f\r]+", t or "")):
             for nth, v in enumerate(re.findall(r"[A-Za-z0-9+/_-]{16,}", word)):
-                if re.search("[0-9]", v):
+                if re.search("[0-9]|[a-z][A-Z]|^[+/_-]*[A-Z][A-Z+/_-]*$", v):
                     out.append((d, place, nth, v))
     return sorted(out, key=str)
 
@@ -45,6 +45,7 @@ def slow_findings(rows):
 def test_candidates_equal_brute_force(spark):
     rows, _ = corpus()
     rows += [(900, None), (901, ""), (None, "x a1" + "b" * 20), (902, "a1" * 10 + "," + "b2" * 9), (903, ("z9" * 9 + " ") * 5000), (0, rows[0][1])]
+    rows += [(904, "LOUD" * 5 + " quiet" * 4 + " camelCaseNamesOfCode " + "-" * 20)]
     got = S.findings(docs(spark, rows, extra=["place", "value"]))
     assert sorted(((r.doc_id, r.place, r.nth, r.value) for r in got.collect()), key=str) == slow_findings(rows)
 

@@ -3,11 +3,13 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from tests.conftest import SF01
 from tests.llm.helpers import docs
 from velora.llm import toxicity as X
 
 
+SF1 = "/root/testdata/sf0.1"
+
+
 def test_ordinal_fit_recovers_order_and_thresholds():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 3))
@@ -39,21 +41,21 @@ def test_expected_severity_is_the_sum_of_the_cumulative_probabilities():
     assert np.all(np.diff(p) < 0) and abs(p[1] - 0.5) < 1e-12
 
 
-def test_grades_follow_the_share_of_typical_words():
+def test_grades_follow_the_number_of_typical_words():
     counts = [Counter({1: k, 2: 5}) for k in range(1, 31)] + [Counter({2: 5})] * 30
     toxic = np.array([1] * 30 + [0] * 30)
-    g = X.graded(toxic, counts, np.full(60, 40))
+    g = X.graded(toxic, counts)
     assert set(g[30:]) == {0} and g[0] == 1 and g[29] == 3 and np.all(np.diff(g[:30]) >= 0)
 
 
 def test_held_out_labels(spark):
-    d = spark.read.parquet(f"{SF01}/documents.parquet")
-    labels = spark.read.parquet(f"{SF01}/labels.parquet")
+    d = spark.read.parquet(f"{SF1}/documents.parquet")
+    labels = spark.read.parquet(f"{SF1}/labels.parquet")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     scored = X.with_severity(d.select("doc_id", "text"), X.train(d, labels.filter(~fold)))
     r = scored.join(labels.filter(fold), "doc_id").select("toxic", X.rejected().alias("hit")).groupBy("toxic").agg(F.avg(F.col("hit").cast("int"))).collect()
     rate = {x[0]: x[1] for x in r}
-    assert rate[0] < 0.03 and rate[1] > 0.5  # 45 toxic labels in all; several hold words seen once
+    assert rate[0] < 0.01 and rate[1] > 0.9
 
 
 def test_nulls_ties_and_clashing_columns(spark):

@@ -1,7 +1,7 @@
 """Secret scans with a false-positive filter (operator 3). DataFrame, SQL and Spark ML functions only.
 
-Every run of 16 or more key characters with a digit in it is a candidate. A
-random forest tells secrets from other candidates by length, mix of and changes
+Every run of 16 or more key characters that is no plain word (``MIXED``) is a
+candidate. A random forest tells secrets from other candidates by length, mix of and changes
 between character classes, how much of its letters dictionary words cover, path
 marks of the word it stands in, and the words around it. It is trained from
 labelled findings; the dictionary holds the ``DICTIONARY_WORDS`` most frequent
@@ -26,6 +26,8 @@ from velora.llm.common import bounded_sample, row_key, stored
 
 MIN_LENGTH = 16
 CANDIDATE = f"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}"
+#: A run is worth a look with a digit, in capitals throughout, or with a capital behind a small letter.
+MIXED = "[0-9]|[a-z][A-Z]|^[+/_-]*[A-Z][A-Z+/_-]*$"
 DICTIONARY_WORDS = 50_000
 MIN_COUNT = 5
 PER_LABEL = 2000
@@ -53,7 +55,7 @@ def findings(docs: DataFrame) -> DataFrame:
     w = F.col("w")
     at = F.filter(
         F.sequence(F.lit(0), F.size(w) - 1),
-        lambda i: (F.length(F.get(w, i)) >= MIN_LENGTH) & F.get(w, i).rlike(CANDIDATE) & F.get(w, i).rlike("[0-9]"),
+        lambda i: (F.length(F.get(w, i)) >= MIN_LENGTH) & F.get(w, i).rlike(CANDIDATE),
     )
     near = F.transform(
         at,
@@ -67,7 +69,7 @@ def findings(docs: DataFrame) -> DataFrame:
     )
     found = words.select("doc_id", F.explode(near).alias("n")).select("doc_id", "n.*")
     found = found.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("nth", "value"))
-    return found.filter(F.col("value").rlike("[0-9]")).withColumn("before", F.substring_index("word", F.col("value"), 1))
+    return found.filter(F.col("value").rlike(MIXED)).withColumn("before", F.expr("substring_index(word, value, 1)"))
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS, min_count: int = MIN_COUNT) -> DataFrame:

@@ -6,12 +6,12 @@ thresholds. x holds, for every known word and word beginning (3 to 5 letters),
 log2(1 + count). The result is the expected grade, sum over k of P(grade >= k).
 
 Where the labels only say toxic or not, ``graded`` spreads the toxic sample
-over three grades by how large a share of its words is typical of toxic texts
-(thirds of the share; texts without such a word get the lowest grade).
+over three grades by how many of its words are typical of toxic texts (thirds
+of that number; texts without such a word get the lowest grade).
 
 The model is fitted on a bounded sample of labelled rows (``PER_CLASS`` of
 each class, texts of at most ``SAMPLE_CHARS`` characters) with the
-``MAX_FEATURES`` features that tell the classes best apart. Every row is scored
+``MAX_FEATURES`` features that tell toxic texts best from others. Every row is scored
 on its whole text. The model has that many floats, which is what is broadcast.
 """
 
@@ -31,10 +31,12 @@ from pyspark.sql import types as T
 
 from velora.llm.common import bounded_sample
 
-PER_CLASS = 1500
+PER_CLASS = 2000
 SAMPLE_CHARS = 20_000
 MAX_FEATURES = 2000
 MIN_DOCS = 4
+RATIO = 5.0
+L2 = 1e-3
 GRADES = 3
 REJECT_AT = 0.5
 _BEGINNINGS = (3, 4, 5)
@@ -53,14 +55,13 @@ def words_of(text: str | None) -> list[str]:
     return [] if text is None else _WORD.findall(text.lower())
 
 
-def counted(text: str | None) -> tuple[Counter, int]:
-    """Feature counts and number of words."""
-    words = Counter(words_of(text))
+def counted(text: str | None) -> Counter:
+    """Feature counts of a text."""
     counts: Counter = Counter()
-    for word, n in words.items():
+    for word, n in Counter(words_of(text)).items():
         for f in features_of(word):
             counts[f] += n
-    return counts, sum(words.values())
+    return counts
 
 
 @dataclass(frozen=True)
@@ -73,12 +74,15 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds - z, -60, 60)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, top: int, l2: float = 2e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(
+    x: np.ndarray, grade: np.ndarray, top: int, l2: float = L2, steps: int = 400, weight: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds t_1 < ... < t_top that maximise the penalised likelihood (Adam, full batch)."""
     n, d = x.shape
+    weight = np.ones(n) if weight is None else weight * (n / weight.sum())
     at_least = grade[:, None] >= np.arange(1, top + 1)
     params = np.zeros(d + top)
-    share = np.clip(at_least.mean(axis=0), 1e-3, 1 - 1e-3)
+    share = np.clip((weight[:, None] * at_least).mean(axis=0), 1e-3, 1 - 1e-3)
     start = np.log((1 - share) / share)
     params[d] = start[0]
     params[d + 1 :] = np.log(np.maximum(np.diff(start), 0.1))
@@ -94,7 +98,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, top: int, l2: float = 2e-3, st
         full = np.concatenate([np.ones((n, 1)), upper, np.zeros((n, 1))], axis=1)
         p = np.maximum(full[rows, grade] - full[rows, grade + 1], 1e-9)
         slope = np.concatenate([np.zeros((n, 1)), upper * (1 - upper), np.zeros((n, 1))], axis=1)
-        lo, hi = slope[rows, grade] / p, slope[rows, grade + 1] / p
+        lo, hi = weight * slope[rows, grade] / p, weight * slope[rows, grade + 1] / p
         grad = np.zeros_like(params)
         grad[:d] = -(x.T @ (lo - hi)) / n + l2 * params[:d]
         per_t = np.zeros(top + 2)  # d(-loglik)/dt_k
@@ -109,29 +113,29 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, top: int, l2: float = 2e-3, st
     return params[:d], thresholds(params)
 
 
-def graded(toxic: np.ndarray, counts: list[Counter], sizes: np.ndarray, top: int = GRADES) -> np.ndarray:
-    """Grades from 0/1 labels: toxic rows in ``top`` equal parts by their share of words typical of toxic rows."""
+def graded(toxic: np.ndarray, counts: list[Counter], top: int = GRADES) -> np.ndarray:
+    """Grades from 0/1 labels: toxic rows in ``top`` equal parts by how often features typical of toxic rows occur."""
     in_toxic, in_clean = Counter(), Counter()
     for label, c in zip(toxic, counts):
         (in_toxic if label else in_clean).update(c.keys())
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     typical = {f for f, k in in_toxic.items() if k >= MIN_DOCS and k / n1 > 10 * (in_clean[f] + 0.5) / n0}
-    share = np.array([sum(c[f] for f in typical & c.keys()) / max(1, s) for c, s in zip(counts, sizes)])
+    amount = np.array([sum(c[f] for f in typical & c.keys()) for c in counts])
     grade = np.zeros(len(toxic), dtype=np.int64)
-    own = share[toxic == 1]
+    own = amount[toxic == 1]
     if len(own):
         cuts = np.quantile(own, np.arange(1, top) / top)
         grade[toxic == 1] = 1 + np.searchsorted(cuts, own, side="right").clip(0, top - 1) * (own > 0)
     return grade
 
 
-def fit(rows: list[tuple[int, Counter, int]], top: int = GRADES) -> OrdinalModel | None:
-    """Fits on (toxic 0/1, feature counts, words); None unless both classes occur."""
+def fit(rows: list[tuple[int, Counter]], top: int = GRADES) -> OrdinalModel | None:
+    """Fits on (toxic 0/1, feature counts); None unless both classes occur."""
     toxic = np.array([r[0] for r in rows], dtype=np.int64)
     if not len(rows) or toxic.min() == toxic.max():
         return None
     counts = [r[1] for r in rows]
-    grade = graded(toxic, counts, np.array([r[2] for r in rows]), top)
+    grade = graded(toxic, counts, top)
     in_toxic, in_all = Counter(), Counter()
     for label, c in zip(toxic, counts):
         in_all.update(c.keys())
@@ -144,7 +148,12 @@ def fit(rows: list[tuple[int, Counter, int]], top: int = GRADES) -> OrdinalModel
         expected = k * n1 / n
         return (a - expected) ** 2 * n * n / (k * (n - k) * n1 * (n - n1)) * n if k < n else 0.0
 
-    frequent = [f for f, k in in_all.items() if k >= MIN_DOCS]
+    def telling(f: int) -> bool:
+        """Often enough in toxic texts, and ``RATIO`` times as often as in clean ones: chance words of clean texts say nothing."""
+        a = in_toxic[f]
+        return a >= MIN_DOCS and a / n1 >= RATIO * (in_all[f] - a + 0.5) / (n - n1)
+
+    frequent = [f for f in in_toxic if telling(f)]
     frequent.sort(key=lambda f: (-chi_square(f), f))
     chosen = frequent[:MAX_FEATURES]
     column = {f: j for j, f in enumerate(chosen)}
@@ -152,7 +161,7 @@ def fit(rows: list[tuple[int, Counter, int]], top: int = GRADES) -> OrdinalModel
     for i, c in enumerate(counts):
         for f in c.keys() & column.keys():
             x[i, column[f]] = np.log2(1 + c[f])
-    weights, thresholds = fit_ordinal(x, grade, top)
+    weights, thresholds = fit_ordinal(x, grade, top, weight=np.where(toxic == 1, 1 / n1, 1 / (n - n1)))  # classes count alike
     return OrdinalModel({f: float(w) for f, w in zip(chosen, weights)}, thresholds)
 
 
@@ -164,20 +173,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ord
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     sample = bounded_sample(texts.join(F.broadcast(few), "doc_id"), "toxic", "doc_id", per_class)
 
-    @F.pandas_udf(T.StructType().add("ids", T.BinaryType()).add("counts", T.BinaryType()).add("words", T.IntegerType()))
+    @F.pandas_udf(T.StructType().add("ids", T.BinaryType()).add("counts", T.BinaryType()))
     def extract(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            c, n = counted(t)
-            rows.append((np.array(list(c), dtype="<u8").tobytes(), np.array(list(c.values()), dtype="<u4").tobytes(), n))
-        return pd.DataFrame(rows, columns=["ids", "counts", "words"])
+            c = counted(t)
+            rows.append((np.array(list(c), dtype="<u8").tobytes(), np.array(list(c.values()), dtype="<u4").tobytes()))
+        return pd.DataFrame(rows, columns=["ids", "counts"])
 
     found = sample.select("toxic", "doc_id", extract(F.col("text")).alias("x")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["x"]["ids"]))
     rows = []
     for r in found:
         ids, counts = np.frombuffer(r["x"]["ids"], dtype="<u8").tolist(), np.frombuffer(r["x"]["counts"], dtype="<u4").tolist()
-        rows.append((r["toxic"], Counter(dict(zip(ids, counts))), r["x"]["words"]))
+        rows.append((r["toxic"], Counter(dict(zip(ids, counts)))))
     return fit(rows)
 
 
