@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from velora.operators.history import last_values
-from velora.operators.recursive import FIXED_SCORER, LinearScorer, linear_fold, model_steps
+from velora.operators.recursive import FIXED_SCORER, LinearScorer, linear_fold
+from velora.operators.trees import NODE_COLUMNS, ensemble, tree_forecast
 
 
 def _hist_input(spark):
@@ -56,26 +57,59 @@ def test_linear_fold_matches_loop_and_isolates_sites(spark):
         assert [x.ts for x in r.forecast] == [h["ts"] for h in hours]
 
 
-def test_model_steps_equals_fold(spark):
+def _walk(nodes, x):
+    total = 0.0
+    for tree in {n[0] for n in nodes}:
+        by = {n[1]: n for n in nodes if n[0] == tree}
+        at = by[0]
+        while at[2] >= 0:
+            at = by[at[4] if x[at[2]] <= at[3] else at[5]]
+        total += at[6] * at[7]
+    return total
+
+
+def test_tree_forecast_equals_a_loop(spark):
+    names = ["lag_1", "hour_cos", "site_mean", "rolling_mean_24", "lag_24"]
+    nodes = [
+        (0, 0, 0, 8.0, 1, 2, 0.0, 1.0), (0, 1, -1, None, -1, -1, 4.0, 1.0), (0, 2, 3, 10.0, 3, 4, 0.0, 1.0),
+        (0, 3, -1, None, -1, -1, 9.0, 1.0), (0, 4, -1, None, -1, -1, 20.0, 1.0),
+        (1, 0, 1, 0.0, 1, 2, 0.0, 0.5), (1, 1, -1, None, -1, -1, -6.0, 0.5), (1, 2, 2, 4.0, 3, 4, 0.0, 0.5),
+        (1, 3, -1, None, -1, -1, 1.0, 0.5), (1, 4, 4, 3.0, 5, 6, 0.0, 0.5), (1, 5, -1, None, -1, -1, 2.0, 0.5), (1, 6, -1, None, -1, -1, 7.0, 0.5),
+    ]
+    model = ensemble(spark.createDataFrame(nodes, NODE_COLUMNS), names)
     base = dt.datetime(2025, 2, 1)
-    hours = spark.createDataFrame(
-        [(base + dt.timedelta(hours=i), float(i % 3 == 0), math.cos(i)) for i in range(1, 13)], "ts timestamp_ntz, is_rush_hour double, hour_cos double"
-    )
-    sites = spark.createDataFrame([(1, [float(i) for i in range(24)], 5.0), (2, [3.0] * 24, 3.0)], "site_id long, history array<double>, site_mean double")
-    sc = FIXED_SCORER
-
-    def score(df):
-        x = F.lit(sc.intercept)
-        for f, c in sc.coefs.items():
-            x = x + F.lit(c) * F.col(f)
-        return df.withColumn("prediction", x)
-
-    stepped = {(r.site_id, r.ts): r.pred for r in model_steps(sites, hours, score, checkpoint_every=4).collect()}
-    hrs = [r.asDict() for r in hours.orderBy("ts").collect()]
-    for sid, hist in ((1, [float(i) for i in range(24)]), (2, [3.0] * 24)):
-        exp = _brute_fold(hist, hrs, sc)
-        got = [stepped[(sid, h["ts"])] for h in hrs]
-        assert np.allclose(got, exp, rtol=1e-12)
+    hours = spark.createDataFrame([(base + dt.timedelta(hours=i), math.cos(i)) for i in range(1, 31)], "ts timestamp_ntz, hour_cos double")
+    rows = [(1, [float(i) for i in range(24)], 5.0), (2, [3.0] * 24, 3.0), (3, None, None)]
+    sites = spark.createDataFrame(rows, "site_id long, history array<double>, site_mean double")
+    for scale in (None, {"lag_1": (2.0, 4.0), "site_mean": (1.0, 0.0)}):
+        got = {(r.site_id, r.ts): r.pred for r in tree_forecast(sites, hours, model, scale).collect()}
+        assert len(got) == 90
+        z = lambda name, v: 0.0 if v is None else (v - (scale or {}).get(name, (0, 1))[0]) / ((scale or {}).get(name, (0, 1))[1] or 1)  # noqa: E731, B023
+        for sid, hist, mean in rows:
+            fifo = list(hist or [0.0] * 24)
+            for i in range(1, 31):
+                raw = {"lag_1": fifo[-1], "hour_cos": math.cos(i), "site_mean": mean, "rolling_mean_24": float(np.mean(fifo)), "lag_24": fifo[0]}
+                p = max(_walk(nodes, [z(n, raw[n]) for n in names]), 0.0)
+                assert abs(got[sid, base + dt.timedelta(hours=i)] - p) < 1e-9
+                fifo = fifo[1:] + [p]
+
+
+def test_ensemble_of_a_saved_model_predicts_like_it(spark):
+    import os
+    import random
+    import tempfile
+
+    from velora.plans.forecaster import fit_forecaster, load_forecaster, save_forecaster
+
+    rnd = random.Random(1)
+    rows = [(s, dt.datetime(2025, 1, 1) + dt.timedelta(hours=h), rnd.random(), float(s * 3 + h % 7 + rnd.random())) for s in (1, 2, 3) for h in range(100)]
+    feats = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, lag_1 double, hourly_count double")
+    f, _ = fit_forecaster(feats, "gbt", rounds=6, max_depth=4)
+    f = save_forecaster(f, os.path.join(tempfile.mkdtemp(prefix="velora-trees-"), "f"))
+    trees = load_forecaster(spark, f.path).trees()
+    got = f.model.transform(f.prepared(feats)).toPandas()
+    mine = trees.predict(got[[f"__x_{c}" for c in f.cols]].to_numpy())
+    assert np.allclose(mine, got["prediction"], rtol=1e-9)
 
 
 def test_future_features_horizon_and_weather_defaults(spark):
@@ -95,23 +129,33 @@ def test_future_features_horizon_and_weather_defaults(spark):
     assert set(HOUR_FEATURES) <= set(ff[0].asDict())
 
 
-def test_trained_linear_model_fold_equals_step_walk(spark):
-    """A fitted MLlib linear pipeline converted to a fold scorer gives the step-wise forecast."""
+def test_trained_linear_fold_equals_a_loop(spark):
+    """A fitted linear forecaster as a fold gives what its own score gives hour by hour."""
     from tests.conftest import SF001
     from velora.operators import stats as st
     from velora.plans import forecast as fc
-    from velora.plans import training as trn
     from velora.plans.features import build_features
+    from velora.plans.forecaster import fit_forecaster
     from velora.sources import tables as tb
 
     c = tb.counts(spark, SF001)
     feats = build_features(c, tb.weather(c)).checkpoint()
-    fit = trn.fit_linear_forecaster(feats)
-    stats = st.site_stats(c)
-    wfc = tb.weather_forecast(c)
-    fold = fc.recursive_forecast_linear(feats, c, wfc, stats, fit["scorer"], 12, 30, encoding=fit["encoding"])
-    walk = fc.recursive_forecast_model(feats, c, wfc, fit["score"], stats, 12, 30)
-    a = {(r.site_id, r.ts): r.hourly_count for r in fold.collect()}
-    b = {(r.site_id, r.ts): r.hourly_count for r in walk.collect()}
-    assert a.keys() == b.keys() and len(a) > 0
-    assert all(abs(a[k] - b[k]) < 1e-6 for k in a)
+    f, _ = fit_forecaster(feats, "linear")
+    stats, wfc = st.site_stats(c), tb.weather_forecast(c)
+    got = {(r.site_id, r.ts): r.hourly_count for r in fc.recursive_forecast_linear(feats, c, wfc, stats, f.linear_scorer(), 4, 30, encode=f.encode).collect()}
+    start = fc.forecast_start_value(c)
+    hist = last_values(fc.history_window(feats, start, 30)).join(stats, "site_id", "left")
+    fifo = {r.site_id: (list(r.history), r) for r in hist.collect()}
+    hours = fc.future_features(start, wfc, 4).orderBy("ts").collect()
+    for h in hours:
+        rows = []
+        for sid, (v, r) in fifo.items():
+            rows.append({**h.asDict(), **{k: r[k] for k in ("site_mean", "site_std", "site_min", "site_max")}, "site_id": sid,
+                         "lag_1": v[-1], "lag_24": v[0], "rolling_mean_24": float(np.mean(v)), "hourly_count": 0})
+        frame = spark.createDataFrame(rows, feats.schema)
+        for r in f.score(frame.select(*feats.columns)).collect():
+            p = max(r.prediction, 0.0)
+            assert abs(got[r.site_id, h.ts] - p) < 1e-6
+            fifo[r.site_id][0].append(p)
+            del fifo[r.site_id][0][0]
+    assert len(got) == 4 * len(fifo) > 0

@@ -133,6 +133,64 @@ def test_stream_ingest_available_now(spark):
     assert spark.read.parquet(table).count() == 3  # only the new key landed
 
 
+def test_late_pages_are_taken_over_several_batches(spark):
+    landing, table, ckpt = _dir("land"), os.path.join(_dir("tbl"), "raw"), _dir("ckpt")
+    for k, day in enumerate(("2025-03-20", "2025-03-01", "2025-02-01")):
+        with open(os.path.join(landing, f"p{k}.json"), "w") as f:
+            json.dump(_page([_rec(1, "A", k, f"{day}T08:00:00"), _rec(1, "A", 9, f"{day}T08:30:00")]), f)
+        start_count_ingest(spark, landing, table, ckpt, max_files=1).awaitTermination(120)
+    got = {str(r.ts)[:10] for r in spark.read.parquet(table).collect()}
+    assert got == {"2025-03-20", "2025-03-01", "2025-02-01"} and spark.read.parquet(table).count() == 3
+
+
+def test_append_new_keeps_the_month_layout(spark):
+    d = _dir("month")
+    table = os.path.join(d, "raw")
+    schema = "site_id long, ts timestamp_ntz, hourly_count long"
+    sk.write_by_month(spark.createDataFrame([(1, dt.datetime(2025, 1, 31, 23), 5)], schema), table)
+    new = spark.createDataFrame([(1, dt.datetime(2025, 1, 31, 23), 9), (1, dt.datetime(2025, 2, 1, 0), 6), (2, dt.datetime(2025, 1, 1, 0), 7)], schema)
+    assert sk.append_new(spark, table, new) == 2
+    assert sk.append_new(spark, table, sk.with_month(new)) == 0
+    rows = {(r.site_id, r.hourly_count, r.month) for r in spark.read.parquet(table).collect()}
+    assert rows == {(1, 5, "2025-01"), (1, 6, "2025-02"), (2, 7, "2025-01")}
+    assert sorted(n for n in os.listdir(d) if "staging" in n) == []
+
+
+def test_upsert_keeps_one_row_per_key_and_months_are_rewritten_alone(spark):
+    d = _dir("ups")
+    schema = "site_id long, ts timestamp_ntz, hourly_count long"
+    t = dt.datetime
+    old = spark.createDataFrame([(1, t(2025, 1, 5), 1), (1, t(2025, 2, 5), 2), (2, t(2025, 2, 6), 3)], schema)
+    new = spark.createDataFrame([(1, t(2025, 2, 5), 20), (1, t(2025, 2, 5), 21), (3, t(2025, 3, 1), 4)], schema)
+    assert sorted(r.hourly_count for r in sk.upsert(old, new, ["site_id", "ts"]).collect()) == [1, 3, 4, 21]
+    table = os.path.join(d, "fc")
+    sk.write_by_month(old, table)
+    january = os.listdir(os.path.join(table, "month=2025-01"))
+    assert sk.upsert_months(spark, table, new, ["site_id", "ts"]) == ["2025-02", "2025-03"]
+    assert os.listdir(os.path.join(table, "month=2025-01")) == january
+    assert sorted(r.hourly_count for r in spark.read.parquet(table).collect()) == [1, 3, 4, 21]
+
+
+def test_a_shared_checkpoint_folder_is_required_on_a_cluster():
+    import pytest
+
+    from velora.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    fake = type("S", (), {"sparkContext": Context(), "conf": Conf()})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(fake)
+
+
 def test_empty_landing_folder_gives_empty_frame(spark):
     d = _dir("empty")
     df = fl.read_count_pages(spark, d)

@@ -4,9 +4,19 @@ import datetime as dt
 import random
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from velora.operators.lags import drop_warmup, row_lags, row_lags_single_window
+from velora.operators.lags import drop_warmup, row_lags
+
+
+def row_lags_single_window(df, key, order, value, lags=(1, 24), rolling=24):
+    """The same result with one window per key: the brute-force form."""
+    w = Window.partitionBy(key).orderBy(*order)
+    cols = {f"lag_{k}": F.lag(F.col(value), k).over(w).cast("double") for k in lags}
+    wr = w.rowsBetween(-rolling, -1)
+    cols[f"rolling_mean_{rolling}"] = F.when(F.count(F.col(value)).over(wr) == F.lit(rolling), F.avg(F.col(value)).over(wr))
+    return df.withColumns(cols)
 
 
 def _series(spark, seed=7):

@@ -64,20 +64,30 @@ def _train_frame(spark):
     return spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, is_night boolean, lag_1 double, hourly_count double")
 
 
-def test_train_linear_and_gbt_finite_metrics(spark):
+def test_train_save_and_load_linear_and_gbt(spark):
+    from velora.plans.forecaster import fit_forecaster, load_forecaster, save_forecaster
+
     f = _train_frame(spark)
-    model, metrics, cols = trn.train_model(f, kind="linear")
+    linear, metrics = fit_forecaster(f, "linear")
     m = metrics.first()
     assert m.n_rows == 20 and all(math.isfinite(v) for v in (m.mae, m.rmse))
-    assert cols[0] == "site_te" and "is_night" in cols and "ts" not in cols
-    gbt, gm, _ = trn.train_model(f, kind="gbt", rounds=5, max_depth=3)
-    assert math.isfinite(gm.first().rmse)
-    imp = trn.feature_importances(spark, gbt, cols, top_n=2).collect()
+    assert linear.cols[0] == "site_te" and "is_night" in linear.cols and "ts" not in linear.cols
+    assert [r.importance >= 0 for r in linear.importances(top_n=2).collect()] == [True, True]
+    gbt, gm = fit_forecaster(f, "gbt", rounds=5, max_depth=3)
+    imp = gbt.importances(top_n=2).collect()
     assert len(imp) == 2 and imp[0].importance >= imp[1].importance
-    path = os.path.join(tempfile.mkdtemp(prefix="velora-model-"), "m")
-    trn.save_model(gbt, path)
-    again = trn.load_model(path)
-    assert len(again.stages) == 2
+    for one in (linear, gbt):
+        path = os.path.join(tempfile.mkdtemp(prefix="velora-model-"), "m")
+        save_forecaster(one, path)
+        again = load_forecaster(spark, path)
+        a = {(r.site_id, r.ts, r.lag_1): r.prediction for r in one.score(f).collect()}
+        b = {(r.site_id, r.ts, r.lag_1): r.prediction for r in again.score(f).collect()}
+        assert a == b and len(a) == 200
+        # unseen and NULL sites get the prior, columns of the table stay
+        odd = again.score(f.limit(2).withColumn("site_id", F.lit(None).cast("long")))
+        assert odd.columns == [*f.columns, "prediction"] and odd.filter("prediction is null").count() == 0
+    with pytest.raises(RuntimeError, match="lacks"):
+        linear.score(f.drop("lag_1"))
 
 
 def test_run_selection(spark):
@@ -90,19 +100,25 @@ def test_run_selection(spark):
     assert trn.current_pointer(runs, "zzz").count() == 0
 
 
-def test_pointer_and_evaluate_saved_model(spark):
+def test_training_job_logs_points_and_is_chosen(spark):
     from velora.plans import jobs
 
-    runs = spark.createDataFrame([("p", "a", dt.datetime(2025, 1, 1), 3.0, "uri-a")], "name string, run_id string, started_at timestamp_ntz, rmse double, model_uri string")
-    assert trn.get_pointer(runs, "p").model_uri == "uri-a"
-    with pytest.raises(KeyError):
-        trn.get_pointer(runs, "missing")
+    root = tempfile.mkdtemp(prefix="velora-train-")
+    at = {n: os.path.join(root, n) for n in ("features", "a", "b", "runs", "pointer")}
     f = _train_frame(spark)
-    framed, cols = trn.prepare_training_frame(f)
-    framed = framed.checkpoint()
-    model, metrics, sc = trn.train_on_frame(framed, cols, kind="linear")
-    path = os.path.join(tempfile.mkdtemp(prefix="velora-eval-"), "m")
-    trn.save_model(model, path)
-    test = trn.apply_scaler(framed.filter("is_test"), sc, cols).fillna(0.0, subset=cols)
-    again = jobs.evaluate_model(spark, path, test).first()
-    assert math.isclose(again.rmse, metrics.first().rmse, rel_tol=1e-9) and again.n_rows == metrics.first().n_rows
+    f.write.parquet(at["features"])
+    jobs.training_job(spark, at["features"], at["a"], at["runs"], at["pointer"], "p", "run-a", dt.datetime(2025, 1, 1), "linear")
+    jobs.training_job(spark, at["features"], at["b"], at["runs"], at["pointer"], "p", "run-b", dt.datetime(2025, 1, 2), "linear", cols=["lag_1"])
+    runs = spark.read.parquet(at["runs"])
+    assert runs.count() == 2
+    best = min(runs.collect(), key=lambda r: r.rmse).model_uri
+    assert jobs.choose_model(spark, at["runs"], at["pointer"], "p") == at["b"]
+    assert jobs.choose_model(spark, at["runs"], at["pointer"], "p", by="latest") == at["b"]
+    assert jobs.choose_model(spark, at["runs"], at["pointer"], "p", by="best") == best
+    for by in ("pointer", "best"):
+        with pytest.raises(KeyError):
+            jobs.choose_model(spark, at["runs"], at["pointer"], "missing", by=by)
+    test = trn.chrono_split(f).filter("is_test").drop("is_test")
+    again = jobs.evaluate_model(spark, at["a"], test).first()
+    logged = runs.filter("run_id = 'run-a'").first()
+    assert math.isclose(again.rmse, logged.rmse, rel_tol=1e-9) and again.n_rows == 20

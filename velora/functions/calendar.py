@@ -150,15 +150,14 @@ def holiday_flag(ts: str | Column, periods: Sequence[tuple[str, str]] = HOLIDAY_
 
 
 def interval_flag_join(
-    df: DataFrame, ts_col: str, intervals: DataFrame, out_col: str = "is_holiday", max_broadcast_days: int = 2_000_000
+    df: DataFrame, ts_col: str, intervals: DataFrame, out_col: str = "is_holiday"
 ) -> DataFrame:
     """J9 for a calendar table ``intervals(start_date DATE, end_date DATE)``, end exclusive.
 
     All bounds are midnights, so each interval is exploded to its days and the
     test becomes an equi-join on ``to_date(ts)`` (hash join, not a nested loop).
-    The day table is distinct, so the join never multiplies rows. Its size is
-    bounded by the calendar span; it is broadcast only when counted below
-    ``max_broadcast_days``, else joined by shuffle.
+    The day table is distinct, so the join never multiplies rows; Spark chooses
+    how to join it from its measured size.
     """
     days = (
         intervals.select(
@@ -167,9 +166,7 @@ def interval_flag_join(
         .distinct()
         .withColumn(out_col, F.lit(True))
     )
-    n_days = days.count()
-    side = F.broadcast(days) if n_days <= max_broadcast_days else days
-    out = df.withColumn("__day", F.to_date(F.col(ts_col))).join(side, "__day", "left")
+    out = df.withColumn("__day", F.to_date(F.col(ts_col))).join(days, "__day", "left")
     return out.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False))).drop("__day")
 
 
@@ -246,10 +243,3 @@ def hour_grid_after(df_bounds: DataFrame, start_col: str, hours: int, col: str =
             F.sequence(s + F.expr("INTERVAL 1 HOUR"), s + F.make_dt_interval(F.lit(0), F.lit(hours)), F.expr("INTERVAL 1 HOUR"))
         ).alias(col)
     )
-
-
-def day_grid(spark, start, end, col: str = "day") -> DataFrame:
-    """C14: days in ``[start, end]``."""
-    return spark.range(1).select(
-        F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias(col)
-    )

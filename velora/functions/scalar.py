@@ -53,11 +53,6 @@ def site_label(name: str | Column, site_id: str | Column) -> Column:
     return F.concat(_c(name), F.lit(" (ID "), _c(site_id).cast("long").cast("string"), F.lit(")"))
 
 
-def clip0(x: str | Column) -> Column:
-    """C11."""
-    return F.greatest(_c(x).cast("double"), F.lit(0.0))
-
-
 def round1(x: str | Column) -> Column:
     """Round to one decimal, half to even (2.25 -> 2.2)."""
     return F.bround(_c(x), 1)

@@ -80,25 +80,36 @@ def _numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: Sequence[str] = tuple(CORR_COLUMNS), start=None, end=None) -> DataFrame:
     """Pearson matrix in long form (col_a, col_b, r) over a time window.
 
-    Booleans are cast to 0/1, rows with a NULL target or temperature dropped,
-    constant columns dropped (P11: one aggregate row decides which), then all
-    pairs in one aggregate. A NaN coefficient becomes 0; pairs skip rows where
-    either side is NULL.
+    Booleans are cast to 0/1, rows with a NULL target or temperature dropped.
+    One aggregate gives every pair's r over the rows where both sides are
+    present, and which columns vary (P11); constant columns are left out. A NaN
+    coefficient becomes 0. Fewer than two varying columns give no row.
     """
-    from velora.operators.quality import varying_columns
-
     if start is not None:
         df = df.filter(F.col("ts") >= ntz_lit(start))
     if end is not None:
         df = df.filter(F.col("ts") <= ntz_lit(end))
+    cols = list(cols)
     num = _numeric(df, cols).dropna(subset=["hourly_count", "apparent_temperature"])
-    keep = varying_columns(num, list(cols))
-    pairs = [(a, b) for i, a in enumerate(keep) for b in keep[i + 1 :]]
-    row = num.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
-    entries = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]
-    entries += [F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]
-    entries += [F.struct(F.lit(a).alias("col_a"), F.lit(a).alias("col_b"), F.lit(1.0).alias("r")) for a in keep]
-    long = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+
+    def pair_r(a: str, b: str) -> F.Column:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        return safe_corr(F.when(both, F.col(a)), F.when(both, F.col(b)))
+
+    row = num.agg(
+        *[pair_r(a, b).alias(f"{a}|{b}") for a, b in pairs],
+        *[F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias(f"varies|{c}") for c in cols],
+    )
+
+    def entry(a: str, b: str, r: F.Column) -> F.Column:
+        keep = F.col(f"`varies|{a}`") & F.col(f"`varies|{b}`")
+        return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r"), keep.alias("keep"))
+
+    entries = [entry(*ends, F.col(f"`{a}|{b}`")) for a, b in pairs for ends in ((a, b), (b, a))]
+    entries += [entry(a, a, F.lit(1.0)) for a in cols]
+    many = sum(F.col(f"`varies|{c}`").cast("int") for c in cols) >= 2
+    long = row.filter(many).select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter("keep").drop("keep")
     return long.withColumn("r", F.when(F.isnan("r") | F.col("r").isNull(), F.lit(0.0)).otherwise(F.col("r")))
 
 

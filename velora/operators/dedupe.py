@@ -1,8 +1,10 @@
 """One-row-per-key operators.
 
 Where the rule is "first / last by some order", we use ``min_by``/``max_by`` on
-a struct of the row: a hash aggregate with a map-side partial step, so
-duplicate-heavy keys are combined before the shuffle and no sort is needed.
+a struct of the row, with a map-side partial step, so duplicate-heavy keys are
+combined before the shuffle. Spark runs it as a sort aggregate (a struct with
+strings is no hash-aggregate buffer); ``site_dimension`` therefore takes the
+latest stamp in a hash aggregate first and joins.
 """
 
 from __future__ import annotations
@@ -39,21 +41,6 @@ def dedupe_raw(df: DataFrame, keys: Sequence[str] = ("site_id", "ts"), order: Se
     return first_per_key(df.dropna(subset=list(keys)), keys, order)
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """U3."""
-    return df.distinct()
-
-
 def busiest(df: DataFrame, key: str = "site_id", value: str = "hourly_count") -> DataFrame:
     """The key with the largest value (ties: smallest key). One row."""
     return df.agg(F.min_by(F.col(key), F.struct(-F.col(value), F.col(key))).alias(key))
-
-
-def latest_by(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-    """Latest row per group by ``order`` (ties broken by all other columns)."""
-    return last_per_key(df, group, [order])
-
-
-def best_by(df: DataFrame, group: Sequence[str], metric: str) -> DataFrame:
-    """Row with the lowest ``metric`` per group."""
-    return first_per_key(df, group, [metric])

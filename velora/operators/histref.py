@@ -30,10 +30,12 @@ site costs no more than a quiet one with the same span.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from velora.functions.calendar import floor_hour
+from velora.functions.calendar import floor_hour, ntz_lit
 
 # Labels of the four windows (our wording).
 LEVEL_LABELS = (
@@ -64,7 +66,17 @@ def _sums(w: Window, prefix: str) -> list[F.Column]:
 def historical_reference(
     raw: DataFrame, targets: DataFrame, key: str = "site_id", ts: str = "ts", value: str = "hourly_count"
 ) -> DataFrame:
-    """(site_id, ts, level, label, n, reference) for each target with some history."""
+    """(site_id, ts, level, label, n, reference) for each target with some history.
+
+    The targets' first and last hour are resolved first, so that only the 56
+    days before them are read (literal, pushed-down bounds), and of those only
+    the targets' sites.
+    """
+    lo, hi = targets.agg(F.min(floor_hour(ts)), F.max(floor_hour(ts))).first()
+    if lo is not None:
+        first = ntz_lit(lo.replace(hour=0) - dt.timedelta(days=SPAN_DAYS))
+        raw = raw.filter((F.col(ts) >= first) & (F.col(ts) < ntz_lit(hi)))
+    raw = raw.join(targets.select(key).distinct(), key, "left_semi")
     tg = targets.select(key, floor_hour(ts).alias("__t")).distinct()
     tg = tg.select(key, "__t", F.to_date("__t").alias("day"), F.hour("__t").alias("hour"))
     cells = hourly_cells(raw, key, ts, value).withColumn("__kind", F.lit(0)).withColumn("__t", F.lit(None).cast("timestamp_ntz"))

@@ -101,24 +101,6 @@ def row_lags(
     return out.drop("__chunk", "__halo", "__rn")
 
 
-def row_lags_single_window(
-    df: DataFrame, key: str, order: Sequence[str], value: str, lags: Sequence[int] = (1, 24), rolling: int | None = 24
-) -> DataFrame:
-    """Same result as :func:`row_lags` with one window per key.
-
-    Only for keys whose size is bounded (for example one forecast horizon per
-    site); kept as the brute-force reference in tests.
-    """
-    w = Window.partitionBy(key).orderBy(*order)
-    cols = {f"lag_{k}": F.lag(F.col(value), k).over(w).cast("double") for k in lags}
-    if rolling:
-        wr = w.rowsBetween(-rolling, -1)
-        cols[f"rolling_mean_{rolling}"] = F.when(
-            F.count(F.col(value)).over(wr) == F.lit(rolling), F.avg(F.col(value)).over(wr)
-        )
-    return df.withColumns(cols)
-
-
 def drop_warmup(df: DataFrame, cols: Sequence[str] = ("lag_1", "lag_24", "rolling_mean_24")) -> DataFrame:
     """Drop rows where any lag feature is NULL (the first rows of each key)."""
     return df.dropna(subset=list(cols))

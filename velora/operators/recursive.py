@@ -5,11 +5,7 @@
     24-value FIFO and the list of outputs; each step reads lag_1 (newest),
     lag_24 (oldest) and the FIFO mean, scores, clips at 0 and pushes. It runs
     in the JVM, sites in parallel, with no shuffle and no Python.
-(b) ``model_steps``: for any fitted MLlib model (e.g. gradient-boosted trees)
-    the horizon is walked one hour at a time for all sites together: each
-    step is one ``transform`` over the sites' current feature rows. The state
-    travels as an array column; lineage is cut every few steps with a reliable
-    checkpoint in the cluster's shared checkpoint folder.
+(b) for tree ensembles: ``operators/trees.py``.
 """
 
 from __future__ import annotations
@@ -20,8 +16,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velora.functions.calendar import ntz_lit
-
 LAG_FEATURES = ("lag_1", "lag_24", "rolling_mean_24")
 
 
@@ -124,61 +118,3 @@ def linear_fold(
         )
 
     return sites.withColumn("forecast", F.aggregate(F.col(hours_col), init, step)["out"])
-
-
-def model_steps(
-    sites: DataFrame,
-    hours: DataFrame,
-    score,
-    history_col: str = "history",
-    n: int = 24,
-    checkpoint_every: int = 8,
-    fallback_col: str | None = "site_mean",
-) -> DataFrame:
-    """(b) Walk the horizon hour by hour with a fitted model; returns (site_id, ts, pred).
-
-    ``sites``: one row per site with ``history`` and the site features;
-    ``hours``: the horizon's hour features, one row per hour. The loop is over
-    the horizon's hours (a parameter, 48 by default), never over data: each
-    step scores every site at once. Predictions accumulate in an array column
-    of the state, so the final state holds the whole forecast; a reliable
-    checkpoint every ``checkpoint_every`` steps keeps the lineage short and
-    lets a lost executor recompute from the last checkpoint only.
-    A NULL prediction falls back to the site mean (or 0), then clips at 0.
-    """
-    from pyspark.ml.feature import VectorAssembler
-
-    hour_rows = hours.orderBy("ts").collect()  # the horizon: bounded by its hour count
-    keep = [c for c in sites.columns if c != history_col]
-    hist = F.col(history_col)
-    state = sites.select(
-        *keep,
-        F.coalesce(hist, F.array_repeat(F.lit(0.0), n)).alias(history_col),
-        F.array().cast("array<double>").alias("__preds"),
-    )
-    for i, hr in enumerate(hour_rows, 1):
-        step_cols = {k: F.lit(v) for k, v in hr.asDict().items() if k != "ts"}
-        step_cols.update(
-            {
-                "lag_1": F.element_at(hist, -1),
-                "lag_24": F.element_at(hist, 1),
-                "rolling_mean_24": F.aggregate(hist, F.lit(0.0), lambda a, v: a + v) / F.size(hist),
-            }
-        )
-        # the site's own columns are kept aside: a scorer may overwrite its
-        # inputs (e.g. scaling in place), and the next step needs the originals
-        step = state.withColumn("__keep", F.struct(*[F.col(c) for c in keep])).withColumns(step_cols)
-        scored = score(step)
-        fallback = F.col("__keep")[fallback_col] if fallback_col and fallback_col in keep else F.lit(0.0)
-        pred = F.greatest(F.coalesce(F.col("prediction").cast("double"), fallback, F.lit(0.0)), F.lit(0.0))
-        state = scored.withColumn("__p", pred).select(
-            *[F.col("__keep")[c].alias(c) for c in keep],
-            F.slice(F.concat(hist, F.array(F.col("__p"))), 2, n).alias(history_col),
-            F.concat(F.col("__preds"), F.array(F.col("__p"))).alias("__preds"),
-        )
-        if i % checkpoint_every == 0:
-            state = state.checkpoint(eager=True)
-    stamps = F.array(*[ntz_lit(hr["ts"]) for hr in hour_rows])
-    return state.select(
-        "site_id", F.explode(F.arrays_zip(stamps.alias("ts"), F.col("__preds").alias("pred"))).alias("__z")
-    ).select("site_id", F.col("__z.ts").alias("ts"), F.col("__z.pred").alias("pred"))

@@ -91,14 +91,14 @@ def distinct_sites(df: DataFrame, key: str = "site_id") -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, label: str = "y", pred: str = "prediction") -> DataFrame:
-    """MAE, RMSE, R^2 and row count in one pass (R^2 via sums of squares)."""
+    """MAE, RMSE, R^2 and row count in one pass; the total sum of squares is n times the population variance."""
     e = F.col(pred) - F.col(label)
     y = F.col(label).cast("double")
     return df.agg(
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         (F.sum(e * e)).alias("__sse"),
-        (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)).alias("__sst"),
+        (F.var_pop(y) * F.count(y)).alias("__sst"),
         F.count(F.lit(1)).alias("n_rows"),
     ).select(
         "mae",

@@ -2,13 +2,13 @@
 
 One lazy plan instead of the reference's site-by-site loop:
 
-    counts --P4--> calendar flags --J1 (weather, broadcast)--> J2 (site stats,
-    broadcast) --W1-W4 (chunked row lags)--> cyclic encodings --> 25 columns
+    counts --P4--> W1-W4 (chunked row lags) --> calendar flags --J1 (weather)
+    --J2 (site stats)--> cyclic encodings --> 25 columns
 
 The weather side has one row per hour of the span and the stats side one row
-per site: both are aggregates whose size does not grow with the number of
-events, and AQE re-checks their real size at run time before keeping the
-broadcast. The only shuffles of the big side are the two of ``row_lags``.
+per site. Neither carries a hint: Spark measures them at run time and
+broadcasts a side only below its threshold. A small table of per-(site, bucket)
+moments is written once when the plan is built; the rest is one lazy plan.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velora.functions.calendar import add_cyclic_features, holiday_flag, is_night, is_rush_hour, season
+from velora.functions.calendar import add_cyclic_features, holiday_flag, interval_flag_join, is_night, is_rush_hour, season
 from velora.functions.scalar import rainy, snowy, windy
 from velora.operators.dedupe import last_per_key
 from velora.operators.lags import bucket_of, drop_warmup, row_lags
 from velora.operators.stats import bucket_moments, site_stats_from_buckets
 from velora.functions.calendar import floor_hour
+from velora.session import checkpointed
 
 FEATURE_COLUMNS = [
     "site_id", "hourly_count", "ts", "is_holiday", "is_rush_hour", "is_night", "apparent_temperature",
@@ -52,10 +53,13 @@ def prepare_weather(weather_raw: DataFrame) -> DataFrame:
     )
 
 
-def calendar_flags(df: DataFrame, ts_col: str = "ts") -> DataFrame:
-    """C1-C3 + J9 flags on an hour column."""
+def calendar_flags(df: DataFrame, ts_col: str = "ts", holidays: DataFrame | None = None) -> DataFrame:
+    """C1-C3 + J9 flags on an hour column; ``holidays`` (start_date, end_date) replaces the fixed calendar."""
     t = F.col(ts_col)
-    return df.withColumns({"is_holiday": holiday_flag(t), "is_rush_hour": is_rush_hour(t), "is_night": is_night(t)})
+    out = df.withColumns({"is_rush_hour": is_rush_hour(t), "is_night": is_night(t)})
+    if holidays is not None:
+        return interval_flag_join(out, ts_col, holidays, "is_holiday")
+    return out.withColumn("is_holiday", holiday_flag(t))
 
 
 def build_features(
@@ -63,9 +67,12 @@ def build_features(
     weather_raw: DataFrame,
     stats: DataFrame | None = None,
     chunk_rows: int = 65_536,
+    holidays: DataFrame | None = None,
 ) -> DataFrame:
     """The 25-column feature table, one row per (site, hour) after warm-up.
 
+    ``holidays`` is an optional calendar table (J9) in place of the fixed one.
+
     ``counts`` has (site_id, ts, hourly_count); ``stats`` defaults to A2 over
     all of ``counts`` (the reference's choice; pass ``site_stats_as_of`` to
     avoid the leak into a later test period).
@@ -79,26 +86,20 @@ def build_features(
     # that serve both the lag offsets and the site statistics. They are
     # checkpointed (reliably, in the shared folder) so that the two consumers
     # read one small table instead of each re-aggregating the counts.
-    from velora.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(base.sparkSession)
-    moments = bucket_moments(base, bucket_of("ts")).checkpoint()
+    moments = checkpointed(bucket_moments(base, bucket_of("ts")))
     stats = stats if stats is not None else site_stats_from_buckets(moments)
     weather = prepare_weather(weather_raw)
-    # Lags first, on the three narrow columns: the two shuffles of row_lags
-    # carry 3 columns, not 14, and the warm-up rows are gone before the joins.
+    # Lags first, on the three narrow columns: the shuffles of row_lags carry 3
+    # columns, not 14, and the warm-up rows are gone before the joins.
     lagged = drop_warmup(
         row_lags(
             base, "site_id", ["ts", "hourly_count"], "hourly_count", lags=(1, 24), rolling=24, chunk_rows=chunk_rows,
             bucket_counts=moments,
         )
     )
-    # Weather: one row per hour of the span (bounded by time, not by events) -> broadcast.
-    # Stats: one row per site; no hint, AQE sees its real size after the
-    # aggregate stage and broadcasts it only when it is small.
     joined = (
-        calendar_flags(lagged)
-        .join(F.broadcast(weather), "ts", "left")
+        calendar_flags(lagged, holidays=holidays)
+        .join(weather, "ts", "left")
         .join(stats.select("site_id", "site_mean", "site_std", "site_min", "site_max"), "site_id", "left")
     )
     return add_cyclic_features(joined, "ts").select(*FEATURE_COLUMNS)

@@ -7,7 +7,7 @@ count; everything per site runs as one row per site.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,9 @@ from velora.functions.calendar import add_cyclic_features, floor_hour, hour_grid
 from velora.functions.scalar import rainy, snowy, windy
 from velora.operators.dedupe import last_per_key
 from velora.operators.history import last_values
+from velora.operators.quality import latest_hour
 from velora.operators.recursive import FIXED_SCORER, LinearScorer, linear_fold
+from velora.operators.trees import Ensemble, tree_forecast
 from velora.plans.features import calendar_flags
 
 HOUR_FEATURES = [
@@ -42,7 +44,7 @@ def forecast_start_value(raw: DataFrame, ts_col: str = "ts"):
     reaches the Parquet scan (pushdown, month-partition pruning) instead of a
     comparison against a joined column, which would scan the whole table.
     """
-    return raw.agg(F.max(floor_hour(ts_col)).alias("start")).first()["start"]
+    return latest_hour(raw, ts_col)
 
 
 def _start_frame(spark, start) -> DataFrame:
@@ -58,7 +60,9 @@ def forecast_window(raw: DataFrame, horizon: int = 48) -> DataFrame:
     )
 
 
-def future_features(start, weather_fc: DataFrame, horizon: int = 48, fill_temperature: bool = False) -> DataFrame:
+def future_features(
+    start, weather_fc: DataFrame, horizon: int = 48, fill_temperature: bool = False, holidays: DataFrame | None = None
+) -> DataFrame:
     """M7 (hour part): hours ``(start, start + horizon]`` with calendar, weather and cyclic features.
 
     Weather rows are floored to the hour, the last landed copy per hour kept,
@@ -80,7 +84,7 @@ def future_features(start, weather_fc: DataFrame, horizon: int = 48, fill_temper
     bounds = start.select(F.col("start"), (F.col("start") + F.make_dt_interval(F.lit(0), F.lit(horizon))).alias("end"))
     # one row of bounds attached to the weather horizon (both tiny, bounded by the horizon)
     w = with_one_row(w, bounds).filter((F.col("time") > F.col("start")) & (F.col("time") <= F.col("end")))
-    hf = calendar_flags(hours).join(F.broadcast(w.drop("start", "end")), F.col("ts") == F.col("time"), "left")
+    hf = calendar_flags(hours, holidays=holidays).join(F.broadcast(w.drop("start", "end")), F.col("ts") == F.col("time"), "left")
     hf = hf.withColumns(
         {
             "is_rainy": rainy("rain", null_as_zero=True),
@@ -127,12 +131,11 @@ def recursive_forecast_linear(
     scorer: LinearScorer = FIXED_SCORER,
     horizon: int = 48,
     history_days: int = 30,
-    encoding: DataFrame | None = None,
+    encode=None,
 ) -> DataFrame:
     """M9 with M8(a): (site_id, ts, hourly_count) for every site with history, every horizon hour.
 
-    ``encoding`` (the fitted site target encoding) adds ``site_te`` as a site
-    feature, for scorers converted from a trained linear pipeline.
+    ``encode`` adds a trained model's site encoding to the site rows.
 
     Sites are those with feature rows in the history window (J5); their site
     statistics are left-joined; the hours are one array shared by all sites
@@ -140,15 +143,13 @@ def recursive_forecast_linear(
     """
     start = forecast_start_value(raw)
     if start is None:
-        raise RuntimeError("raw counts are empty; cannot forecast")
+        raise RuntimeError("no count rows: load counts before forecasting")
     hist_rows = history_window(features, start, history_days)
     hist = last_values(hist_rows, "site_id", "ts", "hourly_count", 24)
     if stats is not None:
         hist = hist.join(stats.select("site_id", *SITE_FEATURES), "site_id", "left")
-    if encoding is not None:
-        from velora.plans.training import apply_target_encoding
-
-        hist = apply_target_encoding(hist, encoding, "site_id", "site_te")
+    if encode is not None:
+        hist = encode(hist)
     hf = future_features(start, weather_fc, horizon)
     hours = hf.agg(F.array_sort(F.collect_list(F.struct("ts", *HOUR_FEATURES))).alias("__hours"))
     folded = linear_fold(with_one_row(hist, hours), "__hours", scorer, HOUR_FEATURES)
@@ -157,36 +158,31 @@ def recursive_forecast_linear(
     )
 
 
-def recursive_forecast_model(
+def recursive_forecast_trees(
     features: DataFrame,
     raw: DataFrame,
     weather_fc: DataFrame,
-    score,
+    model: Ensemble,
     stats: DataFrame | None = None,
     horizon: int = 48,
     history_days: int = 30,
-    checkpoint_every: int = 4,
-    encoding: DataFrame | None = None,
+    encode=None,
+    scale: Mapping[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
-    """M9 with M8(b): the same inputs as the linear form, scored step by step by
-    ``score`` (a frame -> frame-with-``prediction`` function, e.g. ``make_scorer``).
-
-    ``encoding`` joins the site target encoding once, before the steps, instead
-    of letting the scorer join it at every step."""
-    from velora.operators.recursive import model_steps
+    """M9 with M8(b): the same inputs as the linear form, scored by a tree ensemble.
 
+    ``encode`` adds the model's site encoding to the site rows; ``scale`` is its scaler.
+    """
     start = forecast_start_value(raw)
     if start is None:
-        raise RuntimeError("raw counts are empty; cannot forecast")
+        raise RuntimeError("no count rows: load counts before forecasting")
     hist = last_values(history_window(features, start, history_days), "site_id", "ts", "hourly_count", 24)
     if stats is not None:
         hist = hist.join(stats.select("site_id", *SITE_FEATURES), "site_id", "left")
-    if encoding is not None:
-        from velora.plans.training import apply_target_encoding
-
-        hist = apply_target_encoding(hist, encoding, "site_id", "site_te")
+    if encode is not None:
+        hist = encode(hist)
     hours = future_features(start, weather_fc, horizon)
-    out = model_steps(hist, hours, score, checkpoint_every=checkpoint_every)
+    out = tree_forecast(hist, hours, model, scale)
     return out.select("site_id", "ts", F.col("pred").alias("hourly_count"))
 
 
@@ -195,8 +191,3 @@ def stamp_forecast(forecast: DataFrame, generated_at, model_uri: str) -> DataFra
     return forecast.withColumns(
         {"generated_at": ntz_lit(generated_at), "model_uri": F.lit(model_uri)}
     )
-
-
-def model_input_columns(features: DataFrame, target: str = "hourly_count") -> Sequence[str]:
-    """Feature list = all feature-table columns except the target (and the stamp)."""
-    return [c for c in features.columns if c not in (target, "ts")]

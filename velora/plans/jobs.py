@@ -1,4 +1,4 @@
-"""Whole jobs over stored tables (M5, M9, M10 + K4/K7, I3 + K3).
+"""Whole jobs over stored tables (M4-M6, M9, M10 + K4/K6/K7, I1-I3 + K2/K3, K8, W9).
 
 Each job reads Parquet tables, runs one lazy plan and writes its result;
 paths are parameters (shared storage on a cluster). Large tables are written
@@ -7,18 +7,24 @@ partitioned by month of ``ts`` so later time filters prune files.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velora.functions.calendar import ntz_lit
 
 from velora.operators import quality as q
-from velora.operators.stats import regression_metrics, site_stats
-from velora.plans.features import build_features
-from velora.plans.forecast import forecast_start_value, recursive_forecast_linear, recursive_forecast_model, stamp_forecast
+from velora.operators.dedupe import last_per_key
 from velora.operators.recursive import FIXED_SCORER, LinearScorer
+from velora.operators.stats import site_stats
+from velora.plans.features import build_features
+from velora.plans.forecast import forecast_start_value, recursive_forecast_linear, recursive_forecast_trees, stamp_forecast
+from velora.plans.forecaster import ENCODED, Forecaster, fit_forecaster, load_forecaster, save_forecaster
+from velora.plans.sites import site_dimension
+from velora.plans.training import append_run, best_run, get_pointer, latest_run, run_record, set_pointer
 from velora.sinks import tables as sk
-from velora.streaming.incremental import weather_horizon
+from velora.streaming.incremental import update_counts_from_pages, weather_gap, weather_horizon
 
 
 def site_features_job(spark: SparkSession, raw_path: str, out_path: str) -> None:
@@ -36,7 +42,7 @@ def feature_table_job(
     stats = spark.read.parquet(stats_path) if stats_path else None
     feats = build_features(raw, weather, stats)
     if by_month:
-        sk.overwrite(sk.with_month(feats), out_path, ["month"])
+        sk.write_by_month(feats, out_path)
     else:
         sk.overwrite(feats, out_path)
 
@@ -46,6 +52,42 @@ def weather_forecast_job(spark: SparkSession, raw_path: str, landed_forecast: Da
     sk.overwrite(weather_horizon(spark.read.parquet(raw_path), landed_forecast, horizon_hours), out_path)
 
 
+def training_job(
+    spark: SparkSession,
+    features_path: str,
+    model_path: str,
+    runs_path: str,
+    pointer_path: str,
+    name: str,
+    run_id: str,
+    started_at,
+    kind: str = "gbt",
+    **options,
+) -> Forecaster:
+    """Fit on the stored feature table, save the forecaster, log the run, point ``name`` at it."""
+    f, metrics = fit_forecaster(spark.read.parquet(features_path), kind, **options)
+    f = save_forecaster(f, model_path)
+    append_run(runs_path, run_record(metrics, name, run_id, started_at, model_path))
+    set_pointer(pointer_path, spark.read.parquet(runs_path).filter(F.col("run_id") == run_id), started_at)
+    return f
+
+
+def evaluate_model(spark: SparkSession, model_path: str, data: DataFrame, label: str = "hourly_count") -> DataFrame:
+    """M5: load a saved forecaster and score a feature table as it is; A17 metrics."""
+    return load_forecaster(spark, model_path).evaluate(data, label)
+
+
+def choose_model(spark: SparkSession, runs_path: str, pointer_path: str, name: str, by: str = "pointer") -> str:
+    """The model folder of ``name`` by its pointer, its latest run or its best run."""
+    if by == "pointer":
+        return get_pointer(spark.read.parquet(pointer_path), name)["model_uri"]
+    runs = spark.read.parquet(runs_path).filter(F.col("name") == name)
+    row = {"latest": latest_run, "best": best_run}[by](runs).first()
+    if row is None:
+        raise KeyError(f"no run of {name!r} is logged")
+    return row["model_uri"]
+
+
 def forecast_job(
     spark: SparkSession,
     raw_path: str,
@@ -53,18 +95,18 @@ def forecast_job(
     weather_fc_path: str,
     forecast_path: str,
     generated_at,
-    scorer: LinearScorer = FIXED_SCORER,
-    model_uri: str = "linear:fixed",
+    scorer: LinearScorer | None = None,
+    model_path: str | None = None,
     horizon: int = 48,
     history_days: int = 30,
     stats_path: str | None = None,
-    score=None,
 ) -> str:
-    """M9: checks (Q1, Q3, Q4), history, horizon features, recursion, upsert (K5).
+    """M9: checks (Q1, Q3-Q5), history, horizon features, recursion, upsert (K5).
 
-    With ``score`` (a fitted model's scoring function) the recursion is M8(b);
-    otherwise the linear ``scorer`` runs as the single-pass fold M8(a).
-    Returns the path of the new forecast table version.
+    ``model_path`` (see ``choose_model``) names a saved forecaster: a linear one
+    runs as the fold M8(a), a tree one as M8(b). Without it the given, or a
+    fixed, linear scorer runs. Returns the folder of the new forecast version,
+    which ``current_version`` finds again.
     """
     raw = spark.read.parquet(raw_path)
     feats = spark.read.parquet(features_path)
@@ -76,16 +118,51 @@ def forecast_job(
     q.require_rows(window, "weather forecast for the horizon")
     q.require_values(window, "apparent_temperature", "weather forecast for the horizon")
     stats = spark.read.parquet(stats_path) if stats_path else site_stats(raw)
-    if score is not None:
-        fc = recursive_forecast_model(feats.drop("month"), raw, wfc, score, stats, horizon, history_days)
+    if model_path is None:
+        fc = recursive_forecast_linear(feats, raw, wfc, stats, scorer or FIXED_SCORER, horizon, history_days)
     else:
-        fc = recursive_forecast_linear(feats.drop("month"), raw, wfc, stats, scorer, horizon, history_days)
-    return sk.upsert_to_new_version(spark, forecast_path, stamp_forecast(fc, generated_at, model_uri), ["site_id", "ts"])
-
-
-def evaluate_model(spark: SparkSession, model_path: str, data: DataFrame, label: str = "hourly_count") -> DataFrame:
-    """M5: load a saved pipeline, score ``data`` (already encoded and scaled), return A17 metrics."""
-    from velora.plans.training import load_model
-
-    model = load_model(model_path)
-    return regression_metrics(model.transform(data), label, "prediction")
+        f = load_forecaster(spark, model_path)
+        q.require_columns(feats, [c for c in f.cols if c != ENCODED])
+        if f.kind == "linear":
+            fc = recursive_forecast_linear(feats, raw, wfc, stats, f.linear_scorer(), horizon, history_days, encode=f.encode)
+        else:
+            fc = recursive_forecast_trees(feats, raw, wfc, f.trees(), stats, horizon, history_days, encode=f.encode, scale=f.scaler)
+    return sk.upsert_to_new_version(spark, forecast_path, stamp_forecast(fc, generated_at, model_path or "linear:fixed"), ["site_id", "ts"])
+
+
+def site_dimension_job(spark: SparkSession, raw: DataFrame, sites_path: str) -> str:
+    """K6: upsert the sites of new raw rows into the stored dimension; sites that left raw stay."""
+    new = site_dimension(raw)
+    current = sk.current_version(spark, sites_path)
+    out = f"{sites_path.rstrip('/')}_v{uuid.uuid4().hex[:12]}"
+    table = sk.upsert(spark.read.parquet(current), new, ["site_id"]) if current else new
+    table.write.mode("overwrite").parquet(out)
+    sk.write_small_json(spark.createDataFrame([(out,)], "version string"), f"{sites_path.rstrip('/')}_current")
+    return out
+
+
+def weather_gap_load(spark: SparkSession, raw: DataFrame, landed_weather: DataFrame, weather_path: str) -> int:
+    """I2 + K2: append the landed weather hours of the gap; returns how many. Unparsed stamps (Q6) are an error."""
+    bad = q.count_unparsed(landed_weather, "time")
+    if bad:
+        raise ValueError(f"{bad} weather rows have no readable time")
+    stored = spark.read.parquet(weather_path) if sk.path_exists(spark, weather_path) else landed_weather.limit(0)
+    gap = weather_gap(raw, stored).first()
+    if gap is None:
+        return 0
+    day = F.to_date("time")
+    rows = last_per_key(landed_weather.filter(day.between(F.lit(gap["start_day"]), F.lit(gap["end_day"]))), ["time"], ["ingest_seq"])
+    return sk.append(rows, weather_path)
+
+
+def update_job(
+    spark: SparkSession, pages_path: str, landed_weather: DataFrame, landed_forecast: DataFrame, raw_path: str, weather_path: str,
+    forecast_weather_path: str, sites_path: str, horizon_hours: int = 168,
+) -> dict[str, int]:
+    """I1 + I2 + I3 + K6: new counts, the weather of their days, the forecast weather and the sites they name."""
+    counts = update_counts_from_pages(spark, pages_path, raw_path)
+    raw = spark.read.parquet(raw_path)
+    weather = weather_gap_load(spark, raw, landed_weather, weather_path)
+    weather_forecast_job(spark, raw_path, landed_forecast, forecast_weather_path, horizon_hours)
+    site_dimension_job(spark, raw, sites_path)
+    return {"counts": counts, "weather": weather}

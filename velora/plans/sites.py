@@ -14,10 +14,10 @@ def site_dimension(raw: DataFrame) -> DataFrame:
 
     Two names for one id keep the row with the latest stamp (the reference
     would fail on such a batch). A blank coordinate gives NULL lat/lon.
-    One hash aggregate on ``site_id`` with partial combine.
     """
     located = raw.filter(F.col("coordinates").isNotNull()).select("site_id", "site_name", "coordinates", "ts")
-    latest = last_per_key(located, ["site_id"], ["ts", "site_name", "coordinates"])
+    newest = located.groupBy("site_id").agg(F.max("ts").alias("ts"))  # hash aggregate; few rows are left for the next
+    latest = last_per_key(located.join(newest, ["site_id", "ts"], "left_semi"), ["site_id"], ["ts", "site_name", "coordinates"])
     return latest.select(
         "site_id",
         "site_name",

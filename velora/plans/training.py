@@ -1,21 +1,20 @@
-"""Model training and registry.
+"""Split, encoding, scaling and run log.
 
 * M3/W11 ``chrono_split``: the last ``int(n * ratio)`` rows in (ts, site_id)
-  order are the test set, found without a global window over rows: rows are
-  counted per hour (one row per distinct hour), the cut hour is located on
-  that small table, and only the rows of the cut hour are ranked.
+  order are the test set. Rows are counted per hour, the cut is located on that
+  small table and applied as a literal predicate.
 * M1 ``fit_target_encoding``: smoothed per-site target mean,
   ``prior*(1-l) + mean*l`` with ``l = 1/(1+exp(-(n-k)/f))``; a site seen once
   or never gets the prior.
 * M2 ``fit_scaler``: mean and population deviation per column on the train
   rows (zero deviation scales by 1).
-* M4 ``train_model``: VectorAssembler + GBTRegressor (or LinearRegression),
-  fitted on the train rows; metrics (A17) on the test rows.
+* M4-M6 are in ``plans/forecaster.py``.
 * M11/K8: ``model_runs`` rows (run id, start, uri, metrics map) and W9 picks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -25,37 +24,51 @@ from velora.operators.one_row import with_one_row
 
 from velora.functions.calendar import ntz_lit
 
-from velora.operators.stats import regression_metrics
 
 # Target-encoding smoothing parameters (the public defaults of the usual encoder).
 TE_MIN_SAMPLES = 20
 TE_SMOOTHING = 10.0
-# Gradient-boosting parameters of the reference job.
-GBT_ROUNDS = 500
-GBT_STEP = 0.05
-GBT_SEED = 42
+
+
+def split_point(df: DataFrame, ratio: float, ts: str = "ts", tie: str = "site_id"):
+    """M3: (cut hour, smallest test ``tie`` in it) of the last ``int(n * ratio)`` rows; (None, None) if that is 0 rows.
+
+    One pass counts the rows per hour; days, then the hours of one day, are
+    walked on that small stored table, and only the rows of the cut hour are
+    looked at one by one.
+    """
+    from velora.session import checkpointed
+
+    per_ts = checkpointed(df.groupBy(ts).agg(F.count(F.lit(1)).alias("c")).withColumn("day", F.to_date(ts)))
+    k = math.floor((per_ts.agg(F.sum("c")).first()[0] or 0) * ratio)
+    if k <= 0:
+        return None, None
+
+    def last_at(rows: DataFrame, key: str, wanted: int):
+        """The latest ``key`` from which on there are ``wanted`` rows or more, and the rows after it."""
+        w = Window.orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        after = rows.withColumn("after", F.coalesce(F.sum("c").over(w), F.lit(0)))
+        r = after.filter((F.col("after") < wanted) & (F.col("after") + F.col("c") >= wanted)).first()
+        return r[key], r["after"]
+
+    day, after_day = last_at(per_ts.groupBy("day").agg(F.sum("c").alias("c")), "day", k)  # one row per day of the span
+    cut, after = last_at(per_ts.filter(F.col("day") == F.lit(day)), ts, k - after_day)
+    inside = df.filter(F.col(ts) == ntz_lit(cut)).select(tie).orderBy(F.col(tie).desc()).limit(k - after_day - after)
+    return cut, inside.agg(F.min(tie)).first()[0]
 
 
 def chrono_split(df: DataFrame, ratio: float = 0.1, ts: str = "ts", tie: str = "site_id") -> DataFrame:
-    """Add ``is_test``: true for the last ``int(n * ratio)`` rows by (ts, tie).
+    """Add ``is_test``: true for the last ``int(n * ratio)`` rows by (ts, tie), which make a row unique.
 
-    A test size of 0 keeps every row in train.
+    The cut is found first (``split_point``) and applied as one literal
+    predicate: no join, no window over rows. A test size of 0 keeps every row
+    in train.
     """
-    per_ts = df.groupBy(ts).agg(F.count(F.lit(1)).alias("__c"))
-    # running count of rows strictly after each hour; the table has one row per
-    # distinct hour (bounded by the time span), so one ordered window is cheap.
-    w = Window.orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    total = per_ts.agg(F.sum("__c").alias("__n")).select(F.floor(F.col("__n") * F.lit(ratio)).cast("long").alias("__k"))
-    after = per_ts.withColumn("__after", F.coalesce(F.sum("__c").over(w), F.lit(0)))
-    after = with_one_row(after, total)
-    marked = df.join(F.broadcast(after), ts)
-    # rows of the cut hour: rank from the end inside the hour (ties by `tie` desc)
-    w_in = Window.partitionBy(ts).orderBy(F.col(tie).desc())
-    cut = (F.col("__after") < F.col("__k")) & (F.col("__after") + F.col("__c") > F.col("__k"))
-    inside = marked.filter(cut).withColumn("__r", F.row_number().over(w_in) - 1)
-    inside = inside.withColumn("is_test", F.col("__after") + F.col("__r") < F.col("__k"))
-    whole = marked.filter(~cut).withColumn("is_test", F.col("__after") + F.col("__c") <= F.col("__k"))
-    return whole.unionByName(inside.drop("__r")).drop("__c", "__after", "__k")
+    cut, first = split_point(df, ratio, ts, tie)
+    if cut is None:
+        return df.withColumn("is_test", F.lit(False))
+    t = F.col(ts)
+    return df.withColumn("is_test", (t > ntz_lit(cut)) | ((t == ntz_lit(cut)) & (F.col(tie) >= F.lit(first))))
 
 
 def fit_target_encoding(
@@ -114,88 +127,6 @@ def linear_prediction(df: DataFrame, intercept: float, coefs: Mapping[str, float
     return df.withColumn(out, F.greatest(s, F.lit(0.0)) if clip else s)
 
 
-def prepare_training_frame(features: DataFrame, ratio: float = 0.1, target_col: str = "site_id") -> tuple[DataFrame, list[str]]:
-    """Split, target-encode the site on train rows, cast booleans: returns (frame, numeric feature list)."""
-    from velora.operators.quality import infer_feature_columns
-
-    split = chrono_split(features, ratio)
-    numeric = infer_feature_columns(features, "hourly_count", target_encode=[target_col], exclude=["ts"])
-    enc = fit_target_encoding(split.filter(~F.col("is_test")), target_col, "hourly_count")
-    framed = apply_target_encoding(split, enc, target_col, "site_te")
-    framed = framed.withColumns({c: F.col(c).cast("double") for c in numeric})
-    return framed, ["site_te", *numeric]
-
-
-def train_on_frame(
-    framed: DataFrame,
-    cols: Sequence[str],
-    kind: str = "gbt",
-    rounds: int = GBT_ROUNDS,
-    step: float = GBT_STEP,
-    max_depth: int = 5,
-    seed: int = GBT_SEED,
-    scale: bool = True,
-):
-    """M4 on a prepared frame (``is_test`` + encoded columns).
-
-    Returns (PipelineModel, metrics DataFrame, scaler parameters or None).
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, LinearRegression
-
-    train = framed.filter(~F.col("is_test"))
-    test = framed.filter(F.col("is_test"))
-    sc = None
-    if scale:
-        sc = scaler_params(fit_scaler(train, cols))  # a fitted artifact: one entry per column
-        train = apply_scaler(train, sc, cols)
-        test = apply_scaler(test, sc, cols)
-    assembler = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
-    if kind == "gbt":
-        est = GBTRegressor(labelCol="hourly_count", maxIter=rounds, stepSize=step, maxDepth=max_depth, seed=seed)
-    elif kind == "linear":
-        est = LinearRegression(labelCol="hourly_count", solver="normal")
-    else:
-        raise ValueError(f"unknown model kind {kind}")
-    model = Pipeline(stages=[assembler, est]).fit(train.fillna(0.0, subset=list(cols)))
-    preds = model.transform(test.fillna(0.0, subset=list(cols)))
-    return model, regression_metrics(preds, "hourly_count", "prediction"), sc
-
-
-def train_model(features: DataFrame, kind: str = "gbt", ratio: float = 0.1, **kw):
-    """M4: split, encode, fit on the train rows, evaluate on the test rows.
-
-    The prepared frame is checkpointed once (reliable, shared folder) so the
-    fit's many passes read it instead of recomputing the feature plan.
-    Returns (PipelineModel, metrics DataFrame, feature list).
-    """
-    framed, cols = prepare_training_frame(features, ratio)
-    framed = framed.checkpoint()
-    model, metrics, _ = train_on_frame(framed, cols, kind=kind, **kw)
-    return model, metrics, cols
-
-
-def save_model(model, path: str) -> None:
-    """M6."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str):
-    """M6."""
-    from pyspark.ml import PipelineModel
-
-    return PipelineModel.load(path)
-
-
-def feature_importances(spark, model, names: Sequence[str], top_n: int = 10) -> DataFrame:
-    """T4: the tree model's importances by feature name, top ``n`` (a top-k report)."""
-    est = model.stages[-1]
-    imp = est.featureImportances.toArray().tolist()
-    rows = [(names[i] if i < len(names) else f"feature_{i}", float(v)) for i, v in enumerate(imp)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(top_n)
-
-
 def run_record(metrics: DataFrame, name: str, run_id: str, started_at, model_uri: str) -> DataFrame:
     """One ``model_runs`` row from a metrics frame (metrics as a map)."""
     return metrics.select(
@@ -227,65 +158,20 @@ def current_pointer(runs: DataFrame, name: str) -> DataFrame:
     return latest_run(runs.filter(F.col("name") == F.lit(name)))
 
 
-def make_scorer(model, enc: DataFrame, scaler, cols: Sequence[str]):
-    """A frame -> frame-with-``prediction`` function for M8(b): encode, scale, transform.
-
-    Casting, scaling and NULL filling are one projection, so each horizon step
-    adds few plan nodes.
-    """
-    params = scaler if isinstance(scaler, dict) or scaler is None else scaler_params(scaler)
-
-    def score(df: DataFrame) -> DataFrame:
-        x = apply_target_encoding(df, enc, "site_id", "site_te") if "site_te" not in df.columns else df
-        exprs = {}
-        for c in cols:
-            v = F.col(c).cast("double")
-            if params is not None:
-                mean, std = params.get(c, (None, None))
-                v = (v - F.lit(0.0 if mean is None else float(mean))) / F.lit(1.0 if not std else float(std))
-            exprs[c] = F.coalesce(v, F.lit(0.0))
-        return model.transform(x.withColumns(exprs))
-
-    return score
-
-
-def fit_forecaster(features: DataFrame, kind: str = "linear", ratio: float = 0.1, **kw):
-    """Train on the feature table; return (score function, metrics, feature list, encoder) for M8(b).
-
-    The encoder and scaler are small fitted tables, checkpointed once so the
-    horizon steps read them instead of recomputing their lineage.
-    """
-    framed, cols = prepare_training_frame(features, ratio)
-    framed = framed.checkpoint()
-    enc = fit_target_encoding(framed.filter(~F.col("is_test")), "site_id", "hourly_count").checkpoint()
-    model, metrics, sc = train_on_frame(framed, cols, kind=kind, **kw)
-    return make_scorer(model, enc, sc, cols), metrics, cols, enc
-
-
-def fit_linear_forecaster(features: DataFrame, ratio: float = 0.1) -> dict:
-    """Fit the linear pipeline and return its parts: ``model``, ``scaler`` (dict),
-    ``encoding`` (site table), ``cols``, ``metrics`` and the fold ``scorer``
-    (exact conversion for M8 a)."""
-    from velora.operators.recursive import scorer_from_linear_model
-
-    framed, cols = prepare_training_frame(features, ratio)
-    framed = framed.checkpoint()
-    enc = fit_target_encoding(framed.filter(~F.col("is_test")), "site_id", "hourly_count").checkpoint()
-    model, metrics, sc = train_on_frame(framed, cols, kind="linear")
-    return {
-        "model": model,
-        "scaler": sc,
-        "encoding": enc,
-        "cols": cols,
-        "metrics": metrics,
-        "scorer": scorer_from_linear_model(model, cols, sc),
-        "score": make_scorer(model, enc, sc, cols),
-    }
-
-
 def get_pointer(runs: DataFrame, name: str):
     """K8 read as a value: the current pointer row for ``name``; a missing name raises."""
     row = current_pointer(runs, name).first()
     if row is None:
         raise KeyError(f"no model pointer named {name!r}")
     return row
+
+
+def append_run(runs_path: str, record: DataFrame) -> None:
+    """Add one run to the stored run log."""
+    record.write.mode("append").parquet(runs_path)
+
+
+def set_pointer(pointer_path: str, run: DataFrame, set_at) -> None:
+    """K8: point a name at a run (one row per change; the latest counts)."""
+    row = run.select("name", "run_id", "model_uri", ntz_lit(set_at).alias("started_at"))
+    row.write.mode("append").parquet(pointer_path)

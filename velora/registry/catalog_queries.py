@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from velora.operators import stats as st
 from velora.plans.features import FEATURE_COLUMNS, build_features, calendar_flags, prepare_weather
+from velora.functions.calendar import ntz_lit
 from velora.registry import sql_parts as S
 from velora.registry.queries import finalize, register
 from velora.sources import tables as tb
@@ -30,15 +31,22 @@ def _materialised(spark, sf, name, build):
 
     from velora.session import shared_scratch_path
 
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), _input_state(spark, f"{sf.rstrip('/')}/events.parquet"), name)
     if key not in _MEMO:
-        tag = hashlib.sha1(sf.rstrip("/").encode()).hexdigest()[:12]
+        tag = hashlib.sha1(repr(key[1:3]).encode()).hexdigest()[:12]
         path = shared_scratch_path(spark, f"velora-base/{key[0]}/{tag}/{name}")
         build().write.mode("overwrite").parquet(path)
         _MEMO[key] = spark.read.parquet(path)
     return _MEMO[key]
 
 
+def _input_state(spark, path):
+    """Length and time of the last change of the input, so that changed input is never answered from old base tables."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+
+
 def _counts(spark, sf):
     return _materialised(spark, sf, "counts", lambda: tb.counts(spark, sf))
 
@@ -60,6 +68,7 @@ def materialise(spark, sf):
     _counts_wide(spark, sf)
     _wide_features(spark, sf)
     _forecast(spark, sf)
+    _sites(spark, sf)
 
 
 def _counts_wide(spark, sf):
@@ -111,7 +120,8 @@ def _raw(spark, sf):
 
 
 def _sites(spark, sf):
-    return site_dimension(_raw(spark, sf))
+    """The stored site dimension (serving queries read it); ``sites_dimension`` itself recomputes it."""
+    return _materialised(spark, sf, "sites", lambda: site_dimension(_raw(spark, sf)))
 
 
 def _forecast_fresh(spark, sf):
@@ -138,7 +148,7 @@ CHAIN = S.with_(*S.forecast_chain())
 register("raw_clean", CHAIN + "SELECT * FROM raw")(lambda spark, sf: _raw(spark, sf))
 
 register("sites_dimension", S.round_all(CHAIN + "SELECT * FROM sites", ["latitude", "longitude"]))(
-    lambda spark, sf: finalize(_sites(spark, sf))
+    lambda spark, sf: finalize(site_dimension(_raw(spark, sf)))
 )
 
 register(
@@ -217,7 +227,7 @@ _SITE = 100056790
 register(
     "site_series",
     S.round_all(CHAIN + f"SELECT ts, hourly_count FROM geo WHERE site_id = {_SITE}", ["hourly_count"]),
-)(lambda spark, sf: finalize(sv.site_series(_geo(spark, sf), _SITE)))
+)(lambda spark, sf: finalize(sv.site_series(_forecast(spark, sf), _SITE)))
 
 register(
     "trends",
@@ -283,6 +293,7 @@ FROM fc f LEFT JOIN href h ON f.site_id = h.site_id AND f.ts = h.ts""",
 from velora.operators import analytics as an  # noqa: E402
 
 FEAT = S.with_(S.COUNTS, S.features())
+_WIDE_FEAT = S.with_(S.COUNTS_WIDE, S.features("counts_wide"))
 
 register("mean_by_hour", S.round_all(FEAT + "SELECT CAST(hour(ts) AS INTEGER) AS hour, avg(hourly_count) AS mean_count, count(*) AS n FROM features GROUP BY 1", ["mean_count"]))(
     lambda spark, sf: finalize(an.mean_by_hour(_features(spark, sf)))
@@ -302,9 +313,6 @@ register(
     S.round_all(_dims_sql({"is_rainy": "is_rainy", "is_snowy": "is_snowy", "is_windy": "is_windy"}), ["mean_count"]),
 )(lambda spark, sf: finalize(an.mean_by_weather(_features(spark, sf))))
 
-_WIDE_FEAT = S.with_(S.COUNTS_WIDE, S.features("counts_wide"))
-
-
 def _dims_sql_wide(dims):
     parts = [
         f"SELECT '{name}' AS dimension, CAST({expr} AS VARCHAR) AS value, avg(hourly_count) AS mean_count, count(*) AS n FROM features GROUP BY 2"
@@ -343,7 +351,7 @@ register(
 )(lambda spark, sf: finalize(an.temperature_bins(_features(spark, sf))))
 
 
-def _corr_sql() -> str:
+def _corr_sql(where: str = "true") -> str:
     cols = an.CORR_COLUMNS
     num = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
     var = ", ".join(f"count(DISTINCT {c}) > 1 AS v_{c}" for c in cols)
@@ -354,9 +362,9 @@ def _corr_sql() -> str:
             parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {r} AS r FROM num HAVING (SELECT v_{a} AND v_{b} FROM var)")
     body = "\nUNION ALL\n".join(parts)
     return (
-        FEAT[:-1]
+        _WIDE_FEAT[:-1]
         + f""",
-num AS (SELECT {num} FROM features WHERE hourly_count IS NOT NULL AND apparent_temperature IS NOT NULL),
+num AS (SELECT {num} FROM features WHERE hourly_count IS NOT NULL AND apparent_temperature IS NOT NULL AND {where}),
 var AS (SELECT {var} FROM num)
 SELECT col_a, col_b, CASE WHEN isnan(r) OR r IS NULL THEN 0.0 ELSE r END AS r FROM (
 {body}
@@ -365,7 +373,25 @@ SELECT col_a, col_b, CASE WHEN isnan(r) OR r IS NULL THEN 0.0 ELSE r END AS r FR
 
 
 register("correlation_matrix", S.round_all(_corr_sql(), ["r"]))(
-    lambda spark, sf: finalize(an.correlation_matrix(_features(spark, sf)))
+    lambda spark, sf: finalize(an.correlation_matrix(_wide_features(spark, sf)))
+)
+# a served window, over rows whose rain flag is NULL on every third day
+register(
+    "correlation_window",
+    S.round_all(
+        _corr_sql("ts >= TIMESTAMP '2024-10-01' AND ts <= TIMESTAMP '2025-06-30'").replace(
+            "CAST(is_rainy AS DOUBLE) AS is_rainy", "CASE WHEN day(ts) % 3 <> 0 THEN CAST(is_rainy AS DOUBLE) END AS is_rainy"
+        ),
+        ["r"],
+    ),
+)(
+    lambda spark, sf: finalize(
+        an.correlation_matrix(
+            _wide_features(spark, sf).withColumn("is_rainy", F.when(F.dayofmonth("ts") % 3 != 0, F.col("is_rainy"))),
+            start="2024-10-01 00:00:00",
+            end="2025-06-30 00:00:00",
+        )
+    )
 )
 
 
@@ -379,15 +405,31 @@ def _pearson_sql():
             f"count(CASE WHEN {both} THEN 1 END) AS n FROM features"
         )
     return (
-        FEAT
+        _WIDE_FEAT
         + "SELECT variable, r, n, CASE WHEN abs(r) < 1 THEN r * sqrt((n - 2) / (1.0 - r * r)) END AS t FROM (\n"
         + "\nUNION ALL\n".join(parts)
         + "\n) WHERE n > 1"
     )
 
 
-register("pearson_tests", S.round_all(_pearson_sql(), ["r", "t"]))(lambda spark, sf: finalize(an.pearson_tests(_features(spark, sf))))
-register("pearson_pvalues")(lambda spark, sf: finalize(an.pearson_with_p(_features(spark, sf))))
+register("pearson_tests", S.round_all(_pearson_sql(), ["r", "t"]))(lambda spark, sf: finalize(an.pearson_tests(_wide_features(spark, sf))))
+
+def _t_pvalue_sql(t: str, dof: str) -> str:
+    """Two-sided p by Simpson's rule on the density between 0 and |t| (2000 steps)."""
+    h = f"(abs({t}) / 2000.0)"
+    f = f"exp(-(({dof}) + 1) / 2.0 * ln(1 + pow({h} * i, 2) / ({dof})))"
+    area = f"list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f})) * {h} / 3"
+    scale = f"exp(lgamma((({dof}) + 1) / 2.0) - lgamma(({dof}) / 2.0)) / sqrt(({dof}) * pi())"
+    return f"greatest(1.0 - 2.0 * {scale} * {area}, 0.0)"
+
+
+register(
+    "pearson_pvalues",
+    S.round_all(
+        f"SELECT variable, r, n, t, n - 2 AS df, CASE WHEN abs(r) >= 1 THEN 0.0 ELSE {_t_pvalue_sql('t', 'n - 2')} END AS p_value FROM ({_pearson_sql()})",
+        ["r", "t", "p_value"],
+    ),
+)(lambda spark, sf: finalize(an.pearson_with_p(_wide_features(spark, sf))))
 
 
 def _ttest_sql():
@@ -401,7 +443,7 @@ def _ttest_sql():
             f"var_samp({g0}) AS v0, var_samp({g1}) AS v1 FROM features"
         )
     return (
-        FEAT
+        _WIDE_FEAT
         + """SELECT flag, n0, n1, mean0, mean1,
   CASE WHEN se > 0 THEN (mean0 - mean1) / se END AS t, n0 + n1 - 2 AS df FROM (
   SELECT *, sqrt(((n0 - 1) * coalesce(v0, 0.0) + (n1 - 1) * coalesce(v1, 0.0)) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) AS se FROM (
@@ -412,9 +454,12 @@ def _ttest_sql():
 
 
 register("ttests", S.round_all(_ttest_sql(), ["mean0", "mean1", "t"]))(
-    lambda spark, sf: finalize(an.two_sample_tests(_features(spark, sf)))
+    lambda spark, sf: finalize(an.two_sample_tests(_wide_features(spark, sf)))
 )
-register("ttest_pvalues")(lambda spark, sf: finalize(an.two_sample_with_p(_features(spark, sf))))
+register(
+    "ttest_pvalues",
+    S.round_all(f"SELECT *, {_t_pvalue_sql('t', 'df')} AS p_value FROM ({_ttest_sql()})", ["mean0", "mean1", "t", "p_value"]),
+)(lambda spark, sf: finalize(an.two_sample_with_p(_wide_features(spark, sf))))
 
 
 def _chi2_sql():
@@ -433,20 +478,30 @@ def _chi2_sql():
             e[(i, j)] = f"((o{i}0 + o{i}1) * (o0{j} + o1{j}) / CAST(o00 + o01 + o10 + o11 AS DOUBLE))"
     chi = " + ".join(f"pow(greatest(abs(o{i}{j} - {e[(i, j)]}) - 0.5, 0.0), 2) / {e[(i, j)]}" for (i, j) in e)
     return (
-        FEAT
+        _WIDE_FEAT
         + f"SELECT var_a, var_b, o00, o01, o10, o11, {chi} AS chi2, 1 AS df FROM (\n"
         + "\nUNION ALL\n".join(parts)
         + "\n) WHERE o00 + o01 > 0 AND o10 + o11 > 0 AND o00 + o10 > 0 AND o01 + o11 > 0"
     )
 
 
-register("chi_square", S.round_all(_chi2_sql(), ["chi2"]))(lambda spark, sf: finalize(an.chi_square_tests(_features(spark, sf))))
-register("chi_square_pvalues")(lambda spark, sf: finalize(an.chi_square_with_p(_features(spark, sf))))
+register("chi_square", S.round_all(_chi2_sql(), ["chi2"]))(lambda spark, sf: finalize(an.chi_square_tests(_wide_features(spark, sf))))
+
+def _chi2_pvalue_sql() -> str:
+    """One degree of freedom: twice the normal tail beyond sqrt(chi2), by Simpson's rule from 0."""
+    h = "(sqrt(chi2) / 2000.0)"
+    area = f"list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow({h} * i, 2) / 2))) * {h} / 3"
+    return f"greatest(1.0 - 2.0 * {area} / sqrt(2 * pi()), 0.0)"
+
+
+register(
+    "chi_square_pvalues", S.round_all(f"SELECT *, {_chi2_pvalue_sql()} AS p_value FROM ({_chi2_sql()})", ["chi2", "p_value"])
+)(lambda spark, sf: finalize(an.chi_square_with_p(_wide_features(spark, sf))))
 
 # --- M1-M4, A17, W9, M8(b) ------------------------------------------------------
 
 from velora.operators.quality import infer_feature_columns  # noqa: E402
-from velora.operators.recursive import FIXED_SCORER, model_steps  # noqa: E402
+from velora.operators.recursive import FIXED_SCORER, LinearScorer  # noqa: E402
 from velora.operators.stats import regression_metrics  # noqa: E402
 from velora.plans import training as trn  # noqa: E402
 
@@ -526,12 +581,28 @@ register(
 def _runs(spark, sf):
     split = trn.chrono_split(_features(spark, sf), 0.1).filter("is_test")
     t1 = _start(spark, sf)
-    out = None
-    for k, (rid, b, coefs) in enumerate(CANDIDATES, 1):
-        m = regression_metrics(trn.linear_prediction(split, b, coefs), "hourly_count", "prediction")
-        rec = trn.run_record(m, "production", rid, t1 + _td(k), f"fixed:{rid}")
-        out = rec if out is None else out.unionByName(rec)
-    return out
+    # one scan: every candidate's prediction is a row of an exploded array, one aggregate gives all metrics
+    scored = split
+    for rid, b, coefs in CANDIDATES:
+        scored = trn.linear_prediction(scored, b, coefs, out=f"__{rid}")
+    each = [F.struct(F.lit(k).alias("k"), F.col(f"__{rid}").alias("prediction")) for k, (rid, _, _) in enumerate(CANDIDATES, 1)]
+    long = scored.select("hourly_count", F.explode(F.array(*each)).alias("p")).select("hourly_count", "p.*")
+    e, y = F.col("prediction") - F.col("hourly_count"), F.col("hourly_count").cast("double")
+    m = long.groupBy("k").agg(
+        F.avg(F.abs(e)).alias("mae"),
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.when(F.var_pop(y) > 0, F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"),
+    )
+    rid = F.element_at(F.array(*[F.lit(c[0]) for c in CANDIDATES]), F.col("k"))
+    return m.select(
+        F.lit("production").alias("name"),
+        rid.alias("run_id"),
+        (ntz_lit(t1) + F.make_dt_interval(F.lit(0), F.col("k"))).alias("started_at"),
+        F.concat(F.lit("fixed:"), rid).alias("model_uri"),
+        "mae",
+        "rmse",
+        "r2",
+    )
 
 
 def _runs_sql():
@@ -547,32 +618,161 @@ def _runs_sql():
 _RUNS = FEAT[:-1] + ",\n" + _SPLIT_SQL + ",\n" + _runs_sql() + "\n"
 
 register("model_runs", S.round_all(_RUNS + "SELECT * FROM runs", ["mae", "rmse", "r2"]))(
-    lambda spark, sf: finalize(_runs(spark, sf).drop("metrics"))
+    lambda spark, sf: finalize(_runs(spark, sf))
 )
 register(
     "latest_run",
     S.round_all(_RUNS + "SELECT * FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 1", ["mae", "rmse", "r2"]),
-)(lambda spark, sf: finalize(trn.latest_run(_runs(spark, sf)).drop("metrics")))
+)(lambda spark, sf: finalize(trn.latest_run(_runs(spark, sf))))
 register(
     "best_run",
     S.round_all(_RUNS + "SELECT * FROM runs ORDER BY rmse ASC NULLS LAST, run_id LIMIT 1", ["mae", "rmse", "r2"]),
-)(lambda spark, sf: finalize(trn.best_run(_runs(spark, sf)).drop("metrics")))
+)(lambda spark, sf: finalize(trn.best_run(_runs(spark, sf))))
 
-register("train_linear_metrics")(lambda spark, sf: finalize(trn.train_model(_features(spark, sf), kind="linear")[1]))
+from velora.operators import trees as tr  # noqa: E402
+from velora.plans import forecaster as fr  # noqa: E402
 
+register("train_linear_metrics")(lambda spark, sf: finalize(fr.fit_forecaster(_features(spark, sf), kind="linear")[1]))
 
-def _forecast_model_steps(spark, sf):
-    """M9 with M8(b): the trained linear pipeline applied step by step (rows-only)."""
-    c = _counts(spark, sf)
+
+def _run_folder(spark, name):
+    import uuid
+
+    from velora.session import shared_scratch_path
+
+    return shared_scratch_path(spark, f"velora-runs/{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _saved_pipeline_metrics(spark, sf):
+    """Train on one feature, save, log and point; load what the pointer names and evaluate the test rows."""
+    from velora.plans import jobs
+
+    root = _run_folder(spark, "saved")
     feats = _features(spark, sf)
-    fit = trn.fit_linear_forecaster(feats)
-    out = fc.recursive_forecast_model(
-        feats, c, tb.weather_forecast(c), fit["score"], st.site_stats(c), 48, 30, checkpoint_every=4, encoding=fit["encoding"]
+    feats.write.parquet(f"{root}/features")
+    for k, (run, col) in enumerate((("run-1", "lag_24"), ("run-2", "lag_1"))):
+        jobs.training_job(
+            spark, f"{root}/features", f"{root}/{run}", f"{root}/runs", f"{root}/pointer", "production", run,
+            _start(spark, sf) + _td(k), "linear", cols=[col],
+        )
+    chosen = jobs.choose_model(spark, f"{root}/runs", f"{root}/pointer", "production")
+    test = trn.chrono_split(feats, 0.1).filter("is_test").drop("is_test")
+    return finalize(jobs.evaluate_model(spark, chosen, test).withColumn("run_id", F.lit(chosen.rsplit("/", 1)[1])))
+
+
+register(
+    "saved_pipeline_metrics",
+    S.round_all(
+        FEAT[:-1]
+        + ",\n"
+        + _SPLIT_SQL
+        + """, line AS (
+  SELECT regr_slope(CAST(hourly_count AS DOUBLE), lag_1) AS a, regr_intercept(CAST(hourly_count AS DOUBLE), lag_1) AS b FROM split WHERE NOT is_test
+)
+SELECT avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse,
+  CASE WHEN var_pop(y) > 0 THEN 1.0 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)) END AS r2, count(*) AS n_rows, 'run-2' AS run_id
+FROM (SELECT b + a * lag_1 AS p, CAST(hourly_count AS DOUBLE) AS y FROM split, line WHERE is_test)""",
+        ["mae", "rmse", "r2"],
+    ),
+)(_saved_pipeline_metrics)
+
+# A fixed scorer over weather, night, holiday and site statistics as well (J5 and the NULL fills enter the fold).
+WIDE_SCORER = LinearScorer(
+    intercept=0.05,
+    coefs={
+        "lag_1": 0.4, "lag_24": 0.2, "rolling_mean_24": 0.2, "is_night": -0.3, "is_holiday": 0.2, "is_rainy": -0.1,
+        "apparent_temperature": 0.01, "site_mean": 0.1, "site_std": 0.05,
+    },
+    fill={"apparent_temperature": 12.0, "site_std": 0.0},
+)
+
+
+def _fold_sql(score: str, hist: str = "hist", name: str = "wf") -> str:
+    """A forecast fold as a recursive CTE: ``score`` sees the hour row h, the site row s and the FIFO r.hist."""
+    return f"""{name}_hours AS (SELECT *, row_number() OVER (ORDER BY ts) AS k FROM hf), {name}_rec(site_id, k, hist, ts, pred) AS (
+  SELECT site_id, 0, history, CAST(NULL AS TIMESTAMP), CAST(NULL AS DOUBLE) FROM {hist}
+  UNION ALL
+  SELECT site_id, k, hist[2:] || [p], ts, p FROM (
+    SELECT r.site_id, h.k, r.hist, h.ts, greatest({score}, 0.0) AS p
+    FROM {name}_rec r JOIN {name}_hours h ON h.k = r.k + 1 LEFT JOIN features_stats s ON s.site_id = r.site_id
+  )
+), {name} AS (SELECT site_id, ts, pred AS hourly_count FROM {name}_rec WHERE k > 0)"""
+
+
+_MEAN24 = "(list_sum(r.hist) / len(r.hist))"
+
+
+def _linear_score_sql(scorer) -> str:
+    hist = {"lag_1": "r.hist[24]", "lag_24": "r.hist[1]", "rolling_mean_24": _MEAN24}
+    out = f"{scorer.intercept}"
+    for c, w in scorer.coefs.items():
+        x = hist.get(c) or (f"s.{c}" if c.startswith("site_") else f"CAST(h.{c} AS DOUBLE)")
+        x = f"coalesce({x}, {scorer.fill[c]})" if c in scorer.fill else x
+        out += f" + {w} * {x}"
+    return out
+
+
+_HIST_CTES = [S.COUNTS, S.features(), S.weather_forecast(), S.future_features(), S.history24()]
+
+register(
+    "forecast_site_scorer",
+    S.round_all(S.with_(*_HIST_CTES, _fold_sql(_linear_score_sql(WIDE_SCORER))) + "SELECT * FROM wf", ["hourly_count"]),
+)(
+    lambda spark, sf: (
+        lambda c: finalize(
+            fc.recursive_forecast_linear(_features(spark, sf), c, tb.weather_forecast(c), st.site_stats(c), WIDE_SCORER)
+        )
+    )(_counts(spark, sf))
+)
+
+# Two small trees as a node table; the oracle walks the same splits with CASE.
+_TREE_NAMES = ["lag_1", "hour_cos", "site_mean", "rolling_mean_24", "lag_24"]
+_TREE_NODES = [
+    (0, 0, 0, 1.5, 1, 2, 0.0, 1.0), (0, 1, 3, 1.2, 3, 4, 0.0, 1.0), (0, 2, -1, None, -1, -1, 2.0, 1.0),
+    (0, 3, -1, None, -1, -1, 1.1, 1.0), (0, 4, -1, None, -1, -1, 1.6, 1.0),
+    (1, 0, 1, 0.0, 1, 2, 0.0, 0.5), (1, 1, -1, None, -1, -1, -0.4, 0.5), (1, 2, 2, 1.3, 3, 4, 0.0, 0.5),
+    (1, 3, 4, 1.0, 5, 6, 0.0, 0.5), (1, 4, -1, None, -1, -1, 1.5, 0.5), (1, 5, -1, None, -1, -1, 0.2, 0.5), (1, 6, -1, None, -1, -1, 0.7, 0.5),
+]
+_TREE_SQL = f"""(CASE WHEN r.hist[24] <= 1.5 THEN CASE WHEN {_MEAN24} <= 1.2 THEN 1.1 ELSE 1.6 END ELSE 2.0 END)
+  + 0.5 * (CASE WHEN h.hour_cos <= 0.0 THEN -0.4 WHEN coalesce(s.site_mean, 0.0) <= 1.3 THEN CASE WHEN r.hist[1] <= 1.0 THEN 0.2 ELSE 0.7 END ELSE 1.5 END)"""
+
+
+def _fixed_tree_forecast(spark, sf):
+    c = _counts(spark, sf)
+    model = tr.ensemble(spark.createDataFrame(_TREE_NODES, tr.NODE_COLUMNS), _TREE_NAMES)
+    return finalize(fc.recursive_forecast_trees(_features(spark, sf), c, tb.weather_forecast(c), model, st.site_stats(c)))
+
+
+register("forecast_fixed_trees", S.round_all(S.with_(*_HIST_CTES, _fold_sql(_TREE_SQL)) + "SELECT * FROM wf", ["hourly_count"]))(_fixed_tree_forecast)
+
+
+_GBT: dict = {}
+
+
+def _gbt(spark, sf):
+    """The trained forecaster (500 rounds), fitted and saved once per input."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), _input_state(spark, f"{sf.rstrip('/')}/events.parquet"))
+    if key not in _GBT:
+        f, metrics = fr.fit_forecaster(_features(spark, sf), kind="gbt")
+        _GBT[key] = fr.save_forecaster(f, _run_folder(spark, "gbt")), metrics
+    return _GBT[key]
+
+
+register("gbt_feature_importances")(lambda spark, sf: finalize(_gbt(spark, sf)[0].importances(10)))
+register("gbt_metrics")(lambda spark, sf: finalize(_gbt(spark, sf)[1]))
+
+
+def _gbt_forecast(spark, sf):
+    """M9 with M8(b): the trained trees over all sites (rows-only)."""
+    c, f = _counts(spark, sf), _gbt(spark, sf)[0]
+    return finalize(
+        fc.recursive_forecast_trees(
+            _features(spark, sf), c, tb.weather_forecast(c), f.trees(), st.site_stats(c), encode=f.encode, scale=f.scaler
+        )
     )
-    return finalize(out)
 
 
-register("forecast_model_steps")(_forecast_model_steps)
+register("gbt_forecast")(_gbt_forecast)
 
 # --- sources, sinks, checks, increments (S5, S7, S9, A3-A7, A18, K1, K5, K11, Q2, P10, P14, J7, I1, I3, C4) ---
 
@@ -638,6 +838,62 @@ SELECT site_id, site_name, hourly_count, ts, coordinates, ingest_seq FROM (
 ) n WHERE rk = 1 AND NOT EXISTS (SELECT 1 FROM counts c WHERE day(c.ts) <= 15 AND c.site_id = n.site_id AND c.ts = n.ts)""",
 )(lambda spark, sf: new_rows(_counts(spark, sf).filter(F.dayofmonth("ts") <= 15), _typed_raw(spark, sf)))
 
+# the stored side of this query is a fixture: the first half of each month of ``counts``
+def _append_month_table(spark, sf):
+    """K1/J8 on a table stored by month: append all of ``counts`` to its first half, then read the table back."""
+    from velora.sinks.tables import append_new, write_by_month
+
+    path = _run_folder(spark, "months")
+    write_by_month(_counts_wide(spark, sf).filter(F.dayofmonth("ts") <= 15), path)
+    new = _counts_wide(spark, sf).withColumn("hourly_count", F.col("hourly_count") + 100)
+    append_new(spark, path, new)
+    return spark.read.parquet(path).select("site_id", "ts", "hourly_count", "month")
+
+
+register(
+    "append_month_table",
+    S.with_(S.COUNTS_WIDE)
+    + "SELECT site_id, ts, hourly_count + CASE WHEN day(ts) <= 15 THEN 0 ELSE 100 END AS hourly_count, strftime(ts, '%Y-%m') AS month FROM counts_wide",
+)(_append_month_table)
+
+
+def _upsert_month_table(spark, sf):
+    """K5 by month: one month's rows replaced, each key given twice; the rest is not rewritten."""
+    from velora.sinks.tables import upsert_months, write_by_month
+
+    path = _run_folder(spark, "upsert")
+    c = _counts_wide(spark, sf)
+    write_by_month(c, path)
+    new = c.filter(F.month("ts") == 3).select("site_id", "ts", (F.col("hourly_count") + 1).alias("hourly_count"))
+    upsert_months(spark, path, new.unionByName(new.withColumn("hourly_count", F.col("hourly_count") + 1)), ["site_id", "ts"])
+    return spark.read.parquet(path).select("site_id", "ts", "hourly_count")
+
+
+register(
+    "upsert_month_table",
+    S.with_(S.COUNTS_WIDE) + "SELECT site_id, ts, hourly_count + CASE WHEN month(ts) = 3 THEN 2 ELSE 0 END AS hourly_count FROM counts_wide",
+)(_upsert_month_table)
+
+
+def _large_ids(spark, sf):
+    """Ids above 2^53 keep every digit (as text, and as text with a fraction where that is exact)."""
+    from velora.operators.quality import coerce_counts
+
+    c = _counts(spark, sf).filter(F.col("hourly_count") > 1)
+    return coerce_counts(
+        c.select(
+            (F.col("site_id") + F.lit(9007199254740992)).cast("string").alias("site_id"),
+            F.concat(F.col("hourly_count").cast("string"), F.lit(".0")).alias("hourly_count"),
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+        )
+    )
+
+
+register(
+    "large_ids",
+    S.with_(S.COUNTS) + "SELECT site_id + 9007199254740992 AS site_id, hourly_count, ts FROM counts WHERE hourly_count > 1",
+)(_large_ids)
+
 register(
     "forecast_upsert",
     S.round_all(
@@ -751,29 +1007,13 @@ FROM counts_wide""",
 )
 
 
-def _gbt_importances(spark, sf):
-    """M4 + T4: gradient-boosted trees on the feature table, top-10 importances (rows-only)."""
-    model, _, cols = trn.train_model(_features(spark, sf), kind="gbt", rounds=10, max_depth=5)
-    return finalize(trn.feature_importances(spark, model, cols, top_n=10))
-
-
-register("gbt_feature_importances")(_gbt_importances)
-
-
 # --- I7: the file-source stream over landed pages derived from counts_raw -------------
 
 
-def _stream_ingest(spark, sf):
-    """Land ``counts_raw`` as JSON pages (one page per day and block of 1000 site
-    ids, so a page holds at most 24,000 records), stream them with
-    ``availableNow`` into a raw table, and return the stored keys/counts."""
-    import uuid
-
+def _pages(raw):
+    """Raw text rows as JSON pages: one per day and block of 1000 site ids; rows without an id in 64 blocks by name."""
     from velora.functions.scalar import coord_part
-    from velora.session import shared_scratch_path
-    from velora.streaming.stream import start_count_ingest
 
-    raw = tb.counts_raw(_counts(spark, sf))
     rec = F.struct(
         F.col("site_id").alias("id"),
         F.col("site_name").alias("name"),
@@ -781,17 +1021,25 @@ def _stream_ingest(spark, sf):
         F.col("ts").alias("date"),
         F.struct(coord_part("coordinates", 1).alias("lat"), coord_part("coordinates", 2).alias("lon")).alias("coordinates"),
     )
-    block = F.floor(F.col("site_id").try_cast("long") / F.lit(1000))
-    pages = raw.groupBy(F.substring("ts", 1, 10).alias("__day"), block.alias("__block")).agg(
+    block = F.coalesce(F.floor(F.col("site_id").try_cast("long") / F.lit(1000)), -F.pmod(F.xxhash64("site_name", "ts"), F.lit(64)) - 1)
+    return raw.groupBy(F.substring("ts", 1, 10).alias("day"), block.alias("block")).agg(
         F.count(F.lit(1)).alias("total_count"), F.collect_list(rec).alias("results")
     )
-    run = uuid.uuid4().hex[:12]
-    landing = shared_scratch_path(spark, f"velora-stream/{run}/landing")
-    table = shared_scratch_path(spark, f"velora-stream/{run}/raw")
-    ckpt = shared_scratch_path(spark, f"velora-stream/{run}/checkpoint")
-    pages.select("total_count", "results").write.option("maxRecordsPerFile", 1).json(landing)
-    q = start_count_ingest(spark, landing, table, ckpt)
-    q.awaitTermination()
+
+
+def _stream_ingest(spark, sf):
+    """Land ``counts_raw`` as JSON pages in three parts, the newest days first and the oldest last, and
+    stream each part into a table stored by month; returns the stored keys and counts."""
+    from velora.streaming.stream import start_count_ingest
+
+    root = _run_folder(spark, "stream")
+    landing, table, ckpt = (f"{root}/{x}" for x in ("landing", "raw", "checkpoint"))
+    pages = _pages(tb.counts_raw(_counts(spark, sf)))
+    for lo, hi in (("21", "99"), ("11", "21"), ("00", "11")):
+        day = F.substring("day", 9, 2)
+        part = pages.filter((day >= lo) & (day < hi)).select("total_count", "results")
+        part.repartition(4).write.mode("append").option("maxRecordsPerFile", 1).json(landing)
+        start_count_ingest(spark, landing, table, ckpt).awaitTermination()
     return spark.read.parquet(table).select("site_id", "ts", "hourly_count")
 
 
@@ -799,12 +1047,35 @@ register("stream_ingest", CHAIN + "SELECT site_id, ts, hourly_count FROM raw")(_
 
 
 def _forecast_trained_linear(spark, sf):
-    """M9 with a trained MLlib linear pipeline converted exactly to the fold (M8 a), rows-only."""
+    """M9 with a trained linear forecaster as the exact fold (M8 a), rows-only."""
     c = _counts(spark, sf)
     feats = _features(spark, sf)
-    fit = trn.fit_linear_forecaster(feats)
-    out = fc.recursive_forecast_linear(feats, c, tb.weather_forecast(c), st.site_stats(c), fit["scorer"], 48, 30, encoding=fit["encoding"])
+    f, _ = fr.fit_forecaster(feats, "linear")
+    out = fc.recursive_forecast_linear(feats, c, tb.weather_forecast(c), st.site_stats(c), f.linear_scorer(), encode=f.encode)
     return finalize(out)
 
 
 register("forecast_trained_linear")(_forecast_trained_linear)
+
+
+def _one_feature_forecast(spark, sf):
+    """M9: a saved one-feature linear forecaster, loaded and run as the fold."""
+    c, feats = _counts(spark, sf), _features(spark, sf)
+    f, _ = fr.fit_forecaster(feats, "linear", cols=["lag_1"])
+    f = fr.load_forecaster(spark, fr.save_forecaster(f, _run_folder(spark, "line")).path)
+    return finalize(fc.recursive_forecast_linear(feats, c, tb.weather_forecast(c), scorer=f.linear_scorer()))
+
+
+register(
+    "forecast_one_feature",
+    S.round_all(
+        S.with_(
+            *_HIST_CTES,
+            _SPLIT_SQL,
+            "line AS (SELECT regr_slope(CAST(hourly_count AS DOUBLE), lag_1) AS a, regr_intercept(CAST(hourly_count AS DOUBLE), lag_1) AS b FROM split WHERE NOT is_test)",
+            _fold_sql("(SELECT b FROM line) + (SELECT a FROM line) * r.hist[24]"),
+        )
+        + "SELECT * FROM wf",
+        ["hourly_count"],
+    ),
+)(_one_feature_forecast)

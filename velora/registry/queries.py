@@ -45,10 +45,6 @@ def finalize(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def double_cols(*names: str) -> list[str]:
-    return list(names)
-
-
 def queries() -> dict[str, QueryFn]:
     from velora.registry import catalog_queries  # noqa: F401  (registers)
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 PI2 = "(2 * pi())"
 
 COUNTS = """counts AS (
-  SELECT 100056789 + user_id % 10 AS site_id, date_trunc('hour', ts) AS ts, count(*) AS hourly_count
+  SELECT 100056789 + user_id AS site_id, date_trunc('hour', ts) AS ts, count(*) AS hourly_count
   FROM events GROUP BY 1, 2
 )"""
 
 COUNTS_WIDE = """counts_wide AS (
-  SELECT 100056789 + user_id % 10 AS site_id,
+  SELECT 100056789 + user_id AS site_id,
          date_trunc('hour', ts + to_days(CAST(event_id % 600 AS INTEGER))) AS ts, count(*) AS hourly_count
   FROM events GROUP BY 1, 2
 )"""
@@ -73,6 +73,7 @@ def rush_sql(ts: str) -> str:
     return f"((hour({ts}) >= 7 AND hour({ts}) < 10) OR (hour({ts}) >= 17 AND hour({ts}) < 20))"
 
 
+# The school holiday periods, [first day, day after the last).
 HOLIDAYS = [
     ("2024-10-19", "2024-11-05"),
     ("2024-12-21", "2025-01-07"),
@@ -180,8 +181,10 @@ def counts_raw(counts: str = "counts", name: str = "counts_raw") -> str:
 def raw_clean(raw: str = "counts_raw", name: str = "raw") -> str:
     """P3 + P4 + K12 on the landed text."""
     return f"""{name}_typed AS (
-  SELECT CAST(TRY_CAST(site_id AS DOUBLE) AS BIGINT) AS site_id, site_name,
-         CAST(TRY_CAST(hourly_count AS DOUBLE) AS BIGINT) AS hourly_count,
+  SELECT CASE WHEN regexp_matches(site_id, '^[+-]?[0-9]+$') THEN TRY_CAST(site_id AS BIGINT)
+              ELSE CAST(trunc(TRY_CAST(site_id AS DOUBLE)) AS BIGINT) END AS site_id, site_name,
+         CASE WHEN regexp_matches(hourly_count, '^[+-]?[0-9]+$') THEN TRY_CAST(hourly_count AS BIGINT)
+              ELSE CAST(trunc(TRY_CAST(hourly_count AS DOUBLE)) AS BIGINT) END AS hourly_count,
          TRY_CAST(substr(ts, 1, 19) AS TIMESTAMP) AS ts, coordinates, ingest_seq
   FROM {raw}
 ), {name} AS (

@@ -8,9 +8,10 @@ DataFrames (and, where it must read or write, the caller's ``SparkSession``).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "velora") -> SparkSession:
@@ -37,20 +38,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, object
-    store); we use it as is. Only when it is unset (local tests) do we make a
-    fresh scratch folder, never reusing or clearing an old one.
+    store); we use it as is, and it is an error if it is unset: a folder of the
+    driver's machine is not seen by the executors. Only under a ``local``
+    master (tests) do we make a fresh scratch folder, never reusing an old one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="velora-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """``df.checkpoint()`` in the shared folder (the only place where the library checkpoints)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
+
+
 def shared_scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from velora.functions.calendar import ntz_lit
 
-from velora.operators.dedupe import first_per_key
+from velora.operators.dedupe import first_per_key, last_per_key
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -40,60 +40,141 @@ def new_rows(existing: DataFrame | None, new: DataFrame, keys: Sequence[str] = (
     return batch.join(existing.select(*keys), keys, "left_anti")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a staging folder that this module made."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+
+
+def _staging(path: str) -> str:
+    return f"{path.rstrip('/')}_staging_{uuid.uuid4().hex}"
+
+
 def append_new(
     spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str] = ("site_id", "ts"), ts: str | None = "ts"
 ) -> int:
     """K1: append the rows whose key is new and return how many were appended.
 
-    Only stored rows inside the batch's own time range can conflict, so the
-    stored table is read with that range as literal filters (pushed down, and
-    month partitions pruned) instead of scanning every stored key. The
-    candidate rows are written once and counted from the written files.
+    The batch is written once (so that its source is read once), then only
+    stored rows inside its time range can conflict: the stored table is read
+    with that range as literal filters (pushed down, and month partitions
+    pruned). A table stored by month keeps its layout: ``month`` is derived
+    from ``ts`` and the rows go into their month's folder.
     """
+    by_month = False
     existing = spark.read.parquet(path) if path_exists(spark, path) else None
-    if existing is not None and ts and ts in keys:
-        lo, hi = new.agg(F.min(ts), F.max(ts)).first()
-        if lo is None:
-            existing = existing.limit(0)
-        else:
-            if "month" in existing.columns:
+    if existing is not None:
+        by_month = "month" in existing.columns
+    staged, picked = _staging(path), _staging(path)
+    try:
+        new.write.mode("overwrite").parquet(staged)
+        batch = spark.read.schema(new.schema).parquet(staged)
+        if existing is not None and ts and ts in keys:
+            lo, hi = batch.agg(F.min(ts), F.max(ts)).first()
+            if lo is None:
+                return 0
+            if by_month:
                 existing = existing.filter(F.col("month").between(lo.strftime("%Y-%m"), hi.strftime("%Y-%m")))
             existing = existing.filter(F.col(ts).between(ntz_lit(lo), ntz_lit(hi)))
-    rows = new_rows(existing, new, keys)
-    cols = existing.columns if existing is not None else [c for c in rows.columns if c != "ingest_seq"]
-    staged = f"{path.rstrip('/')}_staging_{uuid.uuid4().hex}"
-    rows.select(*cols).write.mode("overwrite").parquet(staged)
-    added = spark.read.parquet(staged)
-    n = added.count()
-    if n:
-        added.write.mode("append").parquet(path)
-    return n
-
-
-def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+        rows = new_rows(existing, batch, keys)
+        cols = [c for c in (existing.columns if existing is not None else rows.columns) if c not in ("ingest_seq", "month")]
+        if existing is None and "month" in new.columns:
+            by_month = True
+        rows.select(*cols).write.mode("overwrite").parquet(picked)
+        added = spark.read.schema(rows.select(*cols).schema).parquet(picked)
+        n = added.count()
+        if n and by_month:
+            with_month(added, ts).write.mode("append").partitionBy("month").parquet(path)
+        elif n:
+            added.write.mode("append").parquet(path)
+        return n
+    finally:
+        remove_folder(spark, staged)
+        remove_folder(spark, picked)
+
+
+def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """K5/K6/K7: rows of ``new`` replace rows of ``existing`` with the same key.
 
-    One anti join (shuffle on the keys, or broadcast of ``new`` when AQE
-    measures it small) and a union; no MERGE support is needed.
+    Of several rows of ``new`` with one key the last by ``order`` (default: the
+    other columns) counts. One hash aggregate on the batch, one anti join and a
+    union; no MERGE support is needed.
     """
     keys = list(keys)
     cols = existing.columns
-    return existing.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*cols))
+    rest = [c for c in cols if c not in keys]
+    batch = last_per_key(new.select(*cols, *[c for c in order or () if c not in cols]), keys, list(order or rest))
+    return existing.join(batch.select(*keys), keys, "left_anti").unionByName(batch.select(*cols))
+
 
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder that holds the table's current version, or None before the first write."""
+    pointer = f"{path.rstrip('/')}_current"
+    return spark.read.json(pointer).first()["version"] if path_exists(spark, pointer) else None
 
-def upsert_to_new_version(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> str:
-    """K5: write ``upsert(table, new)`` to a fresh version folder; return its path."""
+
+def upsert_to_new_version(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], ts: str = "ts") -> str:
+    """K5: write the upserted table as a new version, sorted and by month of ``ts``; record and return its folder.
+
+    The current version (``current_version``) is the input of the next call, so
+    successive runs build on each other; readers follow the recorded pointer,
+    which changes only after the new version is complete.
+    """
+    current = current_version(spark, path) or (path if path_exists(spark, path) else None)
     out = f"{path.rstrip('/')}_v{uuid.uuid4().hex[:12]}"
-    if path_exists(spark, path):
-        upsert(spark.read.parquet(path), new, keys).write.mode("overwrite").parquet(out)
+    if current:
+        stored = spark.read.parquet(current)
+        table = upsert(stored.drop("month"), new.drop("month"), keys)
     else:
-        new.write.mode("overwrite").parquet(out)
+        rest = [c for c in new.columns if c not in keys]
+        table = last_per_key(new, list(keys), rest)
+    write_by_month(table, out, ts)
+    write_small_json(spark.createDataFrame([(out,)], "version string"), f"{path.rstrip('/')}_current")
     return out
 
 
-def append(df: DataFrame, path: str) -> None:
-    """K2."""
-    df.write.mode("append").parquet(path)
+def upsert_months(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], ts: str = "ts") -> list[str]:
+    """K5 on a table stored by month: rewrite only the months that ``new`` touches; returns them.
+
+    The rewritten months are staged in full first and then replace their
+    folders (dynamic partition overwrite); other months are not read.
+    """
+    batch = with_month(new.drop("month"), ts)
+    months = sorted(r[0] for r in batch.select("month").distinct().collect())  # one row per month of the batch
+    staged = _staging(path)
+    try:
+        table = spark.read.parquet(path).filter(F.col("month").isin(months)) if path_exists(spark, path) else batch.limit(0)
+        write_by_month(upsert(table.drop("month"), batch.drop("month"), keys), staged, ts)
+        done = spark.read.parquet(staged)
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    finally:
+        remove_folder(spark, staged)
+    return months
+
+
+def write_by_month(df: DataFrame, path: str, ts: str = "ts", key: str = "site_id") -> None:
+    """K4: a table by month of ``ts``, its files sorted by (key, ts) so that filters on either skip row groups.
+
+    Rows are dealt by month and a hash of the key: a few files per month, and
+    no task holds a whole month.
+    """
+    dealt = with_month(df, ts).repartition("month", F.pmod(F.xxhash64(key), F.lit(8)))
+    dealt.sortWithinPartitions("month", key, ts).write.mode("overwrite").partitionBy("month").parquet(path)
+
+
+def append(df: DataFrame, path: str) -> int:
+    """K2: append rows and return how many; they are staged first, so the source is read once."""
+    spark = df.sparkSession
+    staged = _staging(path)
+    try:
+        df.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(df.schema).parquet(staged)
+        n = rows.count()
+        if n:
+            rows.write.mode("append").parquet(path)
+        return n
+    finally:
+        remove_folder(spark, staged)
 
 
 def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> None:

@@ -1,16 +1,14 @@
 """The count feed as a Structured Streaming job over a landing folder.
 
 ``readStream`` watches the folder where feed pages (JSON) land; each
-micro-batch is typed, floored and key-deduplicated, then appended through
-``foreachBatch`` with the same conflict-ignoring rule as the batch path
-(``append_new``: keys already stored are skipped). The checkpoint folder makes
-the stream resumable after a driver or executor loss: the file source
-records which files were processed, and ``append_new`` makes a replayed batch
-idempotent.
-
-For in-stream deduplication, ``withWatermark`` needs a TIMESTAMP (not NTZ)
-column: the event time is rebuilt from the clock fields with
-``make_timestamp(..., 'UTC')``, which involves no session zone or DST rule.
+micro-batch is typed and floored, then appended through ``foreachBatch`` with
+the same conflict-ignoring rule as the batch path (``append_new``: keys already
+stored are skipped, repeated keys of a batch keep the first). Rows of any age
+are taken: there is no watermark, and no state is kept between batches. The
+checkpoint folder makes the stream resumable after a driver or executor loss:
+the file source records which files were processed, and ``append_new`` makes a
+replayed batch idempotent. ``max_files`` bounds a micro-batch, so a backlog is
+read in many batches.
 """
 
 from __future__ import annotations
@@ -25,44 +23,32 @@ from velora.functions.scalar import coord_text
 from velora.operators.quality import rename_columns
 
 
-def count_stream(spark: SparkSession, landing: str, watermark: str | None = "2 days") -> DataFrame:
+MAX_FILES = 1000
+
+
+def count_stream(spark: SparkSession, landing: str, max_files: int = MAX_FILES) -> DataFrame:
     """Typed, floored count rows from a landing folder of JSON pages (a streaming frame)."""
-    pages = spark.readStream.schema(PAGE_SCHEMA).option("multiLine", True).json(landing)
+    pages = spark.readStream.schema(PAGE_SCHEMA).option("multiLine", True).option("maxFilesPerTrigger", max_files).json(landing)
     rec = pages.select(F.explode("results").alias("r")).select("r.*")
     rec = rec.withColumn("coordinates", coord_text(F.col("coordinates.lat"), F.col("coordinates.lon")))
     text = rename_columns(rec, PAGE_FIELDS).select(*[F.col(c).cast("string") for c in COUNT_TEXT_COLUMNS])
-    typed = drop_null_keys(coerce_counts(text)).withColumn("ts", floor_hour("ts"))
-    if watermark:
-        # event time for the watermark: the clock stamp read as UTC
-        t = F.col("ts")
-        ev = F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t), F.second(t), F.lit("UTC"))
-        typed = (
-            typed.withColumn("__event", ev)
-            .withWatermark("__event", watermark)
-            .dropDuplicatesWithinWatermark(["site_id", "ts"])
-            .drop("__event")
-        )
-    return typed
+    return drop_null_keys(coerce_counts(text)).withColumn("ts", floor_hour("ts"))
 
 
 def start_count_ingest(
-    spark: SparkSession, landing: str, table_path: str, checkpoint: str, available_now: bool = True, watermark: str | None = "2 days"
+    spark: SparkSession, landing: str, table_path: str, checkpoint: str, available_now: bool = True, max_files: int = MAX_FILES
 ):
     """Run the stream into the raw table; returns the StreamingQuery.
 
     ``checkpoint`` must be a shared folder (the cluster's checkpoint location).
+    ``append_new`` writes the candidate rows of a batch once and works on the
+    written copy, so a batch is never held in memory.
     """
     from velora.sinks.tables import append_new
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        # the batch is read several times (time range, anti join, count): keep it
-        # for the duration of this write only
-        kept = batch.withColumn("ingest_seq", F.lit(batch_id)).persist()
-        try:
-            append_new(kept.sparkSession, table_path, kept)
-        finally:
-            kept.unpersist()
+        append_new(batch.sparkSession, table_path, batch.withColumn("ingest_seq", F.lit(batch_id)))
 
-    w = count_stream(spark, landing, watermark).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = count_stream(spark, landing, max_files).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
