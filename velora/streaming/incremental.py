@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velora.operators.one_row import with_one_row
@@ -62,6 +62,11 @@ def weather_source(end_day, today) -> str:
     return "archive" if end < now else "forecast"
 
 
+def weather_source_of(day: Column, today) -> Column:
+    """I4 on a column of days."""
+    return F.when(day < F.lit(str(today)[:10]).cast("date"), "archive").otherwise("forecast")
+
+
 def landed_days(gap: DataFrame) -> DataFrame:
     """C14 on a gap row: one row per day to fetch (an empty gap gives no rows)."""
     return gap.select(F.explode(F.sequence("start_day", "end_day")).alias("day"))
