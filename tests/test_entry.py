@@ -18,7 +18,7 @@ def test_entry_schema(spark):
 def test_registry_is_consistent():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    assert len(q) >= 50
+    assert len(q) >= 80
 
 
 def _norm(df):
@@ -32,7 +32,7 @@ def _norm(df):
     return df.astype(str).sort_values(cols).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", ["feature_table", "forecast_recursive", "historical_reference", "correlation_matrix", "chrono_split", "sites_dimension"])
+@pytest.mark.parametrize("name", ["feature_table", "forecast_recursive", "historical_reference", "correlation_matrix", "chrono_split", "sites_dimension", "append_month_table", "stream_ingest", "csv_bulk_read", "saved_pipeline_metrics"])
 def test_oracle_at_sf0001(spark, name):
     con = duckdb.connect()
     for t in TABLES:

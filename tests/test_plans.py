@@ -26,8 +26,9 @@ def test_lag_windows_are_keyed_by_chunk_not_by_site_alone(spark):
     lagged.collect()
     plan = _plan(lagged)
     assert "__bucket" in plan and "__chunk" in plan
-    # both row-level windows sit on an explicit exchange over the full chunk key
-    assert plan.count("REPARTITION_BY_COL") >= 2
+    # the one row-level window sits on an explicit exchange over the full chunk key
+    final = plan.split("Initial Plan")[0]
+    assert final.count("REPARTITION_BY_COL") == 1
 
 
 def test_history_window_pushes_filters_and_prunes_months(spark):
@@ -49,3 +50,31 @@ def test_historical_reference_has_no_range_or_cartesian_join(spark):
     plan = _plan(historical_reference(cw, cw))
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert "RangeFrame" in plan or "specifiedwindowframe(RangeFrame" in plan
+
+
+def test_reference_reads_only_the_days_before_its_targets(spark):
+    root = tempfile.mkdtemp(prefix="velora-plan-")
+    tb.counts_wide(spark, SF001).write.parquet(root + "/c")
+    c = spark.read.parquet(root + "/c")
+    plan = _plan(historical_reference(c, c.filter("ts >= '2025-03-01'").limit(5)))
+    assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
+
+
+def test_split_and_correlations_are_one_scan(spark):
+    from velora.operators.analytics import correlation_matrix
+    from velora.plans.features import build_features
+    from velora.plans.training import chrono_split
+
+    c = tb.counts(spark, SF001)
+    f = build_features(c, tb.weather(c)).checkpoint()
+    split = _plan(chrono_split(f))
+    assert "Join" not in split and "Window" not in split and "Exchange" not in split
+    plan = _plan(correlation_matrix(f))
+    assert "Expand" not in plan and plan.count("Scan ExistingRDD") <= 1
+
+
+def test_a_sites_series_does_not_touch_the_counts(spark):
+    from velora.registry import queries as registry
+
+    plan = _plan(registry.queries()["site_series"](spark, SF001))
+    assert "events.parquet" not in plan and "Join" not in plan

@@ -1,10 +1,9 @@
 """The last n values per site, oldest first, padded to n.
 
-Two bounded steps instead of one window over a whole site:
-1. ``row_number`` over (site, day) ordered newest first keeps <= n rows per
-   site-day (the only shuffle of the row-level data, keyed by site and day);
-2. ``collect_list`` per site over what is left: <= n rows per day of the
-   window, then sort and keep the last n.
+The site's rows are cut down in steps, so that no task sees a whole site and
+no list holds more than n values: the newest n per (site, day), of those the
+newest n per (site, month), of those the newest n per site. Only the first step
+shuffles row-level data, keyed by site and day.
 A series shorter than n is left-padded with its own mean rounded half-even;
 callers treat a missing site as n zeros.
 """
@@ -17,17 +16,13 @@ from pyspark.sql import functions as F
 
 def last_values(df: DataFrame, key: str = "site_id", ts: str = "ts", value: str = "hourly_count", n: int = 24) -> DataFrame:
     """(key, history array<double> of length n, oldest first)."""
-    w = Window.partitionBy(key, F.to_date(F.col(ts))).orderBy(F.col(ts).desc())
-    day = F.to_date(F.col(ts))
-    cut = df.select(key, ts, F.col(value).cast("double").alias("__v")).repartition(F.col(key), day).withColumn(
-        "__rk", F.row_number().over(w)
-    ).filter(
-        F.col("__rk") <= n
-    )
-    per_site = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("__v").alias("v")))).alias("__s"))
-    # slice(arr, -n, n) would be empty for a series shorter than n: start at max(size-n+1, 1)
-    start = F.greatest(F.size("__s") - F.lit(n) + F.lit(1), F.lit(1))
-    vals = F.transform(F.slice(F.col("__s"), start, F.lit(n)), lambda x: x["v"])
+    t = F.col(ts)
+    cut = df.select(key, t.alias("__t"), F.col(value).cast("double").alias("__v"))
+    for part in ([F.to_date("__t")], [F.trunc("__t", "month")], []):
+        w = Window.partitionBy(key, *part).orderBy(F.col("__t").desc())
+        cut = cut.repartition(F.col(key), *part).withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") <= n).drop("__rk")
+    per_site = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))).alias("__s"))
+    vals = F.transform(F.col("__s"), lambda x: x["v"])
     tail = per_site.select(key, vals.alias("__vals"))
     size = F.size("__vals")
     mean = F.try_divide(F.aggregate("__vals", F.lit(0.0), lambda acc, x: acc + x), size)

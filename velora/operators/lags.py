@@ -8,13 +8,17 @@ cut into bounded chunks instead:
 
 1. count rows per (key, time bucket) -- a small table -- and take running
    offsets per key over it (a window over #buckets rows per key);
-2. global row number = offset + row number inside (key, bucket);
-3. chunk = row number div ``chunk_rows``; the last H rows of each chunk are
-   copied into the next chunk as a halo (H = max lag / rolling width);
-4. lags by a window over (key, chunk), halo rows dropped afterwards.
-
-Every task sees at most ``chunk_rows + H`` rows, whatever the key's size, and
-the result is identical to the single-window form.
+2. pack whole buckets into chunks on that table: a chunk is a run of buckets
+   that start within the same ``chunk_rows`` rows of the key;
+3. a bucket that holds any of the last H rows before a later chunk (H = max lag
+   / rolling width) also goes to that chunk, as a halo;
+4. deal the rows once, by (key, chunk), take lags by a window over (key,
+   chunk), and drop the halo rows.
+
+A task sees at most ``chunk_rows`` rows, one bucket and the halo buckets of a
+key, whatever the key's size, and the result is identical to the single-window
+form. The rows are shuffled once; the bucket table is joined to them by
+whatever plan its size allows.
 """
 
 from __future__ import annotations
@@ -68,29 +72,28 @@ def row_lags(
         else with_bucket.groupBy(key, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     )
     w_off = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(key, "__bucket", F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__offset"))
-
-    # 2. global row number. The explicit repartition on *both* keys matters:
-    # an input already hash-partitioned by `key` alone would otherwise satisfy
-    # the window's clustering and put a whole key back into one task.
-    w_local = Window.partitionBy(key, "__bucket").orderBy(*order)
-    numbered = with_bucket.join(offsets, [key, "__bucket"]).repartition(key, "__bucket").withColumn(
-        "__rn", F.col("__offset") + F.row_number().over(w_local) - F.lit(1)
+    placed = per_bucket.select(key, "__bucket", "__n", F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__offset"))
+
+    # 2. chunk of each bucket.
+    placed = placed.withColumn("__chunk", F.floor(F.col("__offset") / F.lit(chunk_rows)))
+
+    # 3. later chunks that start fewer than `halo` rows behind a bucket's end; they are among its next `halo` buckets.
+    following = Window.partitionBy(key).orderBy("__bucket").rowsBetween(1, halo)
+    near = F.collect_list(F.struct(F.col("__offset").alias("o"), F.col("__chunk").alias("c"))).over(following)
+    end, own = F.col("__offset") + F.col("__n"), F.struct(F.col("__chunk").alias("c"), F.lit(False).alias("h"))
+    later = F.array_distinct(F.transform(F.filter("__near", lambda x: (x["o"] < end + halo) & (x["c"] > F.col("__chunk"))), lambda x: x["c"]))
+    copies = placed.withColumn("__near", near).select(
+        key, "__bucket", F.concat(F.array(own), F.transform(later, lambda c: F.struct(c.alias("c"), F.lit(True).alias("h")))).alias("__copies")
+    )
+    spread = (
+        with_bucket.join(copies, [key, "__bucket"])
+        .withColumn("__copy", F.explode("__copies"))
+        .select(*df.columns, F.col("__copy.c").alias("__chunk"), F.col("__copy.h").alias("__halo"))
+        .repartition(key, "__chunk")
     )
-
-    # 3. chunk and halo copies (the last `halo` rows of a chunk also go to the next one).
-    chunk = (F.col("__rn") / F.lit(chunk_rows)).cast("long")
-    in_tail = (F.col("__rn") % F.lit(chunk_rows)) >= F.lit(chunk_rows - halo)
-    copies = F.when(
-        in_tail,
-        F.array(F.struct(chunk.alias("c"), F.lit(False).alias("h")), F.struct((chunk + 1).alias("c"), F.lit(True).alias("h"))),
-    ).otherwise(F.array(F.struct(chunk.alias("c"), F.lit(False).alias("h"))))
-    spread = numbered.drop("__bucket", "__offset").withColumn("__copy", F.explode(copies)).select(
-        "*", F.col("__copy.c").alias("__chunk"), F.col("__copy.h").alias("__halo")
-    ).drop("__copy").repartition(key, "__chunk")
 
     # 4. lags inside each chunk.
-    w = Window.partitionBy(key, "__chunk").orderBy("__rn")
+    w = Window.partitionBy(key, "__chunk").orderBy(*order)
     cols = {f"lag_{k}": F.lag(F.col(value), k).over(w).cast("double") for k in lags}
     if rolling:
         wr = w.rowsBetween(-rolling, -1)
@@ -98,7 +101,7 @@ def row_lags(
             F.count(F.col(value)).over(wr) == F.lit(rolling), F.avg(F.col(value)).over(wr)
         )
     out = spread.withColumns(cols).filter(~F.col("__halo"))
-    return out.drop("__chunk", "__halo", "__rn")
+    return out.drop("__chunk", "__halo")
 
 
 def drop_warmup(df: DataFrame, cols: Sequence[str] = ("lag_1", "lag_24", "rolling_mean_24")) -> DataFrame:

@@ -132,7 +132,8 @@ def fit_forecaster(
     bare = Forecaster(kind, cols, prior, None, encoding, None)
     scaler = scaler_params(fit_scaler(bare.encode(train), cols)) if scale else None  # one entry per feature
     bare = Forecaster(kind, cols, prior, scaler, encoding, None)
-    ready = checkpointed(bare.prepared(train).select(TARGET, *[f"__x_{c}" for c in cols]))
+    # rebalanced by size: a fit runs several jobs per round, each with a task per partition
+    ready = checkpointed(bare.prepared(train).select(TARGET, *[f"__x_{c}" for c in cols]).hint("rebalance"))
     assembler = VectorAssembler(inputCols=[f"__x_{c}" for c in cols], outputCol="features")
     if kind == "gbt":
         est = GBTRegressor(labelCol=TARGET, maxIter=rounds, stepSize=step, maxDepth=max_depth, seed=seed)
