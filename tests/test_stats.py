@@ -152,3 +152,13 @@ def test_stats_merged_from_buckets_equal_direct(spark):
         assert d.n == m.n and d.site_min == m.site_min and d.site_max == m.site_max
         assert math.isclose(d.site_mean, m.site_mean, rel_tol=1e-12)
         assert (d.site_std is None and m.site_std is None) or math.isclose(d.site_std, m.site_std, rel_tol=1e-9)
+
+
+def test_with_one_row_refuses_other_counts(spark):
+    from velora.operators.one_row import with_one_row
+
+    df = spark.range(3)
+    assert with_one_row(df, df.agg(F.max("id").alias("m"))).count() == 3
+    for other in (spark.range(2).toDF("m"), spark.range(0).toDF("m")):
+        with pytest.raises(Exception, match="exactly one row"):
+            with_one_row(df, other).collect()

@@ -34,7 +34,7 @@ SITE_FEATURES = ["site_mean", "site_std", "site_min", "site_max"]
 
 def forecast_start(raw: DataFrame, ts_col: str = "ts") -> DataFrame:
     """One row with ``start`` = the latest hour of the raw counts."""
-    return raw.agg(F.max(floor_hour(ts_col)).alias("start"))
+    return raw.agg(F.max(ts_col).alias("start")).select(floor_hour("start").alias("start"))
 
 
 def forecast_start_value(raw: DataFrame, ts_col: str = "ts"):

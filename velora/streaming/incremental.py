@@ -45,7 +45,7 @@ def weather_gap(raw: DataFrame, weather: DataFrame) -> DataFrame:
 
 def weather_horizon(raw: DataFrame, weather_fc: DataFrame, horizon_hours: int = 168) -> DataFrame:
     """Forecast weather kept on ``[last count hour, + horizon]``, one row per hour (last landed wins)."""
-    start = raw.agg(F.max(floor_hour("ts")).alias("__s"))
+    start = raw.agg(F.max("ts").alias("__s")).select(floor_hour("__s").alias("__s"))
     w = weather_fc.withColumn("time", floor_hour("time")).filter(F.col("time").isNotNull())
     if "ingest_seq" not in w.columns:
         w = w.withColumn("ingest_seq", F.monotonically_increasing_id())
