@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from tokenizers import Tokenizer
 END_ID = 2
 SHARD_TOKENS = 1 << 18
 SAMPLE = 64
-KNOWN_CHUNKS = 400_000
-KNOWN_PIECES = 500_000
+KNOWN_CHUNKS = 600_000
+KNOWN_PIECES = 800_000
 ENCODE_ROWS = 500
 SHARD_TYPE = (
     "part int, seq int, start bigint, n_tokens bigint, n_docs int, doc_ids array<bigint>, "
@@ -102,6 +103,17 @@ def decode(n: int, low_bits: int, low: bytes, high: bytes) -> np.ndarray:
 
 #: White space of two or more around a blank: there, cutting before blanks would change the pieces.
 _ODD_SPACE = re.compile(r"\s (?=\s)|  ")
+_AFTER_BLANK = [" " + c for c in map(chr, range(0x110000)) if c.isspace()]
+
+
+def _odd_space(text: str) -> bool:
+    return any(x in text for x in _AFTER_BLANK) and _ODD_SPACE.search(text) is not None
+
+
+#: Chunks of Latin letters, simple punctuation and line ends only, and the pieces in them.
+_L = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+_PLAIN = re.compile(f" {_L}+(?:[.,;:!?]+(?:\n{_L}+)?)*")
+_PLAIN_PIECE = re.compile(f" ?{_L}+|[.,;:!?]+|\n")
 
 
 class ChunkEncoder:
@@ -129,28 +141,27 @@ class ChunkEncoder:
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        kind = "H" if self.dtype == "<u2" else "I"
+        return [array(kind, e.ids).tobytes() for e in found]
+
+    def _cut(self, text: str) -> list[str]:
+        """The pieces of a chunk, as the pre-tokenizer cuts them."""
+        if _PLAIN.fullmatch(text):
+            return _PLAIN_PIECE.findall(text)
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def _learn(self, chunks: list[str]) -> None:
         """Puts the ids of new chunks, each behind a blank, into ``chunks``."""
         if len(self.pieces) > KNOWN_PIECES:
             self.pieces.clear()
-        cut, pieces, new = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.pieces, {}
-        cuts = []
-        for c in chunks:
-            text = " " + c
-            row = []
-            for piece, (a, b) in cut(text):
-                row.append(piece)
-                if piece not in pieces:
-                    new[piece] = text[a:b]
-            cuts.append(row)
-        pieces.update(zip(new, self._direct(list(new.values()))))
-        for c, row in zip(chunks, cuts):
-            self.chunks[c] = b"".join([pieces[p] for p in row])
+        known = self.pieces
+        cuts = [[" " + c] if c.isascii() and c.isalpha() else self._cut(" " + c) for c in chunks]
+        new = list({p for row in cuts for p in row if p not in known})
+        known.update(zip(new, self._direct(new)))
+        self.chunks.update((c, known[row[0]] if len(row) == 1 else b"".join([known[p] for p in row])) for c, row in zip(chunks, cuts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.chunked and not _ODD_SPACE.search(t) and not any(x in t for x in self.added) for t in texts]
+        plain = [self.chunked and not _odd_space(t) and not any(x in t for x in self.added) for t in texts]
         split = [t.split(" ") if p else None for t, p in zip(texts, plain)]
         known = self.chunks
         new = set()
