@@ -153,12 +153,12 @@ def test_weather_flags_and_levels(spark):
     assert float(rows[0].r1) == 2.2
 
 
-def test_holiday_join_without_broadcast_above_the_bound(spark):
+def test_holiday_table_join_equals_the_fixed_calendar(spark):
     import datetime as dt
 
     hours = spark.range(0, 24 * 60).select((F.lit(dt.datetime(2024, 12, 1)) + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).cast("timestamp_ntz").alias("ts"))
     intervals = spark.createDataFrame(
         [(dt.date.fromisoformat(a), dt.date.fromisoformat(b)) for a, b in cal.HOLIDAY_PERIODS], "start_date date, end_date date"
     )
-    joined = cal.interval_flag_join(hours, "ts", intervals, "j", max_broadcast_days=1)  # forces the shuffle path
+    joined = cal.interval_flag_join(hours, "ts", intervals, "j")
     assert joined.filter(F.col("j") != cal.holiday_flag("ts")).count() == 0 and joined.count() == 24 * 60

@@ -32,7 +32,7 @@ def _norm(df):
     return df.astype(str).sort_values(cols).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", ["feature_table", "forecast_recursive", "historical_reference", "correlation_matrix", "chrono_split", "sites_dimension", "append_month_table", "stream_ingest", "csv_bulk_read", "saved_pipeline_metrics"])
+@pytest.mark.parametrize("name", ["feature_table", "forecast_recursive", "historical_reference", "correlation_matrix", "chrono_split", "sites_dimension", "append_month_table", "bootstrap_guard", "csv_bulk_read", "saved_pipeline_metrics"])
 def test_oracle_at_sf0001(spark, name):
     con = duckdb.connect()
     for t in TABLES:
