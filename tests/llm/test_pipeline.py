@@ -55,3 +55,20 @@ def test_every_stage_against_brute_force(spark):
         at += len(ids)
     assert sorted(tuple(r) for r in stages["token files"](spark, kept, SF001).collect()) == want
     assert sorted(tuple(r) for r in P.run(spark, SF001).collect()) == want
+
+
+def test_stages_take_nulls_repeats_extra_columns_and_empty_tables(spark):
+    from tests.llm.helpers import docs
+
+    text = "plain words of a clean document " * 8
+    rows = [(i, f"{text}{i} {i * 7} {i * 13}", "en", f"src{i % 3}") for i in range(20)]
+    rows += [(None, None), (50, None, "de", "src1"), (51, "", None, None), (3, *rows[3][1:]), (None, "no id here", "en", "src2"), (52, "long " * 200_000)]
+    for frame in (docs(spark, rows, extra=["epoch", "fp", "match"]), docs(spark, [])):
+        kept = frame
+        for name, stage in P.STAGES[:-1]:
+            kept = stage(spark, kept, SF001)
+            assert kept.columns == frame.columns, name
+            kept = spark.createDataFrame(kept.collect(), kept.schema)
+        n = kept.count()
+        assert P.STAGES[-1][1](spark, kept, SF001).count() == n
+        assert (n > 10) == bool(frame.count())
