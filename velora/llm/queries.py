@@ -74,4 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.report_sql(MIXTURE), "op7_fingerprints": fingerprints.REPORT_SQL}
+    return {
+        "op5_mixing": mixing.report_sql(MIXTURE),
+        "op7_fingerprints": fingerprints.REPORT_SQL,
+        "op8_decontamination": decontaminate.REPORT_SQL,
+    }
