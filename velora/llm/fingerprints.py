@@ -90,6 +90,10 @@ def _bucketed(bucketizer: Bucketizer, docs: DataFrame) -> DataFrame:
     return out.withColumn("__bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("__bucket").cast("int"))).drop("__id")
 
 
+def _unpacked(packed: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(packed)), F.lit(f"[0-9a-f]{{{DIGITS}}}"), F.lit(0))
+
+
 def with_next(docs: DataFrame, limit: str = LIMIT, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, text, sketch, next_text, next_sketch): the next row in descending doc_id, then text; after the last the first.
 
@@ -111,11 +115,18 @@ def with_next(docs: DataFrame, limit: str = LIMIT, width: int = SHINGLE_WORDS) -
         "doc_id", "text", F.col("to_bucket").alias("__bucket"), "halo"
     )
     rows = with_sketch(own.unionByName(copies), "text", "sketch", width, limit)
+    rows = rows.withColumn("sketch", F.unhex(F.array_join("sketch", "")))  # 8 bytes a hash through the shuffle
     order = Window.partitionBy("__bucket").orderBy("halo", F.col("doc_id").desc_nulls_last(), "text")
     return (
         rows.withColumn("__next", F.lead(F.struct("text", "sketch")).over(order))
         .filter("halo = 0")
-        .select("doc_id", "text", "sketch", F.col("__next.text").alias("next_text"), F.col("__next.sketch").alias("next_sketch"))
+        .select(
+            "doc_id",
+            "text",
+            _unpacked(F.col("sketch")).alias("sketch"),
+            F.col("__next.text").alias("next_text"),
+            _unpacked(F.col("__next.sketch")).alias("next_sketch"),
+        )
     )
 
 
