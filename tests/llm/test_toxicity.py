@@ -1,5 +1,3 @@
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -42,10 +40,11 @@ def test_expected_severity_is_the_sum_of_the_cumulative_probabilities():
 
 
 def test_grades_follow_the_number_of_typical_words():
-    counts = [Counter({1: k, 2: 5}) for k in range(1, 31)] + [Counter({2: 5})] * 30
-    toxic = np.array([1] * 30 + [0] * 30)
-    g = X.graded(toxic, counts)
+    rows = [(1, np.array([1, 2]), np.array([k, 5])) for k in range(1, 31)] + [(0, np.array([2]), np.array([5]))] * 30
+    g = X.graded(X.Sample.of(rows))
     assert set(g[30:]) == {0} and g[0] == 1 and g[29] == 3 and np.all(np.diff(g[:30]) >= 0)
+    model = X.fit(rows)
+    assert set(model.weights) == {1} and model.weights[1] > 0 and np.all(np.diff(model.thresholds) > 0)
 
 
 def test_held_out_labels(spark):

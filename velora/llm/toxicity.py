@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 
 from velora.llm.common import bounded_sample
 
-PER_CLASS = 2000
+PER_CLASS = 1000
 SAMPLE_CHARS = 20_000
-MAX_FEATURES = 2000
+MAX_FEATURES = 1000
 MIN_DOCS = 4
 RATIO = 5.0
 L2 = 1e-3
@@ -113,56 +113,62 @@ def fit_ordinal(
     return params[:d], thresholds(params)
 
 
-def graded(toxic: np.ndarray, counts: list[Counter], top: int = GRADES) -> np.ndarray:
+@dataclass(frozen=True)
+class Sample:
+    """Labelled rows as sparse counts: entry e says that row ``row[e]`` has feature ``ids[column[e]]`` ``count[e]`` times."""
+
+    toxic: np.ndarray
+    ids: np.ndarray
+    row: np.ndarray
+    column: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Sample:
+        """From (toxic 0/1, feature ids, counts) per row."""
+        ids, column = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
+        return cls(np.array([r[0] for r in rows]), ids, row, column.astype(np.int32), np.concatenate([r[2] for r in rows]))
+
+    def documents(self, of: np.ndarray) -> np.ndarray:
+        """Per feature, the number of rows of ``of`` (a 0/1 mark per row) that have it."""
+        return np.bincount(self.column, weights=of[self.row], minlength=len(self.ids))
+
+
+def graded(s: Sample, top: int = GRADES) -> np.ndarray:
     """Grades from 0/1 labels: toxic rows in ``top`` equal parts by how often features typical of toxic rows occur."""
-    in_toxic, in_clean = Counter(), Counter()
-    for label, c in zip(toxic, counts):
-        (in_toxic if label else in_clean).update(c.keys())
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    typical = {f for f, k in in_toxic.items() if k >= MIN_DOCS and k / n1 > 10 * (in_clean[f] + 0.5) / n0}
-    amount = np.array([sum(c[f] for f in typical & c.keys()) for c in counts])
-    grade = np.zeros(len(toxic), dtype=np.int64)
-    own = amount[toxic == 1]
+    n1, n0 = max(1, int(s.toxic.sum())), max(1, int((1 - s.toxic).sum()))
+    in_toxic, in_clean = s.documents(s.toxic), s.documents(1 - s.toxic)
+    typical = (in_toxic >= MIN_DOCS) & (in_toxic / n1 > 10 * (in_clean + 0.5) / n0)
+    amount = np.bincount(s.row, weights=s.count * typical[s.column], minlength=len(s.toxic))
+    grade = np.zeros(len(s.toxic), dtype=np.int64)
+    own = amount[s.toxic == 1]
     if len(own):
         cuts = np.quantile(own, np.arange(1, top) / top)
-        grade[toxic == 1] = 1 + np.searchsorted(cuts, own, side="right").clip(0, top - 1) * (own > 0)
+        grade[s.toxic == 1] = 1 + np.searchsorted(cuts, own, side="right").clip(0, top - 1) * (own > 0)
     return grade
 
 
-def fit(rows: list[tuple[int, Counter]], top: int = GRADES) -> OrdinalModel | None:
-    """Fits on (toxic 0/1, feature counts); None unless both classes occur."""
-    toxic = np.array([r[0] for r in rows], dtype=np.int64)
-    if not len(rows) or toxic.min() == toxic.max():
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], top: int = GRADES) -> OrdinalModel | None:
+    """Fits on (toxic 0/1, feature ids, counts) per row; None unless both classes occur."""
+    if len({r[0] for r in rows}) < 2:
         return None
-    counts = [r[1] for r in rows]
-    grade = graded(toxic, counts, top)
-    in_toxic, in_all = Counter(), Counter()
-    for label, c in zip(toxic, counts):
-        in_all.update(c.keys())
-        if label:
-            in_toxic.update(c.keys())
-    n, n1 = len(rows), int(toxic.sum())
-
-    def chi_square(f: int) -> float:
-        a, k = in_toxic[f], in_all[f]
-        expected = k * n1 / n
-        return (a - expected) ** 2 * n * n / (k * (n - k) * n1 * (n - n1)) * n if k < n else 0.0
-
-    def telling(f: int) -> bool:
-        """Often enough in toxic texts, and ``RATIO`` times as often as in clean ones: chance words of clean texts say nothing."""
-        a = in_toxic[f]
-        return a >= MIN_DOCS and a / n1 >= RATIO * (in_all[f] - a + 0.5) / (n - n1)
-
-    frequent = [f for f in in_toxic if telling(f)]
-    frequent.sort(key=lambda f: (-chi_square(f), f))
-    chosen = frequent[:MAX_FEATURES]
-    column = {f: j for j, f in enumerate(chosen)}
+    s = Sample.of(rows)
+    n, n1 = len(rows), int(s.toxic.sum())
+    a, k = s.documents(s.toxic), s.documents(np.ones(n))
+    # often enough in toxic texts, and RATIO times as often as in clean ones: chance words of clean texts say nothing
+    telling = (a >= MIN_DOCS) & (a / n1 >= RATIO * (k - a + 0.5) / (n - n1))
+    chi_square = (a - k * n1 / n) ** 2 / np.maximum(k * (n - k), 1)
+    order = np.lexsort((s.ids, -chi_square))
+    chosen = order[telling[order]][:MAX_FEATURES]
+    place = np.full(len(s.ids), -1)
+    place[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen)))
-    for i, c in enumerate(counts):
-        for f in c.keys() & column.keys():
-            x[i, column[f]] = np.log2(1 + c[f])
-    weights, thresholds = fit_ordinal(x, grade, top, weight=np.where(toxic == 1, 1 / n1, 1 / (n - n1)))  # classes count alike
-    return OrdinalModel({f: float(w) for f, w in zip(chosen, weights)}, thresholds)
+    at = place[s.column] >= 0
+    x[s.row[at], place[s.column[at]]] = np.log2(1 + s.count[at])
+    weight = np.where(s.toxic == 1, 1 / n1, 1 / (n - n1))  # classes count alike
+    weights, thresholds = fit_ordinal(x, graded(s, top), top, weight=weight)
+    return OrdinalModel({int(f): float(w) for f, w in zip(s.ids[chosen], weights)}, thresholds)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> OrdinalModel | None:
@@ -183,11 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ord
 
     found = sample.select("toxic", "doc_id", extract(F.col("text")).alias("x")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["x"]["ids"]))
-    rows = []
-    for r in found:
-        ids, counts = np.frombuffer(r["x"]["ids"], dtype="<u8").tolist(), np.frombuffer(r["x"]["counts"], dtype="<u4").tolist()
-        rows.append((r["toxic"], Counter(dict(zip(ids, counts)))))
-    return fit(rows)
+    return fit([(r["toxic"], np.frombuffer(r["x"]["ids"], dtype="<u8"), np.frombuffer(r["x"]["counts"], dtype="<u4")) for r in found])
 
 
 def with_severity(docs: DataFrame, model: OrdinalModel | None, text: str = "text", out: str = "toxicity") -> DataFrame:
