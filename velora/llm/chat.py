@@ -32,8 +32,9 @@ from velora.llm.common import stored
 ROLES = ("system", "user", "assistant")
 STATES = [(r, first) for r in ROLES for first in (True, False)]
 CHUNK_LINES = 2048
-SAMPLE_CONVERSATIONS = 2000
-SAMPLE_LINES = 400
+SAMPLE_CONVERSATIONS = 1000
+SAMPLE_TURNS = 40
+SAMPLE_LINES = 50
 _N = len(STATES)
 #: Speaker names of transcripts, by role.
 MARKERS = {
@@ -309,12 +310,13 @@ def transcript_lines(conversations: DataFrame) -> DataFrame:
 def train(lines: DataFrame) -> Model:
     """Fits on labelled ``lines`` of at most SAMPLE_CONVERSATIONS conversations (those of the smallest hash).
 
-    Of each at most SAMPLE_LINES lines count; conversations of crc32(conv_id) mod 4 = 2 are held out.
+    Of each the turns below SAMPLE_TURNS and their first SAMPLE_LINES lines
+    count; conversations of crc32(conv_id) mod 4 = 2 are held out.
     """
     known = lines.filter(F.col("conv_id").isNotNull() & (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 != 2))
     ids = known.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(SAMPLE_CONVERSATIONS)
     sample = known.join(F.broadcast(ids), "conv_id").filter(F.col("line_no") < SAMPLE_LINES)
-    turns = sample.filter(F.col("part") < SAMPLE_LINES).collect()
+    turns = sample.filter(F.col("part") < SAMPLE_TURNS).collect()
     turns.sort(key=lambda r: (r["conv_id"], r["part"], r["line_no"], r["line"] or ""))
     conversations: dict[int, list[tuple[str, list[str]]]] = {}
     place = None
