@@ -13,7 +13,7 @@ from velora.llm import token_files as K
 from velora.llm.common import fresh_folder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ENC = K.ChunkEncoder(PATH)
+ENC = K.PieceEncoder(PATH)
 
 
 def direct(text):
@@ -39,18 +39,18 @@ def test_elias_fano_round_trip(values):
     assert len(low) + len(high) <= (len(values) * (low_bits + 3) + 15) // 8 + 1
 
 
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\tab's.,1é　<|endoftext|>"), st.characters(codec="utf-8")), max_size=60))
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\tab's.,1éºµ²\x1c\x85　–“<|endoftext|>'revm"), st.characters(codec="utf-8")), max_size=60))
 @settings(max_examples=150, deadline=None)
-def test_chunks_encode_like_whole_texts(text):
+def test_pieces_encode_like_whole_texts(text):
     assert np.frombuffer(ENC.encode([text])[0], dtype=ENC.dtype).tolist() == ENC.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_cleared_caches_do_not_change_ids(monkeypatch):
-    monkeypatch.setattr(K, "KNOWN_CHUNKS", 3)
     monkeypatch.setattr(K, "KNOWN_PIECES", 2)
     texts = ["a b c d e f", "f e d x y z", "a <|endoftext|> b", "a b c d e f"]
-    got = K.ChunkEncoder(PATH).encode(texts)
-    assert [np.frombuffer(g, dtype="<u2").tolist() for g in got] == [direct(t) for t in texts]
+    enc = K.PieceEncoder(PATH)
+    for few in (texts, texts[:1], texts[1:3], texts):
+        assert [np.frombuffer(g, dtype="<u2").tolist() for g in enc.encode(few)] == [direct(t) for t in few]
 
 
 @pytest.mark.parametrize("shard_tokens", [1, 700, K.SHARD_TOKENS])

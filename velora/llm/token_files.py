@@ -32,8 +32,7 @@ from tokenizers import Tokenizer
 END_ID = 2
 SHARD_TOKENS = 1 << 18
 SAMPLE = 64
-KNOWN_CHUNKS = 600_000
-KNOWN_PIECES = 800_000
+KNOWN_PIECES = 450_000
 ENCODE_ROWS = 500
 SHARD_TYPE = (
     "part int, seq int, start bigint, n_tokens bigint, n_docs int, doc_ids array<bigint>, "
@@ -101,32 +100,23 @@ def decode(n: int, low_bits: int, low: bytes, high: bytes) -> np.ndarray:
 
 # --- encoding -----------------------------------------------------------------------------
 
-#: White space of two or more around a blank: there, cutting before blanks would change the pieces.
-_ODD_SPACE = re.compile(r"\s (?=\s)|  ")
-_AFTER_BLANK = [" " + c for c in map(chr, range(0x110000)) if c.isspace()]
+#: The pieces that a byte-level pre-tokenizer cuts (fixed pattern), for the characters of ``_OTHER`` left out: there
+#: letters are Latin ones and digits are 0-9, so that no table of character classes has to agree.
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_S = " \t\n\x0b\x0c\r"
+_PIECE = re.compile(f" ?[{_L}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_OTHER = re.compile(f"[^\x00-\x7f{_L}\u2010-\u2027\u2030-\u205e]")
 
 
-def _odd_space(text: str) -> bool:
-    return any(x in text for x in _AFTER_BLANK) and _ODD_SPACE.search(text) is not None
+class PieceEncoder:
+    """Encodes texts through the tokenizer, one distinct piece at a time.
 
-
-#: Chunks of Latin letters, simple punctuation and line ends only, and the pieces in them.
-_L = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
-_PLAIN = re.compile(f" {_L}+(?:[.,;:!?]+(?:\n{_L}+)?)*")
-_PLAIN_PIECE = re.compile(f" ?{_L}+|[.,;:!?]+|\n")
-
-
-class ChunkEncoder:
-    """Encodes texts through the tokenizer, one distinct chunk at a time.
-
-    A byte-level BPE without a normalizer never joins a character with the
-    blank behind it, so a text is the concatenation of its chunks cut before
-    single blanks, and equal chunks encode alike; a chunk in turn is the
-    concatenation of the pieces that the pre-tokenizer cuts. Distinct pieces go
-    through the tokenizers library once; ids of up to ``KNOWN_CHUNKS`` chunks
-    and ``KNOWN_PIECES`` pieces are kept. Texts with longer white space, with
-    the text of an added token, or under a tokenizer with other rules are
-    encoded whole.
+    A byte-level BPE without a normalizer encodes every piece that its
+    pre-tokenizer cuts on its own, so a text's ids are the concatenation of its
+    pieces' ids. Distinct pieces go through the tokenizers library once; their
+    ids are kept in two generations of ``KNOWN_PIECES``. Texts with other
+    characters than ``_PIECE`` covers, with the text of an added token, or under
+    a tokenizer with other rules are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -134,58 +124,51 @@ class ChunkEncoder:
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         cutter = self.tokenizer.pre_tokenizer
-        self.chunked = type(cutter).__name__ == "ByteLevel" and cutter.use_regex and not cutter.add_prefix_space
-        self.chunked = self.chunked and self.tokenizer.normalizer is None and self.tokenizer.truncation is None
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.cuts = type(cutter).__name__ == "ByteLevel" and cutter.use_regex and not cutter.add_prefix_space
+        self.cuts = self.cuts and self.tokenizer.normalizer is None and self.tokenizer.truncation is None
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         kind = "H" if self.dtype == "<u2" else "I"
         return [array(kind, e.ids).tobytes() for e in found]
 
-    def _cut(self, text: str) -> list[str]:
-        """The pieces of a chunk, as the pre-tokenizer cuts them."""
-        if _PLAIN.fullmatch(text):
-            return _PLAIN_PIECE.findall(text)
-        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Puts the ids of new chunks, each behind a blank, into ``chunks``."""
-        if len(self.pieces) > KNOWN_PIECES:
-            self.pieces.clear()
-        known = self.pieces
-        cuts = [[" " + c] if c.isascii() and c.isalpha() else self._cut(" " + c) for c in chunks]
-        new = list({p for row in cuts for p in row if p not in known})
-        known.update(zip(new, self._direct(new)))
-        self.chunks.update((c, known[row[0]] if len(row) == 1 else b"".join([known[p] for p in row])) for c, row in zip(chunks, cuts))
+    def _pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, or None if it has to be encoded whole."""
+        if not self.cuts or (not text.isascii() and _OTHER.search(text)) or any(x in text for x in self.added):
+            return None
+        return _PIECE.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.chunked and not _odd_space(t) and not any(x in t for x in self.added) for t in texts]
-        split = [t.split(" ") if p else None for t, p in zip(texts, plain)]
-        known = self.chunks
-        new = set()
-        for row in split:
+        cut = [self._pieces(t) for t in texts]
+        if len(self.known) > KNOWN_PIECES:  # the older generation goes; pieces that are still used move over
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        used: set[str] = set()
+        for row in cut:
             if row:
-                new.update(row[1:])
-        # a full cache is cleared before the batch's chunks go in, never between
-        missing = [c for c in new if c not in known]
-        if len(known) + len(missing) > KNOWN_CHUNKS:
-            known.clear()
-            missing = list(new)
-        for at in range(0, len(missing), 20_000):
-            self._learn(missing[at : at + 20_000])
-        whole = iter(self._direct([row[0] if row else t for t, row in zip(texts, split)]))
-        return [next(whole) + (b"".join([known[c] for c in row[1:]]) if row else b"") for row in split]
+                used.update(row)
+        used.difference_update(known)
+        missing = []
+        for p in used:
+            ids = before.get(p)
+            if ids is None:
+                missing.append(p)
+            else:
+                known[p] = ids
+        known.update(zip(missing, self._direct(missing)))
+        whole = iter(self._direct([t for t, row in zip(texts, cut) if row is None]))
+        return [next(whole) if row is None else b"".join(map(known.__getitem__, row)) for row in cut]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> PieceEncoder:
     """The worker's encoder: tasks that follow each other in one worker share what it knows."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
 
 
