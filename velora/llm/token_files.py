@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 END_ID = 2
 SHARD_TOKENS = 1 << 18
 SAMPLE = 64
-KNOWN_PIECES = 450_000
+KNOWN_PIECES = 400_000
 ENCODE_ROWS = 500
 SHARD_TYPE = (
     "part int, seq int, start bigint, n_tokens bigint, n_docs int, doc_ids array<bigint>, "
@@ -145,21 +145,28 @@ class PieceEncoder:
         if len(self.known) > KNOWN_PIECES:  # the older generation goes; pieces that are still used move over
             self.before, self.known = self.known, {}
         known, before = self.known, self.before
-        used: set[str] = set()
-        for row in cut:
-            if row:
-                used.update(row)
-        used.difference_update(known)
-        missing = []
-        for p in used:
-            ids = before.get(p)
-            if ids is None:
-                missing.append(p)
-            else:
-                known[p] = ids
-        known.update(zip(missing, self._direct(missing)))
+        found = [None if row is None else list(map(known.get, row)) for row in cut]
+        missing: dict[str, None] = {}
+        for row, ids in zip(cut, found):
+            if row and None in ids:
+                for p, x in zip(row, ids):
+                    if x is None and p not in known:
+                        old = before.get(p)
+                        if old is None:
+                            missing[p] = None
+                        else:
+                            known[p] = old
+        known.update(zip(missing, self._direct(list(missing))))
         whole = iter(self._direct([t for t, row in zip(texts, cut) if row is None]))
-        return [next(whole) if row is None else b"".join(map(known.__getitem__, row)) for row in cut]
+        out = []
+        for row, ids in zip(cut, found):
+            if row is None:
+                out.append(next(whole))
+            elif None in ids:
+                out.append(b"".join([known[p] if x is None else x for p, x in zip(row, ids)]))
+            else:
+                out.append(b"".join(ids))
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
