@@ -77,3 +77,20 @@ def test_one_class_and_empty_tables(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert [r.toxic for r in X.toxicity_report(docs(spark, [(1, "x")]), labels).collect()] == [False]
     assert X.toxicity_report(docs(spark, []), labels.limit(0)).collect() == []
+
+
+def test_long_clean_texts_are_not_rejected_by_chance_words(spark):
+    d = spark.read.parquet(f"{SF1}/documents.parquet")
+    labels = spark.read.parquet(f"{SF1}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = X.train(d, labels.filter(~fold))
+    long = d.select("doc_id", "text").filter(F.length("text") > 10_000).join(labels.filter("toxic = 0"), "doc_id")
+    n, rate = X.with_severity(long, model).agg(F.count("*"), F.avg(X.rejected().cast("int"))).first()
+    assert n > 60 and rate < 0.05 and model.length <= 0
+
+
+def test_labelled_texts_of_any_length_are_learned_from(spark):
+    rows = [(i, "nice words here " * 1500 + ("horrible idiotic " if i % 3 == 0 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    got = X.toxicity_report(docs(spark, rows), labels).collect()
+    assert {r.doc_id for r in got if r.toxic} == {i for i in range(60) if i % 3 == 0}

@@ -3,23 +3,26 @@
 Severity has grades 0 (clean) to K. The model is P(grade >= k | x) =
 sigmoid(w . x - t_k) with t_1 < ... < t_K: one weight vector shared by all
 thresholds. x holds, for every known word and word beginning (3 to 5 letters),
-log2(1 + count). The result is the expected grade, sum over k of P(grade >= k).
+log2(1 + count), and log2(1 + words) of the text: its weight is never above 0,
+so a longer text needs more typical words. The result is the expected grade,
+sum over k of P(grade >= k).
 
 Where the labels only say toxic or not, ``graded`` spreads the toxic sample
 over three grades by how many of its words are typical of toxic texts (thirds
 of that number; texts without such a word get the lowest grade).
 
-The model is fitted on a bounded sample of labelled rows (``PER_CLASS`` of
-each class, texts of at most ``SAMPLE_CHARS`` characters) with the
-``MAX_FEATURES`` features that tell toxic texts best from others. Every row is scored
-on its whole text. The model has that many floats, which is what is broadcast.
+The features are the ``MAX_FEATURES`` that tell toxic texts best from others by
+the numbers of texts they occur in, counted over all labelled rows; those that
+chance explains are left out. The weights are fitted on a bounded sample of labelled
+rows of any length (``PER_CLASS`` of each class). Every row is scored on its whole
+text. The model has that many floats, which is what is broadcast.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velora.llm.common import bounded_sample
+from velora.llm.common import bounded_sample, stored
 
-PER_CLASS = 1000
-SAMPLE_CHARS = 20_000
+PER_CLASS = 2000
 MAX_FEATURES = 1000
 MIN_DOCS = 4
 RATIO = 5.0
+#: A feature is left out unless chance would give less than exp(-SURE) such features among all that were tried.
+SURE = 3.0
 L2 = 1e-3
 GRADES = 3
 REJECT_AT = 0.5
@@ -68,6 +72,7 @@ def counted(text: str | None) -> Counter:
 class OrdinalModel:
     weights: dict[int, float]
     thresholds: np.ndarray
+    length: float = 0.0  # weight of log2(1 + words), at most 0
 
     def cumulative(self, z: float) -> np.ndarray:
         """P(grade >= k) for k = 1..K."""
@@ -75,9 +80,18 @@ class OrdinalModel:
 
 
 def fit_ordinal(
-    x: np.ndarray, grade: np.ndarray, top: int, l2: float = L2, steps: int = 400, weight: np.ndarray | None = None
+    x: np.ndarray,
+    grade: np.ndarray,
+    top: int,
+    l2: float = L2,
+    steps: int = 400,
+    weight: np.ndarray | None = None,
+    falling: int | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds t_1 < ... < t_top that maximise the penalised likelihood (Adam, full batch)."""
+    """Weights and ordered thresholds t_1 < ... < t_top that maximise the penalised likelihood (Adam, full batch).
+
+    The weight of column ``falling`` is kept at or below 0.
+    """
     n, d = x.shape
     weight = np.ones(n) if weight is None else weight * (n / weight.sum())
     at_least = grade[:, None] >= np.arange(1, top + 1)
@@ -110,6 +124,8 @@ def fit_ordinal(
         grad[d + 1 :] = later[1:] * np.exp(params[d + 1 :])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params - 0.05 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-9)
+        if falling is not None:
+            params[falling] = min(params[falling], 0.0)
     return params[:d], thresholds(params)
 
 
@@ -149,47 +165,125 @@ def graded(s: Sample, top: int = GRADES) -> np.ndarray:
     return grade
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], top: int = GRADES) -> OrdinalModel | None:
-    """Fits on (toxic 0/1, feature ids, counts) per row; None unless both classes occur."""
+def evidence(a, c, n1: int, n0: int, log: Callable):  # noqa: ANN001, ANN201
+    """-log of the (Chernoff) bound on the chance of ``a`` toxic ones among a + c texts. Arrays or Columns."""
+    share = n1 / (n1 + n0)
+    return a * log((a + 1e-9) / ((a + c) * share)) + c * log((c + 1e-9) / ((a + c) * (1 - share)))
+
+
+def telling(a, c, n1: int, n0: int, tried: int, log: Callable):  # noqa: ANN001, ANN201
+    """Whether a feature in ``a`` of n1 toxic and ``c`` of n0 clean texts is typical of toxic ones. Arrays or Columns.
+
+    Often enough, RATIO times as often as in clean texts, and more often than chance gives among ``tried`` features.
+    """
+    sure = evidence(a, c, n1, n0, log) >= float(np.log(max(1, tried))) + SURE
+    return (a >= MIN_DOCS) & (a / n1 >= (c + 0.5) * (RATIO / n0)) & sure
+
+
+def chi_square(a, c, n1: int, n0: int):  # noqa: ANN001, ANN201
+    n = n1 + n0
+    return (a - (a + c) * (n1 / n)) * (a - (a + c) * (n1 / n)) / ((a + c) * (n - (a + c)) + 1.0)
+
+
+def choose(s: Sample) -> np.ndarray:
+    """The features to use where the sample is all there is."""
+    n1, n0 = int(s.toxic.sum()), int((1 - s.toxic).sum())
+    a, c = s.documents(s.toxic), s.documents(1 - s.toxic)
+    order = np.lexsort((s.ids, -chi_square(a, c, n1, n0)))
+    ok = telling(a, c, n1, n0, int((a + c >= MIN_DOCS).sum()), np.log)
+    return s.ids[order[ok[order]][:MAX_FEATURES]]
+
+
+def fit(
+    rows: list[tuple[int, np.ndarray, np.ndarray]],
+    top: int = GRADES,
+    chosen: np.ndarray | None = None,
+    words: np.ndarray | None = None,
+) -> OrdinalModel | None:
+    """Fits on (toxic 0/1, feature ids, counts) per row; None unless both classes occur.
+
+    ``chosen``: the features to use, by default those ``choose`` finds in the rows. ``words``: number of words per row.
+    """
     if len({r[0] for r in rows}) < 2:
         return None
     s = Sample.of(rows)
     n, n1 = len(rows), int(s.toxic.sum())
-    a, k = s.documents(s.toxic), s.documents(np.ones(n))
-    # often enough in toxic texts, and RATIO times as often as in clean ones: chance words of clean texts say nothing
-    telling = (a >= MIN_DOCS) & (a / n1 >= RATIO * (k - a + 0.5) / (n - n1))
-    chi_square = (a - k * n1 / n) ** 2 / np.maximum(k * (n - k), 1)
-    order = np.lexsort((s.ids, -chi_square))
-    chosen = order[telling[order]][:MAX_FEATURES]
+    chosen = np.sort(choose(s) if chosen is None else chosen)
+    chosen = chosen[np.isin(chosen, s.ids)]
     place = np.full(len(s.ids), -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen)))
+    place[np.searchsorted(s.ids, chosen)] = np.arange(len(chosen))
+    x = np.zeros((n, len(chosen) + 1))
     at = place[s.column] >= 0
     x[s.row[at], place[s.column[at]]] = np.log2(1 + s.count[at])
+    if words is not None:
+        x[:, -1] = np.log2(1 + words)
     weight = np.where(s.toxic == 1, 1 / n1, 1 / (n - n1))  # classes count alike
-    weights, thresholds = fit_ordinal(x, graded(s, top), top, weight=weight)
-    return OrdinalModel({int(f): float(w) for f, w in zip(s.ids[chosen], weights)}, thresholds)
+    weights, thresholds = fit_ordinal(x, graded(s, top), top, weight=weight, falling=len(chosen))
+    return OrdinalModel({int(f): float(w) for f, w in zip(chosen, weights)}, thresholds, float(weights[-1]))
+
+
+def frequencies(labelled: DataFrame) -> DataFrame:
+    """f, a, c: in how many toxic and clean texts a feature (as a signed 64-bit id) occurs, over all rows.
+
+    The row whose f is null has the numbers of texts; features of fewer than MIN_DOCS texts are left out.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, list[int]] = {}
+        for texts in batches:
+            out = []
+            for t in texts:
+                ids: set[int] = set()
+                for word in set(words_of(t)):
+                    hits = known.get(word)
+                    if hits is None:
+                        if len(known) >= _KNOWN_WORDS:
+                            known.clear()
+                        hits = known[word] = features_of(word)
+                    ids.update(hits)
+                out.append(np.fromiter(ids, dtype="<u8", count=len(ids)).view("<i8"))
+            yield pd.Series(out, dtype=object)
+
+    f = F.explode(F.concat(distinct("text"), F.array(F.lit(None).cast("long"))))
+    counts = labelled.select("toxic", f.alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("c"))
+    return counts.filter(F.col("f").isNull() | (F.col("a") + F.col("c") >= MIN_DOCS))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> OrdinalModel | None:
     """Fits on documents with a non-null ``toxic`` label; of contradicting labels of one document the larger counts."""
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     marks = marks.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    # only the different words of a text cross the shuffle; its words are the same, as none has white space
+    once = F.concat_ws(" ", F.array_distinct(F.split("text", "[ \\t\\n\\r]+")))
+    labelled = texts.select("doc_id", once.alias("text")).join(marks.hint("merge"), "doc_id")
+    terms = stored(frequencies(labelled), "toxicity-terms")
+    total = terms.filter("f is null").first()
+    if total is None or not total["a"] or not total["c"]:
+        return None
+    n1, n0, tried = total["a"], total["c"], terms.filter("f is not null").count()
+    a, c = F.col("a"), F.col("c")
+    best = terms.filter(F.col("f").isNotNull() & telling(a, c, n1, n0, tried, F.log))
+    best = best.orderBy(chi_square(a, c, n1, n0).desc(), "f").limit(MAX_FEATURES).select("f").collect()
+    chosen = np.sort(np.array([r[0] for r in best], dtype="<i8").view("<u8"))
+
     few = bounded_sample(marks, "toxic", "doc_id", 2 * per_class)  # at most four times per_class ids
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     sample = bounded_sample(texts.join(F.broadcast(few), "doc_id"), "toxic", "doc_id", per_class)
+    wanted = frozenset(chosen.tolist())
 
-    @F.pandas_udf(T.StructType().add("ids", T.BinaryType()).add("counts", T.BinaryType()))
+    @F.pandas_udf(T.StructType().add("ids", T.BinaryType()).add("counts", T.BinaryType()).add("words", T.LongType()))
     def extract(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            c = counted(t)
-            rows.append((np.array(list(c), dtype="<u8").tobytes(), np.array(list(c.values()), dtype="<u4").tobytes()))
-        return pd.DataFrame(rows, columns=["ids", "counts"])
+            c = {f: n for f, n in counted(t).items() if f in wanted}
+            rows.append((np.array(list(c), dtype="<u8").tobytes(), np.array(list(c.values()), dtype="<u4").tobytes(), len(words_of(t))))
+        return pd.DataFrame(rows, columns=["ids", "counts", "words"])
 
     found = sample.select("toxic", "doc_id", extract(F.col("text")).alias("x")).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["x"]["ids"]))
-    return fit([(r["toxic"], np.frombuffer(r["x"]["ids"], dtype="<u8"), np.frombuffer(r["x"]["counts"], dtype="<u4")) for r in found])
+    found.sort(key=lambda r: (r["doc_id"], r["toxic"], r["x"]["ids"]))
+    rows = [(r["toxic"], np.frombuffer(r["x"]["ids"], dtype="<u8"), np.frombuffer(r["x"]["counts"], dtype="<u4")) for r in found]
+    return fit(rows, chosen=chosen, words=np.array([r["x"]["words"] for r in found]))
 
 
 def with_severity(docs: DataFrame, model: OrdinalModel | None, text: str = "text", out: str = "toxicity") -> DataFrame:
@@ -211,7 +305,8 @@ def with_severity(docs: DataFrame, model: OrdinalModel | None, text: str = "text
                     rows.append((0.0, 0.0, 0))
                     continue
                 counts: Counter = Counter()
-                for word in words_of(t):
+                words = words_of(t)
+                for word in words:
                     hits = known.get(word)
                     if hits is None:
                         if len(known) >= _KNOWN_WORDS:
@@ -219,7 +314,8 @@ def with_severity(docs: DataFrame, model: OrdinalModel | None, text: str = "text
                         hits = known[word] = tuple(f for f in features_of(word) if f in m.weights)
                     if hits:
                         counts.update(hits)
-                p = m.cumulative(sum(m.weights[f] * np.log2(1 + c) for f, c in counts.items()))
+                z = sum(m.weights[f] * np.log2(1 + c) for f, c in counts.items())
+                p = m.cumulative(z + m.length * np.log2(1 + len(words)))
                 each = np.concatenate([[1.0], p]) - np.concatenate([p, [0.0]])
                 rows.append((float(p.sum()), float(p[0]), int(each.argmax())))
             yield pd.DataFrame(rows, columns=["severity", "p_toxic", "grade"])
