@@ -86,3 +86,23 @@ def test_one_label_and_empty(spark):
     assert S.secret_report(docs(spark, [])).collect() == []
     got = S.secret_report(docs(spark, [(1, "number 1234567890123456 card")])).collect()
     assert [r.is_secret for r in got] == [False]
+
+
+def test_short_punctuated_and_small_letter_values_are_candidates(spark):
+    rows = [
+        (1, "login password=hunter22 now"),
+        (2, 'set DB_PASSWORD: "p@ss!w0rd#%&x", then'),
+        (3, "password=correcthorsebatterystaple"),
+        (4, "the passphrase is tr0ub4dor&3. And"),
+        (5, "a correct-horse-battery-staple alone"),
+        (6, "author=Johnson wrote; pwd=abc is short; the house is yellow"),
+        (7, "Authorization: Bearer s3cr3t!x"),
+    ]
+    got = {(r.doc_id, r.value) for r in S.findings(docs(spark, rows)).collect()}
+    assert got >= {
+        (1, "hunter22"), (2, "p@ss!w0rd#%&x"), (3, "correcthorsebatterystaple"), (4, "tr0ub4dor&3"),
+        (5, "correct-horse-battery-staple"), (7, "s3cr3t!x"),
+    }
+    assert not [v for d, v in got if d == 6]
+    report = S.secret_report(docs(spark, rows)).collect()
+    assert all(len(r.masked) - 3 <= r.length / 4 for r in report)

@@ -1,7 +1,8 @@
 """Secret scans with a false-positive filter (operator 3). DataFrame, SQL and Spark ML functions only.
 
-Every run of 16 or more key characters that is no plain word (``MIXED``) is a
-candidate. A random forest tells secrets from other candidates by length, mix of and changes
+Candidates are every run of 16 or more key characters with a letter or digit, and every
+value of ``VALUE_LENGTH`` or more characters of any kind that is assigned to, or stands
+behind, a credential's name. A random forest tells secrets from other candidates by length, mix of and changes
 between character classes, how much of its letters dictionary words cover, path
 marks of the word it stands in, and the words around it. It is trained from
 labelled findings; the dictionary holds the ``DICTIONARY_WORDS`` most frequent
@@ -26,8 +27,7 @@ from velora.llm.common import bounded_sample, row_key, stored
 
 MIN_LENGTH = 16
 CANDIDATE = f"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}"
-#: A run is worth a look with a digit, in capitals throughout, or with a capital behind a small letter.
-MIXED = "[0-9]|[a-z][A-Z]|^[+/_-]*[A-Z][A-Z+/_-]*$"
+VALUE_LENGTH = 6
 DICTIONARY_WORDS = 50_000
 MIN_COUNT = 5
 PER_LABEL = 2000
@@ -38,6 +38,13 @@ _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 #: Fixed formats and names.
 KNOWN_FORMATS = "^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^xox[abpr]-[0-9A-Za-z-]{10,}$|^sk-[0-9A-Za-z_-]{20,}$"
 CREDENTIAL = "(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
+#: A credential's name to its end ("api_key", "db-password2", but not "author"), and what may stand between it and its value.
+NAME = CREDENTIAL + "(?:orization|s|[_-]?key)?(?:[_-][A-Za-z0-9_-]*|[0-9]+)?(?![A-Za-z])"
+_QUOTE = "[\"'`]"
+_ASSIGN = f"{_QUOTE}?\\]?(?:[:=]=?>?){_QUOTE}?"
+ASSIGNED_IN_WORD = f"{NAME}{_ASSIGN}(.{{{VALUE_LENGTH},}})$"
+NAME_BEFORE = f"{NAME}{_QUOTE}?\\]?(?:[:=]=?>?)?{_QUOTE}?$"
+BETWEEN = "(?i)^(?:[:=]+>?|is|was)$"
 BENIGN = "(?i)(?:commit|sha[0-9]*|md5|hash|checksum|digest|uuid|guid|version|rev(?:ision)?|card|phone|isbn|order|invoice)"
 FEATURES = [
     "length", "digits", "uppers", "lowers", "symbols", "distinct", "letter_digit", "case_change", "repeats", "hexadecimal",
@@ -53,23 +60,40 @@ def findings(docs: DataFrame) -> DataFrame:
     """
     words = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), _SPACE).alias("w"))
     w = F.col("w")
+
+    def word(i: Column) -> Column:
+        return F.coalesce(F.get(w, i), F.lit(""))
+
+    def named(i: Column) -> Column:
+        """Whether a credential's name stands before word i."""
+        behind = word(i - 1).rlike(NAME_BEFORE) | (word(i - 1).rlike(BETWEEN) & word(i - 2).rlike(NAME_BEFORE))
+        return (F.length(word(i)) >= VALUE_LENGTH) & behind
+
     at = F.filter(
         F.sequence(F.lit(0), F.size(w) - 1),
-        lambda i: (F.length(F.get(w, i)) >= MIN_LENGTH) & F.get(w, i).rlike(CANDIDATE),
+        lambda i: ((F.length(word(i)) >= MIN_LENGTH) & word(i).rlike(CANDIDATE)) | word(i).rlike(ASSIGNED_IN_WORD) | named(i),
     )
     near = F.transform(
         at,
         lambda i: F.struct(
             i.alias("place"),
-            F.get(w, i).alias("word"),
-            F.coalesce(F.get(w, i - 1), F.lit("")).alias("previous"),
-            F.coalesce(F.get(w, i - 2), F.lit("")).alias("second"),
-            F.coalesce(F.get(w, i + 1), F.lit("")).alias("next"),
+            word(i).alias("word"),
+            word(i - 1).alias("previous"),
+            word(i - 2).alias("second"),
+            word(i + 1).alias("next"),
+            named(i).alias("named"),
         ),
     )
     found = words.select("doc_id", F.explode(near).alias("n")).select("doc_id", "n.*")
-    found = found.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("nth", "value"))
-    return found.filter(F.col("value").rlike(MIXED)).withColumn("before", F.expr("substring_index(word, value, 1)"))
+    inside = F.regexp_extract("word", ASSIGNED_IN_WORD, 1)
+    value = F.when(inside != "", inside).when(F.col("named"), F.col("word")).otherwise("")
+    value = F.regexp_replace(value, "^[\"'`]+|[\"'`,;.]+$", "")
+    runs = F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))
+    own = F.when((F.length(value) >= VALUE_LENGTH) & ~F.array_contains(runs, value), F.array(value)).otherwise(F.array().cast("array<string>"))
+    # runs keep their numbers in the word; an assigned value that is no run of its own comes after them
+    found = found.select("*", F.size(runs).alias("runs"), F.posexplode(F.concat(runs, own)).alias("nth", "value")).drop("named")
+    found = found.filter((F.col("nth") >= F.col("runs")) | F.col("value").rlike("[A-Za-z0-9]")).drop("runs")
+    return found.withColumn("before", F.expr("substring_index(word, value, 1)"))
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
@@ -95,7 +119,7 @@ def with_features(found: DataFrame, terms: DataFrame) -> DataFrame:
         "digits": _share("[0-9]"),
         "uppers": _share("[A-Z]"),
         "lowers": _share("[a-z]"),
-        "symbols": _share("[+/_-]"),
+        "symbols": _share("[^A-Za-z0-9]"),
         "distinct": F.size(F.array_distinct(F.split("value", ""))) / F.length("value"),
         "letter_digit": _share("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])"),
         "case_change": _share("[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
@@ -162,7 +186,7 @@ def secret_report(docs: DataFrame, labelled: DataFrame | None = None) -> DataFra
     """One row per candidate: doc_id, place, nth, length, masked, value_sha256, score, is_secret.
 
     ``labelled``: findings with features and ``label``; by default those of ``docs`` under ``weak_labels``.
-    The value itself is not returned: only its first four characters and its digest.
+    The value itself is not returned: only its first quarter, at most four characters, and its digest.
     """
     seen = prepared(docs.select("doc_id", "text"))
     model = train(labelled if labelled is not None else seen.withColumn("label", weak_labels(seen)))
@@ -171,7 +195,7 @@ def secret_report(docs: DataFrame, labelled: DataFrame | None = None) -> DataFra
         "place",
         "nth",
         F.col("length").cast("int").alias("length"),
-        F.concat(F.substring("value", 1, 4), F.lit("...")).alias("masked"),
+        F.concat(F.expr("left(value, least(4, length(value) div 4))"), F.lit("...")).alias("masked"),
         F.sha2("value", 256).alias("value_sha256"),
         "score",
         (F.col("score") >= 0.5).alias("is_secret"),
