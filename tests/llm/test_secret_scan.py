@@ -106,3 +106,20 @@ def test_short_punctuated_and_small_letter_values_are_candidates(spark):
     assert not [v for d, v in got if d == 6]
     report = S.secret_report(docs(spark, rows)).collect()
     assert all(len(r.masked) - 3 <= r.length / 4 for r in report)
+
+
+def test_words_of_any_rank_count_and_letter_runs_of_copied_texts_do_not(spark):
+    often = " ".join(a + b + c for a in "bcdfghjklm" for b in "aeiou" for c in "npqrst")
+    rows = [(i, f"{often} rareword text {i}") for i in range(6)]
+    rows += [(100 + i, "copied rareword-page-0001 password=Qwertzuiop1234567") for i in range(8)]
+    df = docs(spark, rows)
+    assert {r.term for r in S.finding_terms(df, S.findings(df)).collect()} == {"rareword"}
+    coverage = {r.value: r.coverage for r in S.prepared(df).filter("doc_id = 100").collect()}
+    assert coverage == {"rareword-page-0001": 8 / 12, "Qwertzuiop1234567": 0.0}
+
+
+def test_words_beyond_the_old_limit_count(spark):
+    many = [a + b + c + d for a in "bcdfghjklmnpqrst" for b in "bcdfghjklmnpqrst" for c in "bcdfghjklmnpqrst" for d in "bcdfghjklmnpqrst"]
+    rows = [(i, " ".join(many) + f" {' '.join(many)} zzzword {i}") for i in range(5)] + [(100, "see zzzword-zzzword-01 there")]
+    got = S.prepared(docs(spark, rows)).filter("doc_id = 100").collect()
+    assert [r.coverage for r in got] == [1.0]

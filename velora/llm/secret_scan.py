@@ -5,8 +5,8 @@ value of ``VALUE_LENGTH`` or more characters of any kind that is assigned to, or
 behind, a credential's name. A random forest tells secrets from other candidates by length, mix of and changes
 between character classes, how much of its letters dictionary words cover, path
 marks of the word it stands in, and the words around it. It is trained from
-labelled findings; the dictionary holds the ``DICTIONARY_WORDS`` most frequent
-words of all documents.
+labelled findings. Of the letter runs in findings, those count as dictionary words
+that occur in at least ``TERM_SHARE`` of all different texts (``MIN_COUNT`` at least).
 
 ``weak_labels`` labels findings where a table of labelled ones is missing:
 values of the fixed key formats below, or values assigned to a credential's
@@ -30,6 +30,7 @@ CANDIDATE = f"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}"
 VALUE_LENGTH = 6
 DICTIONARY_WORDS = 50_000
 MIN_COUNT = 5
+TERM_SHARE = 1e-5
 PER_LABEL = 2000
 TREES = 20
 DEPTH = 6
@@ -103,14 +104,29 @@ def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS, min_count: int =
     return counts.orderBy(F.desc("count"), "term").limit(words).select("term")
 
 
+def letter_runs(value: Column) -> Column:
+    return F.regexp_extract_all(F.lower(value), F.lit("[a-z]{3,}"), F.lit(0))
+
+
+def finding_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The letter runs of ``found`` that are words: those of enough different texts of ``docs``, however many words there are."""
+    runs = found.select(F.explode(letter_runs(F.col("value"))).alias("term")).distinct()
+    texts = docs.filter("text is not null")
+    least = texts.agg(F.greatest(F.lit(MIN_COUNT), F.ceil(F.countDistinct(F.xxhash64("text")) * F.lit(TERM_SHARE))).alias("n")).first()["n"]
+    terms = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
+    each = texts.select(F.xxhash64("text").alias("h"), F.explode(terms).alias("term")).filter(F.length("term") >= 3)
+    each = each.join(runs, "term").groupBy("term", "h").agg(F.lit(1).alias("one"))
+    return each.groupBy("term").count().filter(F.col("count") >= least).select("term")
+
+
 def _share(pattern: str) -> Column:
     return F.regexp_count("value", F.lit(pattern)) / F.length("value")
 
 
 def with_features(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """Adds ``FEATURES``. ``found`` has a row number ``uid``; ``terms`` is a bounded dictionary."""
-    parts = found.select("uid", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
-    covered = parts.join(F.broadcast(terms), "term").groupBy("uid").agg(F.sum(F.length("term")).alias("covered"))
+    """Adds ``FEATURES``. ``found`` has a row number ``uid``; ``terms``: the dictionary words."""
+    parts = found.select("uid", F.explode(letter_runs(F.col("value"))).alias("term"))
+    covered = parts.join(terms, "term").groupBy("uid").agg(F.sum(F.length("term")).alias("covered"))
     around = F.concat_ws(" ", "second", "previous", "before")
     letters = F.regexp_count("value", F.lit("[A-Za-z]"))
     out = found.join(covered, "uid", "left")
@@ -179,7 +195,7 @@ def train(labelled: DataFrame, per_label: int = PER_LABEL) -> SecretModel:
 def prepared(docs: DataFrame) -> DataFrame:
     """All findings of ``docs`` with features, stored."""
     found = stored(findings(docs).withColumn("uid", F.monotonically_increasing_id()), "secret-findings")
-    return stored(with_features(found, stored(dictionary(docs), "secret-terms")), "secret-features")
+    return stored(with_features(found, stored(finding_terms(docs, found), "secret-terms")), "secret-features")
 
 
 def secret_report(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
