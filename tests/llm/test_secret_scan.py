@@ -123,3 +123,17 @@ def test_words_beyond_the_old_limit_count(spark):
     rows = [(i, " ".join(many) + f" {' '.join(many)} zzzword {i}") for i in range(5)] + [(100, "see zzzword-zzzword-01 there")]
     got = S.prepared(docs(spark, rows)).filter("doc_id = 100").collect()
     assert [r.coverage for r in got] == [1.0]
+
+
+def test_copies_of_one_finding_do_not_fill_the_sample(spark, monkeypatch):
+    rows, secret = corpus()
+    rows += [(1000 + i, "see https://example.com/one/copied/page-1/index.html there") for i in range(600)]
+    rows += [(2000 + i, "password=copiedcopied1copied there") for i in range(600)]
+    seen = S.prepared(docs(spark, rows))
+    labelled = seen.withColumn("label", S.weak_labels(seen))
+    taken = []
+    plain = S.bounded_sample
+    monkeypatch.setattr(S, "bounded_sample", lambda df, *a: taken.append(plain(df, *a)) or taken[0])
+    S.train(labelled, per_label=100)
+    counts = taken[0].groupBy("label", "__k").count().agg(F.max("count"), F.count("*")).first()
+    assert counts[0] == 1 and counts[1] > 80

@@ -178,9 +178,13 @@ class SecretModel:
 
 
 def train(labelled: DataFrame, per_label: int = PER_LABEL) -> SecretModel:
-    """Fits on findings with features and ``label`` (1.0 secret, 0.0 not); rows without a label are left out."""
+    """Fits on findings with features and ``label`` (1.0 secret, 0.0 not); rows without a label are left out.
+
+    Copies of a finding (value, word and neighbours) count once per label.
+    """
     keyed = labelled.filter("label is not null").withColumn("__k", row_key("value", "word", "previous", "next"))
-    few = bounded_sample(keyed.select(*FEATURES, "label", "__k"), "label", "__k", per_label).orderBy("__k", *FEATURES).coalesce(1)
+    keyed = keyed.groupBy("__k", "label").agg(F.min(F.struct(*FEATURES)).alias("f")).select("f.*", "label", "__k")
+    few = bounded_sample(keyed, "label", "__k", per_label).orderBy("__k", *FEATURES).coalesce(1)
     few = stored(few.select(*FEATURES, "label"), "secret-sample")
     kinds = [r[0] for r in few.select("label").distinct().collect()]
     if len(kinds) < 2:
