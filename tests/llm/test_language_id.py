@@ -53,3 +53,15 @@ def test_nulls_ties_and_extra_columns(spark):
 def test_no_labels_and_empty(spark):
     assert {r.lang_pred for r in L.language_report(docs(spark, [(1, "some text", None)])).collect()} == {"und"}
     assert L.language_report(docs(spark, [])).collect() == []
+
+
+def test_every_language_is_learned_and_long_texts_too(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(110):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)]
+        rows += [(8 * k + i, " ".join(rng.permutation(words)) * (60 if k == 0 else 1), f"l{k:03}") for i in range(6)]
+    model = L.train(docs(spark, rows))
+    assert len(model.languages) == 110
+    got = L.predict(docs(spark, rows), model).select("lang", "language.lang_pred").collect()
+    assert sum(r[0] == r[1] for r in got) >= 0.98 * len(got)

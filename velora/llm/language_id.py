@@ -11,9 +11,9 @@ linear, so they are multiplied out once into a table (slot x language); a batch
 of texts is scored by one product of its sparse presence matrix with it.
 
 The model is fitted on a bounded sample: at most ``PER_LANGUAGE`` rows of each
-language and ``MAX_SAMPLE`` in all, texts of at most ``SAMPLE_CHARS``
-characters, for at most ``MAX_LANGUAGES`` languages. Every row is scored on its
-whole text.
+language and ``MAX_SAMPLE`` in all, but two of each language at least, of texts of
+any length. Every language that labels a text is learned; every row is scored on
+its whole text.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ SLOT_BITS = 18
 MAX_N = 4
 PER_LANGUAGE = 300
 MAX_SAMPLE = 2000
-SAMPLE_CHARS = 10_000
-MAX_LANGUAGES = 100
 LANDMARKS = 256
 RIDGE = 1e-2
 UNKNOWN = "und"
@@ -112,14 +110,12 @@ def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:
     """Fits on a bounded sample of ``docs``, its labels in ``lang``; None without labelled texts."""
-    usable = docs.select(doc_id, text, lang).filter(
-        F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS) & F.col(text).rlike("\\p{L}")
-    )
-    labels = usable.select(lang).distinct().limit(MAX_LANGUAGES).count()
+    usable = docs.select(doc_id, text, lang).filter(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
+    labels = usable.select(lang).distinct().count()
     if not labels:
         return None
     per = max(2, min(PER_LANGUAGE, MAX_SAMPLE // labels))
-    sample = bounded_sample(usable, lang, doc_id, per, MAX_LANGUAGES)
+    sample = bounded_sample(usable, lang, doc_id, per, labels)
 
     @F.pandas_udf(T.BinaryType())
     def slots(texts: pd.Series) -> pd.Series:
@@ -127,7 +123,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     rows = sample.select(lang, F.xxhash64(doc_id).alias("h"), slots(F.col(text)).alias("slots")).collect()
     rows.sort(key=lambda r: (r[0], r["h"], r["slots"]))
-    return fit([(r[0], np.frombuffer(r["slots"], dtype="<i4").astype(np.int64)) for r in rows])
+    return fit([(r[0], np.frombuffer(r["slots"], dtype="<i4")) for r in rows])
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", out: str = "language") -> DataFrame:
