@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from velora.llm import chat, decontaminate, fingerprints, language_id, mixing, secret_scan, simhash, token_files, toxicity, warc
+from velora.llm import (
+    chat, decontaminate, fingerprints, language_id, mixing, piece_tokens, secret_scan, simhash, token_files, toxicity, warc,
+)
 from velora.llm.common import fresh_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 MIXTURE = mixing.Mixture(
     weights={
         "domain": {"web": 0.6, "books": 0.4},
@@ -65,10 +68,15 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(table(spark, sf_dir, "conversations"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens.piece_report(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_token_files, op3_secret_scan, op4_warc, op5_mixing,
         op6_toxicity, op7_fingerprints, op8_decontamination, op9_simhash, op10_chat,
+        op11_sentencepiece,
     ]
     return {f.__name__: f for f in found}
 
