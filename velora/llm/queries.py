@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from velora.llm import (
-    chat, decontaminate, fingerprints, language_id, mixing, piece_tokens, secret_scan, simhash, token_files, toxicity, warc,
+    chat, collocations, decontaminate, fingerprints, language_id, mixing, piece_tokens, secret_scan, simhash, token_files, toxicity, warc,
 )
 from velora.llm.common import fresh_folder, table
 
@@ -72,11 +72,15 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.piece_report(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_token_files, op3_secret_scan, op4_warc, op5_mixing,
         op6_toxicity, op7_fingerprints, op8_decontamination, op9_simhash, op10_chat,
-        op11_sentencepiece,
+        op11_sentencepiece, op13_collocations,
     ]
     return {f.__name__: f for f in found}
 
@@ -86,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.report_sql(MIXTURE),
         "op7_fingerprints": fingerprints.REPORT_SQL,
         "op8_decontamination": decontaminate.REPORT_SQL,
+        "op13_collocations": collocations.report_sql(),
     }
