@@ -83,7 +83,7 @@ def test_equal_fingerprints_are_told_apart(spark, monkeypatch):
     """With one fingerprint for everything, verification against the words still separates phrases."""
     monkeypatch.setattr(C.xxhash, "xxh3_64_intdigest", lambda w: 7)
     rows = [("en", "a b c d")] * 6 + [("en", "x y")] * 5
-    block = C.Block([(lang, t.encode()) for lang, t in rows])
+    block = C.Block(*C._numbered([(lang, t.encode()) for lang, t in rows]))
     at = block.starts(2)
     assert len(set(block.fingerprints(at, 2).tolist())) == 1
     first, counts = block.phrases(at, 2)
@@ -91,8 +91,8 @@ def test_equal_fingerprints_are_told_apart(spark, monkeypatch):
 
 
 def test_fingerprints_depend_on_words_only():
-    one = C.Block([("en", b"p q. the old house stood. z"), ("de", b"the old house")])
-    two = C.Block([("fr", b"u"), ("en", b"THE Old\thouse")])
+    one = C.Block(*C._numbered([("en", b"p q. the old house stood. z"), ("de", b"the old house")]))
+    two = C.Block(*C._numbered([("fr", b"u"), ("en", b"THE Old\thouse")]))
     at = {one.text(i, 3): one.fingerprints(np.array([i]), 3)[0] for i in one.starts(3).tolist() if one.lang[i] == 0}
     (i,) = two.starts(3).tolist()
     assert two.fingerprints(np.array([i]), 3)[0] == at[b"the old house"] != at[b"old house stood"]

@@ -5,7 +5,8 @@ run of 1 to ``max_words`` words inside a piece; the frequent ones (``least``
 occurrences or more in a language) are counted exactly and those of two or more
 words are scored by their weakest cut.
 
-1. Every task takes its texts in blocks. Words get numbers, and one running
+1. Every task takes its texts in blocks and numbers each block's words; the
+   numbered blocks are stored, so that texts are cut once. One running
    polynomial over the words' hashes gives the fingerprint of every n-gram as a
    difference of two prefixes (numpy, 64 bits, odd base; language and length are
    mixed in). A block hands on each fingerprint once, with its count. Spark adds
@@ -44,7 +45,8 @@ LEAST = 100
 MAX_WORDS = 5
 TOP = 2000
 BITS = 26
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
+ROWS = 1 << 16
 UNKNOWN = "und"
 #: odd multipliers of the prefix polynomial and of the mixing step
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -64,31 +66,40 @@ class _Numbers(dict):
         return n
 
 
+def _numbered(texts: list[tuple[str, bytes]]) -> tuple[list[str], bytes, bytes, bytes, bytes]:
+    """Languages, distinct words, the words' numbers one after the other, and each text's language and length.
+
+    A mark (number 0) ends every piece and every text.
+    """
+    numbers = _Numbers({b".": 0})
+    langs: dict[str, int] = {}
+    ids, of = [], []
+    for lang, text in texts:
+        words = [w for w in text.translate(_NORMAL).replace(b".", b" . ").split(b" ") if w]
+        words.append(b".")
+        ids.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+        of.append(langs.setdefault(lang, len(langs)))
+    sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+    width = np.uint16 if len(numbers) <= 1 << 16 else np.int32
+    return list(langs), b" ".join(numbers), np.concatenate(ids).astype(width).tobytes(), np.array(of, dtype=np.int32).tobytes(), sizes.tobytes()
+
+
 class Block:
     """The words of some texts, one after the other, with a mark between pieces and texts."""
 
-    def __init__(self, texts: list[tuple[str, bytes]]):
-        numbers = _Numbers({b".": 0})
-        langs: dict[str, int] = {}
-        ids, of = [], []
-        for lang, text in texts:
-            words = [w for w in text.translate(_NORMAL).replace(b".", b" . ").split(b" ") if w]
-            words.append(b".")
-            ids.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
-            of.append(np.full(len(words), langs.setdefault(lang, len(langs)), dtype=np.int64))
-        self.words = list(numbers)
-        self.langs = list(langs)
-        self.ids = np.concatenate(ids)
-        self.lang = np.concatenate(of)
+    def __init__(self, langs: list[str], words: bytes, ids: bytes, of: bytes, sizes: bytes):
+        self.words = words.split(b" ")
+        self.langs = langs
+        self.ids = np.frombuffer(ids, dtype=np.uint16 if len(self.words) <= 1 << 16 else np.int32).astype(np.int64)
+        self.lang = np.repeat(np.frombuffer(of, dtype=np.int32), np.frombuffer(sizes, dtype=np.int32)).astype(np.int64)
         # the position of the piece mark that ends the piece of each position
         marks = np.flatnonzero(self.ids == 0)
-        self.end = marks[np.searchsorted(marks, np.arange(len(self.ids)))]
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), dtype=np.uint64, count=len(self.words))
-        salts = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs), dtype=np.uint64, count=len(self.langs))
+        self.end = np.repeat(marks, np.diff(marks, prepend=-1))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), dtype=np.uint64, count=len(self.words))
+        salts = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in langs), dtype=np.uint64, count=len(langs))
         with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.full(len(self.ids) + 1, _BASE, dtype=np.uint64))
-            terms = hashes[self.ids] * self.power[:-1]
-            self.prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(terms, dtype=np.uint64)])
+            power = np.cumprod(np.full(len(self.ids), _BASE, dtype=np.uint64))
+            self.prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes[self.ids] * power, dtype=np.uint64)])
             # inverse powers bring a difference of prefixes back to its position (an odd base has an inverse)
             self.back = np.cumprod(np.full(len(self.ids), np.uint64(pow(int(_BASE), -1, 1 << 64)), dtype=np.uint64))
         self.salt = salts[self.lang]
@@ -120,19 +131,36 @@ class Block:
         return b" ".join([self.words[i] for i in self.ids[at : at + n]])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
-    held: list[tuple[str, bytes]] = []
-    size = 0
+def _cut(block_bytes: int):
+    """Texts to numbered blocks of about ``block_bytes``; a longer text is a block of its own or the end of one."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, bytes]] = []
+        size = 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                held.append((lang.as_py(), text.as_py()))
+                size += len(held[-1][1])
+                if size >= block_bytes:
+                    yield _packed(held)
+                    held, size = [], 0
+        if held:
+            yield _packed(held)
+
+    return cut
+
+
+def _packed(texts: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(_BLOCK.names, _numbered(texts)))], schema=_BLOCK)
+
+
+_BLOCK = pa.schema([("langs", pa.list_(pa.string())), ("words", pa.binary()), ("ids", pa.binary()), ("of", pa.binary()), ("sizes", pa.binary())])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1)):
-            text = text.as_py()
-            held.append((lang.as_py(), text))
-            size += len(text)
-            if size >= block_bytes:
-                yield Block(held)
-                held, size = [], 0
-    if held:
-        yield Block(held)
+        for i in range(batch.num_rows):
+            yield Block(*(c[i].as_py() for c in batch.columns))
 
 
 def _is_set(bitmap: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
@@ -152,24 +180,25 @@ def _pairs_allow(block: Block, bitmap: np.ndarray, max_words: int) -> Iterator[t
         yield n, at
 
 
-def _count(max_words: int, block_bytes: int, bitmap=None):
+def _count(max_words: int, bitmap=None):
     """Distinct fingerprints of each block with their counts: of 1 and 2 words, or (given the bitmap) of 3 and more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, block_bytes):
+        for block in _blocks(batches):
             some = ((n, block.starts(n)) for n in (1, 2)) if bitmap is None else _pairs_allow(block, bitmap.value, max_words)
             for n, at in some:
                 found, counts = np.unique(block.fingerprints(at, n), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["fp", "n"])
+                rows = pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["fp", "n"])
+                yield from (rows.slice(i, ROWS) for i in range(0, rows.num_rows, ROWS))
 
     return count
 
 
-def _verify(max_words: int, block_bytes: int, bitmap):
+def _verify(max_words: int, bitmap):
     """The n-grams that the bitmap lets through, by text, and one row (null phrase) of all words per language."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, block_bytes):
+        for block in _blocks(batches):
             allowed = bitmap.value
             total = np.bincount(block.lang[block.ids != 0], minlength=len(block.langs))
             yield _rows(block.langs, [None] * len(total), total, 0)
@@ -216,15 +245,17 @@ def frequent_phrases(
         F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"),
     )
 
+    blocks = stored(texts.mapInArrow(_cut(block_bytes), "langs array<string>, words binary, ids binary, of binary, sizes binary"), "phrase-blocks")
+
     def frequent(bitmap, name: str) -> DataFrame:
-        partial = texts.mapInArrow(_count(max_words, block_bytes, bitmap), "fp bigint, n bigint")
+        partial = blocks.mapInArrow(_count(max_words, bitmap), "fp bigint, n bigint")
         return stored(partial.groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("fp"), name)
 
     short = _bitmap(frequent(None, "phrases-short"), bits)
     allowed = short
     if max_words > 2:
         allowed = short | _bitmap(frequent(sc.broadcast(short), "phrases-long"), bits)
-    found = texts.mapInArrow(_verify(max_words, block_bytes, sc.broadcast(allowed)), "lang string, phrase binary, words int, n bigint")
+    found = blocks.mapInArrow(_verify(max_words, sc.broadcast(allowed)), "lang string, phrase binary, words int, n bigint")
     sums = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).filter(F.col("phrase").isNull() | (F.col("a") >= least))
     return stored(sums.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
 
