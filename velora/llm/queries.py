@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from velora.llm import (
-    chat, collocations, decontaminate, fingerprints, language_id, mixing, piece_tokens, secret_scan, simhash, token_files, toxicity, warc,
+    chat, collocations, conversation_repair, decontaminate, fingerprints, language_id, mixing, piece_tokens, secret_scan, simhash, token_files, toxicity, warc,
 )
 from velora.llm.common import fresh_folder, table
 
@@ -72,6 +72,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.piece_report(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -80,7 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_token_files, op3_secret_scan, op4_warc, op5_mixing,
         op6_toxicity, op7_fingerprints, op8_decontamination, op9_simhash, op10_chat,
-        op11_sentencepiece, op13_collocations,
+        op11_sentencepiece, op12_conversation_repair, op13_collocations,
     ]
     return {f.__name__: f for f in found}
 
