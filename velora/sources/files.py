@@ -9,16 +9,15 @@ coordinates`` as text, ready for ``quality.coerce_counts``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from velora.functions.calendar import floor_hour
-from velora.functions.scalar import coord_text
-from velora.operators.quality import rename_columns, standardize_columns
+from velora.operators.quality import standard_names
+from velora.sources.pages import COUNT_TEXT_COLUMNS, page_records, page_texts, parse_pages
 
-# The bulk export's header names for the five kept columns, and
-# the page feed's field names, mapped to ours.
+# The bulk export's header names for the five kept columns, mapped to ours.
 CSV_COLUMNS = {
     "identifiant_du_site_de_comptage": "site_id",
     "nom_du_site_de_comptage": "site_name",
@@ -27,9 +26,7 @@ CSV_COLUMNS = {
     "coordonnées_géographiques": "coordinates",
     "coordonnees_geographiques": "coordinates",
 }
-PAGE_FIELDS = {"id": "site_id", "name": "site_name", "sum_counts": "hourly_count", "date": "ts", "coordinates": "coordinates"}
 WEATHER_FIELDS = ("time", "rain", "snowfall", "apparent_temperature", "wind_speed_10m")
-COUNT_TEXT_COLUMNS = ["site_id", "site_name", "hourly_count", "ts", "coordinates"]
 
 
 def read_counts_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
@@ -38,62 +35,94 @@ def read_counts_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame
     Input splits play the role of the reference's 50k-row chunks.
     """
     raw = spark.read.option("sep", sep).option("header", True).option("inferSchema", False).option("encoding", "UTF-8").csv(path)
-    std = rename_columns(standardize_columns(raw), CSV_COLUMNS)
-    missing = [c for c in COUNT_TEXT_COLUMNS if c not in std.columns]
+    return _kept_columns(raw)
+
+
+def _kept_columns(raw: DataFrame) -> DataFrame:
+    """The five count columns as text, whatever way the header spells them (a row's first non-NULL one counts)."""
+    spelled: dict[str, list[Column]] = {}
+    for c, name in zip(raw.columns, standard_names(raw.columns)):
+        spelled.setdefault(CSV_COLUMNS.get(name, name), []).append(F.col("`" + c.replace("`", "``") + "`"))
+    missing = [c for c in COUNT_TEXT_COLUMNS if c not in spelled]
     if missing:
         raise ValueError(f"count export lacks columns {missing}")
-    return std.select(*[F.col(c).cast("string") for c in COUNT_TEXT_COLUMNS])
+    return raw.select(*[F.coalesce(*spelled[c]).cast("string").alias(c) for c in COUNT_TEXT_COLUMNS])
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """Choose ';' or ',' from the header line (one line read)."""
+    """S2: ';' or ',' of a single file, from its header line (one line read)."""
     first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return ","
-    line = first[0][0] or ""
+    line = (first[0][0] or "") if first else ""
     return ";" if line.count(";") > line.count(",") else ","
 
 
-def read_csv_any_sep(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with the separator chosen from its header (all columns text)."""
-    sep = sniff_separator(spark, path)
-    return spark.read.option("sep", sep).option("header", True).option("inferSchema", False).csv(path)
+_SEPARATORS = (";", ",")
+_START = "\ufeff"  # byte order mark
 
 
-PAGE_SCHEMA = T.StructType(
-    [
-        T.StructField("total_count", T.LongType()),
-        T.StructField(
-            "results",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("id", T.StringType()),
-                        T.StructField("name", T.StringType()),
-                        T.StructField("sum_counts", T.StringType()),
-                        T.StructField("date", T.StringType()),
-                        T.StructField(
-                            "coordinates", T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
-                        ),
-                    ]
-                )
-            ),
-        ),
-    ]
-)
+def _fields(line: Column, sep: Column, n: int) -> Column:
+    """The first n fields of a CSV line as a struct of texts, under the separator of its file."""
+    schema = ", ".join(f"f{i} string" for i in range(n))
+    parsed = [F.from_csv(line, schema, {"sep": s}) for s in _SEPARATORS]
+    return F.when(sep == _SEPARATORS[0], parsed[0]).otherwise(parsed[1])
+
+
+def file_dialects(spark: SparkSession, path: str) -> DataFrame:
+    """Per file its header line and separator (``;`` if the header has more of them than commas).
+
+    The header is the first line of the file's first block; the rows of one
+    block are in order within their task, so the smallest row number is it.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"),
+        F.monotonically_increasing_id().alias("__n"), "value",
+    )
+    header = lines.filter("__at = 0").groupBy("file").agg(F.min_by("value", "__n").alias("header"))
+    count = [F.length("header") - F.length(F.replace("header", F.lit(s), F.lit(""))) for s in _SEPARATORS]
+    return header.withColumn("sep", F.when(count[0] > count[1], _SEPARATORS[0]).otherwise(_SEPARATORS[1]))
+
+
+def read_csv_any_sep(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files of any mixture of separators, column orders and column sets, joined by column name in any case (all text).
+
+    Each file's header gives its separator and the place of each column; a
+    column that a file lacks is NULL in its rows. Lines that repeat their file's
+    header, and empty lines, are left out. A quoted field may hold separators
+    but no line break. Only the names of the columns reach the driver.
+    """
+    dialects = file_dialects(spark, path)
+    heads = dialects.withColumn("header", F.ltrim("header", F.lit(_START)))
+    widths = [F.size(F.split(F.col("header"), s)) for s in _SEPARATORS]
+    width = heads.agg(F.max(F.greatest(*widths))).first()[0]
+    if width is None:
+        return spark.createDataFrame([], "value string").select()
+    as_array = F.array(*[F.col(f"p.f{i}") for i in range(width)])
+    heads = heads.withColumn("p", _fields(F.col("header"), F.col("sep"), width)).select("file", "sep", as_array.alias("names"))
+    each = heads.select(F.posexplode("names").alias("i", "name")).filter("name IS NOT NULL")
+    names = [r["name"] for r in each.groupBy(F.lower("name")).agg(F.min_by("name", F.struct("i", "name")).alias("name"), F.min("i").alias("i")).orderBy("i", F.lower("name")).collect()]
+    small = F.transform("names", F.lower)
+    places = [F.array_position(small, F.lit(n.lower())).cast("int").alias(f"__{i}") for i, n in enumerate(names)]
+    places = heads.select("file", "sep", *places).join(dialects.select("file", "header"), "file")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = lines.join(places, "file").filter((F.col("value") != F.col("header")) & (F.trim("value") != ""))
+    rows = rows.withColumn("p", _fields(F.col("value"), F.col("sep"), width)).withColumn("f", as_array)
+    found = [F.when(F.col(f"__{i}") > 0, F.try_element_at("f", F.nullif(F.col(f"__{i}"), F.lit(0)))).alias(n) for i, n in enumerate(names)]
+    return rows.select(*found)
+
+
+def read_counts_any_csv(spark: SparkSession, path: str) -> DataFrame:
+    """S1 + S2: a folder of count exports in any of the dialects, the five kept columns as text."""
+    return _kept_columns(read_csv_any_sep(spark, path))
 
 
 def read_count_pages(spark: SparkSession, path: str) -> DataFrame:
     """S3 + C7 + U1: landed JSON pages ``{total_count, results: [...]}`` -> count text rows.
 
     The union of all pages (and days) is the set of files under ``path``; an
-    empty folder gives an empty frame.
+    empty folder gives an empty frame. ``sources.pages`` tells which pages are
+    bad and which requests lack records.
     """
-    pages = spark.read.schema(PAGE_SCHEMA).option("multiLine", True).json(path)
-    rec = pages.select(F.explode("results").alias("r")).select("r.*")
-    rec = rec.withColumn("coordinates", coord_text(F.col("coordinates.lat"), F.col("coordinates.lon")))
-    out = rename_columns(rec, PAGE_FIELDS)
-    return out.select(*[F.col(c).cast("string") for c in COUNT_TEXT_COLUMNS])
+    return page_records(parse_pages(page_texts(spark, path)))
 
 
 WEATHER_SCHEMA = T.StructType(

@@ -86,12 +86,16 @@ def bootstrap_counts(spark: SparkSession, csv_path: str, table_path: str) -> int
     return append_new(spark, table_path, typed)
 
 
-def update_counts_from_pages(spark: SparkSession, pages_path: str, table_path: str) -> int:
-    """I1 load step: landed JSON pages -> P3/P4 -> K1. Returns the number of rows appended."""
-    from velora.operators.quality import coerce_counts, drop_null_keys
+def update_counts_from_pages(spark: SparkSession, pages_path: str, table_path: str, quarantine_path: str | None = None) -> int:
+    """I1 load step: landed JSON pages -> P3/P4 -> K1. Returns the number of rows appended.
+
+    Texts of bad pages are added to ``quarantine_path`` (default: beside the
+    table), each file once; the good pages are loaded all the same.
+    """
     from velora.sinks.tables import append_new
-    from velora.sources.files import read_count_pages
+    from velora.sources.pages import page_texts, parse_pages, quarantined
+    from velora.streaming.stream import page_counts
 
-    typed = drop_null_keys(coerce_counts(read_count_pages(spark, pages_path)))
-    typed = typed.withColumn("ts", floor_hour("ts")).withColumn("ingest_seq", F.monotonically_increasing_id())
-    return append_new(spark, table_path, typed)
+    pages = parse_pages(page_texts(spark, pages_path))
+    append_new(spark, quarantine_path or f"{table_path.rstrip('/')}_quarantine", quarantined(pages), keys=("file",), ts=None)
+    return append_new(spark, table_path, page_counts(pages).withColumn("ingest_seq", F.monotonically_increasing_id()))

@@ -13,42 +13,51 @@ read in many batches.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velora.functions.calendar import floor_hour
 from velora.operators.quality import coerce_counts, drop_null_keys
-from velora.sources.files import COUNT_TEXT_COLUMNS, PAGE_FIELDS, PAGE_SCHEMA
-from velora.functions.scalar import coord_text
-from velora.operators.quality import rename_columns
-
+from velora.sinks.tables import append_new
+from velora.sources.pages import page_records, page_text_stream, parse_pages, quarantined
 
 MAX_FILES = 1000
 
 
 def count_stream(spark: SparkSession, landing: str, max_files: int = MAX_FILES) -> DataFrame:
     """Typed, floored count rows from a landing folder of JSON pages (a streaming frame)."""
-    pages = spark.readStream.schema(PAGE_SCHEMA).option("multiLine", True).option("maxFilesPerTrigger", max_files).json(landing)
-    rec = pages.select(F.explode("results").alias("r")).select("r.*")
-    rec = rec.withColumn("coordinates", coord_text(F.col("coordinates.lat"), F.col("coordinates.lon")))
-    text = rename_columns(rec, PAGE_FIELDS).select(*[F.col(c).cast("string") for c in COUNT_TEXT_COLUMNS])
-    return drop_null_keys(coerce_counts(text)).withColumn("ts", floor_hour("ts"))
+    return page_counts(parse_pages(page_text_stream(spark, landing, max_files)))
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    """P3, P4, P7 on the records of parsed pages."""
+    return drop_null_keys(coerce_counts(page_records(pages))).withColumn("ts", floor_hour("ts"))
 
 
 def start_count_ingest(
-    spark: SparkSession, landing: str, table_path: str, checkpoint: str, available_now: bool = True, max_files: int = MAX_FILES
-):
+    spark: SparkSession, landing: str, table_path: str, checkpoint: str, available_now: bool = True, max_files: int = MAX_FILES,
+    quarantine_path: str | None = None,
+):
     """Run the stream into the raw table; returns the StreamingQuery.
 
     ``checkpoint`` must be a shared folder (the cluster's checkpoint location).
     ``append_new`` writes the candidate rows of a batch once and works on the
-    written copy, so a batch is never held in memory.
+    written copy, so a batch is never held in memory. Texts of bad pages go to
+    ``quarantine_path`` (default: beside the table), a file once, however often
+    a batch is run.
     """
-    from velora.sinks.tables import append_new
+    bad_path = quarantine_path or f"{table_path.rstrip('/')}_quarantine"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        append_new(batch.sparkSession, table_path, batch.withColumn("ingest_seq", F.lit(batch_id)))
-
-    w = count_stream(spark, landing, max_files).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+        pages = parse_pages(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            append_new(batch.sparkSession, table_path, page_counts(pages).withColumn("ingest_seq", F.lit(batch_id)))
+            append_new(batch.sparkSession, bad_path, quarantined(pages), keys=("file",), ts=None)
+        finally:
+            pages.unpersist()
+
+    texts = page_text_stream(spark, landing, max_files)
+    w = texts.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
