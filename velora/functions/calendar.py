@@ -156,11 +156,12 @@ def interval_flag_join(
 
     All bounds are midnights, so each interval is exploded to its days and the
     test becomes an equi-join on ``to_date(ts)`` (hash join, not a nested loop).
+    Intervals without a day (end not after start, or a NULL bound) flag nothing.
     The day table is distinct, so the join never multiplies rows; Spark chooses
     how to join it from its measured size.
     """
     days = (
-        intervals.select(
+        intervals.filter(F.col("start_date") < F.col("end_date")).select(
             F.explode(F.sequence(F.col("start_date"), F.date_sub(F.col("end_date"), 1))).alias("__day")
         )
         .distinct()

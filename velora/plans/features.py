@@ -88,18 +88,29 @@ def build_features(
     # read one small table instead of each re-aggregating the counts.
     moments = checkpointed(bucket_moments(base, bucket_of("ts")))
     stats = stats if stats is not None else site_stats_from_buckets(moments)
-    weather = prepare_weather(weather_raw)
+    core = core_features(base, prepare_weather(weather_raw), chunk_rows, holidays, moments)
+    return with_site_stats(core, stats)
+
+
+CORE_COLUMNS = [c for c in FEATURE_COLUMNS if c not in ("site_mean", "site_std", "site_min", "site_max")]
+
+
+def with_site_stats(core: DataFrame, stats: DataFrame) -> DataFrame:
+    """The 25 columns from the 21 that do not depend on a site's whole history."""
+    return core.join(stats.select("site_id", "site_mean", "site_std", "site_min", "site_max"), "site_id", "left").select(*FEATURE_COLUMNS)
+
+
+def core_features(
+    base: DataFrame, weather: DataFrame, chunk_rows: int = 65_536, holidays: DataFrame | None = None, bucket_counts: DataFrame | None = None
+) -> DataFrame:
+    """The feature table without the site statistics, from clean counts and prepared weather."""
     # Lags first, on the three narrow columns: the shuffles of row_lags carry 3
     # columns, not 14, and the warm-up rows are gone before the joins.
     lagged = drop_warmup(
         row_lags(
             base, "site_id", ["ts", "hourly_count"], "hourly_count", lags=(1, 24), rolling=24, chunk_rows=chunk_rows,
-            bucket_counts=moments,
+            bucket_counts=bucket_counts,
         )
     )
-    joined = (
-        calendar_flags(lagged, holidays=holidays)
-        .join(weather, "ts", "left")
-        .join(stats.select("site_id", "site_mean", "site_std", "site_min", "site_max"), "site_id", "left")
-    )
-    return add_cyclic_features(joined, "ts").select(*FEATURE_COLUMNS)
+    joined = calendar_flags(lagged, holidays=holidays).join(weather, "ts", "left")
+    return add_cyclic_features(joined, "ts").select(*CORE_COLUMNS)

@@ -132,16 +132,18 @@ def recursive_forecast_linear(
     horizon: int = 48,
     history_days: int = 30,
     encode=None,
+    start=None,
 ) -> DataFrame:
     """M9 with M8(a): (site_id, ts, hourly_count) for every site with history, every horizon hour.
 
-    ``encode`` adds a trained model's site encoding to the site rows.
+    ``encode`` adds a trained model's site encoding to the site rows; ``start``
+    is the latest raw hour if the caller knows it (then ``raw`` is not read).
 
     Sites are those with feature rows in the history window (J5); their site
     statistics are left-joined; the hours are one array shared by all sites
     (a one-row broadcast) and the recursion is a per-row fold.
     """
-    start = forecast_start_value(raw)
+    start = start if start is not None else forecast_start_value(raw)
     if start is None:
         raise RuntimeError("no count rows: load counts before forecasting")
     hist_rows = history_window(features, start, history_days)
@@ -168,12 +170,13 @@ def recursive_forecast_trees(
     history_days: int = 30,
     encode=None,
     scale: Mapping[str, tuple[float, float]] | None = None,
+    start=None,
 ) -> DataFrame:
     """M9 with M8(b): the same inputs as the linear form, scored by a tree ensemble.
 
     ``encode`` adds the model's site encoding to the site rows; ``scale`` is its scaler.
     """
-    start = forecast_start_value(raw)
+    start = start if start is not None else forecast_start_value(raw)
     if start is None:
         raise RuntimeError("no count rows: load counts before forecasting")
     hist = last_values(history_window(features, start, history_days), "site_id", "ts", "hourly_count", 24)

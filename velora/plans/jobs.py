@@ -8,6 +8,7 @@ partitioned by month of ``ts`` so later time filters prune files.
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from velora.operators.dedupe import last_per_key
 from velora.operators.recursive import FIXED_SCORER, LinearScorer
 from velora.operators.stats import site_stats
 from velora.plans.features import build_features
-from velora.plans.forecast import forecast_start_value, recursive_forecast_linear, recursive_forecast_trees, stamp_forecast
+from velora.plans.forecast import recursive_forecast_linear, recursive_forecast_trees, stamp_forecast
 from velora.plans.forecaster import ENCODED, Forecaster, fit_forecaster, load_forecaster, save_forecaster
 from velora.plans.sites import site_dimension
 from velora.plans.training import append_run, best_run, get_pointer, latest_run, run_record, set_pointer
@@ -100,34 +101,40 @@ def forecast_job(
     horizon: int = 48,
     history_days: int = 30,
     stats_path: str | None = None,
+    by_month: bool = False,
 ) -> str:
     """M9: checks (Q1, Q3-Q5), history, horizon features, recursion, upsert (K5).
 
     ``model_path`` (see ``choose_model``) names a saved forecaster: a linear one
     runs as the fold M8(a), a tree one as M8(b). Without it the given, or a
     fixed, linear scorer runs. Returns the folder of the new forecast version,
-    which ``current_version`` finds again.
+    which ``current_version`` finds again; with ``by_month`` the forecast is a
+    table by month at ``forecast_path``, of which only the months of the new
+    hours are rewritten. The latest raw hour is looked up once.
     """
     raw = spark.read.parquet(raw_path)
     feats = spark.read.parquet(features_path)
     wfc = spark.read.parquet(weather_fc_path)
-    q.check_aligned(raw, feats)
-    start = forecast_start_value(raw)
+    start = q.check_aligned(raw, feats)
     lo = ntz_lit(start)
     window = wfc.filter((F.col("time") > lo) & (F.col("time") <= lo + F.make_dt_interval(F.lit(0), F.lit(horizon))))
     q.require_rows(window, "weather forecast for the horizon")
     q.require_values(window, "apparent_temperature", "weather forecast for the horizon")
     stats = spark.read.parquet(stats_path) if stats_path else site_stats(raw)
     if model_path is None:
-        fc = recursive_forecast_linear(feats, raw, wfc, stats, scorer or FIXED_SCORER, horizon, history_days)
+        fc = recursive_forecast_linear(feats, raw, wfc, stats, scorer or FIXED_SCORER, horizon, history_days, start=start)
     else:
         f = load_forecaster(spark, model_path)
         q.require_columns(feats, [c for c in f.cols if c != ENCODED])
         if f.kind == "linear":
-            fc = recursive_forecast_linear(feats, raw, wfc, stats, f.linear_scorer(), horizon, history_days, encode=f.encode)
+            fc = recursive_forecast_linear(feats, raw, wfc, stats, f.linear_scorer(), horizon, history_days, encode=f.encode, start=start)
         else:
-            fc = recursive_forecast_trees(feats, raw, wfc, f.trees(), stats, horizon, history_days, encode=f.encode, scale=f.scaler)
-    return sk.upsert_to_new_version(spark, forecast_path, stamp_forecast(fc, generated_at, model_path or "linear:fixed"), ["site_id", "ts"])
+            fc = recursive_forecast_trees(feats, raw, wfc, f.trees(), stats, horizon, history_days, encode=f.encode, scale=f.scaler, start=start)
+    rows, keys = stamp_forecast(fc, generated_at, model_path or "linear:fixed"), ["site_id", "ts"]
+    if by_month:
+        sk.upsert_months(spark, forecast_path, rows, keys)
+        return forecast_path
+    return sk.upsert_to_new_version(spark, forecast_path, rows, keys)
 
 
 def site_dimension_job(spark: SparkSession, raw: DataFrame, sites_path: str) -> str:
@@ -142,10 +149,16 @@ def site_dimension_job(spark: SparkSession, raw: DataFrame, sites_path: str) ->
 
 
 def weather_gap_load(spark: SparkSession, raw: DataFrame, landed_weather: DataFrame, weather_path: str) -> int:
-    """I2 + K2: append the landed weather hours of the gap; returns how many. Unparsed stamps (Q6) are an error."""
-    bad = q.count_unparsed(landed_weather, "time")
+    """I2 + K2: append the landed weather hours of the gap; returns how many.
+
+    Q6: rows without a readable time are left out with a warning; it is an
+    error if no landed row has one. Both counts come from one pass.
+    """
+    bad, good = landed_weather.agg(F.count_if(F.col("time").isNull()), F.count("time")).first()
+    if bad and not good:
+        raise ValueError(f"none of {bad} weather rows has a readable time")
     if bad:
-        raise ValueError(f"{bad} weather rows have no readable time")
+        warnings.warn(f"{bad} weather rows without a readable time are left out of {good + bad}", stacklevel=2)
     stored = spark.read.parquet(weather_path) if sk.path_exists(spark, weather_path) else landed_weather.limit(0)
     gap = weather_gap(raw, stored).first()
     if gap is None:

@@ -1,13 +1,19 @@
-"""Registered queries over feeds that land in parts (S1-S3, U1, I1, I7): bad pages, dialects per file."""
+"""Registered queries over feeds that land in parts (S1-S3, U1, I1-I3, I7, K1, K7, M9, M10): bad pages, dialects per
+file, tables that follow their landings, and the jobs as a whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from velora.functions.scalar import coord_part
+from velora.operators import moments as mo
+from velora.operators.recursive import LinearScorer
+from velora.plans import increments as inc
+from velora.plans import jobs
 from velora.registry import catalog_queries as c
 from velora.registry import sql_parts as S
-from velora.registry.queries import register
+from velora.registry.queries import finalize, register
+from velora.sinks import tables as sk
 from velora.sources import files as fl
 from velora.sources import pages as pg
 from velora.sources import tables as tb
@@ -112,3 +118,76 @@ def _mixed_csv(spark, sf):
 
 
 register("csv_mixed_dialects", _RAW + "SELECT site_id, site_name, hourly_count, ts, nullif(coordinates, '') AS coordinates FROM counts_raw")(_mixed_csv)
+
+
+# --- tables that follow their landings (K1, K7, M10), and whole jobs (M9, I1-I3) ---
+
+
+def _land(spark, sf, parts, features: bool):
+    """``counts_wide`` lands in parts; moments follow each landing, and the feature table where asked."""
+    root = c._run_folder(spark, "landings")
+    raw, moments, changes, feats, weather = (f"{root}/{x}" for x in ("raw", "moments", "changes", "features", "weather"))
+    wide = c._counts_wide(spark, sf)
+    if features:
+        tb.weather(wide).write.parquet(weather)
+    for part in parts:
+        inc.land_counts(spark, wide.filter(part), raw, moments, changes)
+        if features:
+            inc.update_features(spark, raw, weather, moments, changes, feats)
+    return feats, moments
+
+
+_THIRD = F.pmod(F.dayofyear("ts") + F.hour("ts"), F.lit(3))
+_STATS = ["site_mean", "site_std", "site_min", "site_max"]
+register("site_stats_landed", S.round_all(S.with_(S.COUNTS_WIDE, S.site_stats("counts_wide", with_n=True)) + "SELECT * FROM stats", _STATS))(
+    lambda spark, sf: finalize(
+        mo.site_stats_from_moments(spark.read.parquet(_land(spark, sf, [_THIRD == 1, _THIRD == 0, _THIRD == 2], False)[1]), with_n=True)
+    )
+)
+
+_LATE = (F.date_format("ts", "yyyy-MM") == "2024-06") & (F.pmod("site_id", F.lit(10)) == 3)
+_NEW = F.col("ts") >= F.lit("2025-03-01 00:00:00").cast("timestamp_ntz")
+register("features_landed", S.round_all(S.with_(S.COUNTS_WIDE, S.features("counts_wide")) + "SELECT * FROM features", c.FEATURE_DOUBLES))(
+    lambda spark, sf: finalize(inc.feature_view(spark, *_land(spark, sf, [~_LATE & ~_NEW, _LATE, _NEW], True)))
+)
+
+
+def _forecast_job(spark, sf):
+    """M9 over stored tables, twice into one forecast table by month; the second run replaces the first's values."""
+    root = c._run_folder(spark, "forecast-job")
+    raw, feats, wfc, stats, out = (f"{root}/{x}" for x in ("raw", "features", "wfc", "stats", "forecast"))
+    counts = c._counts(spark, sf)
+    sk.write_by_month(counts, raw)
+    sk.write_by_month(c._features(spark, sf), feats)
+    jobs.weather_forecast_job(spark, raw, tb.weather_forecast(counts), wfc)
+    jobs.site_features_job(spark, raw, stats)
+    half = LinearScorer(1.0, {"lag_1": 0.5})
+    for k, scorer in enumerate((half, None)):
+        jobs.forecast_job(spark, raw, feats, wfc, out, c._start(spark, sf) + c._td(k), scorer, stats_path=stats, by_month=True)
+    return finalize(spark.read.parquet(out).select("site_id", "ts", "hourly_count"))
+
+
+register("forecast_job", S.round_all(c.CHAIN + "SELECT site_id, ts, hourly_count FROM fc", ["hourly_count"]))(_forecast_job)
+
+
+def _update_job(spark, sf):
+    """The broken pages land first, the whole ones after them; counts, weather and sites follow each."""
+    root = c._run_folder(spark, "update-job")
+    at = {x: f"{root}/{x}" for x in ("pages1", "pages2", "raw", "weather", "wfc", "sites")}
+    counts = c._counts(spark, sf)
+    for k, broken in (("pages1", True), ("pages2", False)):
+        _landed_pages(spark, sf, at[k], broken)
+        jobs.update_job(
+            spark, at[k], tb.weather(counts), tb.weather_forecast(counts), at["raw"], at["weather"], at["wfc"], at["sites"]
+        )
+    sites = spark.read.parquet(sk.current_version(spark, at["sites"])).select("site_id", F.col("latitude").isNotNull().cast("int").alias("placed"))
+    raw = spark.read.parquet(at["raw"]).join(sites, "site_id", "left")
+    return raw.groupBy("site_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("hourly_count").alias("total"), F.max("ts").alias("last_ts"), F.coalesce(F.max("placed"), F.lit(0)).alias("placed")
+    )
+
+
+register(
+    "update_job",
+    c.CHAIN + "SELECT r.site_id, count(*) AS n, sum(hourly_count)::BIGINT AS total, max(ts) AS last_ts, max(CASE WHEN s.latitude IS NULL THEN 0 ELSE 1 END)::INTEGER AS placed FROM raw r LEFT JOIN sites s ON s.site_id = r.site_id GROUP BY 1",
+)(_update_job)

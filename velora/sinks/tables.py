@@ -8,7 +8,7 @@ its path; the caller swaps its pointer. Appends are plain ``mode("append")``.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,15 +51,18 @@ def _staging(path: str) -> str:
 
 
 def append_new(
-    spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str] = ("site_id", "ts"), ts: str | None = "ts"
-) -> int:
+    spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str] = ("site_id", "ts"), ts: str | None = "ts",
+    then: Callable[[DataFrame], None] | None = None,
+) -> int:
     """K1: append the rows whose key is new and return how many were appended.
 
     The batch is written once (so that its source is read once), then only
     stored rows inside its time range can conflict: the stored table is read
     with that range as literal filters (pushed down, and month partitions
     pruned). A table stored by month keeps its layout: ``month`` is derived
-    from ``ts`` and the rows go into their month's folder.
+    from ``ts`` and the rows go into their month's folder. ``then`` is called
+    with the appended rows (a stored copy that lives as long as the call), so
+    that what is derived from the table can follow without reading it again.
     """
     by_month = False
     existing = spark.read.parquet(path) if path_exists(spark, path) else None
@@ -87,6 +90,8 @@ def append_new(
             with_month(added, ts).write.mode("append").partitionBy("month").parquet(path)
         elif n:
             added.write.mode("append").parquet(path)
+        if n and then:
+            then(added)
         return n
     finally:
         remove_folder(spark, staged)
@@ -137,19 +142,63 @@ def upsert_months(spark: SparkSession, path: str, new: DataFrame, keys: Sequence
     """K5 on a table stored by month: rewrite only the months that ``new`` touches; returns them.
 
     The rewritten months are staged in full first and then replace their
-    folders (dynamic partition overwrite); other months are not read.
+    folders (``replace_months``); other months are not read.
     """
+    recover_months(spark, path)
     batch = with_month(new.drop("month"), ts)
     months = sorted(r[0] for r in batch.select("month").distinct().collect())  # one row per month of the batch
+    table = spark.read.parquet(path).filter(F.col("month").isin(months)) if path_exists(spark, path) else batch.limit(0)
+    replace_months(spark, path, upsert(table.drop("month"), batch.drop("month"), keys), ts)
+    return months
+
+
+def replace_months(spark: SparkSession, path: str, rows: DataFrame, ts: str = "ts") -> None:
+    """Replace the months that ``rows`` holds, in full, by ``rows``; ``rows`` may be read from the table itself.
+
+    The new months are staged first and their folder is recorded beside the
+    table; then they replace the stored ones (dynamic partition overwrite), and
+    only then do the record and the staged copy go. If the driver or the write
+    is lost in between, ``recover_months`` finishes the replacement.
+    """
     staged = _staging(path)
     try:
-        table = spark.read.parquet(path).filter(F.col("month").isin(months)) if path_exists(spark, path) else batch.limit(0)
-        write_by_month(upsert(table.drop("month"), batch.drop("month"), keys), staged, ts)
-        done = spark.read.parquet(staged)
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-    finally:
+        write_by_month(rows, staged, ts)
+    except BaseException:
         remove_folder(spark, staged)
-    return months
+        raise
+    write_small_json(spark.createDataFrame([(staged,)], "staged string"), _redo(path))
+    recover_months(spark, path)
+
+
+def recover_months(spark: SparkSession, path: str) -> bool:
+    """Finish a recorded replacement of months, if there is one; running it twice does no harm."""
+    if not path_exists(spark, _redo(path)):
+        return False
+    record = spark.read.schema("staged string").json(_redo(path)).first()
+    if record is None:  # lost before the record was complete: the table is untouched
+        remove_folder(spark, _redo(path))
+        return False
+    _overwrite_months(spark, path, record["staged"])
+    remove_folder(spark, _redo(path))
+    remove_folder(spark, record["staged"])
+    return True
+
+
+def _overwrite_months(spark: SparkSession, path: str, staged: str) -> None:
+    if not _has_months(spark, staged):  # no rows, no months
+        return
+    rows = spark.read.parquet(staged)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def _has_months(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)  # noqa: SLF001
+    return any(f.getPath().getName().startswith("month=") for f in found)
+
+
+def _redo(path: str) -> str:
+    return f"{path.rstrip('/')}_redo"
 
 
 def write_by_month(df: DataFrame, path: str, ts: str = "ts", key: str = "site_id") -> None:
