@@ -22,12 +22,14 @@ _RAW = S.with_(S.COUNTS, S.counts_raw(), S.raw_clean())
 
 # --- pages: one folder per day, a page per block of 1000 site ids (rows without an id: by the end of the name) ---
 
-_BLOCK = F.coalesce(F.floor(F.col("site_id").try_cast("long") / 1000), F.lit(-1) - F.substring("site_name", -2, 2).cast("long"))
+
+def _block():
+    return F.coalesce(F.floor(F.col("site_id").try_cast("long") / 1000), F.lit(-1) - F.substring("site_name", -2, 2).cast("long"))
 
 
 def _landed_pages(spark, sf, folder: str, broken: bool) -> None:
     """``counts_raw`` as pages. Broken: every seventh page is cut off after two thirds, every seventh lacks its last record."""
-    raw = tb.counts_raw(c._counts(spark, sf)).withColumn("day", F.substring("ts", 1, 10)).withColumn("page", _BLOCK)
+    raw = tb.counts_raw(c._counts(spark, sf)).withColumn("day", F.substring("ts", 1, 10)).withColumn("page", _block())
     rec = F.struct(
         F.col("site_id").alias("id"), F.col("site_name").alias("name"), F.col("hourly_count").alias("sum_counts"), F.col("ts").alias("date"),
         F.struct(coord_part("coordinates", 1).alias("lat"), coord_part("coordinates", 2).alias("lon")).alias("coordinates"),
@@ -53,8 +55,8 @@ report AS (
     CASE kind WHEN 3 THEN 0 WHEN 5 THEN n - 1 ELSE n END AS landed, CASE WHEN kind = 3 THEN 'unreadable' END AS reason
   FROM pages JOIN per_day USING (day))
 """
-_PAGE = F.regexp_extract("file", "/page=(-?[0-9]+)/", 1).cast("long").alias("page")
-_DAY = F.regexp_replace("request", "^day=", "").alias("day")
+_PAGE = "CAST(regexp_extract(file, '/page=(-?[0-9]+)/', 1) AS BIGINT) AS page"
+_DAY = "substr(request, 5) AS day"
 
 
 def _parsed(spark, sf):
@@ -64,7 +66,7 @@ def _parsed(spark, sf):
 
 
 register("page_report", _RAW[:-1] + _PAGES_SQL + "SELECT day, page, announced, landed, reason FROM report")(
-    lambda spark, sf: pg.page_report(_parsed(spark, sf)).select(_DAY, _PAGE, "announced", "landed", "reason")
+    lambda spark, sf: pg.page_report(_parsed(spark, sf)).selectExpr(_DAY, _PAGE, "announced", "landed", "reason")
 )
 register(
     "request_totals",
@@ -72,7 +74,7 @@ register(
     + _PAGES_SQL
     + """SELECT day, count(*) AS pages, max(announced) AS announced, sum(landed)::BIGINT AS landed, count(reason) AS bad_pages,
   CASE WHEN max(announced) IS NOT NULL THEN greatest(max(announced) - sum(landed), 0)::BIGINT END AS missing, coalesce(max(announced) - sum(landed) <= 0, false) AS complete FROM report GROUP BY day""",
-)(lambda spark, sf: pg.request_totals(_parsed(spark, sf)).select(_DAY, "pages", "announced", "landed", "bad_pages", "missing", "complete"))
+)(lambda spark, sf: pg.request_totals(_parsed(spark, sf)).selectExpr(_DAY, "pages", "announced", "landed", "bad_pages", "missing", "complete"))
 
 
 def _streamed(spark, sf, mended: bool):
@@ -91,8 +93,8 @@ register(
     "stream_quarantine",
     _RAW[:-1] + _PAGES_SQL + "SELECT day, page, reason, true AS has_text FROM report WHERE reason IS NOT NULL",
 )(
-    lambda spark, sf: spark.read.parquet(_streamed(spark, sf, False) + "_quarantine").select(
-        _DAY, _PAGE, "reason", (F.length("text") > 0).alias("has_text")
+    lambda spark, sf: spark.read.parquet(_streamed(spark, sf, False) + "_quarantine").selectExpr(
+        _DAY, _PAGE, "reason", "length(text) > 0 AS has_text"
     )
 )
 register("stream_mended", _RAW + "SELECT site_id, ts, hourly_count FROM raw")(
@@ -137,18 +139,18 @@ def _land(spark, sf, parts, features: bool):
     return feats, moments
 
 
-_THIRD = F.pmod(F.dayofyear("ts") + F.hour("ts"), F.lit(3))
+_THIRD = "pmod(dayofyear(ts) + hour(ts), 3)"
 _STATS = ["site_mean", "site_std", "site_min", "site_max"]
 register("site_stats_landed", S.round_all(S.with_(S.COUNTS_WIDE, S.site_stats("counts_wide", with_n=True)) + "SELECT * FROM stats", _STATS))(
     lambda spark, sf: finalize(
-        mo.site_stats_from_moments(spark.read.parquet(_land(spark, sf, [_THIRD == 1, _THIRD == 0, _THIRD == 2], False)[1]), with_n=True)
+        mo.site_stats_from_moments(spark.read.parquet(_land(spark, sf, [f"{_THIRD} = {k}" for k in (1, 0, 2)], False)[1]), with_n=True)
     )
 )
 
-_LATE = (F.date_format("ts", "yyyy-MM") == "2024-06") & (F.pmod("site_id", F.lit(10)) == 3)
-_NEW = F.col("ts") >= F.lit("2025-03-01 00:00:00").cast("timestamp_ntz")
+_LATE = "(date_format(ts, 'yyyy-MM') = '2024-06' AND pmod(site_id, 10) = 3)"
+_NEW = "(ts >= TIMESTAMP_NTZ '2025-03-01 00:00:00')"
 register("features_landed", S.round_all(S.with_(S.COUNTS_WIDE, S.features("counts_wide")) + "SELECT * FROM features", c.FEATURE_DOUBLES))(
-    lambda spark, sf: finalize(inc.feature_view(spark, *_land(spark, sf, [~_LATE & ~_NEW, _LATE, _NEW], True)))
+    lambda spark, sf: finalize(inc.feature_view(spark, *_land(spark, sf, [f"NOT {_LATE} AND NOT {_NEW}", _LATE, _NEW], True)))
 )
 
 
