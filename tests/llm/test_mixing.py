@@ -51,7 +51,8 @@ def slow(rows, mix):
     for key, b in budgets.items():
         b = int(b + 1e-6)
         total = leaf[key]
-        passes = b // total if total else 0
+        free = all(weight(x, y) > 0 for x, y in zip(M.LEVELS, key))
+        passes = b // total if total else int(mix.max_epochs) if free else 0
         out += [(d, *key, n, e) for d, n in member[key] for e in range(passes)]
         rest = b - passes * total
         name = lambda d: hashlib.md5(f"{mix.seed}:{passes}:{'' if d is None else d}".encode()).hexdigest()  # noqa: E731, B023
@@ -95,3 +96,12 @@ def test_mix_returns_whole_rows(spark):
 def test_empty_table(spark):
     assert M.mixture_report(docs(spark, []), MIXES[0]).collect() == []
     assert M.mix(docs(spark, []), MIXES[0]).collect() == []
+
+
+def test_leaves_without_tokens_are_read(spark):
+    df = docs(spark, [(1, None, "en", "src1"), (2, "", "en", "src1"), (3, " \n", "de", "src2"), (4, "two words", "en", "src3"), (5, None, None, None)])
+    mix = M.Mixture(weights={}, budget_share=2.0, max_epochs=2)
+    got = sorted((r.doc_id, r.epoch) for r in M.mix(df, mix).collect())
+    assert got == [(i, e) for i in range(1, 6) for e in (0, 1)]
+    nothing = M.Mixture(weights={"source": {"src2": 0.0}}, budget_share=2.0, max_epochs=2)
+    assert {r.doc_id for r in M.mix(df, nothing).collect()} == {1, 2, 4, 5}

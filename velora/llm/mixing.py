@@ -105,7 +105,10 @@ def plan(rows: DataFrame, mixture: Mixture) -> DataFrame:
     """Per leaf: tokens, budget, passes (full epochs) and rest (tokens of the last, partial epoch)."""
     sizes = stored(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-sizes")
     b = budgets(sizes, mixture).withColumn("budget", F.floor(F.col("budget") + 1e-6).cast("long"))
-    passes = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
+    free = F.lit(True)  # a leaf without tokens costs nothing: it is read as often as the mixture allows
+    for level in LEVELS:
+        free = free & (_weight(level, mixture) > 0)
+    passes = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).when(free, F.lit(int(mixture.max_epochs))).otherwise(0).cast("long")
     return b.withColumn("passes", passes).withColumn("rest", F.col("budget") - F.col("passes") * F.col("tokens"))
 
 
@@ -154,7 +157,7 @@ def mix(docs: DataFrame, mixture: Mixture, epoch: str | None = "epoch") -> DataF
 
     Null sources and languages are leaves named 'unknown'; null and empty texts
     have no tokens and are read with the full passes and while the budget
-    lasts. The leaf table (one row per leaf) is joined to the rows; texts are
+    lasts; a leaf that holds only such texts is read in every epoch allowed. The leaf table (one row per leaf) is joined to the rows; texts are
     not shuffled where Spark finds that table small.
     """
     cuts = stored(cut_points(stored(leaves(docs), "mix-rows"), mixture), "mix-cuts")
@@ -226,7 +229,7 @@ b{k} AS (
         f"""planned AS (
   SELECT *, budget_tokens - passes * tokens AS rest FROM (
     SELECT domain, language, source, tokens, floor(budget + 1e-6)::BIGINT AS budget_tokens,
-      CASE WHEN tokens > 0 THEN floor(floor(budget + 1e-6) / tokens)::BIGINT ELSE 0 END AS passes
+      CASE WHEN tokens > 0 THEN floor(floor(budget + 1e-6) / tokens)::BIGINT WHEN {positive} THEN {int(mixture.max_epochs)} ELSE 0 END AS passes
     FROM leaf JOIN b{len(LEVELS) - 1} USING (domain, language, source))
 ),
 part AS (
