@@ -94,3 +94,17 @@ def test_labelled_texts_of_any_length_are_learned_from(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, quality int, toxic int")
     got = X.toxicity_report(docs(spark, rows), labels).collect()
     assert {r.doc_id for r in got if r.toxic} == {i for i in range(60) if i % 3 == 0}
+
+
+def test_few_labels_teach_too(spark):
+    """Held out in four folds, 8 and 38 toxic labels: measured 0.27 and 0.67 of the toxic texts, 0.053 and 0.020 of the clean ones."""
+    for sf, least, most in (("sf0.001", 0.2, 0.08), ("sf0.01", 0.6, 0.03)):
+        d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+        fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+        hits = []
+        for k in range(4):
+            scored = X.with_severity(d.select("doc_id", "text"), X.train(d, labels.filter(fold != k)))
+            hits += scored.join(labels.filter(fold == k), "doc_id").select("toxic", X.rejected().alias("hit")).collect()
+        rate = {t: np.mean([r.hit for r in hits if r.toxic == t]) for t in (0, 1)}
+        assert rate[1] >= least and rate[0] <= most

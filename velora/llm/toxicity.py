@@ -38,8 +38,11 @@ PER_CLASS = 2000
 MAX_FEATURES = 1000
 MIN_DOCS = 4
 RATIO = 5.0
-#: A feature is left out unless chance would give less than exp(-SURE) such features among all that were tried.
+#: A feature counts in full if chance would give less than exp(-SURE) such features among all that were tried,
+#: else the less, the weaker its evidence; below LEAST_TRUST it is left out.
 SURE = 3.0
+SHARPNESS = 4
+LEAST_TRUST = 0.05
 L2 = 1e-3
 GRADES = 3
 REJECT_AT = 0.5
@@ -171,13 +174,18 @@ def evidence(a, c, n1: int, n0: int, log: Callable):  # noqa: ANN001, ANN201
     return a * log((a + 1e-9) / ((a + c) * share)) + c * log((c + 1e-9) / ((a + c) * (1 - share)))
 
 
-def telling(a, c, n1: int, n0: int, tried: int, log: Callable):  # noqa: ANN001, ANN201
-    """Whether a feature in ``a`` of n1 toxic and ``c`` of n0 clean texts is typical of toxic ones. Arrays or Columns.
+def trust(a, c, n1: int, n0: int, tried: int, log: Callable, least: Callable):  # noqa: ANN001, ANN201
+    """Share (0 to 1) of a feature's weight that its evidence supports among ``tried`` features. Arrays or Columns.
 
-    Often enough, RATIO times as often as in clean texts, and more often than chance gives among ``tried`` features.
+    The fit sees the feature scaled by it, so that the penalty holds down what few labels say. There is no number
+    of labels below which nothing is learned.
     """
-    sure = evidence(a, c, n1, n0, log) >= float(np.log(max(1, tried))) + SURE
-    return (a >= MIN_DOCS) & (a / n1 >= (c + 0.5) * (RATIO / n0)) & sure
+    return least(evidence(a, c, n1, n0, log) / (float(np.log(max(1, tried))) + SURE), 1.0) ** SHARPNESS
+
+
+def telling(a, c, n1: int, n0: int):  # noqa: ANN001, ANN201
+    """Whether a feature in ``a`` of n1 toxic and ``c`` of n0 clean texts is often enough in toxic ones, and RATIO times as often as in clean ones."""
+    return (a >= MIN_DOCS) & (a / n1 >= (c + 0.5) * (RATIO / n0))
 
 
 def chi_square(a, c, n1: int, n0: int):  # noqa: ANN001, ANN201
@@ -185,41 +193,46 @@ def chi_square(a, c, n1: int, n0: int):  # noqa: ANN001, ANN201
     return (a - (a + c) * (n1 / n)) * (a - (a + c) * (n1 / n)) / ((a + c) * (n - (a + c)) + 1.0)
 
 
-def choose(s: Sample) -> np.ndarray:
-    """The features to use where the sample is all there is."""
+def choose(s: Sample) -> tuple[np.ndarray, np.ndarray]:
+    """The features to use, and how far to trust them, where the sample is all there is."""
     n1, n0 = int(s.toxic.sum()), int((1 - s.toxic).sum())
     a, c = s.documents(s.toxic), s.documents(1 - s.toxic)
     order = np.lexsort((s.ids, -chi_square(a, c, n1, n0)))
-    ok = telling(a, c, n1, n0, int((a + c >= MIN_DOCS).sum()), np.log)
-    return s.ids[order[ok[order]][:MAX_FEATURES]]
+    sure = trust(a, c, n1, n0, int((a + c >= MIN_DOCS).sum()), np.log, np.minimum)
+    ok = telling(a, c, n1, n0) & (sure >= LEAST_TRUST)
+    best = order[ok[order]][:MAX_FEATURES]
+    return s.ids[best], sure[best]
 
 
 def fit(
     rows: list[tuple[int, np.ndarray, np.ndarray]],
     top: int = GRADES,
-    chosen: np.ndarray | None = None,
+    chosen: tuple[np.ndarray, np.ndarray] | None = None,
     words: np.ndarray | None = None,
 ) -> OrdinalModel | None:
     """Fits on (toxic 0/1, feature ids, counts) per row; None unless both classes occur.
 
-    ``chosen``: the features to use, by default those ``choose`` finds in the rows. ``words``: number of words per row.
+    ``chosen``: the features to use and their trust, by default those ``choose`` finds in the rows. ``words``: number of
+    words per row.
     """
     if len({r[0] for r in rows}) < 2:
         return None
     s = Sample.of(rows)
     n, n1 = len(rows), int(s.toxic.sum())
-    chosen = np.sort(choose(s) if chosen is None else chosen)
-    chosen = chosen[np.isin(chosen, s.ids)]
+    chosen, sure = choose(s) if chosen is None else chosen
+    known = np.flatnonzero(np.isin(chosen, s.ids))
+    known = known[np.argsort(chosen[known])]
+    chosen, sure = chosen[known], sure[known]
     place = np.full(len(s.ids), -1)
     place[np.searchsorted(s.ids, chosen)] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen) + 1))
     at = place[s.column] >= 0
-    x[s.row[at], place[s.column[at]]] = np.log2(1 + s.count[at])
+    x[s.row[at], place[s.column[at]]] = np.log2(1 + s.count[at]) * sure[place[s.column[at]]]
     if words is not None:
         x[:, -1] = np.log2(1 + words)
     weight = np.where(s.toxic == 1, 1 / n1, 1 / (n - n1))  # classes count alike
     weights, thresholds = fit_ordinal(x, graded(s, top), top, weight=weight, falling=len(chosen))
-    return OrdinalModel({int(f): float(w) for f, w in zip(chosen, weights)}, thresholds, float(weights[-1]))
+    return OrdinalModel({int(f): float(w) for f, w in zip(chosen, weights[:-1] * sure)}, thresholds, float(weights[-1]))
 
 
 def frequencies(labelled: DataFrame) -> DataFrame:
@@ -264,13 +277,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ord
         return None
     n1, n0, tried = total["a"], total["c"], terms.filter("f is not null").count()
     a, c = F.col("a"), F.col("c")
-    best = terms.filter(F.col("f").isNotNull() & telling(a, c, n1, n0, tried, F.log))
-    best = best.orderBy(chi_square(a, c, n1, n0).desc(), "f").limit(MAX_FEATURES).select("f").collect()
-    chosen = np.sort(np.array([r[0] for r in best], dtype="<i8").view("<u8"))
+    best = terms.filter(F.col("f").isNotNull() & telling(a, c, n1, n0))
+    best = best.withColumn("sure", trust(a, c, n1, n0, tried, F.log, lambda x, y: F.least(x, F.lit(y)))).filter(F.col("sure") >= LEAST_TRUST)
+    best = best.orderBy(chi_square(a, c, n1, n0).desc(), "f").limit(MAX_FEATURES).select("f", "sure").collect()
+    chosen = np.array([r["f"] for r in best], dtype="<i8").view("<u8"), np.array([r["sure"] for r in best])
 
     few = bounded_sample(marks, "toxic", "doc_id", 2 * per_class)  # at most four times per_class ids
     sample = bounded_sample(texts.join(F.broadcast(few), "doc_id"), "toxic", "doc_id", per_class)
-    wanted = frozenset(chosen.tolist())
+    wanted = frozenset(chosen[0].tolist())
 
     @F.pandas_udf(T.StructType().add("ids", T.BinaryType()).add("counts", T.BinaryType()).add("words", T.LongType()))
     def extract(texts: pd.Series) -> pd.DataFrame:
