@@ -33,6 +33,7 @@ END_ID = 2
 SHARD_TOKENS = 1 << 18
 SAMPLE = 64
 KNOWN_PIECES = 400_000
+KNOWN_BYTES = 48 << 20
 ENCODE_ROWS = 500
 SHARD_TYPE = (
     "part int, seq int, start bigint, n_tokens bigint, n_docs int, doc_ids array<bigint>, "
@@ -108,13 +109,21 @@ _PIECE = re.compile(f" ?[{_L}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}{_L}0-9]+
 _OTHER = re.compile(f"[^\x00-\x7f{_L}\u2010-\u2027\u2030-\u205e]")
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The characters by which a byte-level BPE writes bytes: printable ones as they are, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class PieceEncoder:
     """Encodes texts through the tokenizer, one distinct piece at a time.
 
     A byte-level BPE without a normalizer encodes every piece that its
     pre-tokenizer cuts on its own, so a text's ids are the concatenation of its
-    pieces' ids. Distinct pieces go through the tokenizers library once; their
-    ids are kept in two generations of ``KNOWN_PIECES``. Texts with other
+    pieces' ids. Distinct pieces go through the tokenizers library's BPE model
+    once; their ids are kept in two generations of at most ``KNOWN_PIECES`` and
+    ``KNOWN_BYTES``. Texts with other
     characters than ``_PIECE`` covers, with the text of an added token, or under
     a tokenizer with other rules are encoded whole.
     """
@@ -126,6 +135,9 @@ class PieceEncoder:
         cutter = self.tokenizer.pre_tokenizer
         self.cuts = type(cutter).__name__ == "ByteLevel" and cutter.use_regex and not cutter.add_prefix_space
         self.cuts = self.cuts and self.tokenizer.normalizer is None and self.tokenizer.truncation is None
+        self.model, self.letters = self.tokenizer.model, byte_alphabet()
+        self.cuts = self.cuts and type(self.model).__name__ == "BPE"
+        self.size = 0
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -134,6 +146,11 @@ class PieceEncoder:
         kind = "H" if self.dtype == "<u2" else "I"
         return [array(kind, e.ids).tobytes() for e in found]
 
+    def _learned(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pieces, by the model alone: their bytes in its alphabet."""
+        kind, tokenize, letters = "H" if self.dtype == "<u2" else "I", self.model.tokenize, self.letters
+        return [array(kind, [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in pieces]
+
     def _pieces(self, text: str) -> list[str] | None:
         """The pieces of a text, or None if it has to be encoded whole."""
         if not self.cuts or (not text.isascii() and _OTHER.search(text)) or any(x in text for x in self.added):
@@ -142,8 +159,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]
-        if len(self.known) > KNOWN_PIECES:  # the older generation goes; pieces that are still used move over
-            self.before, self.known = self.known, {}
+        if len(self.known) > KNOWN_PIECES or self.size > KNOWN_BYTES:  # the older generation goes; pieces still used move over
+            self.before, self.known, self.size = self.known, {}, 0
         known, before = self.known, self.before
         found = [None if row is None else list(map(known.get, row)) for row in cut]
         missing: dict[str, None] = {}
@@ -156,7 +173,10 @@ class PieceEncoder:
                             missing[p] = None
                         else:
                             known[p] = old
-        known.update(zip(missing, self._direct(list(missing))))
+        if missing:
+            ids = self._learned(list(missing))
+            known.update(zip(missing, ids))
+            self.size += sum(map(len, missing)) + sum(map(len, ids))
         whole = iter(self._direct([t for t, row in zip(texts, cut) if row is None]))
         out = []
         for row, ids in zip(cut, found):
