@@ -78,3 +78,12 @@ def test_a_sites_series_does_not_touch_the_counts(spark):
 
     plan = _plan(registry.queries()["site_series"](spark, SF001))
     assert "events.parquet" not in plan and "Join" not in plan
+
+
+def test_last_values_ships_n_rows_per_task_and_site(spark):
+    from velora.operators.history import last_values
+
+    events = spark.read.parquet(f"{SF001}/events.parquet").selectExpr("user_id AS site_id", "ts", "event_id AS hourly_count")
+    plan = _plan(last_values(events))
+    assert plan.count("Exchange") == 1
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")  # one on each side

@@ -1,9 +1,8 @@
 """The last n values per site, oldest first, padded to n.
 
-The site's rows are cut down in steps, so that no task sees a whole site and
-no list holds more than n values: the newest n per (site, day), of those the
-newest n per (site, month), of those the newest n per site. Only the first step
-shuffles row-level data, keyed by site and day.
+One rank per site, cut at n: Spark limits each task to its own newest n rows per
+site before it shuffles (``WindowGroupLimit``), so a site of any size reaches
+its task as n rows per task of the scan, and no list holds more than n values.
 A series shorter than n is left-padded with its own mean rounded half-even;
 callers treat a missing site as n zeros.
 """
@@ -18,9 +17,8 @@ def last_values(df: DataFrame, key: str = "site_id", ts: str = "ts", value: str
     """(key, history array<double> of length n, oldest first)."""
     t = F.col(ts)
     cut = df.select(key, t.alias("__t"), F.col(value).cast("double").alias("__v"))
-    for part in ([F.to_date("__t")], [F.trunc("__t", "month")], []):
-        w = Window.partitionBy(key, *part).orderBy(F.col("__t").desc())
-        cut = cut.repartition(F.col(key), *part).withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") <= n).drop("__rk")
+    newest = Window.partitionBy(key).orderBy(F.col("__t").desc())
+    cut = cut.withColumn("__rk", F.row_number().over(newest)).filter(F.col("__rk") <= n).drop("__rk")
     per_site = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))).alias("__s"))
     vals = F.transform(F.col("__s"), lambda x: x["v"])
     tail = per_site.select(key, vals.alias("__vals"))
