@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -137,3 +138,18 @@ def test_copies_of_one_finding_do_not_fill_the_sample(spark, monkeypatch):
     S.train(labelled, per_label=100)
     counts = taken[0].groupBy("label", "__k").count().agg(F.max("count"), F.count("*")).first()
     assert counts[0] == 1 and counts[1] > 80
+
+
+def test_a_megabyte_without_blanks_takes_seconds(spark):
+    for k, unit in enumerate(("password_", "password=x\u0085", "password1", "token-", "passwordpassword", "é", "password:=")):
+        rows = [(1, unit * (1_000_000 // len(unit))), (2, "password=" + "," * 1_000_000 + "x"), (3, unit * 90_000 + " " + "secret_")]
+        t = time.monotonic()
+        got = S.findings(docs(spark, rows[k % 2 :])).select("doc_id", F.length("value")).collect()
+        assert time.monotonic() - t < 30, unit
+        assert (2, 1_000_001) in [tuple(r) for r in got], unit
+
+
+def test_a_name_has_a_bounded_tail(spark):
+    rows = [(1, f"db_password_{'a' * 60}=hunter22 x"), (2, f"db_password_{'.' + 'a' * 9}=hunter22 x"), (3, "password=hun\u2028ter22 x"), (4, f"password_{'a' * 65}=hunter22 x")]
+    got = {(r.doc_id, r.value) for r in S.findings(docs(spark, rows)).collect()}
+    assert (1, "hunter22") in got and (3, "hun\u2028ter22") in got and not [v for d, v in got if d == 2] and (4, "hunter22") not in got

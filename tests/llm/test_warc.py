@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import html
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,3 +75,16 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert len({r.record_id for r in got}) == 8
     assert all("WARC-Target-URI" not in r.headers for r in got if r.target_uri is None)
     assert W.build_derivatives(df.limit(0)).collect() == []
+
+
+def test_a_megabyte_of_hostile_markup_takes_seconds():
+    for unit in ("<title>x ", "<title ", "<a href ", "<html lang", "<!-- ", "<script>", "</script ", "<p '", '<p "a" ', "&amp", "x"):
+        page = unit * (1_000_000 // len(unit))
+        t = time.monotonic()
+        records = W.derivatives({"record_id": "r", "target_uri": "u", "date": "d", "http_headers": None, "payload": page})
+        assert len(records) == 2 and time.monotonic() - t < 10, unit
+
+
+def test_title_of_the_first_element():
+    assert W.page_title("<TITLE lang=x>A <b>b</b></Title><title>c</title>") == "A b"
+    assert W.page_title("</title><title>never closed") == W.page_title("no title") == W.page_title("") == ""

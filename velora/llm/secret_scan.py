@@ -40,10 +40,12 @@ _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 KNOWN_FORMATS = "^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^xox[abpr]-[0-9A-Za-z-]{10,}$|^sk-[0-9A-Za-z_-]{20,}$"
 CREDENTIAL = "(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
 #: A credential's name to its end ("api_key", "db-password2", but not "author"), and what may stand between it and its value.
-NAME = CREDENTIAL + "(?:orization|s|[_-]?key)?(?:[_-][A-Za-z0-9_-]*|[0-9]+)?(?![A-Za-z])"
+#: The part behind ``_`` or ``-`` has up to ``NAME_TAIL`` characters: without a bound, one long word is read anew from every name in it.
+NAME_TAIL = 64
+NAME = CREDENTIAL + f"(?:orization|s|[_-]?key)?(?:[_-][A-Za-z0-9_-]{{0,{NAME_TAIL}}}|[0-9]+)?(?![A-Za-z])"
 _QUOTE = "[\"'`]"
 _ASSIGN = f"{_QUOTE}?\\]?(?:[:=]=?>?){_QUOTE}?"
-ASSIGNED_IN_WORD = f"{NAME}{_ASSIGN}(.{{{VALUE_LENGTH},}})$"
+ASSIGNED_IN_WORD = f"(?s){NAME}{_ASSIGN}(.{{{VALUE_LENGTH},}})$"
 NAME_BEFORE = f"{NAME}{_QUOTE}?\\]?(?:[:=]=?>?)?{_QUOTE}?$"
 BETWEEN = "(?i)^(?:[:=]+>?|is|was)$"
 BENIGN = "(?i)(?:commit|sha[0-9]*|md5|hash|checksum|digest|uuid|guid|version|rev(?:ision)?|card|phone|isbn|order|invoice)"
@@ -88,7 +90,7 @@ def findings(docs: DataFrame) -> DataFrame:
     found = words.select("doc_id", F.explode(near).alias("n")).select("doc_id", "n.*")
     inside = F.regexp_extract("word", ASSIGNED_IN_WORD, 1)
     value = F.when(inside != "", inside).when(F.col("named"), F.col("word")).otherwise("")
-    value = F.regexp_replace(value, "^[\"'`]+|[\"'`,;.]+$", "")
+    value = F.rtrim(F.ltrim(value, F.lit("\"'`")), F.lit("\"'`,;."))
     runs = F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))
     own = F.when((F.length(value) >= VALUE_LENGTH) & ~F.array_contains(runs, value), F.array(value)).otherwise(F.array().cast("array<string>"))
     # runs keep their numbers in the word; an assigned value that is no run of its own comes after them

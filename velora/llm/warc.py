@@ -35,7 +35,8 @@ _MARKUP = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*>|<[!?][^<>]*>",
     re.IGNORECASE | re.DOTALL,
 )
-_TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title", re.IGNORECASE | re.DOTALL)
+_TITLE = re.compile(r"<title\b[^<>]*>", re.IGNORECASE)
+_TITLE_END = re.compile(r"</title", re.IGNORECASE)
 _LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.IGNORECASE)
 _LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*[\"']?([^\"'<>\s]+)", re.IGNORECASE)
 _BLANKS = re.compile(r"[^\S\n]+")
@@ -72,6 +73,13 @@ def plain_text(source: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def page_title(source: str) -> str:
+    """The text of the first title element; without an end tag behind its start there is none. Two searches, so linear on any text."""
+    start = _TITLE.search(source)
+    end = start and _TITLE_END.search(source, start.end())
+    return plain_text(source[start.end() : end.start()]) if end else ""
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -111,13 +119,13 @@ def derivatives(response: dict) -> list[tuple]:
     source = response["payload"] or ""
     response = response | {"payload_digest": digest(source.encode("utf-8", "surrogatepass"))}
     meta_id, text_id = (record_id(response["record_id"], kind) for kind in ("metadata", "conversion"))
-    title, lang = _TITLE.search(source), _LANG.search(source)
+    lang = _LANG.search(source)
     fields = [
         ("conversion-record", text_id),
         ("source-payload-digest", response["payload_digest"]),
         ("source-length", str(len(source.encode("utf-8", "surrogatepass")))),
         *(("source-header", h) for h in (response["http_headers"] or "").splitlines() if h.strip()),
-        ("title", plain_text(title.group(1)) if title else ""),
+        ("title", page_title(source)),
         ("language", lang.group(1).lower() if lang else ""),
         *(("outlink", html.unescape(x)) for x in dict.fromkeys(_LINK.findall(source))),
     ]
