@@ -133,6 +133,11 @@ def historical_reference(
         vals[f"l4_{x}"] = z(f"f_{x}") + z(f"m_{x}") + z(f"b_{x}")
     per_target = per_target.select(key, "__t", *[v.alias(k) for k, v in vals.items()])
 
+    return first_level(per_target, key, ts)
+
+
+def first_level(per_target: DataFrame, key: str, ts: str) -> DataFrame:
+    """The first window that holds a row and a value, from (key, __t) and l1_s .. l4_r; targets without one go."""
     levels = []
     for i in range(1, 5):
         ok = (F.col(f"l{i}_r") > 0) & (F.col(f"l{i}_c") > 0)
