@@ -21,8 +21,12 @@ def last_values(df: DataFrame, key: str = "site_id", ts: str = "ts", value: str
     cut = cut.withColumn("__rk", F.row_number().over(newest)).filter(F.col("__rk") <= n).drop("__rk")
     per_site = cut.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))).alias("__s"))
     vals = F.transform(F.col("__s"), lambda x: x["v"])
-    tail = per_site.select(key, vals.alias("__vals"))
-    size = F.size("__vals")
-    mean = F.try_divide(F.aggregate("__vals", F.lit(0.0), lambda acc, x: acc + x), size)
+    return padded(per_site.select(key, vals.alias("__vals")), key, "__vals", n)
+
+
+def padded(series: DataFrame, key: str, values: str, n: int = 24) -> DataFrame:
+    """(key, history) of (key, values oldest first, at most n): short series begin with their own mean, rounded half-even."""
+    size = F.size(values)
+    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), size)
     pad = F.array_repeat(F.bround(mean, 0), F.lit(n) - size)
-    return tail.select(key, F.when(size >= n, F.col("__vals")).otherwise(F.concat(pad, F.col("__vals"))).alias("history"))
+    return series.select(key, F.when(size >= n, F.col(values)).otherwise(F.concat(pad, F.col(values))).alias("history"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from velora.functions.scalar import coord_part
+from velora.operators import histindex as hx
 from velora.operators import moments as mo
 from velora.operators.recursive import LinearScorer
 from velora.plans import increments as inc
@@ -154,6 +155,38 @@ register("features_landed", S.round_all(S.with_(S.COUNTS_WIDE, S.features("count
 )
 
 
+def _landed_references(spark, sf):
+    """A16 from the index that three landings made, the oldest rows among the last."""
+    root = c._run_folder(spark, "reference-index")
+    wide = c._counts_wide(spark, sf)
+    for k in (1, 2, 0):
+        sk.append_new(spark, f"{root}/raw", sk.with_month(wide.filter(f"{_THIRD} = {k}")), then=lambda rows: hx.land_index(spark, rows, f"{root}/index"))
+    return finalize(hx.reference_from_index(spark.read.parquet(f"{root}/index"), wide))
+
+
+register("reference_landed", S.round_all(S.with_(S.COUNTS_WIDE, S.hist_ref()) + "SELECT * FROM href", ["reference"]))(_landed_references)
+
+
+def _history_streamed(spark, sf):
+    """W8 as streaming state: pages land in three runs, the newest days first and the oldest last."""
+    from velora.streaming.history import start_history_stream, stored_history
+
+    root = c._run_folder(spark, "history-stream")
+    pages = c._pages(tb.counts_raw(c._counts(spark, sf)))
+    for lo, hi in (("21", "99"), ("00", "11"), ("11", "21")):
+        day = F.substring("day", 9, 2)
+        part = pages.filter((day >= lo) & (day < hi)).select("total_count", "results")
+        part.repartition(4).write.mode("append").option("maxRecordsPerFile", 1).json(f"{root}/landing")
+        start_history_stream(spark, f"{root}/landing", f"{root}/history", f"{root}/checkpoint").awaitTermination()
+    return stored_history(spark, f"{root}/history").select("site_id", F.transform("history", lambda x: F.round(x, 6) + F.lit(0.0)).alias("history"))
+
+
+register(
+    "history_streamed",
+    _RAW[:-1] + ", " + S.history24("raw", "raw", "hist", 100000) + " SELECT site_id, list_transform(history, lambda x: round(x, 6) + 0.0) AS history FROM hist",
+)(_history_streamed)
+
+
 def _forecast_job(spark, sf):
     """M9 over stored tables, twice into one forecast table by month; the second run replaces the first's values."""
     root = c._run_folder(spark, "forecast-job")
