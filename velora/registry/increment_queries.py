@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from velora.functions.scalar import coord_part
 from velora.operators import histindex as hx
 from velora.operators import moments as mo
+from velora.operators.observed import load_observed
 from velora.operators.recursive import LinearScorer
 from velora.plans import increments as inc
 from velora.plans import jobs
@@ -167,6 +168,46 @@ def _landed_references(spark, sf):
 register("reference_landed", S.round_all(S.with_(S.COUNTS_WIDE, S.hist_ref()) + "SELECT * FROM href", ["reference"]))(_landed_references)
 
 
+# --- Q1, Q3, Q4, Q6 from the load's own pass ---
+
+_SEEN = "rows missing_ids unreadable_ids missing_times unreadable_times missing_counts unreadable_counts kept kept_counts appended".split()
+
+
+def _observed_loads(spark, sf):
+    """``counts_raw`` as it lands, and with unreadable ids and times and missing times; one row of counts each."""
+    root = c._run_folder(spark, "observed")
+    raw = tb.counts_raw(c._counts(spark, sf))
+    at = F.substring("ts", 9, 5)
+    harmed = raw.withColumns(
+        {
+            "site_id": F.when(at == "06 09", F.lit("S-7")).otherwise(F.col("site_id")),
+            "ts": F.when(at == "04 07", F.lit("not a time")).when(at == "05 08", F.lit(" ")).otherwise(F.col("ts")),
+        }
+    )
+    out = []
+    for name, text in (("as landed", raw), ("harmed", harmed)):
+        seen = load_observed(spark, text, f"{root}/{name.replace(' ', '-')}")
+        out.append((name, *[seen[k] for k in _SEEN], seen["first_ts"], seen["last_ts"]))
+    types = ", ".join(f"{k} bigint" for k in _SEEN)
+    return spark.createDataFrame(out, f"load string, {types}, first_ts timestamp_ntz, last_ts timestamp_ntz")
+
+
+_OBSERVED_SQL = """, landed AS (SELECT 'as landed' AS load, site_id, hourly_count, ts FROM counts_raw
+  UNION ALL SELECT 'harmed', CASE WHEN substr(ts, 9, 5) = '06 09' THEN 'S-7' ELSE site_id END, hourly_count,
+    CASE substr(ts, 9, 5) WHEN '04 07' THEN 'not a time' WHEN '05 08' THEN ' ' ELSE ts END FROM counts_raw),
+typed AS (SELECT *, TRY_CAST(site_id AS BIGINT) AS i, TRY_CAST(substr(ts, 1, 19) AS TIMESTAMP) AS t, TRY_CAST(hourly_count AS BIGINT) AS v FROM landed)
+SELECT load, count(*) AS rows,
+  count(*) FILTER (coalesce(trim(site_id), '') = '') AS missing_ids, count(*) FILTER (i IS NULL AND trim(site_id) <> '') AS unreadable_ids,
+  count(*) FILTER (coalesce(trim(ts), '') = '') AS missing_times, count(*) FILTER (t IS NULL AND trim(ts) <> '') AS unreadable_times,
+  count(*) FILTER (coalesce(trim(hourly_count), '') = '') AS missing_counts, count(*) FILTER (v IS NULL AND trim(hourly_count) <> '') AS unreadable_counts,
+  count(*) FILTER (i IS NOT NULL AND t IS NOT NULL) AS kept, count(v) FILTER (i IS NOT NULL AND t IS NOT NULL) AS kept_counts,
+  count(DISTINCT (i, t)) FILTER (i IS NOT NULL AND t IS NOT NULL) AS appended,
+  min(t) FILTER (i IS NOT NULL) AS first_ts, max(t) FILTER (i IS NOT NULL) AS last_ts
+FROM typed GROUP BY load"""
+
+register("observed_loads", _RAW[:-1] + _OBSERVED_SQL)(_observed_loads)
+
+
 def _history_streamed(spark, sf):
     """W8 as streaming state: pages land in three runs, the newest days first and the oldest last."""
     from velora.streaming.history import start_history_stream, stored_history
