@@ -17,16 +17,30 @@ def test_spectrum_counts_distinct_grams():
         assert len(slots) == len(set(slots.tolist())) == len(grams(text))
 
 
-def test_table_equals_kernel_ridge_scores():
+def kernel(x, y):
+    return len(grams(x) & grams(y)) / (len(grams(x)) * len(grams(y))) ** 0.5
+
+
+def test_scores_equal_kernel_ridge_on_gram_sets():
+    """k(x, L) a with (K_mn W K_nm + c K_mm) a = K_mn W Y: the same regression without slots, map or table."""
     rng = np.random.default_rng(1)
-    word = lambda p: " ".join("".join(rng.choice(list(p), 5)) for _ in range(30))
-    samples = [(lang, L.spectrum(word(p))) for lang, p in (("a", "abcde"), ("b", "cdefg")) for _ in range(20)]
-    model = L.fit(samples, landmarks=16)
-    tests = [L.spectrum(word("abcde")), L.spectrum(word("cdefg")), L.spectrum("zz")]
-    scores = model.scores(tests)
-    assert scores[0].argmax() == 0 and scores[1].argmax() == 1
-    one = np.array([model.table[s].sum(axis=0) / np.sqrt(len(s)) for s in tests])
-    assert np.allclose(scores, one, atol=1e-5)
+    word = lambda p: " ".join("".join(rng.choice(list(p), 4)) for _ in range(8))
+    samples = [(lang, word(p)) for lang, p, n in (("a", "abc", 14), ("b", "bcd", 9), ("c", "xyz", 5)) for _ in range(n)]
+    tests = [word("abc"), word("bcd"), word("xyz"), word("abcd"), "zz", "no known gram: qqq"]
+    texts = [t for _, t in samples] + tests
+    assert len(set.union(*map(grams, texts))) == len({int(s) for t in texts for s in L.spectrum(t)})  # no two grams share a slot
+    landmarks = [t for lang in "abc" for t in [t for x, t in samples if x == lang][:4]]
+    k_nm = np.array([[kernel(t, m) for m in landmarks] for _, t in samples])
+    k_mm = np.array([[kernel(t, m) for m in landmarks] for t in landmarks])
+    y = np.array([[float(lang == x) for x in "abc"] for lang, _ in samples])
+    w = np.diag([len(samples) / (3 * sum(x == lang for x, _ in samples)) for lang, _ in samples])
+    a = np.linalg.solve(k_nm.T @ w @ k_nm + L.RIDGE * len(samples) / 3 * k_mm, k_nm.T @ w @ y)
+    want = np.array([[kernel(t, m) for m in landmarks] for t in tests]) @ a
+
+    model = L.fit([(lang, L.spectrum(t)) for lang, t in samples], landmarks=12)
+    assert model.languages == ["a", "b", "c"]
+    assert np.allclose(model.scores([L.spectrum(t) for t in tests]), want, atol=1e-4)
+    assert want[:3].argmax(axis=1).tolist() == [0, 1, 2]
 
 
 def test_held_out_accuracy_and_fold(spark):
