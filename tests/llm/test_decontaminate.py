@@ -78,14 +78,33 @@ def test_tables_equal_brute_force(spark):
     assert any(x[5] for x in want)
 
 
-def test_blocks_give_the_same(spark):
+@pytest.mark.parametrize("pass_bytes", [1, 6000, 1 << 20])
+def test_blocks_give_the_same(spark, pass_bytes):
     rows, items = random_case(2)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     one = D.with_matches(docs(spark, rows), bench, window=4).select("doc_id", "match").collect()
-    many = D.with_matches(docs(spark, rows), bench, window=4, block_words=15).select("doc_id", "match").collect()
+    many = D.with_matches(docs(spark, rows), bench, window=4, block_words=15, pass_bytes=pass_bytes).select("doc_id", "match").collect()
     assert sorted(map(str, one)) == sorted(map(str, many))
 
 
+def test_blocks_are_bounded_and_hold_every_window(spark):
+    rows, items = random_case(5)
+    r = random.Random(1)
+    long = (70, " ".join(r.choice("abcdefgh") for _ in range(500)))
+    bench = spark.createDataFrame([*items, long, long, (None, "a a b")], "item_id bigint, text string")
+    pieces = D.benchmark_pieces(bench, window=4, block_words=15).collect()
+    assert all(0 < r.n <= 15 and r.n == len(r.words.split(" ")) for r in pieces)
+    assert len(pieces) == len({(r.item, r.words) for r in pieces})
+    w = words(long[1])
+    want = {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    own = [r.words.split(" ") for r in pieces if r.item == "70"]
+    assert {tuple(p[i : i + 4]) for p in own for i in range(len(p) - 3)} == want and all(len(p) >= 4 for p in own)
+    blocks = D.build_blocks(bench, window=4, block_words=15)
+    assert blocks.count() > 30 and blocks.count() == blocks.select("key").distinct().count()
+    for b in D.passes(blocks, pass_bytes=50_000):
+        assert all(max(a.length) <= 15 for a in b.value.automata())
+
+
 def test_empty_tables(spark):
     rows, items = random_case(1)
     assert report(spark, [], items) == []

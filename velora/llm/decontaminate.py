@@ -7,15 +7,18 @@ length of at least ``window`` means that the last ``window`` words are a window
 of an item; an item shorter than that counts when it occurs whole. All words of
 such occurrences are hit.
 
-The benchmark is read in blocks of at most ``block_words`` words (items are
-never cut), so that what is broadcast at once is bounded by that parameter and
-not by the benchmark. Every document is read against every block, one block
-after the other, with the matches so far stored in between; the hit intervals
-of the blocks are united.
+The benchmark is cut into blocks of at most ``block_words`` words (a longer item
+into pieces that keep its windows). Tasks build one automaton a block and store
+it in the shared folder. A pass over the documents reads them against as many
+automata as ``pass_bytes`` pickled bytes hold, so that what is broadcast at once
+is bounded by parameters and not by the benchmark; with several passes the
+matches so far are stored in between. The hit intervals of all blocks are united.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,6 +34,7 @@ from velora.llm.common import stored
 WINDOW = 13
 COVERAGE = 20  # contaminated if COVERAGE * hit words >= words
 BLOCK_WORDS = 200_000
+PASS_BYTES = 64 << 20
 #: Fixed by the contract: ASCII digits and letters, and everything beyond ASCII.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -179,24 +183,86 @@ class Automaton:
         return spans, items
 
 
-def benchmark_blocks(
-    benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS
-) -> Iterator[Broadcast]:
-    """One broadcast automaton per block of items; the items stream to the driver one partition at a time."""
-    sc = benchmark.sparkSession.sparkContext
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    block: list[tuple[str, list[str]]] = []
-    size = 0
-    for r in rows.toLocalIterator():
-        words = words_of(r.text)
-        if not words:
-            continue
-        if block and size + len(words) > block_words:
-            yield sc.broadcast(Automaton.build(block, window))
-            block, size = [], 0
-        block.append(("" if r.item_id is None else r.item_id, words))
-        size += len(words)
-    yield sc.broadcast(Automaton.build(block, window))
+def benchmark_pieces(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Distinct (item, words, n): item texts as words joined by blanks, of at most ``block_words`` words.
+
+    A longer item is cut into pieces that overlap by ``window`` - 1 words, so
+    that its pieces have exactly its windows. Null ids are empty texts.
+    """
+    most = max(block_words, window)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for item, text in zip(df["item"], df["text"]):
+                words = words_of(text)
+                starts = range(0, max(len(words) - window, 0) + 1, most - window + 1) if words else ()
+                rows += [(item, " ".join(words[i : i + most]), min(most, len(words) - i)) for i in starts]
+            yield pd.DataFrame(rows, columns=["item", "words", "n"])
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return items.mapInPandas(cut, "item string, words string, n long").distinct()
+
+
+def build_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Stored automata of the whole benchmark: key, size (bytes), automaton (pickled).
+
+    Pieces are dealt to blocks by hash; a task builds the automata of a block,
+    one part for every ``block_words`` words or less.
+    """
+    pieces = stored(benchmark_pieces(benchmark, window, block_words), "benchmark-pieces")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    # three quarters full on average, so that few blocks need a second part
+    n = 1 if total <= block_words else math.ceil(4 * total / (3 * block_words))
+
+    def build(df: pd.DataFrame) -> pd.DataFrame:
+        parts: list[list[tuple[str, list[str]]]] = []
+        size = 0
+        for item, words, k in zip(df["item"], df["words"], df["n"]):
+            if not parts or size + k > block_words:
+                parts.append([])
+                size = 0
+            parts[-1].append((item, words.split(" ")))
+            size += k
+        blobs = [pickle.dumps(Automaton.build(p, window), protocol=pickle.HIGHEST_PROTOCOL) for p in parts]
+        block = int(df["block"].iloc[0])
+        return pd.DataFrame({"key": [f"{block}-{k}" for k in range(len(blobs))], "size": [len(b) for b in blobs], "automaton": blobs})
+
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n)))
+    return stored(dealt.groupBy("block").applyInPandas(build, "key string, size long, automaton binary"), "benchmark-automata")
+
+
+class Packed:
+    """Pickled automata that a worker unpacks at first use and keeps with its broadcast."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.blobs = blobs
+        self.ready: list[Automaton] | None = None
+
+    def automata(self) -> list[Automaton]:
+        if self.ready is None:
+            self.ready, self.blobs = [pickle.loads(b) for b in self.blobs], []
+        return self.ready
+
+
+def passes(blocks: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[Broadcast]:
+    """Broadcasts of as many stored automata as ``pass_bytes`` allow (one at least), until all were sent.
+
+    Only numbers and sizes are listed on the driver; it holds the bytes of one
+    pass at a time and unpacks none. An empty benchmark gives one empty pass.
+    """
+    sc = blocks.sparkSession.sparkContext
+    groups: list[list[str]] = [[]]
+    room = pass_bytes
+    for r in blocks.select("key", "size").orderBy("key").collect():
+        if groups[-1] and r["size"] > room:
+            groups.append([])
+            room = pass_bytes
+        groups[-1].append(r["key"])
+        room -= r["size"]
+    for keys in groups:
+        found = blocks.filter(F.col("key").isin(keys)).select("automaton").collect() if keys else []
+        yield sc.broadcast(Packed([bytes(r["automaton"]) for r in found]))
 
 
 def _united(spans: list[list[int]]) -> list[list[int]]:
@@ -216,13 +282,14 @@ def with_matches(
     out: str = "match",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
     """Adds struct ``out``: spans (word positions [from, to), united), items (ids as text), n_words.
 
     Null and empty texts have no words. An empty benchmark matches nothing.
     Items without words are no windows. Items of equal text all count.
     """
-    for k, block in enumerate(benchmark_blocks(benchmark, window, block_words)):
+    for k, block in enumerate(passes(build_blocks(benchmark, window, block_words), pass_bytes)):
         found = _finder(block)
         if k == 0:
             docs = docs.withColumn(out, found(F.col(text)))
@@ -235,13 +302,14 @@ def with_matches(
 def _finder(block: Broadcast):
     @F.pandas_udf(MATCH_TYPE)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = block.value
+        automata = block.value.automata()
         for texts in batches:
             rows = []
             for t in texts:
                 words = words_of(t)
-                spans, items = automaton.match(words)
-                rows.append((spans, sorted(items), len(words)))
+                found = [a.match(words) for a in automata]
+                spans = found[0][0] if len(found) == 1 else _united([s for f in found for s in f[0]])
+                rows.append((spans, sorted(set().union(*(f[1] for f in found))), len(words)))
             yield pd.DataFrame(rows, columns=["spans", "items", "n_words"])
 
     return find
