@@ -1,9 +1,11 @@
 import itertools
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 from velora.llm import chat as C
 
 TURNS = [
@@ -12,8 +14,93 @@ TURNS = [
 ]
 
 
+def tallied(conversations):
+    """Brute force of the counts: conversations of (role, lines) turns, walked line by line."""
+    turns, lines = Counter(), Counter()
+    for conv in conversations:
+        before, more = None, None
+        for role, texts in conv:
+            if role not in C.ROLES:
+                before, more = None, None
+                continue
+            r = C.ROLES.index(role)
+            turns[before, more, r] += 1
+            for i, text in enumerate(texts):
+                lines[(r, min(i, 2), *C.observe(text))] += 1
+            before, more = r, len(texts) > 1
+    return turns, lines
+
+
 def model():
-    return C.fit(TURNS * 20)
+    return C.fit(*tallied(TURNS * 20))
+
+
+def test_counts_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    pool = ["User: a?", "b", "AI: " + "c " * 40, "", "System: d", "e " * 200, "f.", "x:"]
+    roles = ["user", "assistant", "system", "tool"]
+    convs = {c: [(roles[rng.integers(0, 4)], [pool[i] for i in rng.integers(0, 8, rng.integers(1, 5))]) for _ in range(n)] for c, n in enumerate([1, 2, 300, 7, 40, 9, 30, 12])}
+    rows = [(c, t, i, x, role) for c, conv in convs.items() for t, (role, texts) in enumerate(conv) for i, x in enumerate(texts)]
+    rows += [(None, 0, 0, "User: x", "user"), (0, None, 0, "User: x", "user"), (0, 5, 0, "x", None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, part bigint, line_no bigint, line string, role string")
+    turns, lines = tallied(conv for c, conv in convs.items() if zlib.crc32(str(c).encode()) % 4 != 2)
+    assert C.counts(df.withColumn("before", F.lit("clash"))) == (turns, lines)
+    again = C.counts(df.unionByName(df).filter("conv_id = 2"))  # repeated rows: the same turns, lines twice
+    once = C.counts(df.filter("conv_id = 2"))
+    assert again[0] == once[0] and again[1] == {k: 2 * n for k, n in once[1].items()}
+
+
+def slow_states(m, lines):
+    """Viterbi by a table of best scores and whole paths; of equal ones the path with the first states."""
+    best = {s: (m.start[s], [s]) for s in range(6)}
+    for i, line in enumerate(lines):
+        if i:
+            best = {s: max(((v + m.step[p, s], [*path, s]) for p, (v, path) in best.items()), key=lambda x: x[0]) for s in range(6)}
+        o = C.observe(line)
+        best = {s: (v + sum(t[s, x] for t, x in zip(m.emit, o)), path) for s, (v, path) in best.items()}
+    return max(best.values(), key=lambda x: x[0])[1]
+
+
+def slow_report(rows):
+    """Brute force of ``chat_report`` for rows (conv_id, turn, role, text) with distinct keys: conv -> (roles of turns, text)."""
+    convs = {}
+    for c, t, role, text in sorted(rows):
+        convs.setdefault(c, []).append((t, role, text))
+    shown, labelled = {}, []
+    for c, turns in convs.items():
+        style = zlib.crc32(str(c).encode()) % len(C.STYLES)
+        texts = []
+        for t, role, text in turns:
+            bare = style == len(C.STYLES) - 1 and zlib.crc32(f"{c}:{t}".encode()) % 3 != 0
+            texts.append((("" if bare else C.STYLES[style].get(role, "")) + text).split("\n"))
+        shown[c] = [x for lines in texts for x in lines]
+        if zlib.crc32(str(c).encode()) % 4 != 2:
+            labelled.append([(role, lines) for (_, role, _), lines in zip(turns, texts)])
+    m = C.fit(*tallied(labelled))
+    out = {}
+    for c, lines in shown.items():
+        roles, text = [], ""
+        for i, (s, line) in enumerate(zip(slow_states(m, lines), lines)):
+            role, first = C.STATES[s]
+            if first:
+                text += ("<|end|>\n" if i else "") + f"<|{role}|>\n"
+                roles.append(role)
+            text += (C.marker(line)[1] if first else line) + "\n"
+        out[c] = roles, text
+    return out
+
+
+def test_report_equals_brute_force(spark):
+    conv = spark.read.parquet(f"{SF001}/conversations.parquet").select("conv_id", "turn", "role", "text").dropna().dropDuplicates(["conv_id", "turn"])
+    conv = spark.createDataFrame(rows := [tuple(r) for r in conv.collect()], conv.schema)
+    want = slow_report(rows)
+    got = {}
+    for r in C.chat_report(conv).orderBy("conv_id", "part", "line_no").collect():
+        roles, text = got.setdefault(r.conv_id, ([], ""))
+        got[r.conv_id] = [*roles, r.role] if r.starts else roles, text + r.rendered
+    turns = {k: sorted(t for c, t, *_ in rows if c == k) for k in want}
+    whole = [k for k, t in turns.items() if t == list(range(t[0], t[0] + len(t)))]
+    assert len(whole) == len(want) and got == want
 
 
 def test_markers():

@@ -3,8 +3,8 @@
 A transcript is a sequence of lines, some of which open with a speaker marker.
 Hidden states are (role, first or later line of a turn). A line shows its
 marker's class, its length class and its ending; the three are independent
-given the state. Start, transition and emission counts come from labelled
-lines. Viterbi gives the likeliest states; each first line starts a turn.
+given the state. Start, transition and emission counts come from all labelled
+lines that are not held out, summed by Spark. Viterbi gives the likeliest states; each first line starts a turn.
 
 Transcripts can be of any length. Lines are sorted and dealt by Spark in ranges
 of (conv_id, part, line_no), and each range is cut into chunks of at most
@@ -26,15 +26,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from velora.llm.common import stored
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, first) for r in ROLES for first in (True, False)]
 CHUNK_LINES = 2048
-SAMPLE_CONVERSATIONS = 1000
-SAMPLE_TURNS = 40
-SAMPLE_LINES = 50
 _N = len(STATES)
 #: Speaker names of transcripts, by role.
 MARKERS = {
@@ -78,25 +76,26 @@ class Model:
         return sum(table[:, seen[:, k]].T for k, table in enumerate(self.emit))
 
 
-def fit(conversations: list[list[tuple[str, list[str]]]], smooth: float = 0.5) -> Model:
-    """Counts over conversations of (role, lines) turns; unknown roles are left out."""
+def fit(turns: dict, lines: dict, smooth: float = 0.5) -> Model:
+    """From counts, for roles as places in ``ROLES``.
+
+    ``turns``: (role before, whether its turn has more lines, role) -> turns;
+    the role before is None where a turn opens a conversation. ``lines``:
+    (role, place in the turn: 0, 1 or 2 for later, marker, length, ending) -> lines.
+    """
     start, step = np.full(_N, smooth), np.full((_N, _N), smooth)
     emit = [np.full((_N, n), smooth) for n in (N_MARKER, N_LENGTH, N_END)]
-    for turns in conversations:
-        before = None
-        for role, lines in turns:
-            if role not in ROLES:
-                before = None
-                continue
-            for i, line in enumerate(lines):
-                s = 2 * ROLES.index(role) + (i > 0)
-                if before is None:
-                    start[s] += 1
-                else:
-                    step[before, s] += 1
-                for table, o in zip(emit, observe(line)):
-                    table[s, o] += 1
-                before = s
+    for (before, more, role), n in turns.items():
+        if before is None:
+            start[2 * role] += n
+        else:
+            step[2 * before + bool(more), 2 * role] += n
+    for (role, place, *seen), n in lines.items():
+        s = 2 * role + (place > 0)
+        if place:
+            step[2 * role + (place > 1), s] += n
+        for table, o in zip(emit, seen):
+            table[s, o] += n
     for role in range(len(ROLES)):  # a later line belongs to the turn's own role
         for s in range(_N):
             if s // 2 != role:
@@ -307,26 +306,36 @@ def transcript_lines(conversations: DataFrame) -> DataFrame:
     )
 
 
-def train(lines: DataFrame) -> Model:
-    """Fits on labelled ``lines`` of at most SAMPLE_CONVERSATIONS conversations (those of the smallest hash).
+@F.pandas_udf(T.StructType([T.StructField(c, T.ByteType()) for c in ("marker", "length", "ending")]))
+def _observed(lines: pd.Series) -> pd.DataFrame:
+    seen = [observe(x or "") for x in lines]
+    return pd.DataFrame(seen, columns=["marker", "length", "ending"])
+
 
-    Of each the turns below SAMPLE_TURNS and their first SAMPLE_LINES lines
-    count; conversations of crc32(conv_id) mod 4 = 2 are held out.
+def counts(lines: DataFrame) -> tuple[dict, dict]:
+    """What ``fit`` takes, from all labelled ``lines`` but those of held-out conversations (crc32(conv_id) mod 4 = 2).
+
+    Line 0 opens a turn. A turn follows the turn of the preceding number in its
+    conversation; without one, or behind an unknown role, it counts as an
+    opening. Rows of one turn number are one turn, of the least role. Unknown
+    roles, and lines without conversation, turn or line number, are left out.
+    Counts are summed on the map side; only two tables of a size that the
+    states fix (21 and 1,080 rows at most) reach the driver.
     """
-    known = lines.filter(F.col("conv_id").isNotNull() & (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 != 2))
-    ids = known.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(SAMPLE_CONVERSATIONS)
-    sample = known.join(F.broadcast(ids), "conv_id").filter(F.col("line_no") < SAMPLE_LINES)
-    turns = sample.filter(F.col("part") < SAMPLE_TURNS).collect()
-    turns.sort(key=lambda r: (r["conv_id"], r["part"], r["line_no"], r["line"] or ""))
-    conversations: dict[int, list[tuple[str, list[str]]]] = {}
-    place = None
-    for r in turns:
-        conv = conversations.setdefault(r["conv_id"], [])
-        if (r["conv_id"], r["part"]) != place:
-            conv.append((r["role"], []))
-            place = (r["conv_id"], r["part"])
-        conv[-1][1].append(r["line"] or "")
-    return fit(list(conversations.values()))
+    role = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1
+    known = lines.filter(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 != 2)
+    known = known.select("conv_id", "part", "line_no", "line", role.alias("role")).filter("role >= 0 and part is not null and line_no is not null")
+    place = F.least("line_no", F.lit(2)).cast("int").alias("place")
+    seen = known.select("role", place, _observed("line").alias("o")).groupBy("role", "place", "o.marker", "o.length", "o.ending").count()
+    turns = known.groupBy("conv_id", "part").agg(F.min("role").alias("role"), (F.max("line_no") > 0).alias("more"))
+    before = turns.select("conv_id", (F.col("part") + 1).alias("part"), F.col("role").alias("before"), "more")
+    steps = turns.drop("more").join(before, ["conv_id", "part"], "left").groupBy("before", "more", "role").count()
+    return {tuple(r)[:-1]: r["count"] for r in steps.collect()}, {tuple(r)[:-1]: r["count"] for r in seen.collect()}
+
+
+def train(lines: DataFrame) -> Model:
+    """The model of labelled ``lines``: conv_id, part, line_no, line, role; see ``counts``."""
+    return fit(*counts(lines))
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
