@@ -46,12 +46,12 @@ def finalize(df: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    from velora.registry import catalog_queries, file_queries, increment_queries  # noqa: F401  (register)
+    from velora.registry import catalog_queries, file_queries, increment_queries, model_queries  # noqa: F401  (register)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from velora.registry import catalog_queries, file_queries, increment_queries  # noqa: F401
+    from velora.registry import catalog_queries, file_queries, increment_queries, model_queries  # noqa: F401
 
     return dict(_SQL)
